@@ -1,15 +1,17 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
+from codeloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from codeloom.llm.mixing import OP5_SQL, op5_curriculum_mix
 from codeloom.llm.packing import op4_online_packing
 from codeloom.llm.sharding import op7_histogram_sort
 from codeloom.llm.token_store import op3_token_store
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_store": op3_token_store,
     "op4_online_packing": op4_online_packing,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op7_histogram_sort": op7_histogram_sort,
 }
 
-ORACLE_SQL = {"op5_curriculum_mix": OP5_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op5_curriculum_mix": OP5_SQL}

@@ -1,5 +1,6 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
+from codeloom.llm.language_id import op10_language_id
 from codeloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from codeloom.llm.mixing import OP5_SQL, op5_curriculum_mix
 from codeloom.llm.packing import op4_online_packing
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_online_packing": op4_online_packing,
     "op5_curriculum_mix": op5_curriculum_mix,
+    "op10_language_id": op10_language_id,
     "op7_histogram_sort": op7_histogram_sort,
 }
 

@@ -1,17 +1,21 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
+from codeloom.llm.ann import op8_prefix_forest
 from codeloom.llm.language_id import op10_language_id
 from codeloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from codeloom.llm.mixing import OP5_SQL, op5_curriculum_mix
 from codeloom.llm.packing import op4_online_packing
 from codeloom.llm.sharding import op7_histogram_sort
+from codeloom.llm.tiff import op1_tiff_pages
 from codeloom.llm.token_store import op3_token_store
 
 QUERIES = {
+    "op1_tiff_pages": op1_tiff_pages,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_store": op3_token_store,
     "op4_online_packing": op4_online_packing,
     "op5_curriculum_mix": op5_curriculum_mix,
+    "op8_prefix_forest": op8_prefix_forest,
     "op10_language_id": op10_language_id,
     "op7_histogram_sort": op7_histogram_sort,
 }

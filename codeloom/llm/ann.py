@@ -70,7 +70,7 @@ def nearest_in(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
     unit = vectors / norms[:, None]
     qn = np.sqrt((queries * queries).sum(axis=1))
     trees = Forest(unit, **forest)
-    least = int(np.ceil(share * len(ids) * len(trees.order)))
+    least = max(20 * len(trees.order), int(np.ceil(share * len(ids) * len(trees.order))))  # some rows a tree at least
     out = []
     for i, found in enumerate(trees.candidates(queries / qn[:, None], least)):
         found = found[ids[found] != query_ids[i]]

@@ -4,6 +4,7 @@ from codeloom.llm.ann import op8_prefix_forest
 from codeloom.llm.language_id import op10_language_id
 from codeloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from codeloom.llm.mixing import OP5_SQL, op5_curriculum_mix
+from codeloom.llm.ngram_join import op9_ngram_components
 from codeloom.llm.packing import op4_online_packing
 from codeloom.llm.sharding import op7_histogram_sort
 from codeloom.llm.tiff import op1_tiff_pages
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_online_packing": op4_online_packing,
     "op5_curriculum_mix": op5_curriculum_mix,
     "op8_prefix_forest": op8_prefix_forest,
+    "op9_ngram_components": op9_ngram_components,
     "op10_language_id": op10_language_id,
     "op7_histogram_sort": op7_histogram_sort,
 }

@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFram
     upto = full.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     on = full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     s = s.withColumn("level", (F.sum("source_size").over(Window.partitionBy()) - (F.sum("limit").over(upto) - F.col("limit"))) / F.sum("weight").over(on))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(Window.partitionBy()))
+    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(Window.partitionBy()))
     goal = F.coalesce(F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")), F.col("limit").cast("double"))
     return s.select("source", "source_size", goal.alias("target"), "turn")
 
@@ -115,7 +115,7 @@ w AS (SELECT *, source_size * 3 AS lim, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][
         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT AS turn FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - (sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - lim))::DOUBLE
         / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
-m AS (SELECT *, min(CASE WHEN lev * weight <= lim THEN lev END) OVER () AS level FROM l),
+m AS (SELECT *, max(CASE WHEN lev * weight <= lim THEN lev END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, turn, coalesce(least(lim::DOUBLE, level * weight), lim::DOUBLE) AS target FROM m),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.turn, round(t.target)::BIGINT AS wanted,
         (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS bef

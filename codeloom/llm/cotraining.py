@@ -29,11 +29,12 @@ SIGNS = b"!|%$&*#@<>{}=_~^.,?;:-/\\()[]'\"\n"
 class Setting:
     """`labelled` bounds the labelled rows that fitting and calibration use: the first ones by a hash of doc_id."""
 
-    labelled: int = 6_000
+    labelled: int = 20_000
     rounds: int = 3
     exchanged: int = 200  # pseudo-labels of each class that a view hands over in a round
     confident: float = 0.9
     seen: int = 3  # a text feature counts once so many training documents have it
+    evidence: float = 3.0  # ... and its share in the two classes differs by so many standard errors
 
 
 class _Ids(dict):
@@ -101,21 +102,26 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(packed: list[bytes], y: np.ndarray, size: int, seen: int, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Logistic regression over binary features, ridge penalty, full gradients (Adam): the same rows give the same model."""
+def fit(packed: list[bytes], y: np.ndarray, size: int, seen: int, evidence: float, steps: int = 250) -> tuple[np.ndarray, float]:
+    """Logistic regression over the binary features whose classes differ by evidence; full gradients (Adam), so that the
+    same rows give the same model."""
     ids, starts = _rows(packed)
-    w, b = np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    often = np.bincount(ids, minlength=size) >= seen
     row = np.repeat(np.arange(len(y)), np.diff(starts))
-    keep = often[ids]
+    n, positive = len(y), y.sum()
+    count, in_positive = np.bincount(ids, minlength=size), np.bincount(ids, y[row], size)
+    share = count / n
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / (n - positive)))
+    used = (count >= seen) & (np.abs(in_positive / positive - (count - in_positive) / (n - positive)) >= evidence * error)
+    keep = used[ids]
     ids, row = ids[keep], row[keep]
+    w, b = np.zeros(size), float(np.log((positive + 1) / (n - positive + 1)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        p = sigmoid(np.bincount(row, w[ids], len(y)) + b)
-        g = np.append(np.bincount(ids, (p - y)[row], size) / len(y) + 1e-4 * w, (p - y).mean())
+        p = sigmoid(np.bincount(row, w[ids], n) + b)
+        g = np.append(np.bincount(ids, (p - y)[row], size) / n + 1e-5 * w, (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, b = np.where(often, w - move[:-1], 0.0), b - move[-1]
+        w, b = np.where(used, w - move[:-1], 0.0), b - move[-1]
     return w, b
 
 
@@ -143,8 +149,8 @@ class Model:
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(np.column_stack(z) @ self.mix[:2] + self.mix[2])
 
 
-def _train(sets: list[tuple[list[bytes], np.ndarray]], held: tuple[list[bytes], list[bytes]], y: np.ndarray, seen: int) -> Model:
-    views = [fit(packed, labels, size, least) for (packed, labels), size, least in zip(sets, (TEXT_SIZE, META_SIZE), (seen, 1), strict=True)]
+def _train(sets: list[tuple[list[bytes], np.ndarray]], held: tuple[list[bytes], list[bytes]], y: np.ndarray, setting: Setting) -> Model:
+    views = [fit(packed, labels, size, setting.seen, setting.evidence) for (packed, labels), size in zip(sets, (TEXT_SIZE, META_SIZE), strict=True)]
     z = [margins(x, *v) for x, v in zip(held, views, strict=True)]
     platt = [calibrate(m[:, None], y) for m in z]
     mix = calibrate(np.column_stack([p[0] * m + p[1] for p, m in zip(platt, z, strict=True)]), y)
@@ -164,7 +170,7 @@ def co_train(table: DataFrame, label: Column, setting: Setting = Setting()) -> M
         return None
     sets = [([bytes(r[c]) for r in train], y) for c in ("text_ids", "meta_ids")]
     held_ids = tuple([bytes(r[c]) for r in held] for c in ("text_ids", "meta_ids"))
-    model = _train(sets, held_ids, y_held, setting.seen)
+    model = _train(sets, held_ids, y_held, setting)
     free, taken = table.where(label.isNull()), set()
     for _ in range(setting.rounds):
         scored = score(free.withColumn("k", F.xxhash64("doc_id", F.lit(7))), {"p": model})
@@ -185,7 +191,7 @@ def co_train(table: DataFrame, label: Column, setting: Setting = Setting()) -> M
                 new += len(mine)
         if not new:
             break
-        model = _train(sets, held_ids, y_held, setting.seen)
+        model = _train(sets, held_ids, y_held, setting)
     return model
 
 

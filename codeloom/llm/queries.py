@@ -1,6 +1,7 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
 from codeloom.llm.ann import op8_prefix_forest
+from codeloom.llm.cotraining import op6_cotraining_quality
 from codeloom.llm.language_id import op10_language_id
 from codeloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from codeloom.llm.mixing import OP5_SQL, op5_curriculum_mix
@@ -19,6 +20,7 @@ QUERIES = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_ngram_components": op9_ngram_components,
     "op10_language_id": op10_language_id,
+    "op6_cotraining_quality": op6_cotraining_quality,
     "op7_histogram_sort": op7_histogram_sort,
 }
 

@@ -38,11 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written below the shared folder: they cut lineage and outlive lost executors."""
 
-    live: list[Scratch] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        Scratch.live.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -67,17 +64,6 @@ class Scratch:
         for p in paths:
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
-        if not tables and self in Scratch.live:
-            Scratch.live.remove(self)
-
-    @classmethod
-    def release(cls) -> None:
-        """Deletes what finished queries left; call it only when no result that reads them is still to be computed."""
-        for x in list(cls.live):
-            try:
-                x.drop()
-            except Exception:  # noqa: BLE001 - a session that has ended took its gateway with it
-                cls.live.remove(x)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -32,7 +32,7 @@ class Setting:
     labelled: int = 20_000
     rounds: int = 3
     exchanged: int = 200  # pseudo-labels of each class that a view hands over in a round
-    confident: float = 0.9
+    confident: float = 0.9  # least probability of a pseudo-label, whose error must also be a quarter of a blind guess's
     seen: int = 3  # a text feature counts once so many training documents have it
     evidence: float = 3.0  # ... and its share in the two classes differs by so many standard errors
 
@@ -178,7 +178,8 @@ def co_train(table: DataFrame, label: Column, setting: Setting = Setting()) -> M
         for view in ("p_text", "p_meta"):
             for sign in (1, 0):
                 sure = F.col(view) if sign else 1 - F.col(view)
-                top = scored.where(sure >= setting.confident).orderBy(sure.desc(), "k", "doc_id").limit(setting.exchanged + len(taken))
+                blind = 1 - (y.mean() if sign else 1 - y.mean())
+                top = scored.where(sure >= max(setting.confident, 1 - blind / 4)).orderBy(sure.desc(), "k", "doc_id").limit(setting.exchanged + len(taken))
                 picks.append(top.select(F.lit(view).alias("view"), F.lit(float(sign)).alias("y"), "doc_id", "text_ids", "meta_ids"))
         got = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]).collect()
         new = 0

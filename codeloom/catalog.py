@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.plans import registry
 
-PLANS = ("store",)
+PLANS = ("store", "search", "metrics")
 
 
 def _load() -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.plans import registry
 
-PLANS = ("store", "search", "metrics", "imports")
+PLANS = ("store", "search", "metrics", "imports", "events", "signals", "chunking")
 
 
 def _load() -> None:

@@ -40,7 +40,7 @@ def identifier_style(name: Column) -> Column:
 
 def whole_word(text: Column, token: Column) -> Column:
     """token stands in text with no letter, digit or underscore beside it; token is a plain identifier column."""
-    return text.rlike(F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), token, F.lit(r"([^A-Za-z0-9_]|\z)")))
+    return F.regexp_like(text, F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), token, F.lit(r"([^A-Za-z0-9_]|\z)")))
 
 
 def minutes(m: Column) -> Column:

@@ -1,0 +1,80 @@
+"""Change-review signals over diff lines: pure joins and gates, no models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from codeloom.functions.columns import whole_word
+
+#: Words that are no identifiers worth following.
+KEYWORDS = ("the", "and", "def", "class", "return", "import", "from", "for", "with", "self", "this", "null", "true", "false", "none", "const", "let", "var", "function")
+
+
+def diff_lines(patches: DataFrame) -> DataFrame:
+    """file, line (new side), sign (+, -, space), text from (file, patch) in unified format.
+
+    One generator and one window per file: the new-side number is the hunk's start plus the added and context lines so far."""
+    lines = patches.select("file", F.posexplode(F.split("patch", "\n")).alias("at", "text"))
+    start = F.regexp_extract("text", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
+    order = Window.partitionBy("file").orderBy("at")
+    lines = lines.withColumn("hunk", F.sum(F.when(start != "", 1).otherwise(0)).over(order)).withColumn("start", F.when(start != "", start.cast("int")))
+    inside = Window.partitionBy("file", "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when((F.col("start").isNull()) & (F.substring("text", 1, 1) != "-"), 1).otherwise(0)
+    n = F.first("start", ignorenulls=True).over(inside) + F.sum(step).over(inside) - 1
+    out = lines.withColumn("line", n).where(F.col("start").isNull() & (F.col("hunk") > 0) & (F.col("text") != "\\ No newline at end of file"))
+    sign = F.when(F.substring("text", 1, 1).isin("+", "-"), F.substring("text", 1, 1)).otherwise(" ")
+    return out.select("file", F.when(sign != "-", F.col("line")).alias("line"), sign.alias("sign"), F.substring("text", 2, 1 << 30).alias("text"))
+
+
+def touched_chunks(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks (file, start_line, end_line) that a touched line falls into: a range join through line buckets."""
+    width = 75
+    c = chunks.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))))
+    t = lines.where("sign <> '-'").select("file", "line").distinct().withColumn("bucket", F.floor(F.col("line") / width))
+    return c.join(t, ["file", "bucket"]).where("line BETWEEN start_line AND end_line").select(*chunks.columns).distinct()
+
+
+def rename_swaps(removed: DataFrame, added: DataFrame, least_count: int = 5, least_files: int = 3) -> DataFrame:
+    """from, to, occurrences, files: line pairs (file, k) that differ in one identifier, always the same for the same one."""
+    words = lambda c: F.split(c, r"[^A-Za-z0-9_]+")
+    pairs = removed.select("file", "k", words(F.col("text")).alias("a")).join(added.select("file", "k", words(F.col("text")).alias("b")), ["file", "k"])
+    zipped = F.filter(F.arrays_zip("a", "b"), lambda z: z["a"] != z["b"])
+    pairs = pairs.where(F.size("a") == F.size("b")).withColumn("d", F.array_distinct(zipped)).where(F.size("d") == 1)
+    swap = pairs.select("file", F.col("d")[0]["a"].alias("from"), F.col("d")[0]["b"].alias("to"))
+    ok = (F.length("from") > 2) & (F.length("to") > 2) & ~F.lower("from").isin(*KEYWORDS)
+    g = swap.where(ok).groupBy("from", "to").agg(F.count("*").alias("occurrences"), F.countDistinct("file").alias("files"))
+    one = F.count("*").over(Window.partitionBy("from")) == 1
+    return g.where((F.col("occurrences") >= least_count) & (F.col("files") >= least_files)).withColumn("one", one).where("one").drop("one")
+
+
+def survivors(tokens: DataFrame, chunks: DataFrame, changed: DataFrame, per_token: int = 5) -> DataFrame:
+    """token, file, start_line: chunks outside the changed files that still name a token, the first few of each.
+
+    An equi-join on words finds them; the word test confirms."""
+    words = chunks.join(changed, "file", "left_anti").select("file", "start_line", "content", F.explode(F.array_distinct(F.split("content", r"[^A-Za-z0-9_]+"))).alias("token"))
+    hit = words.join(tokens.select("token").distinct(), "token").where(whole_word(F.col("content"), F.col("token")))
+    w = Window.partitionBy("token").orderBy("file", "start_line")
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_token).select("token", "file", "start_line")
+
+
+def stale_literals(touched: DataFrame, literals: DataFrame, areas: int = 3) -> DataFrame:
+    """literal, file for touched literals that stand elsewhere too, unless they are everywhere (`areas` folders or more)."""
+    other = literals.join(touched.select("literal").distinct(), "literal").join(touched.select("literal", "file"), ["literal", "file"], "left_anti")
+    wide = other.groupBy("literal").agg(F.countDistinct("area").alias("n")).where(F.col("n") < areas).select("literal")
+    return other.join(wide, "literal").select("literal", "file").distinct()
+
+
+def unmirrored(added: DataFrame, family: DataFrame, least: int = 2) -> DataFrame:
+    """family, token: calls that at least max(2, half) of the untouched siblings share but the changed file lacks."""
+    shared = family.where("NOT changed").groupBy("family", "token").agg(F.countDistinct("file").alias("n"))
+    size = family.where("NOT changed").groupBy("family").agg(F.countDistinct("file").alias("siblings")).where(F.col("siblings") >= least)
+    gate = shared.join(size, "family").where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("siblings") / 2)))
+    return gate.join(added.select("family", "token").distinct(), ["family", "token"], "left_anti").select("family", "token", "n", "siblings")
+
+
+def cited(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings stay unless they quote spans and none of them stands in the file; without spans or file they stay."""
+    j = findings.join(files, "file", "left")
+    found = F.exists("spans", lambda s: F.col("content").contains(s))
+    return j.where((F.size("spans") == 0) | F.col("content").isNull() | found).select(*findings.columns)

@@ -1 +1 @@
-
+"""Incremental indexing and ledgers on Structured Streaming."""

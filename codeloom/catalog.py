@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["a6_full_scan"](spark, sf_dir)
+    """Documents to line windows to terms to BM25 for a benchmark passage, with relative scores and ranks."""
+    return queries()["i3_bm25_search"](spark, sf_dir)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from codeloom.llm.common import Scratch
+from codeloom.llm.common import Scratch, enter, worker_cache
 
 #: Feature ids of the text view: words below WORDS, binned shares of characters and shape above.
 TEXT_SIZE, WORDS, META_SIZE = 1 << 16, 60_000, 1 << 14
@@ -46,6 +46,7 @@ class _Ids(dict):
 
 
 _ids = _Ids()
+worker_cache("quality", _ids.clear)
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -74,6 +75,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_ids, meta_ids (unsigned 16-bit ids) from doc_id, text, source, lang, n_chars; one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
@@ -89,7 +91,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
 def _rows(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All feature ids and where each row's begin."""
     sizes = np.array([len(p) // 2 for p in packed], np.int64)
-    return np.frombuffer(b"".join(packed), np.uint16).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+    return np.frombuffer(b"".join(packed), np.uint16).astype(np.int32), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def margins(packed: list[bytes], w: np.ndarray, b: float) -> np.ndarray:
@@ -106,7 +108,7 @@ def fit(packed: list[bytes], y: np.ndarray, size: int, seen: int, evidence: floa
     """Logistic regression over the binary features whose classes differ by evidence; full gradients (Adam), so that the
     same rows give the same model."""
     ids, starts = _rows(packed)
-    row = np.repeat(np.arange(len(y)), np.diff(starts))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
     n, positive = len(y), y.sum()
     count, in_positive = np.bincount(ids, minlength=size), np.bincount(ids, y[row], size)
     share = count / n
@@ -163,7 +165,11 @@ def co_train(table: DataFrame, label: Column, setting: Setting = Setting()) -> M
     The driver holds `labelled` rows and what the views exchange (4 * exchanged rows a round); every round scores all
     unlabelled rows of the table on the executors."""
     ordered = [F.xxhash64("doc_id", F.lit(6)), F.col("doc_id"), F.col("text_ids"), F.col("meta_ids")]
-    rows = table.withColumn("y", label).where("y IS NOT NULL").orderBy(*ordered).limit(setting.labelled).select("y", "text_ids", "meta_ids").collect()
+    known = table.withColumn("y", label).where("y IS NOT NULL")
+    # The first rows by that hash lie in its lowest part; no partition sends more of them than twice its share.
+    part = min(1.0, 2 * setting.labelled / max(1, known.count()))
+    low = F.xxhash64("doc_id", F.lit(6)) <= F.lit(int(part * 2**64) - 2**63 - 1)
+    rows = (known.where(low) if part < 1 else known).orderBy(*ordered).limit(setting.labelled).select("y", "text_ids", "meta_ids").collect()
     train, held = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
     y, y_held = (np.array([float(r["y"]) for r in x]) for x in (train, held))
     if min(y.sum(), len(y) - y.sum(), y_held.sum(), len(y_held) - y_held.sum()) < 2:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Names a cache that Python workers keep between tasks of one operator."""
+    _caches[owner] = clear
+
+
+def enter(owner: str) -> None:
+    """Called when a worker starts a task: Spark reuses workers, so what other operators cached there goes, and freed
+    memory goes back to the system."""
+    for other, clear in _caches.items():
+        if other != owner:
+            clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

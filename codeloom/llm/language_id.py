@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch
+from codeloom.llm.common import enter
 
 DIMENSIONS = 512
 _GAP = 32  # stands for every run of characters that aren't letters
@@ -68,11 +68,11 @@ def bind(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(texts: list[str | None], most: int = 48) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def _blocks(texts: pa.Array, most: int = 48) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(row numbers, dense counts of those rows over their trigrams, the trigrams' vectors), a few documents at a time."""
     rows, found = [], []
     for i, text in enumerate(texts):
-        if (t := trigrams(text)) is not None:
+        if (t := trigrams(text.as_py())) is not None:
             rows.append(i)
             found.append(t)
         if len(rows) == most or (rows and i + 1 == len(texts)):
@@ -90,6 +90,7 @@ def fit(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
     per language."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
@@ -121,8 +122,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     schema = docs.select(*docs.columns).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language")
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(place)
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             if unit is not None:
                 for rows, counts, vectors in _blocks(texts):

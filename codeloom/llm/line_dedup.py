@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, partitions
+from codeloom.llm.common import Scratch, enter, partitions
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _NONE = -(1 << 63)
@@ -34,10 +34,11 @@ def line_key(line: bytes, least: int) -> bytes | None:
 
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("lines")
         names = ["doc", "at", "hi", "lo", "n_lines"]
         for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
-                some = batch.slice(part, 2000)
+            for part in range(0, batch.num_rows, 500):
+                some = batch.slice(part, 500)
                 docs, ats, hashes, totals = [], [], [], []
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")

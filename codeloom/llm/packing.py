@@ -103,9 +103,9 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, spa
         def windows():
             held = Windows(size, open_windows, least_fragment)
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(texts), 500):
-                    for doc, raw in zip(ids[at : at + 500], enc.batch(texts[at : at + 500]), strict=True):
+                for at in range(0, batch.num_rows, 500):
+                    ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                    for doc, raw in zip(ids, enc.batch(texts), strict=True):
                         tokens = np.frombuffer(raw + end, "<u4")
                         for w in held.place(doc, 0, tokens, len(tokens)):
                             yield w, False

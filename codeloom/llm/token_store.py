@@ -115,15 +115,15 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, s
         enc, sent = encoder(tokenizer, spaces), set()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
+            for at in range(0, batch.num_rows, 500):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
                 rows = {k: [] for k in ("kind", "key", "doc_id", "n", "data")}
 
                 def add(kind, key, doc, n, data, rows=rows):
                     for k, v in zip(rows, (kind, key, doc, n, data), strict=True):
                         rows[k].append(v)
 
-                for doc, raw in zip(ids[at : at + 500], enc.batch(texts[at : at + 500]), strict=True):
+                for doc, raw in zip(ids, enc.batch(texts), strict=True):
                     tokens = np.frombuffer(raw + end, "<u4")
                     small, hashes, a = tokens.astype(store), [], 0
                     for b in rolling_cuts(tokens):

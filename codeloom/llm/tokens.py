@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from codeloom.llm.common import enter, worker_cache
+
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"  # without U+0130, whose lower case is two characters
 _DIGIT = "0-9"
 _SIGN = r"!-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‹›€"
@@ -80,10 +82,12 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+worker_cache("tokens", _encoders.clear)
 
 
 def encoder(path: str, spaces: bool) -> Encoder:
-    """One per worker process."""
+    """One per worker process; called at the start of a task."""
+    enter("tokens")
     if (path, spaces) not in _encoders:
         _encoders[path, spaces] = Encoder(path, spaces)
     return _encoders[path, spaces]

@@ -20,7 +20,8 @@ def test_stages_keep_the_columns(spark, sf_dir, docs):
             shared = at.where("text like '%This very line%'").count()
             assert shared == 1
         if name == "ngram_join":
-            assert len(ids & set(range(70, 82))) <= 1
+            # Line dedup has emptied all copies but one, which links with the near copies; empty texts link with nothing.
+            assert at.where("(doc_id between 70 and 81 or doc_id < 60 and doc_id % 10 = 3) and text <> ''").count() == 1
     assert corpus_pipeline.STAGES[-1][1](spark, at, sf_dir).count() > 0
 
 

@@ -1,19 +1,22 @@
 """Jaccard self-join of word n-gram sets with prefix trees, to connected components.
 
 One global order holds everywhere: frequent shingles last, ties by hash. Two sets that link share one of the first
-n - ceil(t * n) + 1 shingles of each (the prefix), so only documents that share a prefix shingle meet. Sets that meet go into
+p(n) = n - ceil(t * n) + 1 shingles of each (the prefix), and l of the first p(n) - 1 + l. So a document takes part only if at
+least p(ceil(t * n)) of its first 2 * p(n) - 1 shingles are found in other documents, which chance alone hardly brings about,
+and only documents that share a prefix shingle meet. Sets that meet go into
 a trie in the reverse order, frequent shingles first, where similar sets share their upper path; a probe walks the trie
 once for all of them, counts the overlap as it goes, and leaves a subtree as soon as what remains on either side can no
 longer make a link, or when the whole subtree is already in the probe's component.
 
 Components are all that is asked for, so work is spent only between components: (1) each set meets others in its most
-shared prefix shingle alone, in blocks; (2) a few delegates of each component meet wherever components still share a
-prefix shingle; (3) whatever shingle still has several components gets the exact treatment, all members, block by block
-where it is frequent. Nothing is skipped that could be a link between two components.
+shared prefix shingle alone, in blocks; what may still link across components is then gathered, closed under shared prefix shingles
+and near sizes; (2) in a large gathering a few delegates of each component meet; (3) all members of a gathering meet those
+of its other components, block by block where it is large. Nothing is skipped that could be a link between two components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,25 +25,28 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch
+from codeloom.llm.common import Scratch, enter, worker_cache
 
 #: A shingle in more than one of so many documents counts as frequent; at most FREQUENT * (mean set size) shingles are.
 FREQUENT = 512
 #: Sets that one group holds; more of them meet block against block.
 BLOCK = 256
+#: A shingle of at most so many documents names its pairs.
+FEW = 8
 _EMPTY = np.zeros(0, np.uint64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
 
 _words = _Words()
+worker_cache("ngrams", _words.clear)
 
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
@@ -74,6 +80,7 @@ def _scan(width: int):
     """kind 0: a document with the size and signature of its set. kind 1: a shingle that is frequent in a block of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngrams")
         seen, block = set(), []
 
         def batch_of(kind, a, n, s1, s2):
@@ -88,8 +95,8 @@ def _scan(width: int):
 
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, width)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(text.as_py(), width)
                 sign = _sign(s)
                 rows.append((doc, len(s), *sign))
                 if len(s) and sign not in seen:
@@ -126,27 +133,29 @@ class Order:
 
 def _prefixes(width: int, percent: int, order: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngrams")
         seen = set()
         for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
-                tokens, signs, sizes = [], [], []
-                for text in batch.column(0).slice(part, 2000).to_pylist():
+            for part in range(0, batch.num_rows, 500):
+                tokens, signs, sizes, cores = [], [], [], []
+                for text in batch.column(0).slice(part, 500).to_pylist():
                     s = shingles(text, width)
                     if not len(s):
                         continue
                     sign = _sign(s)
                     if sign in seen:
                         continue
-                    if len(seen) > 400_000:
+                    if len(seen) > 150_000:
                         seen.clear()
                     seen.add(sign)
                     p = prefix_length(len(s), percent)
-                    tokens.append(s[order.sort(s)[:p]])
+                    tokens.append(s[order.sort(s)[: 2 * p - 1]])
                     signs.append((*sign, len(s)))
-                    sizes.append(p)
+                    sizes.append(len(tokens[-1]))
+                    cores.append(np.arange(len(tokens[-1])) < p)
                 if tokens:
                     wide = np.repeat(np.array(signs, np.int64), sizes, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(3))], names=["token", "s1", "s2", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(3)), pa.array(np.concatenate(cores))], names=["token", "s1", "s2", "n", "core"])
 
     return run
 
@@ -241,15 +250,15 @@ def link_group(sets: list[np.ndarray], components: list[int], sides: list[int],
         return find_component(components[i])
 
     trie, pairs = Trie(percent, find), []
-    two = len(set(sides)) > 1
+    left, two = min(sides), len(set(sides)) > 1
     for i in sorted(range(len(sets)), key=lambda i: (sides[i], len(sets[i]), i)):
-        if not two or sides[i] != sides[0]:
+        if not two or sides[i] != left:
             for j in trie.probe(own[i], i):
                 a, b = sorted((find(i), find(j)))
                 if a != b:
                     parent[b] = a
                     pairs.append((a, b))
-        if not two or sides[i] == sides[0]:
+        if not two or sides[i] == left:
             trie.insert(own[i], i)
     return pairs
 
@@ -294,19 +303,28 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
 
     of_token = Window.partitionBy("token")
     several = (F.min("s1").over(of_token) != F.max("s1").over(of_token)) | (F.min("s2").over(of_token) != F.max("s2").over(of_token))
-    prefixes = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(width, percent, order), "token long, s1 long, s2 long, n long")
-    shared = prefixes.withColumn("several", several).where("several").select("token", "s1", "s2", "n").distinct()
-    shared = scratch.table(shared.withColumn("df", F.count("*").over(of_token)).join(nodes.drop("n"), ["s1", "s2"]), "shared")
+    prefixes = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(width, percent, order), "token long, s1 long, s2 long, n long, core boolean")
+    least = F.expr(f"(({percent} * n + 99) DIV 100) - ({percent} * (({percent} * n + 99) DIV 100) + 99) DIV 100 + 1")
+
+    def in_company(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of shingles that several documents have, of documents with enough of them."""
+        rows = scratch.table(rows.withColumn("several", several).where("several").drop("several").distinct(), name)
+        enough = rows.groupBy("s1", "s2", "n").count().where(F.col("count") >= least).select("s1", "s2")
+        return rows.join(enough, ["s1", "s2"])
+
+    company = scratch.table(in_company(in_company(prefixes, "shared-1"), "shared-2").join(nodes.drop("n"), ["s1", "s2"]), "company")
+    shared = company.where("core").drop("core", "n").withColumn("several", several).where("several").drop("several")
+    shared = scratch.table(shared.withColumn("df", F.count("*").over(of_token)), "shared")
 
     # Sets of the documents that meet another one at all; everything else is done.
     chosen = shared.groupBy("node", "s1", "s2").agg(F.max(F.struct("df", "token")).alias("top")).select("node", "s1", "s2", F.col("top.df").alias("df"), F.col("top.token").alias("token"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngrams")
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                sets = [shingles(t, width) for t in texts[at : at + 500]]
+                sets = [shingles(t, width) for t in some.column(some.num_columns - 1).to_pylist()]
                 keep = pa.array([_sign(s) == (a, b) for s, a, b in zip(sets, some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*batch.schema.names[:-1], "shingles"]).filter(keep)
 
@@ -334,24 +352,67 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
     own = scratch.table(chosen.select("node").distinct().withColumn("component", F.col("node")), "own")
     current = relabel(own, linked(first.select("token", "block", "component", "side", "shingles"), "token", "block"), "round-1")
 
-    def open_rows() -> DataFrame:
-        """Rows of the prefix shingles that several components share; of shingles with the same members one stays."""
-        rows = shared.select("token", "node", "s1", "s2").join(current, "node")
-        rows = rows.withColumn("open", F.min("component").over(of_token) != F.max("component").over(of_token)).where("open").drop("open")
-        alike = rows.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-        one = alike.groupBy("df", "x", "y").agg(F.min("token").alias("token")).select("token", "df")
-        return rows.join(one, "token")
-
-    some = Window.partitionBy("token", "component").orderBy(F.xxhash64("node", "token"))
-    delegates = open_rows().withColumn("k", F.row_number().over(some)).where("k <= 3").select("token", "node", "s1", "s2", "component")
-    met = delegates.withColumn("df", F.count("*").over(of_token)).withColumn("block", deal).join(sets.select("node", "s1", "s2", "shingles"), ["node", "s1", "s2"])
-    current = relabel(current, linked(met.withColumn("side", F.lit(0)).select("token", "block", "component", "side", "shingles"), "token", "block"), "round-2")
-
-    rest = open_rows().withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int")).withColumn("side", deal)
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("token", "node", "s1", "s2", "component", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
-    met = rest.join(sets.select("node", "s1", "s2", "shingles"), ["node", "s1", "s2"])
-    current = relabel(current, linked(met.select("token", "left", "right", "component", "side", "shingles"), "token", "left", "right"), "round-3")
+    def gatherings() -> DataFrame:
+        """super, node, component, size: the documents that may still link across components, in closed gatherings.
+
+        Two documents may link only if their sizes lie within a class of each other and they share at least `least` of
+        their first shingles. Shingles of few documents name the pairs that share them, so those are counted exactly
+        (at most FEW - 1 for each row); shingles of many can add no more than either document has. Pairs that reach
+        `least`, and whoever could reach it through shingles of many alone, are joined up; each set then travels once."""
+        rows = company.join(current, "node").withColumn("own", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int")).withColumn("least", least)
+        rows = rows.select("token", "node", "component", "core", "own", "least")  # the exchanges below carry nothing else
+        rows = rows.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))  # a key of class c holds sizes of classes c - 1 and c
+        of_key = Window.partitionBy("token", "class")
+        unlike = F.min("component").over(of_key) != F.max("component").over(of_key)
+        rows = rows.withColumn("open", unlike).withColumn("df", F.count("*").over(of_key)).where("open").drop("open")
+        rows = scratch.table(rows, "open")
+        per_node = rows.groupBy("node").agg(F.countDistinct("token").alias("all"), F.countDistinct(F.when(F.col("df") > FEW, F.col("token"))).alias("many"), F.min("least").alias("least"))
+        per_node = scratch.table(per_node.where(F.col("all") >= F.col("least")).drop("all", "least"), "nodes-open")
+        rows = rows.join(per_node, "node")
+        one = F.struct("node", "component", "many", "least", "own")
+        small = rows.where(F.col("df") <= FEW).groupBy("token", "class").agg(F.array_sort(F.collect_list(one)).alias("x"))
+        pairs = F.flatten(F.transform("x", lambda p, i: F.transform(F.slice("x", i + 2, FEW), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+        pairs = small.select("class", F.explode(pairs).alias("pair")).select("class", "pair.p", "pair.q").where("p.component <> q.component AND greatest(p.own, q.own) = class")
+        pairs = pairs.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("p.many", "q.many")).alias("many"), F.max(F.greatest("p.least", "q.least")).alias("least"))
+        pairs = scratch.table(pairs, "pairs-open")
+        best = pairs.select(F.col("a").alias("node"), "c").unionByName(pairs.select(F.col("b").alias("node"), "c")).groupBy("node").agg(F.max("c").alias("best"))
+        large = rows.where(F.col("core") & (F.col("df") > FEW)).join(best, "node", "left").where(F.col("many") + F.coalesce("best", F.lit(0)) >= F.col("least"))
+        large = large.withColumn("open", unlike).withColumn("hub", F.min("node").over(of_key)).where("open")
+        stars = large.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        edges = scratch.table(pairs.where(F.col("c") + F.col("many") >= F.col("least")).select("a", "b").unionByName(stars), "edges-open")
+        labels = connected(edges, scratch)
+        touched = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        labels = touched.withColumn("label", F.col("node")) if labels is None else labels
+        members = rows.select("node", "component").distinct().join(labels.withColumnRenamed("label", "super"), "node")
+        return scratch.table(members.withColumn("size", F.count("*").over(Window.partitionBy("super"))), "gatherings")
+
+    with_sets = sets.select("node", "shingles")
+    gathered = gatherings()
+    if gathered.where(F.col("size") > BLOCK).take(1):  # a few members of each component meet first, which settles most of a large one
+        some = Window.partitionBy("super", "component").orderBy(F.xxhash64("node"), "node")
+        few = gathered.where(F.col("size") > BLOCK).withColumn("k", F.row_number().over(some)).where("k <= 3")
+        few = few.withColumn("df", F.count("*").over(Window.partitionBy("super"))).withColumn("block", deal).withColumn("side", F.lit(0))
+        met = few.join(with_sets, "node")
+        current = relabel(current, linked(met.select("super", "block", "component", "side", "shingles"), "super", "block"), "round-2")
+        # Gatherings stay closed; only the components in them are fewer now.
+        again = gathered.drop("component", "size").join(current, "node").withColumn("size", F.count("*").over(Window.partitionBy("super")))
+        several_left = F.min("component").over(Window.partitionBy("super")) != F.max("component").over(Window.partitionBy("super"))
+        gathered = scratch.table(again.withColumn("open", several_left).where("open").drop("open"), "gatherings")
+
+    # All pairs of different components of a gathering meet: blocks of the largest component with blocks of the others.
+    sizes = gathered.groupBy("super", "component").count()
+    most = sizes.groupBy("super").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("size"))
+    most = most.select("super", F.when(F.col("size") > BLOCK, F.col("m.component")).alias("main"), F.when(F.col("size") > BLOCK, F.col("m.count")).otherwise(0).alias("n_main"), F.col("size").alias("n_all"))
+    rest = gathered.drop("size").join(most, "super").withColumn("of_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    blocks = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
+    main_blocks = F.ceil(F.col("n_main") / BLOCK).cast("int")
+    rest = rest.withColumn("blocks", blocks).withColumn("main_blocks", main_blocks)
+    side = F.when(F.col("of_main"), F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("main_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
+    partners = F.when(F.col("of_main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("blocks") + F.col("main_blocks") - 1))
+    rest = rest.withColumn("side", side).withColumn("other", F.explode(partners))
+    rest = rest.select("super", "node", "component", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
+    met = rest.join(with_sets, "node")
+    current = relabel(current, linked(met.select("super", "left", "right", "component", "side", "shingles"), "super", "left", "right"), "round-3")
 
     found = scratch.table(nodes.join(current, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component")), "found")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
@@ -360,3 +421,14 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
 
 def op9_ngram_components(spark, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), Scratch(spark, "ngrams"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.reach)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(reach) FROM r WHERE r.node = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from codeloom.llm.cotraining import op6_cotraining_quality
 from codeloom.llm.language_id import op10_language_id
 from codeloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from codeloom.llm.mixing import OP5_SQL, op5_curriculum_mix
-from codeloom.llm.ngram_join import op9_ngram_components
+from codeloom.llm.ngram_join import OP9_SQL, op9_ngram_components
 from codeloom.llm.packing import op4_online_packing
 from codeloom.llm.sharding import op7_histogram_sort
 from codeloom.llm.tiff import op1_tiff_pages
@@ -24,4 +24,4 @@ QUERIES = {
     "op7_histogram_sort": op7_histogram_sort,
 }
 
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op5_curriculum_mix": OP5_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op9_ngram_components": OP9_SQL, "op5_curriculum_mix": OP5_SQL}

@@ -18,6 +18,8 @@ from codeloom.llm.common import Scratch, text_or_empty
 
 #: A text of at least so many letters that is this unlike every known language is rejected.
 LETTERS, LEAST_SCORE = 200, 0.2
+#: Near copies: a Jaccard similarity of so many percent between sets of word n-grams of this width.
+WIDTH, PERCENT = 5, 80
 _scratch: list[Scratch] = []
 
 
@@ -65,7 +67,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id stays; documents without doc_id stay."""
-    found = ngram_join.components(docs.select("doc_id", "text"), _own(spark, "ngrams"))
+    found = ngram_join.components(docs.select("doc_id", "text"), _own(spark, "ngrams"), WIDTH, PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -29,3 +29,36 @@ def test_run_and_empty(spark, sf_dir, empty, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_near_duplicates(rows, width=5, percent=80):
+    """Ids that stay: all pairs are compared, linked documents are joined, the smallest doc_id of each component stays."""
+    sets = {}
+    for doc, text in rows:
+        w = text.lower().split()
+        sets[doc] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    label = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if c == high else c for d, c in label.items()}
+    return {d for d, c in label.items() if d == c}
+
+
+def test_near_copies_from_four_fifths_go(spark, sf_dir):
+    """Similarities of 0.8 to 0.9 on five words, and a copy just below 0.8 that stays."""
+    rows = []
+    for case in range(6):
+        base = [f"w{case}x{i}" for i in range(200)]
+        changed = {0: 4, 1: 5}.get(case)
+        if changed:
+            copy = [f"other{case}x{i}" if i % 40 == 20 and i // 40 < changed else x for i, x in enumerate(base)]
+        else:
+            copy = base + [f"more{case}x{i}" for i in range({2: 30, 3: 45, 4: 49, 5: 50}[case])]
+        rows += [(2 * case, " ".join(base)), (2 * case + 1, " ".join(copy))]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    got = {r["doc_id"] for r in got.collect()}
+    assert got == plain_near_duplicates(rows)
+    assert {1, 5, 7, 9} & got == set() and {3, 11} <= got

@@ -73,15 +73,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes, in training order; where a source's target ends within a copy, so does its text."""
+    """One row per copy that the mix takes, in training order; the copy within which a source's target ends is taken whole,
+    so a source may be above its target by less than one document."""
     scratch = _own(spark, "mix")
     rows = docs.select(F.col("doc_id"), F.col("source"), mixing.word_count(text_or_empty()).alias("size"), F.struct(*docs.columns).alias("row"))
-    copies = mixing.curriculum(rows, scratch).select("row", "doc_id", "size", F.explode("copies").alias("taken"))
-    copies = copies.select("row", "doc_id", "size", "taken.copy", "taken.words", "taken.position")
-    words = F.filter(F.split(F.col("row")["text"], r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("row")["text"])
-    out = mixing.range_sorted(copies.withColumn("mixed_text", text))
-    return _with_length(out.select(*(F.col("mixed_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns)))
+    copies = mixing.curriculum(rows, scratch).select("row", "doc_id", F.explode("copies").alias("taken"))
+    out = mixing.range_sorted(copies.select("row", "doc_id", "taken.copy", "taken.position"))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

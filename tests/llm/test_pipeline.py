@@ -1,5 +1,9 @@
 """The pipeline over the awkward table."""
 
+import hashlib
+import re
+from collections import Counter, defaultdict
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -62,3 +66,29 @@ def test_near_copies_from_four_fifths_go(spark, sf_dir):
     got = {r["doc_id"] for r in got.collect()}
     assert got == plain_near_duplicates(rows)
     assert {1, 5, 7, 9} & got == set() and {3, 11} <= got
+
+
+def plain_mix(rows, targets):
+    """Rows (doc_id, text, source) as often as the mix takes them: whole, while the words before a copy are below the target."""
+    sources, out = defaultdict(list), Counter()
+    for r in rows:
+        sources[r[2]].append((hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")), r))
+    for source, docs in sources.items():
+        at, whole = 0, sum(size for _, size, _ in docs)
+        for _, size, r in sorted(docs, key=lambda x: x[:2]):
+            out[r] += sum(size > 0 and k * whole + at < round(targets[source]) for k in range(3))
+            at += size
+    return +out
+
+
+def test_mix_takes_whole_documents(spark, sf_dir, docs, rows):
+    from codeloom.llm import mixing
+
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    goals = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = plain_mix([(r[0], r[1], r[3]) for r in rows], goals)
+    got = corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == want
+    assert any("\n" in r["text"] for r in got)

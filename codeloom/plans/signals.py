@@ -12,7 +12,7 @@ _HEAD = "@@ -1,3 +10,4 @@\n"
 
 
 def _patches(spark, d):
-    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 40)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     signed = F.transform(lines, lambda x, i: F.concat(F.when(i % 4 == 0, "+").when(i % 4 == 1, "-").otherwise(" "), x))
     return table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file"), F.concat(F.lit(_HEAD), F.array_join(signed, "\n")).alias("patch"))
 

@@ -72,8 +72,7 @@ r AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2) """
 
 def _reached(spark, d):
     e, files = _edges(spark, d)
-    seeds = files.where(F.regexp_extract("file", r"/m(\d+)\z", 1).cast("int") <= 20)
-    return graph.expand(seeds, e, 2)
+    return graph.expand(files, e, 2)
 
 
 @query("x3_dependents_by_hops", _EDGES + _BFS + "SELECT seed, node, hops FROM r")

@@ -56,3 +56,41 @@ def test_untrusted_input_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     want = sorted((f, n) for f, n, sign, text in plain_diff(rows) if sign == "+" and "of the" in text)
     assert sorted(rows_of(spark, "n12_untrusted_input", str(tmp_path))) == want and len(want) == 3
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("parts")
+    spark.createDataFrame([(k, f"Brand#{k % 5}", f"TYPE {k % 7}") for k in range(1, 81)], "p_partkey long, p_brand string, p_type string").write.parquet(f"{folder}/part.parquet")
+    # A specifier names part (7 * part + 13 * supplier) % 997 + 1; those from 81 on are no file.
+    spark.createDataFrame([(k, s) for k in range(1, 81) for s in range(1, 400) if (7 * k + 13 * s) % 997 < (80 if k > 70 else 20)], "l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def plain_hops(edges, files):
+    """seed -> {node: hops} by breadth-first search from every file over (importer, file) edges."""
+    importers = {}
+    for importer, file in edges:
+        importers.setdefault(file, set()).add(importer)
+    out = {}
+    for seed in files:
+        found, frontier = {seed: 0}, {seed}
+        for hops in (1, 2):
+            frontier = {n for f in frontier for n in importers.get(f, ())} - set(found)
+            found |= dict.fromkeys(frontier, hops)
+        out[seed] = {n: h for n, h in found.items() if h}
+    return out
+
+
+def test_hops_from_every_file(spark, parts):
+    files = {r[0] for r in rows_of(spark, "g1_dependent_counts", parts)}
+    want = plain_hops(rows_of(spark, "j1_import_edges", parts), files)
+    assert len(files) == 80 and sum(1 for f, x in want.items() if x and int(f.rsplit("/m", 1)[1]) > 20) > 20
+    assert sorted(rows_of(spark, "x3_dependents_by_hops", parts)) == sorted((s, n, h) for s, x in want.items() for n, h in x.items())
+    assert sorted(rows_of(spark, "x7_blast_radius", parts)) == sorted((s, len(x), max(x.values())) for s, x in want.items() if x)
+    capped = []
+    for s, x in want.items():
+        ranked = sorted((h, n) for n, h in x.items())
+        capped += [(s, n, h, len(x) > 30) for i, (h, n) in enumerate(ranked) if i < 30 or h == 1]
+    assert sorted(rows_of(spark, "x3_capped", parts)) == sorted(capped)
+    assert any(row[3] for row in capped) and any(not row[3] for row in capped)

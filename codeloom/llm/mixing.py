@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFram
 
 
 def curriculum(docs: DataFrame, scratch: Scratch, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
-    """docs (doc_id, source, size and any others) with source_size, target and `copies`, sorted by first position.
+    """docs (doc_id, source, size and any others) with source_size, target, `copies` and first_position, in no order.
 
     copies: array of (copy, words, position), one for each time that the mix takes the document; words is its size but for
     one document of each source, whose last copy ends where the source's target does. Within a source documents stand in
@@ -105,7 +105,9 @@ def op5_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(text_or_empty()).alias("size"))
     mixed = curriculum(scratch.table(docs, "sizes"), scratch)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "first_position")
+    rows = mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "first_position")
+    order = F.col("first_position").asc_nulls_last(), F.col("doc_id")
+    return rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
 
 
 OP5_SQL = r"""

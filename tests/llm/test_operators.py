@@ -155,6 +155,12 @@ def test_mixing(spark, sf_dir, rows):
     assert got == run(spark, sf_dir, "op5_curriculum_mix") or sorted(map(str, got)) == sorted(map(str, run(spark, sf_dir, "op5_curriculum_mix")))
 
 
+def test_mixing_ends_in_training_order(spark, sf_dir):
+    got = [r["first_position"] for r in run(spark, sf_dir, "op5_curriculum_mix")]
+    assert len(got) > 60 and None in got
+    assert got == sorted(got, key=lambda p: (p is None, p or 0))
+
+
 @pytest.mark.parametrize("sizes", [{"a": 1000, "b": 10, "c": 10}, {"a": 5, "b": 1000, "c": 3, "d": 1, None: 400}, {"a": 0, "b": 7}])
 def test_targets(spark, sizes):
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}

@@ -57,10 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written below the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written below the shared folder: they cut lineage and outlive lost executors.
+
+    What drop() hasn't deleted before, the driver's file system deletes when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -2,9 +2,11 @@
 
 Layout below one folder of the shared file system, all of it Parquet written by Spark:
 
-* ``chunks``: ``hash`` (sha256 of the bytes), ``ids`` (little-endian unsigned 16- or 32-bit ids), each hash once;
-* ``recipes``: ``doc_id, n_tokens, hashes`` (32 bytes for each chunk, in order), ``root`` (Merkle root);
-* ``manifest``: ``doc_id, part, start, n_tokens, root`` in ascending doc_id order.
+* ``objects/kind=chunks``: ``key`` (sha256 of the bytes), ``data`` (little-endian unsigned 16- or 32-bit ids), each key once;
+* ``recipes/part=K``: ``doc_id, start, n_tokens, root, hashes`` in ascending doc_id order, within a part and from part to
+  part; ``start`` counts the ids of all documents before, ``hashes`` has 32 bytes for each chunk, ``root`` is their Merkle root;
+* ``parts``: ``part, start, documents, n_tokens, root``, one row a part, its root over the rows of the part in their order;
+* ``top``: ``documents, n_tokens, root``, one row, its root over the roots of the parts.
 
 Cuts follow content: a gear hash rolls over the last 32 ids and a cut comes where its low bits are zero, so that shared
 passages make shared chunks wherever they stand. Verification reads every unique chunk once, checks its hash, and
@@ -14,11 +16,13 @@ rebuilds each document's checksum and length from those of its chunks (CRC-32 of
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +60,39 @@ def rolling_cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
-def merkle_root(hashes: list[bytes]) -> bytes:
-    """sha256 tree: leaves and inner nodes hash with different first bytes, an odd node moves up as it is."""
-    level = [hashlib.sha256(b"\0" + h).digest() for h in hashes] or [hashlib.sha256(b"\0").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+class Merkle:
+    """sha256 tree over leaves that come one by one: leaves and inner nodes hash with different first bytes, an odd node moves
+    up as it is. Holds one node for each height."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []  # (height, node), highest first
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.peaks and self.peaks[-1][0] == height:
+            node = hashlib.sha256(b"\1" + self.peaks.pop()[1] + node).digest()
+            height += 1
+        self.peaks.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"\0").digest()
+        node = self.peaks[-1][1]
+        for _, left in reversed(self.peaks[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+def merkle_root(leaves: Iterable[bytes]) -> bytes:
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
+
+
+def _leaf(doc: int | None, n: int, root: bytes) -> bytes:
+    """What a part's tree holds of a document."""
+    return struct.pack("<?qq", doc is not None, doc or 0, n) + root
 
 
 #: For each k, four tables of 256: what appending 2**k zero bytes makes of each byte of a CRC-32.
@@ -103,11 +134,12 @@ def crc_concat(parts: Iterable[tuple[int, int]]) -> int:
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, spaces: bool = False, width: int = 2) -> None:
-    """Writes the chunks and recipes of every whole text of docs (doc_id, text) below folder.
+    """Writes the chunks, recipes and manifests of every whole text of docs (doc_id, text) below folder.
 
-    One pass and one shuffle: a task sends a chunk once however often its documents repeat it, so that a chunk that a third
-    of all documents hold meets its reducer once for each task. A null text counts as empty; a null doc_id is kept as such;
-    repeated rows give a recipe each. `width` is the bytes of an id in the store (2 for vocabularies below 65,536).
+    One pass and one shuffle of the ids: a task sends a chunk once however often its documents repeat it, so that a chunk that
+    a third of all documents hold meets its reducer once for each task. Only recipes are then put in order. A null text counts
+    as empty; a null doc_id is kept as such and comes first; repeated rows give a recipe each, side by side; an empty table
+    gives no recipe. `width` is the bytes of an id in the store (2 for vocabularies below 65,536).
     """
     store = f"<u{width}"
 
@@ -154,14 +186,89 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, s
     deal = F.when(F.col("kind") == "chunks", F.hash("key")).otherwise(F.hash("key", "doc_id"))  # copies have one root but many recipes
     dealt = rows.repartition(partitions(docs), deal).sortWithinPartitions("kind", "key")
     dealt.mapInArrow(once, schema).write.option("compression", "snappy").partitionBy("kind").parquet(f"{folder}/objects")
+    _write_recipes(docs.sparkSession, folder, partitions(docs))
+
+
+_OBJECTS = "key binary, doc_id long, n long, data binary, kind string"
+_RECIPES = "doc_id long, start long, n_tokens long, root binary, hashes binary, part int"
+
+
+def _write_recipes(spark, folder: str, ranges: int) -> None:
+    """Recipes range-partitioned and sorted by doc_id, with their starts, and the manifests over them.
+
+    Each range sums up its ids and hashes its rows as they stream by; one row for each range sets where it starts."""
+    raw = spark.read.schema(_OBJECTS).parquet(f"{folder}/objects").where("kind = 'recipes'").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("hashes"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("root")
+    ranged = raw.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, rows, tree = 0, TaskContext.get().partitionId(), 0, Merkle()
+        for batch in batches:
+            inside = []
+            for doc, n, root in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                inside.append(at)
+                at, rows = at + n, rows + 1
+                tree.add(_leaf(doc, n, root))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside, pa.int64()), pa.array([part] * len(inside), pa.int32()), pa.nulls(len(inside), pa.int64())], names=names)
+        if rows:  # the summary of the range: its size in `inside`, its rows in `documents`
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tree.root()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([at], pa.int64()), pa.array([part], pa.int32()), pa.array([rows], pa.int64())], names=names)
+
+    schema = "doc_id long, n_tokens long, root binary, hashes binary, inside long, part int, documents long"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    ranged.mapInArrow(offsets, schema).write.option("compression", "snappy").parquet(f"{folder}/ranges")
+    rows = spark.read.schema(schema).parquet(f"{folder}/ranges")
+    ends = rows.where("documents IS NOT NULL")
+    begin = F.sum("inside").over(Window.orderBy("part")) - F.col("inside")  # over one row a range
+    ends.select("part", begin.alias("start"), "documents", F.col("inside").alias("n_tokens"), "root").coalesce(1).write.parquet(f"{folder}/parts")
+    parts = spark.read.schema("part int, start long, documents long, n_tokens long, root binary").parquet(f"{folder}/parts")
+    placed = rows.where("documents IS NULL").join(F.broadcast(parts.select("part", F.col("start").alias("begin"))), "part")
+    placed = placed.select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "root", "hashes", "part")
+    placed.repartition(ranges, "part").sortWithinPartitions("part", *order).write.option("compression", "snappy").partitionBy("part").parquet(f"{folder}/recipes")
+    of_parts = [(r["documents"], r["n_tokens"], bytes(r["root"])) for r in parts.orderBy("part").collect()]
+    top = (sum(r[0] for r in of_parts), sum(r[1] for r in of_parts), bytearray(merkle_root(r[2] for r in of_parts)))
+    spark.createDataFrame([top], "documents long, n_tokens long, root binary").coalesce(1).write.parquet(f"{folder}/top")
+
+
+def sound_parts(spark, folder: str) -> DataFrame:
+    """part, sound for each part: its stored rows, in order, have the root, the sizes and the start that the manifest holds,
+    and the roots of all parts have the top's. One small row for each part is compared on the driver."""
+    rows = spark.read.schema(_RECIPES).parquet(f"{folder}/recipes").select("part", "doc_id", "start", "n_tokens", "root")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tree, out = None, Merkle(), []
+        for batch in batches:
+            for p, doc, start, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    if part is not None:
+                        out.append((part, first, at, gapless, count, tree.root()))
+                    part, tree, first, at, gapless, count = p, Merkle(), start, start, True, 0
+                gapless, at, count = gapless and start == at, start + n, count + 1
+                tree.add(_leaf(doc, n, root))
+        if part is not None:
+            out.append((part, first, at, gapless, count, tree.root()))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["part", "first", "at", "gapless", "count", "found"])
+
+    order = F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("root")
+    found = rows.repartition(partitions(rows), "part").sortWithinPartitions(*order).mapInArrow(again, "part int, first long, at long, gapless boolean, count long, found binary")
+    parts = spark.read.schema("part int, start long, documents long, n_tokens long, root binary").parquet(f"{folder}/parts")
+    pairs = parts.join(found, "part", "left").orderBy("part").collect()
+    top, at, out = spark.read.schema("documents long, n_tokens long, root binary").parquet(f"{folder}/top").first(), 0, []
+    whole = merkle_root(bytes(r["root"]) for r in pairs) == bytes(top["root"]) and sum(r["n_tokens"] for r in pairs) == top["n_tokens"]
+    for r in pairs:
+        right = (r["start"], r["start"] + r["n_tokens"], r["documents"], r["root"]) == (r["first"], r["at"], r["count"], r["found"])
+        out.append((r["part"], whole and right and bool(r["gapless"]) and r["start"] == at))
+        at = r["start"] + r["n_tokens"]
+    return spark.createDataFrame(out, "part int, sound boolean")
 
 
 def read_store(spark, folder: str, width: int = 2) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_crc32, root, verified; everything is computed from the stored bytes.
+    """Per document: doc_id, start, n_tokens, ids_crc32, root, verified; everything comes from the stored files.
 
-    verified: each chunk has the hash it is stored under, and the recipe's hashes have the root of the manifest.
+    verified: each chunk has the hash it is stored under, the recipe's hashes have the root of the manifest, their ids are as
+    many as it says, and the manifest of its part is sound.
     """
-    objects = spark.read.schema("key binary, doc_id long, n long, data binary, kind string").parquet(f"{folder}/objects")
+    objects = spark.read.schema(_OBJECTS).parquet(f"{folder}/objects")
     store = f"<u{width}"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,35 +300,23 @@ def read_store(spark, folder: str, width: int = 2) -> DataFrame:
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"root": [], "crc": [], "n_tokens": [], "verified": []}
+            out = {"root": [], "ids_crc32": [], "built": [], "good": []}
             for root, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ordered = list({p["at"]: p for p in sorted(parts, key=lambda p: p["at"])}.values())
                 out["root"].append(root)
-                out["crc"].append(crc_concat((p["crc"] or 0, 4 * (p["n"] or 0)) for p in ordered))
-                out["n_tokens"].append(sum(p["n"] or 0 for p in ordered))
-                out["verified"].append(all(p["good"] for p in ordered) and merkle_root([p["hash"] for p in ordered]) == root)
-            yield pa.RecordBatch.from_arrays([pa.array(out["root"], pa.binary()), pa.array(out["crc"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["verified"], pa.bool_())], names=list(out))
+                out["ids_crc32"].append(crc_concat((p["crc"] or 0, 4 * (p["n"] or 0)) for p in ordered))
+                out["built"].append(sum(p["n"] or 0 for p in ordered))
+                out["good"].append(all(p["good"] for p in ordered) and merkle_root([p["hash"] for p in ordered]) == root)
+            yield pa.RecordBatch.from_arrays([pa.array(out["root"], pa.binary()), pa.array(out["ids_crc32"], pa.int64()), pa.array(out["built"], pa.int64()), pa.array(out["good"], pa.bool_())], names=list(out))
 
     chunks = objects.where("kind = 'chunks'").select("key", "data").mapInArrow(digest, "hash binary, crc long, n long, good boolean")
-    recipes = objects.where("kind = 'recipes'")
-    steps = recipes.select("key", "data").mapInArrow(unpack, "root binary, at int, hash binary")
+    recipes = spark.read.schema(_RECIPES).parquet(f"{folder}/recipes")
+    steps = recipes.select("root", "hashes").mapInArrow(unpack, "root binary, at int, hash binary")
     joined = steps.join(chunks, "hash", "left")
-    built = joined.groupBy("root").agg(F.collect_set(F.struct("at", "hash", "crc", "n", "good")).alias("parts")).mapInArrow(rebuild, "root binary, ids_crc32 long, n_tokens long, verified boolean")
-    return recipes.select("doc_id", F.col("key").alias("root")).join(built, "root")
-
-
-def manifest(scratch: Scratch, rebuilt: DataFrame) -> DataFrame:
-    """rebuilt with `start`, the ids of all documents before it in ascending doc_id order (null first).
-
-    Rows are range-partitioned by doc_id once; a running sum within a range starts at the sum of the ranges before it, one
-    small row for each.
-    """
-    ranged = rebuilt.repartitionByRange(partitions(rebuilt), F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
-    table = scratch.table(ranged, "manifest")
-    sums = table.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root").rowsBetween(Window.unboundedPreceding, 0))
-    return table.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("inside") - F.col("n_tokens")).drop("inside", "before", "part")
+    built = joined.groupBy("root").agg(F.collect_set(F.struct("at", "hash", "crc", "n", "good")).alias("parts")).mapInArrow(rebuild, "root binary, ids_crc32 long, built long, good boolean")
+    of_part = F.broadcast(sound_parts(spark, folder))  # one row a part
+    out = recipes.select("doc_id", "start", "n_tokens", "root", "part").join(built, "root").join(of_part, "part")
+    return out.select("doc_id", "start", F.col("built").alias("n_tokens"), "ids_crc32", "root", (F.col("good") & F.col("sound") & (F.col("built") == F.col("n_tokens"))).alias("verified"))
 
 
 def op3_token_store(spark, sf_dir: str) -> DataFrame:
@@ -231,5 +326,4 @@ def op3_token_store(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = scratch.path("store")
     write_store(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
-    out = manifest(scratch, read_store(spark, folder))
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32", F.lower(F.hex("root")).alias("root_sha256"), "verified")
+    return read_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", F.lower(F.hex("root")).alias("root_sha256"), "verified")

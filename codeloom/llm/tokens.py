@@ -1,8 +1,9 @@
 """Whole texts to token ids with the `tokenizers` library, which sees each distinct pre-token once per worker.
 
 A text of known characters (ASCII, Latin letters, common signs) is cut at its pre-token borders; each distinct pre-token
-goes through the library, and a bounded memo keeps its ids. Any other text goes through the library whole. Either way the
-ids equal those of encoding the whole text, which tests compare.
+goes through the library, and a bounded memo keeps its ids. Any other text, and any text that holds the string of an added
+token, goes through the library whole. Either way the ids equal those that a fresh tokenizer gives for the whole text with
+add_special_tokens=False, which tests compare: the string of an added token becomes its id, as the library has it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import numpy as np
 
 from codeloom.llm.common import enter, worker_cache
 
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"  # without U+0130, whose lower case is two characters
+# Without U+0130, whose lower case is two characters, and U+017F, which a pattern that ignores case takes for an s.
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ž"
 _DIGIT = "0-9"
 _SIGN = r"!-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‹›€"
 _BLANK = r" \t\n\x0b\x0c\r"
@@ -41,7 +43,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile(added, re.IGNORECASE).search if added else lambda text: None
         self.find = (_BYTE_LEVEL if spaces else _WORD_LEVEL).findall
         self.spaces, self.limit, self.model = spaces, limit, self.tokenizer.model
         self.memo: dict[str, bytes] = {}
@@ -66,7 +69,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit bytes; null and empty texts have none."""
         out = []
         for t in texts:
-            if not t or not _KNOWN.fullmatch(t):
+            if not t or not _KNOWN.fullmatch(t) or self.added(t):
                 out.append(self._encode(t) if t else b"")
                 continue
             pieces = self.find(t)

@@ -83,7 +83,7 @@ def test_token_store(spark, sf_dir, rows):
     from tokenizers import Tokenizer
 
     t, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
-    got = sorted(run(spark, sf_dir, "op3_token_store"), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    got = sorted(run(spark, sf_dir, "op3_token_store"), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["start"]))
     for doc, r in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), got, strict=True):
         ids = np.array([*t.encode(doc[1] or "", add_special_tokens=False).ids, 1], "<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["verified"]) == (doc[0], at, len(ids), zlib.crc32(ids.tobytes()), True)
@@ -96,7 +96,53 @@ def test_chunks_are_stored_once(spark, docs):
     objects = spark.read.parquet(f"{scratch.root}/objects")
     chunks = objects.where("kind = 'chunks'")
     assert chunks.count() == chunks.select("key").distinct().count() > 0
-    assert objects.where("kind = 'recipes'").count() == docs.count()
+    assert objects.where("kind = 'recipes'").count() == spark.read.parquet(f"{scratch.root}/recipes").count() == docs.count()
+
+
+def test_stored_manifest_is_in_doc_id_order(spark, docs):
+    """Files of a part hold ascending doc_ids, parts follow each other, starts are stored, one root covers all documents."""
+    scratch = Scratch(spark, "t")
+    token_store.write_store(docs, scratch.root, public_tokenizers.path("word_bpe_49k.json"))
+    files = spark.read.parquet(f"{scratch.root}/recipes").select("*", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    rows = files.orderBy("part", "f", "i").collect()
+    assert len({r["part"] for r in rows}) > 1
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows]
+    assert ids == sorted(ids) and len(ids) == docs.count()
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    top = spark.read.parquet(f"{scratch.root}/top").first()
+    assert (top["documents"], top["n_tokens"]) == (len(rows), at)
+    parts = spark.read.parquet(f"{scratch.root}/parts").orderBy("part").collect()
+    assert bytes(top["root"]) == token_store.merkle_root(bytes(p["root"]) for p in parts)
+    for p in parts:
+        mine = [r for r in rows if r["part"] == p["part"]]
+        assert bytes(p["root"]) == token_store.merkle_root(token_store._leaf(r["doc_id"], r["n_tokens"], bytes(r["root"])) for r in mine)
+    assert all(r["sound"] for r in token_store.sound_parts(spark, scratch.root).collect())
+
+
+def test_changed_stores_are_found_out(spark, tmp_path):
+    """A chunk with other bytes, and a recipe row that moved: verified is false for what they touch."""
+    df = spark.createDataFrame([(i, f"words of document {i} and some more of them") for i in range(40)], "doc_id long, text string")
+    folder = f"{tmp_path}/store"
+    token_store.write_store(df, folder, public_tokenizers.path("word_bpe_49k.json"))
+    assert token_store.read_store(spark, folder).where("verified").count() == 40
+    objects = spark.read.parquet(f"{folder}/objects").cache()
+    victim = objects.where("kind = 'chunks'").orderBy("key").first()["key"]
+    bad = F.when((F.col("kind") == "chunks") & (F.col("key") == F.lit(bytes(victim))), F.unhex(F.lit("0700"))).otherwise(F.col("data"))
+    objects.withColumn("data", bad).write.partitionBy("kind").parquet(f"{folder}-2/objects")
+    for name in ("recipes", "parts", "top"):
+        copy = spark.read.parquet(f"{folder}/{name}")
+        (copy.write.partitionBy("part") if name == "recipes" else copy.write).parquet(f"{folder}-2/{name}")
+    assert token_store.read_store(spark, f"{folder}-2").where("NOT verified").count() == 1
+    moved = spark.read.parquet(f"{folder}/recipes").withColumn("start", F.when(F.col("doc_id") == 7, F.col("start") + 1).otherwise(F.col("start")))
+    part = moved.where("doc_id = 7").first()["part"]
+    moved.write.partitionBy("part").parquet(f"{folder}-3/recipes")
+    for name in ("objects", "parts", "top"):
+        copy = spark.read.parquet(f"{folder}/{name}")
+        (copy.write.partitionBy("kind") if name == "objects" else copy.write).parquet(f"{folder}-3/{name}")
+    assert {r["part"] for r in token_store.sound_parts(spark, f"{folder}-3").where("NOT sound").collect()} == {part}
 
 
 def test_packing(spark, sf_dir, rows):

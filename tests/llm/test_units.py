@@ -21,12 +21,35 @@ def encoder(name, spaces):
     return _ENCODERS[name]
 
 
-@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def library_ids(name, text):
+    """What a tokenizer of its own gives, untouched by the encoder."""
+    from tokenizers import Tokenizer
+
+    if (name, None) not in _ENCODERS:
+        _ENCODERS[name, None] = Tokenizer.from_file(public_tokenizers.path(name))
+    return _ENCODERS[name, None].encode(text, add_special_tokens=False).ids
+
+
+BOTH = pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+_PIECES = st.sampled_from([*" \n\t'sStlLmMvVeErRdD.,!|é9²ſIİßœ–中😀<>\x1c\x85̇", "<|endoftext|>", "<|startoftext|>", "'ſ", "'S", "'re", "  "])
+
+
+@BOTH
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'sStlLmMvVeErRdD.,!|é9²ſIİßœ–中😀<>\x1c\x85̇")), st.characters(codec="utf-8")), max_size=60))
+@given(st.one_of(st.lists(_PIECES, max_size=30).map("".join), st.text(alphabet=st.characters(codec="utf-8"), max_size=60)))
 def test_ids_equal_those_of_whole_texts(name, spaces, text):
-    e = encoder(name, spaces)
-    assert e.ids(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder(name, spaces).ids(text).tolist() == library_ids(name, text)
+
+
+@BOTH
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "a<|startoftext|>b", "<|endoftext|>", "HELLO <|ENDOFTEXT|> x", "it'ſ ok", "IT'S ſo", "<|endoftext", "x\n<|endoftext|>\n\n y"])
+def test_added_tokens_and_long_s(name, spaces, text):
+    assert encoder(name, spaces).ids(text).tolist() == library_ids(name, text)
+
+
+@pytest.mark.parametrize(("name", "spaces", "text", "ids"), [("word_bpe_49k.json", False, "hello <|endoftext|> world", [3306, 49407, 1002]), ("word_bpe_49k.json", False, "it'ſ ok", [585, 262, 129, 379, 2481]), ("byte_bpe_50k.json", True, "hello <|endoftext|> world", [31373, 220, 50256, 995])])
+def test_fixed_ids(name, spaces, text, ids):
+    assert encoder(name, spaces).ids(text).tolist() == ids
 
 
 def test_memo_generations_change_nothing():

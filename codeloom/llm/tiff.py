@@ -247,8 +247,16 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         at = struct.unpack_from(order + link, data, at)[0]
 
 
+#: Bytes that one page, a row of its table, may take; no byte of a file makes more than so many of samples (an LZW code stands
+#: for less than 4096 bytes, deflate grows 1032-fold).
+MOST_PIXELS, MOST_GROWTH = 1 << 30, 4096
+
+
 def decode_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
-    """The samples of one page as (height, width, samples), undone of tiling, compression and predictor."""
+    """The samples of one page as (height, width, samples), undone of tiling, compression and predictor.
+
+    Nothing is allocated before the sizes that the directory claims are checked against the bytes of the file: ValueError if
+    a side is not positive, a block lacks, or the blocks are too few bytes to hold that many samples."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
@@ -258,9 +266,16 @@ def decode_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     tiled = TILE_AT in tags
     bw, bh = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(one(STRIP_ROWS, height), height))
     ats, sizes = (tags[TILE_AT], tags[TILE_BYTES]) if tiled else (tags[STRIP_AT], tags[STRIP_BYTES])
+    if not all(isinstance(x, int) and x > 0 for x in (width, height, samples, bw, bh)):
+        raise ValueError("a side or the number of samples is not positive")
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
-    out = np.zeros((height, width, samples), kind.newbyteorder("="))
     across, down = -(-width // bw), -(-height // bh)
+    size, block_size = width * height * samples * bits // 8, bw * bh * deep * bits // 8
+    if min(len(ats), len(sizes)) < planes * across * down:
+        raise ValueError("strips or tiles lack")
+    if size > MOST_PIXELS or block_size > MOST_PIXELS or size > MOST_GROWTH * len(data) or block_size > MOST_GROWTH * len(data):
+        raise ValueError(f"{width} x {height} samples are more than the file can hold")
+    out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k in range(planes * across * down):
         plane, y, x = k // (across * down), k // across % down * bh, k % across * bw
         rows = bh if tiled else min(bh, height - y)
@@ -290,7 +305,11 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
     """df with one row per page of its TIFF column, in page order, plus the columns of PAGE; pixels are the samples in rows.
 
     A null or unreadable file, or a page that can't be decoded, gives one row with null pixels and the reason in `error`;
-    pages before it stay. Columns of df come first and are unchanged. Nothing is exchanged."""
+    pages before it stay. So does a page whose claimed size its file can't hold, or above MOST_PIXELS. Columns of df come
+    first and are unchanged, but for those named like a column of PAGE, which give way to it. An empty table gives no rows.
+    Nothing is exchanged."""
+    own = [x.split(" ")[0] for x in PAGE.split(", ")]
+    df = df.select(*(c for c in df.columns if c not in own))
     place = df.columns.index(column)
     schema = StructType([*df.select(*df.columns).schema.fields, *StructType.fromDDL(PAGE).fields])
     names = schema.names
@@ -307,7 +326,7 @@ def tiff_pages(df: DataFrame, column: str = "media") -> DataFrame:
                 one = lambda tag, default, tags=tags: tags.get(tag, (default,))[0]
                 said = one(DESCRIPTION, b"").rstrip(b"\0").decode("utf-8", "replace")
                 yield page, n, image.shape[1], image.shape[0], image.shape[2], image.itemsize * 8, one(COMPRESSION, 1), one(PREDICTOR, 1), TILE_AT in tags, said, image.tobytes(), None
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, TypeError, OverflowError, ZeroDivisionError, MemoryError, struct.error, zlib.error) as e:
             yield page, n, None, None, None, None, None, None, None, None, None, str(e) or type(e).__name__
 
     kinds = [pa.int32()] * 8 + [pa.bool_(), pa.string(), pa.binary(), pa.string()]

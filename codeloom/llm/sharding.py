@@ -1,7 +1,8 @@
 """Histogram sort: equal shards of bytes from exact counts below candidate boundaries, and one exchange.
 
-DataFrame operations only. Rows are ordered by (text hash, doc_id): equal texts stand side by side, and a group of copies
-larger than a shard's share can still be cut between two of its documents.
+DataFrame operations only. Rows are ordered by (text hash, doc_id), so equal texts stand side by side. A boundary between
+shards falls between two texts; only inside a group of copies that is larger than `whole` of a shard's share may it fall
+between two of its documents, as no shards of near equal bytes could be cut otherwise.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, text_or_empty
+from codeloom.llm.common import Scratch, partitions, text_or_empty
 
 _LOW = -(1 << 63)
 _HIGH = (1 << 63) - 1
@@ -42,30 +43,35 @@ def _after(h: int, d: int) -> tuple[int, int]:
     return (h, d + 1) if d < _HIGH else (h + 1, _LOW)
 
 
-def splitters(keys: DataFrame, ranges: int, tolerance: float, bins: int = 1024) -> list[tuple[int, int]]:
-    """ranges - 1 keys (h, d); the bytes (column size) below the i-th come near i / ranges of all.
+def splitters(keys: DataFrame, shards: int, per_shard: int = 1, tolerance: float = 0.002, whole: float = 0.02, bins: int = 1 << 16) -> list[tuple[int, int]]:
+    """shards * per_shard - 1 keys (h, d); the bytes (column size) below the i-th come near i / (shards * per_shard) of all.
 
     Each round counts the exact bytes between candidate boundaries in every partition at once, keeps the interval that
-    holds each target, and sets new candidates inside it, until a boundary lies within `tolerance` of a range's share or
-    the interval holds one document. A round sends at most (ranges - 1) * bins rows to the driver, whatever the input.
+    holds each target, and sets new candidates inside it, until a boundary between shards lies within `tolerance` of a
+    shard's share (one between ranges of a shard within a twentieth of a range's), or the interval holds one document, or
+    one group of equal hashes that is no more than `whole` of a shard's share. About `bins` rows a round reach the driver,
+    whatever the input.
     """
-    whole = keys.agg(F.sum("size"), F.min("h"), F.max("h")).first()
-    total = whole[0] or 0
+    ranges = shards * per_shard
+    all_ = keys.agg(F.sum("size"), F.min("h"), F.max("h")).first()
+    total = all_[0] or 0
     if not total:
         return []
-    near = tolerance * total / ranges
     found: dict[int, tuple[int, int]] = {}
-    open_: dict[int, tuple[_Span, int]] = {i: (_Span(None, whole[1], whole[2]), 0) for i in range(1, ranges)}
+    open_: dict[int, tuple[_Span, int]] = {i: (_Span(None, all_[1], all_[2]), 0) for i in range(1, ranges)}
     while open_:
         spans = list(dict.fromkeys(span for span, _ in open_.values()))
-        cell = F.expr("CASE " + " ".join(s.cell(n, bins) for n, s in enumerate(spans)) + " END")
+        each = max(16, bins // len(spans))
+        cell = F.expr("CASE " + " ".join(s.cell(n, each) for n, s in enumerate(spans)) + " END")
         counted = keys.select(cell.alias("cell"), "h", "d", "size").where("cell IS NOT NULL").groupBy("cell").agg(F.sum("size"), F.count("*"), F.min("h"), F.max("h"), F.min("d"), F.max("d"))
         rows: dict[int, list] = {}
         for r in counted.collect():
-            rows.setdefault(r[0] // bins, []).append(r)
+            rows.setdefault(r[0] // each, []).append(r)
         for n in rows:
             rows[n].sort(key=lambda r: r[0])
         for i, (span, base) in list(open_.items()):
+            between_shards = i % per_shard == 0
+            near = tolerance * total / shards if between_shards else 0.05 * total / ranges
             target, below = total * i / ranges, base
             mine = rows[spans.index(span)]
             for k, (_, size, count, h0, h1, d0, d1) in enumerate(mine):  # noqa: B007
@@ -73,7 +79,8 @@ def splitters(keys: DataFrame, ranges: int, tolerance: float, bins: int = 1024)
                     break
                 below += size
             left, right = abs(target - below), abs(below + size - target)
-            if min(left, right) <= near or count == 1 or (h0, d0) == (h1, d1):
+            one_group = between_shards and span.hash is None and h0 == h1 and size <= whole * total / shards
+            if min(left, right) <= near or one_group or count == 1 or (h0, d0) == (h1, d1):
                 if left <= right:
                     found[i] = (h0, d0 if span.hash is not None else _LOW)
                 else:
@@ -85,31 +92,41 @@ def splitters(keys: DataFrame, ranges: int, tolerance: float, bins: int = 1024)
 
 
 def range_of(cuts: list[tuple[int, int]]) -> Column:
-    """The number of splitters at or below a row's key."""
-    if not cuts:
-        return F.lit(0)
-    return F.expr(" + ".join(f"CAST(h > {_sql(h)} OR (h = {_sql(h)} AND d >= {_sql(d)}) AS INT)" for h, d in cuts))
+    """The number of splitters at or below a row's key, by a search tree of comparisons."""
 
+    def below(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        h, d = cuts[mid]
+        return f"IF(h > {_sql(h)} OR (h = {_sql(h)} AND d >= {_sql(d)}), {below(mid + 1, high)}, {below(low, mid)})"
 
-def histogram_shards(rows: DataFrame, scratch: Scratch, shards: int = 16, ranges_per_shard: int = 4, tolerance: float = 0.002) -> DataFrame:
+    return F.expr(below(0, len(cuts)))
+
+
+def histogram_shards(rows: DataFrame, scratch: Scratch, shards: int = 16, ranges_per_shard: int | None = None, tolerance: float = 0.002, whole: float = 0.02) -> DataFrame:
     """rows with doc_id, size and h (a hash of the text), plus shard and slot; other columns travel with them.
 
-    Each shard is cut into `ranges_per_shard` ranges of equal bytes, so that the one exchange deals shards * ranges_per_shard
-    even groups; a slot is the exact number of rows in the earlier ranges of its shard plus the place in its range. A null
-    doc_id sorts first, equal rows take neighbouring slots in any order, an empty table gives no rows.
+    Each shard is cut into ranges of near equal bytes, 4 to 64 as the session has partitions, so that the one exchange deals
+    shards * ranges_per_shard even groups; a slot is the exact number of rows in the earlier ranges of its shard plus the
+    place in its range. Rows of one hash lie in one shard, unless they make up more than `whole` of a shard's share of bytes.
+    A null doc_id sorts first, equal rows take neighbouring slots in any order, an empty table gives no rows. Columns of rows
+    named shard or slot give way to these; any other name is left alone.
     """
-    table = scratch.table(rows.withColumn("d", F.coalesce(F.col("doc_id"), F.lit(_LOW))), "keys")
-    cuts = splitters(table.select("h", "d", "size"), shards * ranges_per_shard, tolerance)
+    per = ranges_per_shard or min(64, max(4, -(-partitions(rows) // shards)))
+    own = F.struct(*(F.col(c) for c in rows.columns if c not in ("shard", "slot")))
+    table = scratch.table(rows.select(own.alias("row"), F.col("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("d"), F.col("size")), "keys")
+    cuts = splitters(table.select("h", "d", "size"), shards, per, tolerance, whole)
     ranged = table.withColumn("range", range_of(cuts))
     counts = {r[0]: r[1] for r in ranged.groupBy("range").count().collect()}  # at most one row for each range
-    first, before = {}, 0
-    for k in range(shards * ranges_per_shard):
-        before = 0 if k % ranges_per_shard == 0 else before
-        first[k] = before
+    first, before = [], 0
+    for k in range(shards * per):
+        before = 0 if k % per == 0 else before
+        first.append(before)
         before += counts.get(k, 0)
-    start = F.element_at(F.array(*(F.lit(first[k]).cast("long") for k in sorted(first))), F.col("range") + 1)
+    start = F.element_at(F.lit(first), F.col("range") + 1)
     place = F.row_number().over(Window.partitionBy("range").orderBy("h", "d", "size"))
-    return ranged.withColumn("slot", start + place - 1).withColumn("shard", F.floor(F.col("range") / ranges_per_shard).cast("int")).drop("range", "d")
+    return ranged.select("row.*", F.floor(F.col("range") / per).cast("int").alias("shard"), (start + place - 1).cast("long").alias("slot"))
 
 
 def op7_histogram_sort(spark, sf_dir: str) -> DataFrame:

@@ -49,6 +49,37 @@ def test_tiff_says_what_is_wrong(spark):
     assert all(got[k]["error"] and got[k]["pixels"] is None for k in (1, 2, 3, 4)) and got[5]["error"] is None
 
 
+def _with_tag(data: bytes, tag: int, value: int) -> bytes:
+    """data with another value in the first directory's entry of a tag."""
+    at = int.from_bytes(data[4:8], "little")
+    for k in range(int.from_bytes(data[at : at + 2], "little")):
+        entry = at + 2 + 12 * k
+        if int.from_bytes(data[entry : entry + 2], "little") == tag:
+            return data[: entry + 8] + value.to_bytes(4, "little") + data[entry + 12 :]
+    raise AssertionError(tag)
+
+
+@pytest.mark.parametrize("codec", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_tiff_claims_are_checked_before_memory_is_taken(spark, codec):
+    """Sides of zero, sides beyond the file, a chain of nonsense: one error row each, whatever the codec, and no crash."""
+    image = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    strips = tiff.write_tiff([(image, tiff.Layout(codec, rows=3))])
+    tiles = tiff.write_tiff([(image, tiff.Layout(codec, tile=16))])
+    huge = _with_tag(_with_tag(strips, tiff.WIDTH, 1 << 31), tiff.HEIGHT, 1 << 31)
+    bad = [_with_tag(strips, tiff.STRIP_ROWS, 0), _with_tag(tiles, tiff.TILE_WIDTH, 0), _with_tag(tiles, tiff.TILE_HEIGHT, 0), _with_tag(strips, tiff.WIDTH, 0), _with_tag(strips, tiff.SAMPLES, 0), huge, _with_tag(strips, tiff.HEIGHT, 1 << 30), _with_tag(tiles, tiff.TILE_WIDTH, 1 << 31), _with_tag(strips, tiff.BITS, 7)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([*bad, strips, tiles])], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in tiff.tiff_pages(df).collect()}
+    assert all(got[i]["error"] and got[i]["pixels"] is None for i in range(len(bad)))
+    assert all(got[i]["error"] is None and bytes(got[i]["pixels"]) == image.tobytes() for i in (len(bad), len(bad) + 1))
+
+
+def test_tiff_columns_give_way_to_those_of_pages(spark):
+    df = spark.createDataFrame([(1, tiff.payload_tiff("abc"), "mine", 7, "kept")], "doc_id long, media binary, error string, width int, note string")
+    out = tiff.tiff_pages(df)
+    assert out.columns.count("error") == out.columns.count("width") == 1
+    assert out.select("doc_id", "note", "width", "error").first().asDict() == {"doc_id": 1, "note": "kept", "width": 576, "error": None}
+
+
 def test_line_dedup(spark, sf_dir, rows):
     got = {r["doc_id"]: r for r in run(spark, sf_dir, "op2_line_dedup")}
     space = " \t\n\x0b\x0c\r"
@@ -225,9 +256,47 @@ def test_sharding(spark, sf_dir, rows):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_law_of_bytes_with_whole_groups(spark):
+    """Shards near equal in bytes, each within 1.5 % of its share; groups of copies in one shard, but for one that is larger than a shard."""
+    import random
+
+    rng, rows = random.Random(12), []
+    for g in range(9000):
+        rows += [(g, rng.randint(50, 900))] * rng.choice([1, 1, 1, 1, 2, 2, 3, 9])
+    rows += [(9001, 400)] * 6000
+    df = spark.createDataFrame([(i, g, n, "mine", g % 7, "r") for i, (g, n) in enumerate(rows)], "doc_id long, g long, size long, shard string, d long, range string").withColumn("h", F.xxhash64("g"))
+    for partitions in ("4", "200"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            out = sharding.histogram_shards(df, Scratch(spark, "t"))
+            assert out.columns == ["doc_id", "g", "size", "d", "range", "h", "shard", "slot"]
+            got = out.collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        size, slots, shards_of = Counter(), defaultdict(list), defaultdict(set)
+        for r in got:
+            assert (r["d"], r["range"]) == (r["g"] % 7, "r")
+            size[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+            shards_of[r["g"]].add(r["shard"])
+        share = sum(size.values()) / 16
+        assert len(got) == len(rows) and set(size) == set(range(16))
+        assert all(abs(n - share) <= 0.015 * share for n in size.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert {g for g, s in shards_of.items() if len(s) > 1} == {9001}
+        by_shard = sorted((r["h"], r["doc_id"], r["shard"], r["slot"]) for r in got)
+        assert [x[2:] for x in by_shard] == sorted(x[2:] for x in by_shard)  # the order of (hash, doc_id) is that of (shard, slot)
+
+
+def test_plan_of_sharding_is_native(spark, sf_dir):
+    plan = queries.QUERIES["op7_histogram_sort"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_splitters_cut_a_hot_group_evenly(spark):
     keys = spark.range(4000).select((F.when(F.col("id") < 3000, F.lit(77)).otherwise(F.xxhash64("id"))).alias("h"), (F.col("id") - 500).alias("d"), F.lit(10).cast("long").alias("size"))
-    cuts = sharding.splitters(keys, 16, 0.001)
+    cuts = sharding.splitters(keys, 16, tolerance=0.001)
     got = keys.groupBy(sharding.range_of(cuts).alias("r")).count().collect()
     assert len(got) == 16 and max(abs(r["count"] - 250) for r in got) <= 1
 
@@ -330,6 +399,39 @@ def test_language(spark):
     assert language_id.predict(df, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_languages(rows):
+    """Brute force: profiles as sums over every trigram of the training texts, then the largest cosine."""
+    from tests.llm.test_units import plain_bundle
+
+    profiles = {}
+    for doc, text, lang, *_ in rows:
+        if lang is not None and not (doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1) and (t := language_id.trigrams(text)) is not None:
+            weights = t[1] * language_id._SCALE // t[1].sum()
+            own = sum(int(w) * language_id.bind(np.array([c]))[0].astype(np.int64) for c, w in zip(*(t[0], weights), strict=True))
+            profiles[lang] = profiles.get(lang, 0) + own
+    for _, text, *_ in rows:
+        found = plain_bundle(text) if text and any(ch.isalpha() for ch in text) else None
+        if found is None:
+            yield "und", 0.0
+        else:
+            cos = {x: float(found @ p / np.linalg.norm(found) / np.linalg.norm(p.astype(float))) for x, p in profiles.items()}
+            best = max(sorted(cos), key=cos.get)
+            yield best, min(1.0, max(0.0, cos[best]))
+
+
+def test_languages_equal_brute_force(spark, rows):
+    some = [r for r in rows if r[0] != 63]
+    got = language_id.predict(spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(some)], "at long, doc_id long, text string, lang string"), language_id.fit(spark.createDataFrame([r[:3] for r in some], "doc_id long, text string, lang string"), ~language_id.held_out())).orderBy("at").collect()
+    for r, (lang, score) in zip(got, plain_languages(some), strict=True):
+        assert r["score"] == pytest.approx(score, abs=1e-6) and (r["lang_pred"] == lang or score < 1e-9)
+
+
+def test_language_columns_give_way(spark):
+    df = spark.createDataFrame([(1, "some text", "en", 7, "x")], "doc_id long, text string, lang string, score int, lang_pred string")
+    out = language_id.predict(df, language_id.fit(df, F.lit(True)))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and out.select("lang_pred").first()[0] == "en"
+
+
 def test_language_rule_for_held_out_rows(spark, sf_dir, rows):
     got = run(spark, sf_dir, "op10_language_id")
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)

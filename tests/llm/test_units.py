@@ -182,6 +182,57 @@ def test_trigrams_need_letters():
     assert language_id.trigrams("a")[1].sum() == 1
 
 
+def test_letters_of_every_plane_count():
+    assert language_id.trigrams(chr(0x30000) * 3)[1].sum() == 3 and language_id.trigrams(chr(0x2F800))[1].sum() == 1
+
+
+def plain_bundle(text):
+    """Letters lowered, other runs one gap; each trigram's three vectors, turned by their place, multiplied; all of them added."""
+    padded = [language_id._GAP]
+    for ch in text + " ":
+        small = ch.lower() if ch.isalpha() else ""
+        c = ord(small) if len(small) == 1 else ord(ch) if ch.isalpha() else language_id._GAP
+        if c != language_id._GAP or padded[-1] != language_id._GAP:
+            padded.append(c)
+    out = np.zeros(language_id.DIMENSIONS, np.int64)
+    vector = lambda c, turn: np.roll(language_id._vector(c).astype(np.int64), turn)
+    for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+        out += vector(a, 2) * vector(b, 1) * vector(c, 0)
+    return out
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abcÄéß 12\n中İſ" + chr(0x30000))), min_size=1, max_size=60), min_size=1, max_size=8), st.integers(1, 9))
+def test_bundles_are_the_plain_sums(texts, chunk):
+    old, language_id._CHUNK = language_id._CHUNK, chunk
+    try:
+        for held in language_id._groups(enumerate(texts), most=3):
+            for (i, _), got in zip(held, language_id.bundles([t for _, t in held]), strict=True):
+                assert got.tolist() == plain_bundle(texts[i]).tolist()
+    finally:
+        language_id._CHUNK = old
+
+
+def test_a_million_distinct_trigrams_take_little_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    program = """
+import resource
+import numpy as np
+from codeloom.llm import language_id as L
+rng = np.random.default_rng(1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = next(L._groups([(0, "".join(map(chr, rng.integers(0x4E00, 0x5600, 1_050_000))))]))
+assert len(found[0][1][0]) > 1_000_000
+L.bundles([found[0][1]])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    said = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], check=True)
+    assert int(said.stdout) < 300
+
+
 def test_binding_keeps_order_apart():
     ab, ba = language_id.trigrams("ab")[0], language_id.trigrams("ba")[0]
     cos = lambda x, y: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))

@@ -13,19 +13,23 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def symbol_tokens(name: Column) -> Column:
-    """Splits an identifier at case changes, digits, and signs: parseHTTPServer2Go_x -> parse http server 2 go x."""
-    s = F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2")
-    s = F.regexp_replace(s, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    s = F.regexp_replace(s, r"([A-Za-z])([0-9])", "$1 $2")
-    s = F.regexp_replace(s, r"([0-9])([A-Za-z])", "$1 $2")
-    return F.array_join(F.filter(F.split(F.lower(s), r"[^a-z0-9]+"), lambda t: t != ""), " ")
+    """Words of an identifier in lower case: parseHTTPServer2Go_x -> parse http server 2 go x.
+
+    One extraction: a run of capitals before a capitalized word, a word with or without a capital, capitals, digits."""
+    words = F.regexp_extract_all(name, F.lit(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))
+    return F.lower(F.array_join(words, " "))
+
+
+#: Above so many bytes a hash covers the first and last bytes of a file and its size.
+LARGE, EDGE = 1 << 20, 8192
 
 
 def content_hash(content: Column) -> Column:
-    """First 16 hex digits of sha256; above 1 MiB `L` and 15 digits over head, tail and size."""
+    """First 16 hex digits of sha256 over the UTF-8 bytes; above 1 MiB `L` and 15 digits over head, tail and size in bytes."""
+    raw = content.cast("binary")
     size = F.octet_length(content)
-    edges = F.concat(F.substring(content, 1, 8192), F.substring(content, -8192, 8192), size.cast("string"))
-    return F.when(size > 1 << 20, F.concat(F.lit("L"), F.substring(F.sha2(edges, 256), 1, 15))).otherwise(F.substring(F.sha2(content, 256), 1, 16))
+    edges = F.concat(F.substring(raw, 1, EDGE), F.substring(raw, -EDGE, EDGE), size.cast("string").cast("binary"))
+    return F.when(size > LARGE, F.concat(F.lit("L"), F.substring(F.sha2(edges, 256), 1, 15))).otherwise(F.substring(F.sha2(raw, 256), 1, 16))
 
 
 def identifier_style(name: Column) -> Column:
@@ -61,35 +65,66 @@ def risk_name(rank: Column) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in RISK)), rank.cast("int"))
 
 
+#: Most dependents of each level; means and maxima of complexity above which a level begins; dependents above
+#: which a blast radius has a level.
+COUNT_LIMITS = ((5, "low"), (15, "medium"), (30, "high"))
+COMPLEXITY_LIMITS = ((15, 25, "critical"), (10, 20, "high"), (6, 15, "medium"))
+BLAST_LIMITS = {"critical": 50, "high": 20, "medium": 5}
+
+
 def count_risk(n: Column) -> Column:
-    """At most 5 dependents low, 15 medium, 30 high, more critical."""
-    return F.when(n <= 5, "low").when(n <= 15, "medium").when(n <= 30, "high").otherwise("critical")
+    out = F.when(F.lit(False), "")
+    for most, level in COUNT_LIMITS:
+        out = out.when(n <= most, level)
+    return out.otherwise(RISK[-1])
 
 
 def complexity_risk(mean: Column, most: Column) -> Column:
-    return F.when((mean > 15) | (most > 25), "critical").when((mean > 10) | (most > 20), "high").when((mean > 6) | (most > 15), "medium").otherwise("low")
+    out = F.when(F.lit(False), "")
+    for over_mean, over_most, level in COMPLEXITY_LIMITS:
+        out = out.when((mean > over_mean) | (most > over_most), level)
+    return out.otherwise(RISK[0])
 
 
-def blast_risk(dependents: Column, uncovered: Column, complex_uncovered: Column) -> Column:
-    """Another scale than count_risk: 5, 20 and 50 dependents, raised by dependents without tests."""
-    return (
-        F.when(dependents > 50, "critical")
-        .when(complex_uncovered & (dependents > 20), "critical")
-        .when(dependents > 20, "high")
-        .when(complex_uncovered, "high")
-        .when(dependents > 5, "medium")
-        .when(uncovered > 0, "medium")
-        .otherwise("low")
-    )
+def _blast_level(dependents: Column, uncovered: Column, complex_uncovered: Column) -> Column:
+    """1 to 4, by how many dependents there are, whether some lack tests, and whether such a one is complex."""
+    by_count = F.when(dependents > BLAST_LIMITS["critical"], 4).when(dependents > BLAST_LIMITS["high"], 3).when(dependents > BLAST_LIMITS["medium"], 2).otherwise(1)
+    by_tests = F.when(complex_uncovered & (dependents > BLAST_LIMITS["high"]), 4).when(complex_uncovered, 3).when(uncovered > 0, 2).otherwise(1)
+    return F.greatest(by_count, by_tests)
+
+
+def blast_risk(dependents: Column, uncovered: Column, complex_uncovered: Column, boost: Column | None = None) -> Column:
+    """Another scale than count_risk: 5, 20 and 50 dependents, raised by dependents without tests, and never below the level
+    before that of their complexity (`boost`, null for none)."""
+    level = _blast_level(dependents, uncovered, complex_uncovered)
+    floor = F.lit(1) if boost is None else F.coalesce(F.greatest(F.lit(1), risk_rank(boost) - 1), F.lit(1))
+    return risk_name(F.greatest(level, floor))
+
+
+def blast_reasons(dependents: Column, uncovered: Column, complex_uncovered: Column, most_complex: Column, boost: Column) -> Column:
+    """Phrases that say why, in the order in which they count: callers, untested ones, the largest complexity, what raised it."""
+    floor = F.coalesce(F.greatest(F.lit(1), risk_rank(boost) - 1), F.lit(1))
+    raised = floor > _blast_level(dependents, uncovered, complex_uncovered)
+    phrases = [
+        F.when(dependents > 0, F.concat(dependents.cast("string"), F.when(dependents == 1, " caller").otherwise(" callers"))),
+        F.when(uncovered > 0, F.concat(uncovered.cast("string"), F.lit(" untested"))),
+        F.when(most_complex > 0, F.concat(F.lit("max complexity "), most_complex.cast("string"))),
+        F.when(complex_uncovered, F.lit("untested high-complexity dependent")),
+        F.when(raised, F.concat(boost, F.lit("-complexity dependent regardless of test coverage"))),
+    ]
+    return F.filter(F.array(*phrases), lambda x: x.isNotNull())
 
 
 def is_test_file(file: Column) -> Column:
+    """By name: .test. and .spec. or _test. and _spec. before an extension, a folder for tests in any case; in Swift and C#
+    names that end in Test or Tests, and their folders. Either slash separates."""
+    swift = file.rlike(r"Tests?\.swift\z") | file.rlike(r"(^|[/\\])Tests?[/\\]")
+    csharp = file.rlike(r"Tests?\.cs\z") | file.rlike(r"(^|[/\\])[^/\\]*Tests[/\\]")
     return (
-        file.rlike(r"(?i)\.(test|spec)\.[a-z]+\z")
-        | file.rlike(r"(^|/)test_[^/]*\.py\z")
-        | file.rlike(r"_(test|spec)\.[a-z]+\z")
-        | file.rlike(r"(?i)(^|/)(__tests__|tests?|spec)/")
-        | file.rlike(r"(^|/)[^/]*Tests?\.(swift|cs|java|kt)\z")
+        file.rlike(r"[._](test|spec)\.[^/]+\z")
+        | file.rlike(r"(?i)(^|[/\\])(tests?|specs?|__tests__)[/\\]")
+        | (file.endswith(".swift") & swift)
+        | (file.endswith(".cs") & csharp)
     )
 
 

@@ -2,54 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Source extensions that a specifier may leave out.
-EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "kt", "kts", "cs", "php", "rb", "swift", "scala", "c", "h", "cpp", "hpp", "liquid", "vue")
+from codeloom.functions.languages import EXTENSIONS, has
+
+#: Marks a specifier that names one file or the `mod` file of one folder, and nothing else.
+RUST_MOD = "mod:"
+_ALL = 1 << 20
+
+
+def _without_root(path: Column, root: str) -> Column:
+    top = root.rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substring(path, len(top) + 1, _ALL)).otherwise(path) if root else path
 
 
 def normalize(path: Column, root: str = "") -> Column:
-    """Quotes and spaces off, slashes forward, source extension and root prefix off."""
-    p = F.translate(F.trim(F.regexp_replace(F.trim(path), "[\"'`]", "")), "\\", "/")
-    p = F.regexp_replace(p, rf"\.({'|'.join(EXTENSIONS)})\z", "")
-    return F.when(p.startswith(root.rstrip("/") + "/"), F.substring(p, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(p) if root else p
+    """The Rust mark and quotes off, spaces around off, slashes forward, the extension of a parsed language and the root off."""
+    p = F.when(path.startswith(RUST_MOD), F.substring(path, len(RUST_MOD) + 1, _ALL)).otherwise(path)
+    p = F.translate(F.regexp_replace(F.translate(p, "\"'", ""), r"^\s+|\s+\z", ""), "\\", "/")
+    return _without_root(F.regexp_replace(p, rf"\.({'|'.join(EXTENSIONS)})\z", ""), root)
 
 
 def canonical(path: Column, root: str = "") -> Column:
-    p = F.translate(path, "\\", "/")
-    return F.when(p.startswith(root.rstrip("/") + "/"), F.substring(p, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(p) if root else p
+    """Slashes forward and the root off; the extension stays."""
+    return _without_root(F.translate(path, "\\", "/"), root)
 
 
 def tail(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"/?[^/]*\z", "")
+
+
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
 def resolve_relative(importer: Column, specifier: Column) -> Column:
-    """./ and ../ against the importer's directory; `..` above the top goes nowhere."""
-    directory = F.slice(F.split(importer, "/"), 1, F.size(F.split(importer, "/")) - 1)
-    steps = F.concat(directory, F.split(specifier, "/"))
+    """`.`, `..`, ./ and ../ against the importer's folder, without a slash at the end; other specifiers as they are.
+
+    A path that climbs above the importer's top keeps its leading `..`."""
+    directory = segments(folder(F.translate(importer, "\\", "/")))
     start = F.array().cast("array<string>")
-    folded = F.aggregate(steps, start, lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(s))))
-    return F.array_join(folded, "/")
 
+    def step(acc: Column, s: Column) -> Column:
+        up = (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) != "..")
+        return F.when((s == "") | (s == "."), acc).when((s == "..") & up, F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(s)))
+
+    folded = F.array_join(F.aggregate(F.concat(directory, F.split(specifier, "/")), start, step), "/")
+    folded = F.when(importer.startswith("/"), F.concat(F.lit("/"), folded)).otherwise(F.when(folded == "", ".").otherwise(folded))
+    return F.when(specifier.rlike(r"^\.\.?(/|\z)"), folded).otherwise(specifier)
+
+
+def resolve_workspace(specifier: Column, packages: Mapping[str, str]) -> Column:
+    """The entry file of a workspace package that the specifier names in full; others, paths below a package too, as they are."""
+    if not packages:
+        return specifier
+    table = F.create_map(*(F.lit(x) for pair in sorted(packages.items()) for x in pair))
+    return F.coalesce(F.element_at(table, specifier), specifier)
+
+
+def _slashes(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "/", ""))
 
-def at_boundary(text: Column, pattern: Column, most_leading: int | None = None) -> Column:
-    """pattern stands in text between slashes or ends. Only its first occurrence counts; a pattern of one segment must be the
-    tail; with `most_leading` at most so many segments come before it."""
+
+def at_boundary(text: Column, pattern: Column) -> Column:
+    """The first occurrence of pattern in text, and only that, lies between slashes or ends."""
     at = F.instr(text, pattern)
     after = at + F.length(pattern)
-    left = (at == 1) | (F.substring(text, at - 1, 1) == "/")
-    right = (after == F.length(text) + 1) | (F.substring(text, after, 1) == "/")
-    one = ~pattern.contains("/")
-    ok = (at > 0) & (F.length(pattern) > 0) & left & right & (~one | (after == F.length(text) + 1))
-    if most_leading is not None:
-        ok = ok & (F.size(segments(F.substring(text, F.lit(1), at - 1))) <= most_leading)
-    return ok
+    return (at > 0) & ((at == 1) | (F.substring(text, at - 1, 1) == "/")) & ((after == F.length(text) + 1) | (F.substring(text, after, 1) == "/"))
+
+
+def at_boundary_precise(text: Column, pattern: Column, leading: int, exact_tail: Column | bool = False) -> Column:
+    """at_boundary(), where a pattern of one segment must also be the end of text with at most `leading` segments before it;
+    one of several must be the end where `exact_tail` says so, else what follows may go on below it."""
+    at = F.instr(text, pattern)
+    ends = at + F.length(pattern) == F.length(text) + 1
+    one = ends & (_slashes(F.substring(text, F.lit(1), at - 1)) <= leading)
+    exact = F.lit(exact_tail) if isinstance(exact_tail, bool) else exact_tail
+    return at_boundary(text, pattern) & F.when(pattern.contains("/"), ends | ~exact).otherwise(one)
 
 
 def strip_parents(specifier: Column) -> Column:
@@ -57,39 +93,59 @@ def strip_parents(specifier: Column) -> Column:
 
 
 def python_module(specifier: Column, target: Column) -> Column:
-    """a.b.c names a/b/c, its package a/b, a suffix of the target, or the target below one source folder."""
+    """a.b names a/b, its __init__, every file below a/b/, the same below any folders (but not files below those), and a/b or
+    what follows it below one source folder. A name without dots only the first two."""
     name = specifier.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*\z")
-    path = F.replace(specifier, F.lit("."), F.lit("/"))
-    dotted = specifier.contains(".")
-    own = F.regexp_replace(target, r"/__init__\z", "")
-    parent = F.when(dotted, F.regexp_replace(path, r"/[^/]+\z", ""))
-    direct = (own == path) | F.coalesce(own == parent, F.lit(False))
-    suffix = dotted & own.endswith(F.concat(F.lit("/"), path))
-    prefixed = dotted & (F.concat_ws("/", F.slice(F.split(own, "/"), 2, 1000)) == path)
-    return name & (direct | suffix | prefixed)
+    path = F.translate(specifier, ".", "/")
+    own = F.regexp_replace(target, r"\.py\z", "")
+    direct = F.regexp_replace(own, r"/__init__\z", "") == path
+    below = own.startswith(F.concat(path, F.lit("/")))
+    suffix = own.endswith(F.concat(F.lit("/"), path)) | own.endswith(F.concat(F.lit("/"), path, F.lit("/__init__")))
+    at = F.instr(own, path)
+    before, following = F.substring(own, F.lit(1), at - 1), F.substring(own, at + F.length(path), 1)
+    prefixed = (at > 0) & (_slashes(before) <= 1) & ((before == "") | before.endswith("/")) & following.isin("", "/", ".")
+    return name & (direct | (own == path) | below | (specifier.contains(".") & (suffix | prefixed)))
 
 
 def php_namespace(specifier: Column, target: Column) -> Column:
-    """A\\B\\C, in any case, is the end of the target's path; one component only where the target lies at most two deep."""
-    parts = F.split(F.lower(F.translate(specifier, "\\", "/")), "/")
-    own = F.split(F.lower(target), "/")
-    same = F.slice(F.reverse(own), 1, F.size(parts)) == F.reverse(parts)
-    return same & ((F.size(parts) > 1) | (F.size(own) <= 2))
+    """The components of a specifier, in any case, are the last ones of the target; a single one only where the target has at
+    most two."""
+    parts, own = segments(F.lower(specifier)), segments(F.lower(target))
+    same = F.slice(F.reverse(own), 1, F.greatest(F.size(parts), F.lit(1))) == F.reverse(parts)
+    return (F.size(parts) > 0) & same & ((F.size(parts) > 1) | (F.size(own) <= 2))
 
 
-def matches_file(specifier: Column, target: Column, python: bool = False, php: bool = False) -> Column:
-    """Equality, a boundary match either way, the same without leading ../, and the rules of two languages."""
+def matches_file(specifier: Column, target: Column, exact_tail: Column | bool = False, python: Column | bool = True, php: Column | bool = True) -> Column:
+    """Both normalized: equal; the target at a boundary of the specifier or the other way round; the same without leading ./
+    and ../; the rules of PHP and Python where they are allowed."""
+    flag = lambda x: F.lit(x) if isinstance(x, bool) else x
     bare = strip_parents(specifier)
-    base = (specifier == target) | at_boundary(target, specifier) | at_boundary(specifier, target, 1) | (specifier.startswith("../") & ((bare == target) | at_boundary(target, bare)))
-    base = base | python_module(specifier, target) if python else base
-    return base | php_namespace(specifier, target) if php else base
-
-
-def import_matches(specifier: Column, target: Column, language: Column) -> Column:
-    """The whole predicate, by the importer's language."""
-    whole_module = (language == "swift") & ~specifier.contains("/")
-    rust = specifier.startswith("mod:")
-    name = F.substring(specifier, 5, 1 << 20)
-    rust_hit = (target == name) | target.endswith(F.concat(F.lit("/"), name)) | target.endswith(F.concat(F.lit("/"), name, F.lit("/mod")))
-    plain = matches_file(specifier, target)
-    return F.when(whole_module, F.lit(False)).when(rust, rust_hit).when(language == "python", matches_file(specifier, target, python=True)).when(language == "php", matches_file(specifier, target, php=True)).otherwise(plain)
+    base = (specifier == target) | at_boundary_precise(specifier, target, 0) | at_boundary_precise(target, specifier, 1, exact_tail)
+    base = base | ((bare != specifier) & (at_boundary(bare, target) | at_boundary(target, bare)))
+    return base | (flag(php) & php_namespace(specifier, target)) | (flag(python) & python_module(specifier, target))
+
+
+def import_matches(specifier: Column, target: Column, language: Column, root: str = "") -> Column:
+    """Does a raw specifier in a file of `language` mean the normalized target? False for an empty specifier."""
+    own = normalize(specifier, root)
+    rust = (own == target) | (target == F.concat(own, F.lit("/mod")))
+    rest = matches_file(own, target, has(language, "single_file"), has(language, "python_modules"), has(language, "namespace_imports"))
+    whole = has(language, "whole_module") & ~specifier.contains("/")
+    return F.when(whole | (specifier == ""), F.lit(False)).when(specifier.startswith(RUST_MOD), rust).otherwise(rest)
+
+
+def _dotted(segment: Column) -> Column:
+    return F.filter(F.split(segment, r"\."), lambda s: s != "")
+
+
+def all_keys(path: Column) -> Column:
+    """Keys that a path can be found by: its segments, and the parts between their dots, in lower case."""
+    whole = segments(F.lower(path))
+    return F.array_distinct(F.concat(whole, F.flatten(F.transform(whole, _dotted))))
+
+
+def tail_keys(path: Column) -> Column:
+    """Keys that a path is looked up by: its last segment, and the last part of that, in lower case."""
+    last = F.element_at(F.concat(F.array(F.lit("")), segments(F.lower(path))), -1)
+    part = F.element_at(F.concat(F.array(F.lit("")), _dotted(last)), -1)
+    return F.filter(F.array_distinct(F.array(last, part)), lambda s: s != "")

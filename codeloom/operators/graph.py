@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from codeloom.tables import Scratch
 
-def expand(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+
+def expand(seeds: DataFrame, edges: DataFrame, depth: int, scratch: Scratch | None = None) -> DataFrame:
     """(seed, node, hops): nodes reached from each seed over (file, importer) edges, with their first depth.
 
-    One join per level for all seeds at once, and an anti-join against what was reached before; the plan has `depth`
-    levels and no driver-side rows."""
-    step = edges.select(F.col("file").alias("node"), F.col("importer").alias("next")).distinct()
-    reached = seeds.select(F.col("file").alias("seed"), F.col("file").alias("node"), F.lit(0).alias("hops"))
-    frontier = reached
+    One join a level for all seeds at once, and an anti-join against what was reached before. Edges are written once and
+    each level once, below one folder, so that a level reads three tables whatever its depth; no rows reach the driver.
+    Seeds of a cycle don't reach themselves."""
+    scratch = scratch or Scratch(seeds.sparkSession, "expand")
+    step = scratch.table(edges.select(F.col("file").alias("node"), F.col("importer").alias("next")).distinct(), "edges")
+    start = seeds.select(F.col("file").alias("seed"), F.col("file").alias("node")).distinct()
+    folder = scratch.path("reached")
+    frontier = scratch.table(start, "level-0", path=f"{folder}/hops=0")
+    schema = T.StructType([*frontier.schema.fields, T.StructField("hops", T.IntegerType())])
     for level in range(1, depth + 1):
         found = frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(level))
-        reached = reached.unionByName(frontier)
-    return reached.where("hops > 0")
+        reached = scratch.read(folder, schema).select("seed", "node")
+        frontier = scratch.table(found.join(reached, ["seed", "node"], "left_anti"), f"level-{level}", path=f"{folder}/hops={level}")
+    return scratch.read(folder, schema).where("hops > 0")
 
 
 def capped(reached: DataFrame, most: int) -> DataFrame:
     """At most `most` nodes of a seed beyond depth 1, nearest first, ties by name; `truncated` tells where that cut."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("seed").orderBy("hops", "node")
     rows = reached.withColumn("rank", F.row_number().over(w)).withColumn("truncated", F.count("*").over(Window.partitionBy("seed")) > most)
     return rows.where((F.col("rank") <= most) | (F.col("hops") == 1)).drop("rank")
+
+
+def reexport_dependents(edges: DataFrame, reexports: DataFrame, depth: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """target, node: dependents that only chains of re-exporting files bring, at most `depth` of them.
+
+    edges (importer, file); reexports (barrel, file): a barrel passes on what it imports from file. A target's barrels, and
+    the barrels of those, make up its chain; importers of any of them depend on it, except itself and those that import it
+    anyway (its own barrels among them)."""
+    chain = expand(reexports.select("file").distinct(), reexports.select("file", F.col("barrel").alias("importer")), depth, scratch)
+    chain = chain.select(F.col("seed").alias("target"), F.col("node").alias("barrel"))
+    via = chain.join(edges.select(F.col("file").alias("barrel"), F.col("importer").alias("node")), "barrel").select("target", "node").where("target <> node").distinct()
+    direct = edges.select(F.col("file").alias("target"), F.col("importer").alias("node"))
+    return via.join(direct, ["target", "node"], "left_anti")

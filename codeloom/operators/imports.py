@@ -6,31 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
+from codeloom.functions.languages import language_of
 
 
-def import_edges(specifiers: DataFrame, files: DataFrame, predicate=paths.matches_file) -> DataFrame:
-    """(importer, file) for every specifier that means a file.
+def _names(specifiers: DataFrame, root: str) -> DataFrame:
+    """specifiers (importer, specifier, perhaps language) with the language of the importer, without empty ones."""
+    out = specifiers if "language" in specifiers.columns else specifiers.withColumn("language", language_of(F.col("importer")))
+    return out.select("importer", "specifier", "language").where("specifier <> ''").distinct()
+
+
+def import_edges(specifiers: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """(importer, file) for every specifier (importer, specifier, language if it isn't told by the extension) that means a file.
 
     Candidates come from equi-joins on blocking keys (the specifier's tail among the file's segments, and the file's tail
-    among the specifier's segments, dotted parts included); the exact predicate runs on those only."""
-    spec = specifiers.select("importer", "specifier").distinct()
-    parts = lambda c: F.array_distinct(F.concat(paths.segments(c), F.filter(F.split(paths.tail(c), r"\."), lambda s: s != "")))
-    names = spec.select("specifier").distinct().withColumn("bare", paths.strip_parents(F.col("specifier")))
-    file = files.select("file").distinct()
-    by_tail = names.withColumn("key", F.lower(F.element_at(F.split("bare", r"[/.\\]"), -1)))
-    in_file = file.select("file", F.explode(F.transform(parts(F.col("file")), F.lower)).alias("key"))
-    file_tail = file.withColumn("key", F.lower(paths.tail(F.regexp_replace("file", r"/(__init__|mod)\z", ""))))
-    in_spec = names.select("specifier", "bare", F.explode(F.transform(F.array_distinct(F.concat(parts(F.col("bare")), F.split("bare", r"[/.\\]"))), F.lower)).alias("key"))
-    pairs = by_tail.join(in_file, "key").select("specifier", "file").unionByName(in_spec.join(file_tail, "key").select("specifier", "file")).distinct()
-    exact = pairs.where(predicate(F.col("specifier"), F.col("file")))
-    return spec.join(exact, "specifier").where("importer <> file").select("importer", "file").distinct()
-
-
-def import_edges_brute(specifiers: DataFrame, files: DataFrame, predicate=paths.matches_file) -> DataFrame:
+    among the specifier's segments, dotted parts included), which no match can do without; the exact predicate runs on
+    those only, once for each distinct specifier and language. A file is no importer of itself."""
+    spec = _names(specifiers, root)
+    names = spec.select("specifier", "language").distinct().withColumn("own", paths.normalize(F.col("specifier"), root))
+    file = files.select("file").distinct().withColumn("target", paths.normalize(F.col("file"), root))
+    keyed = lambda df, keys: df.withColumn("key", F.explode(keys))
+    name, target = F.col("own"), F.col("target")
+    up = keyed(names, paths.tail_keys(name)).join(keyed(file, paths.all_keys(target)), "key")
+    down = keyed(names, paths.all_keys(name)).join(keyed(file, paths.tail_keys(target)), "key")
+    pairs = up.select("specifier", "language", "file", "target").unionByName(down.select("specifier", "language", "file", "target")).distinct()
+    exact = pairs.where(paths.import_matches(F.col("specifier"), F.col("target"), F.col("language"), root))
+    return _joined(spec, exact, root)
+
+
+def _joined(spec: DataFrame, exact: DataFrame, root: str) -> DataFrame:
+    same = (spec["specifier"] == exact["specifier"]) & spec["language"].eqNullSafe(exact["language"])
+    out = spec.join(exact, same).where(paths.normalize(F.col("importer"), root) != F.col("target"))
+    return out.select("importer", "file").distinct()
+
+
+def import_edges_brute(specifiers: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     """The same by comparing everything with everything: a test oracle for small inputs only."""
-    names = specifiers.select("specifier").distinct().hint("broadcast")
-    exact = files.select("file").distinct().join(names, predicate(F.col("specifier"), F.col("file")))
-    return specifiers.join(exact, "specifier").where("importer <> file").select("importer", "file").distinct()
+    spec = _names(specifiers, root)
+    file = files.select("file").distinct().withColumn("target", paths.normalize(F.col("file"), root))
+    names = spec.select("specifier", "language").distinct().hint("broadcast")
+    return _joined(spec, file.join(names, paths.import_matches(F.col("specifier"), F.col("target"), F.col("language"), root)), root)
 
 
 def dependent_counts(edges: DataFrame, files: DataFrame, recovery: DataFrame | None = None) -> DataFrame:

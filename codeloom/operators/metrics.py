@@ -9,8 +9,9 @@ from codeloom.functions import columns as C
 
 #: Default thresholds of the four metrics; effort in units, an hour's worth being 60 * 1080.
 THRESHOLDS = {"cyclomatic": 15.0, "cognitive": 15.0, "effort": 60 * 1080.0, "bugs": 1.5}
-#: Verdicts of a metric from the most severe down.
-VERDICTS = ("crossed", "new_over", "worsened", "pre_existing", "improved", "new_under", "removed", "unchanged")
+#: Verdicts of a metric from the most severe down; those that fail a gate.
+VERDICTS = ("crossed", "new_over", "pre_existing", "worsened", "new_under", "improved", "unchanged", "removed")
+FAILING = ("crossed", "new_over")
 
 
 def violations(functions: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
@@ -58,13 +59,15 @@ def paired(before: DataFrame, after: DataFrame, keys: list[str], order: list[str
 
 
 def verdict(before: Column, after: Column, threshold: float) -> Column:
-    """What an edit did to one metric; null means that the function is not there."""
+    """What an edit did to one metric; null means that the function is not there. Above the threshold before, only a drop
+    below it improves anything: another change leaves what was there."""
     was, now = before >= threshold, after >= threshold
+    change = F.when(after > before, "worsened").when(after < before, "improved").otherwise("unchanged")
     return (
         F.when(after.isNull(), "removed")
-        .when(before.isNull() & now, "new_over").when(before.isNull(), "new_under")
-        .when(~was & now, "crossed").when(was & now & (after == before), "pre_existing")
-        .when(after < before, "improved").when(after > before, "worsened").otherwise("unchanged")
+        .when(before.isNull(), F.when(now, "new_over").otherwise("new_under"))
+        .when(was & now, F.when(after == before, "unchanged").otherwise("pre_existing"))
+        .when(now, "crossed").otherwise(change)
     )
 
 
@@ -73,6 +76,22 @@ def severity(v: Column) -> Column:
 
 
 def function_verdict(verdicts: list[Column]) -> Column:
-    """The most severe of a function's metric verdicts."""
-    ranked = F.array_sort(F.array(*(F.struct((-severity(v)).alias("s"), v.alias("v")) for v in verdicts)))
-    return F.element_at(ranked, 1)["v"]
+    """The most severe of a function's metric verdicts; null ones, of metrics without a value on either side, don't count."""
+    ranked = F.array_sort(F.filter(F.array(*(F.struct((-severity(v)).alias("s"), v.alias("v")) for v in verdicts)), lambda x: x["v"].isNotNull()))
+    return F.get(ranked, F.lit(0))["v"]
+
+
+def simplicity(chunks: DataFrame, files: DataFrame | None = None, least_classes: int = 2, many_classes: int = 3, trivial: float = 2.0, short: float = 5.0) -> DataFrame:
+    """file, classes, functions, methods, avg_complexity, max_complexity, avg_lines, flagged, reason from chunks (file,
+    symbol_type, complexity, start_line, end_line), for files with two classes or more: many classes whose methods are all
+    but trivial look like too much abstraction. A method without a complexity counts as 1."""
+    own = chunks if files is None else chunks.join(files.select("file").distinct(), "file", "left_semi")
+    is_ = lambda kind: F.col("symbol_type") == kind
+    cost, lines = F.when(is_("method"), F.coalesce("complexity", F.lit(1))), F.when(is_("method"), F.col("end_line") - F.col("start_line") + 1)
+    g = own.groupBy("file").agg(
+        F.count_if(is_("class")).alias("classes"), F.count_if(is_("function")).alias("functions"), F.count_if(is_("method")).alias("methods"),
+        F.coalesce(F.avg(cost), F.lit(0.0)).alias("avg_complexity"), F.coalesce(F.max(cost), F.lit(0)).alias("max_complexity"), F.coalesce(F.avg(lines), F.lit(0.0)).alias("avg_lines"),
+    )
+    flagged = (F.col("methods") > 0) & (F.col("classes") >= many_classes) & (F.col("avg_complexity") <= trivial) & (F.col("avg_lines") <= short)
+    said = F.concat("classes", F.lit(" classes, average method complexity "), F.format_number("avg_complexity", 1), F.lit(" and "), C.half_up(F.col("avg_lines")).cast("long"), F.lit(" lines: too much abstraction?"))
+    return g.withColumn("flagged", flagged).withColumn("reason", F.when(F.col("flagged"), said).otherwise("")).where((F.col("classes") >= least_classes) | F.col("flagged"))

@@ -10,17 +10,67 @@ from codeloom.operators import graph
 from codeloom.operators import imports as I
 from codeloom.plans.registry import query
 from codeloom.sources.adapters import IMPORTS, imports, table
+from codeloom.tables import Scratch
 
 
-def _boundary(text, pattern, leading=None):
-    at, after = f"instr({text}, {pattern})", f"(instr({text}, {pattern}) + length({pattern}))"
-    out = f"({at} > 0 AND length({pattern}) > 0 AND ({at} = 1 OR substr({text}, {at} - 1, 1) = '/') AND ({after} = length({text}) + 1 OR substr({text}, {after}, 1) = '/') AND (contains({pattern}, '/') OR {after} = length({text}) + 1)"
-    return out + (f" AND len(list_filter(string_split(substr({text}, 1, {at} - 1), '/'), lambda x: x <> '')) <= {leading})" if leading is not None else ")")
+def _slashes(x):
+    return f"(length({x}) - length(replace({x}, '/', '')))"
+
+
+def _at(text, pattern):
+    """First occurrence of pattern in text, between slashes or ends."""
+    after = f"(instr({text}, {pattern}) + length({pattern}))"
+    return f"(instr({text}, {pattern}) > 0 AND (instr({text}, {pattern}) = 1 OR substr({text}, instr({text}, {pattern}) - 1, 1) = '/') AND ({after} = length({text}) + 1 OR substr({text}, {after}, 1) = '/'))"
+
+
+def _precise(text, pattern, leading, exact="false"):
+    end = f"(instr({text}, {pattern}) + length({pattern}) = length({text}) + 1)"
+    one = f"({end} AND {_slashes(f'substr({text}, 1, instr({text}, {pattern}) - 1)')} <= {leading})"
+    return f"({_at(text, pattern)} AND CASE WHEN contains({pattern}, '/') THEN {end} OR NOT {exact} ELSE {one} END)"
+
+
+def _python(spec, file):
+    m, own = f"replace({spec}, '.', '/')", f"regexp_replace({file}, '\\.py$', '')"
+    before = f"substr({own}, 1, instr({own}, {m}) - 1)"
+    after = f"substr({own}, instr({own}, {m}) + length({m}), 1)"
+    direct = f"({own} = {m} OR {own} = {m} || '/__init__' OR starts_with({own}, {m} || '/'))"
+    dotted = f"(contains({spec}, '.') AND (ends_with({own}, '/' || {m}) OR ends_with({own}, '/' || {m} || '/__init__') OR (contains({own}, {m}) AND {_slashes(before)} <= 1 AND ({before} = '' OR ends_with({before}, '/')) AND {after} IN ('', '/', '.'))))"
+    return f"(regexp_full_match({spec}, '[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)*') AND ({direct} OR {dotted}))"
+
+
+def _php(spec, file):
+    a, b = (f"list_filter(string_split(lower({x}), '/'), lambda x: x <> '')" for x in (spec, file))
+    return f"(len({a}) > 0 AND len({a}) <= len({b}) AND ({b})[len({b}) - len({a}) + 1:] = {a} AND (len({a}) > 1 OR len({b}) <= 2))"
 
 
 _BARE = "regexp_replace(specifier, '^(\\.\\.?/)+', '')"
-_MATCH = f"(specifier = file OR {_boundary('file', 'specifier')} OR {_boundary('specifier', 'file', 1)} OR (starts_with(specifier, '../') AND ({_BARE} = file OR {_boundary('file', _BARE)})))"
-_EDGES = f"WITH {IMPORTS}, names AS (SELECT DISTINCT specifier FROM specifiers), hit AS (SELECT specifier, file FROM names, part_files WHERE {_MATCH}), edges AS (SELECT DISTINCT importer, file FROM specifiers JOIN hit USING (specifier) WHERE importer <> file) "
+#: Specifiers of these tables have no language, so that the rules of none apply.
+_MATCH = f"(specifier = file OR {_precise('specifier', 'file', 0)} OR {_precise('file', 'specifier', 1)} OR ({_BARE} <> specifier AND ({_at(_BARE, 'file')} OR {_at('file', _BARE)})))"
+_EDGES = f"WITH RECURSIVE {IMPORTS}, names AS (SELECT DISTINCT specifier FROM specifiers), hit AS (SELECT specifier, file FROM names, part_files WHERE {_MATCH}), edges AS (SELECT DISTINCT importer, file FROM specifiers JOIN hit USING (specifier) WHERE importer <> file) "
+
+_CASES = """cases AS (SELECT p_partkey, ['python', 'php', 'ruby', 'swift', 'rust', 'go'][p_partkey % 6 + 1] AS language, 'b' || p_size % 5 AS b, 't' || p_size % 7 AS t, 'm' || p_partkey % 50 AS m, p_size FROM part),
+tried AS (SELECT p_partkey, language, 'src/' || b || '/' || t || '/' || m AS file, CASE (p_partkey // 6) % 10 WHEN 0 THEN t || '.' || m WHEN 1 THEN b || '.' || t WHEN 2 THEN 'src.' || b || '.' || t || '.' || m WHEN 3 THEN upper(b || '/' || t || '/' || m)
+  WHEN 4 THEN b || '/' || t WHEN 5 THEN m WHEN 6 THEN 'mod:src/' || b || '/' || t || CASE WHEN p_size % 2 = 0 THEN '/' || m ELSE '' END WHEN 7 THEN '../' || t || '/' || m WHEN 8 THEN 'src' ELSE t || '/' || m END AS specifier FROM cases)"""
+
+
+def _by_language(spec, file):
+    bare = f"regexp_replace({spec}, '^(\\.\\.?/)+', '')"
+    base = f"({spec} = {file} OR {_precise(spec, file, 0)} OR {_precise(file, spec, 1, "(language = 'ruby')")} OR ({bare} <> {spec} AND ({_at(bare, file)} OR {_at(file, bare)})))"
+    return f"CASE WHEN language = 'swift' AND NOT contains({spec}, '/') THEN false WHEN starts_with({spec}, 'mod:') THEN substr({spec}, 5) = {file} OR substr({spec}, 5) || '/mod' = {file} ELSE {base} OR (language = 'php' AND {_php(spec, file)}) OR (language = 'python' AND {_python(spec, file)}) END"
+
+
+@query("d1_import_predicate", f"WITH {_CASES} SELECT p_partkey, language, specifier, file, {_by_language('specifier', 'file')} AS matches FROM tried")
+def import_predicate(spark, d):
+    """Specifiers of ten shapes in files of six languages against one file each."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    b, t, m = F.concat(F.lit("b"), size % 5), F.concat(F.lit("t"), size % 7), F.concat(F.lit("m"), k % 50)
+    language = F.element_at(F.array(*(F.lit(x) for x in ("python", "php", "ruby", "swift", "rust", "go"))), (k % 6 + 1).cast("int"))
+    file = F.concat_ws("/", F.lit("src"), b, t, m)
+    shapes = [F.concat_ws(".", t, m), F.concat_ws(".", b, t), F.concat_ws(".", F.lit("src"), b, t, m), F.upper(F.concat_ws("/", b, t, m)), F.concat_ws("/", b, t), m,
+              F.concat(F.lit("mod:src/"), F.concat_ws("/", b, t, F.when(size % 2 == 0, m))), F.concat_ws("/", F.lit(".."), t, m), F.lit("src"), F.concat_ws("/", t, m)]
+    spec = F.element_at(F.array(*shapes), (F.floor(k / 6) % 10 + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", language.alias("language"), spec.alias("specifier"), file.alias("file"))
+    return rows.withColumn("matches", paths.import_matches(F.col("specifier"), F.col("file"), F.col("language")))
 
 
 def _edges(spark, d):
@@ -57,17 +107,26 @@ def uncovered_dependents(spark, d):
     return I.uncovered_dependents(_edges(spark, d)[0], F.col("importer").rlike(r"[05]\z"))
 
 
-@query("g7_blast_risk", _UNC + "SELECT n.file, CASE WHEN n > 50 THEN 'critical' WHEN n % 4 = 3 AND n > 20 THEN 'critical' WHEN n > 20 THEN 'high' WHEN n % 4 = 3 THEN 'high' WHEN n > 5 THEN 'medium' WHEN coalesce(uncovered, 0) > 0 THEN 'medium' ELSE 'low' END AS risk FROM n LEFT JOIN u ON u.file = n.file")
+_BOOST = "['low', 'medium', 'high', 'critical'][1 + n.n % 4]"
+_LEVEL = "CASE WHEN n.n > 50 THEN 4 WHEN hot AND n.n > 20 THEN 4 WHEN n.n > 20 THEN 3 WHEN hot THEN 3 WHEN n.n > 5 THEN 2 WHEN unc > 0 THEN 2 ELSE 1 END"
+
+
+@query("g7_blast_risk", _UNC + f""", x AS (SELECT n.file, n.n, coalesce(uncovered, 0) AS unc, n.n % 7 = 3 AS hot, length(n.file) % 30 AS top FROM n LEFT JOIN u ON u.file = n.file),
+v AS (SELECT *, {_LEVEL.replace('n.n', 'n')} AS own, greatest(1, n % 4) AS floor FROM x)
+SELECT file, ['low', 'medium', 'high', 'critical'][greatest(own, floor)] AS risk, array_to_string(list_filter([CASE WHEN n = 1 THEN '1 caller' WHEN n > 1 THEN n || ' callers' END, CASE WHEN unc > 0 THEN unc || ' untested' END,
+  CASE WHEN top > 0 THEN 'max complexity ' || top END, CASE WHEN hot THEN 'untested high-complexity dependent' END, CASE WHEN floor > own THEN ['low', 'medium', 'high', 'critical'][1 + n % 4] || '-complexity dependent regardless of test coverage' END], lambda t: t IS NOT NULL), ', ') AS reasons FROM v""")
 def blast_risk(spark, d):
+    """The boost, the hot mark and the largest complexity are made up; counts and coverage come from the edges."""
     e, files = _edges(spark, d)
-    n = I.dependent_counts(e, files).join(I.uncovered_dependents(e, F.col("importer").rlike(r"[05]\z")), "file", "left")
-    return n.select("file", C.blast_risk(F.col("dependents"), F.coalesce("uncovered", F.lit(0)), F.col("dependents") % 4 == 3).alias("risk"))
+    x = I.dependent_counts(e, files).join(I.uncovered_dependents(e, F.col("importer").rlike(r"[05]\z")), "file", "left")
+    n, unc, hot, top = F.col("dependents"), F.coalesce("uncovered", F.lit(0)), F.col("dependents") % 7 == 3, F.length("file") % 30
+    boost = C.risk_name(n % 4 + 1)
+    return x.select("file", C.blast_risk(n, unc, hot, boost).alias("risk"), F.array_join(C.blast_reasons(n, unc, hot, top, boost), ", ").alias("reasons"))
 
 
-_BFS = """, r0 AS (SELECT file AS seed, file AS node, 0 AS hops FROM part_files WHERE key <= 20),
-r1 AS (SELECT DISTINCT seed, importer AS node, 1 AS hops FROM r0 JOIN edges ON edges.file = node WHERE importer <> seed),
-r2 AS (SELECT DISTINCT seed, importer AS node, 2 AS hops FROM r1 JOIN edges ON edges.file = node WHERE importer <> seed AND (seed, importer) NOT IN (SELECT (seed, node) FROM r1)),
-r AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2) """
+_BFS = """, r1 AS (SELECT DISTINCT file AS seed, importer AS node FROM edges WHERE importer <> file),
+r2 AS (SELECT DISTINCT r1.seed, e.importer AS node FROM r1 JOIN edges e ON e.file = r1.node WHERE e.importer <> r1.seed EXCEPT SELECT seed, node FROM r1),
+r AS (SELECT seed, node, 1 AS hops FROM r1 UNION ALL SELECT seed, node, 2 AS hops FROM r2) """
 
 
 def _reached(spark, d):
@@ -90,15 +149,16 @@ def blast_radius(spark, d):
     return _reached(spark, d).groupBy("seed").agg(F.count("*").alias("reached"), F.max("hops").alias("deepest"))
 
 
-@query("x2_reexports", _EDGES + """, barrel AS (SELECT DISTINCT file FROM part_files WHERE key % 9 = 0), via AS (SELECT DISTINCT e1.file AS target, e2.importer AS node FROM edges e1 JOIN barrel b ON e1.importer = b.file JOIN edges e2 ON e2.file = e1.importer WHERE e2.importer <> e1.file)
-SELECT v.target, v.node FROM via v WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.file = v.target AND e.importer = v.node)""")
+@query("x2_reexports", _EDGES + """, passing AS (SELECT e.importer AS barrel, e.file FROM edges e JOIN part_files p ON p.file = e.importer WHERE p.key % 9 = 0),
+b1 AS (SELECT DISTINCT file AS target, barrel FROM passing WHERE barrel <> file), b2 AS (SELECT DISTINCT target, p.barrel FROM b1 JOIN passing p ON p.file = b1.barrel WHERE p.barrel <> target), b3 AS (SELECT DISTINCT target, p.barrel FROM b2 JOIN passing p ON p.file = b2.barrel WHERE p.barrel <> target),
+c AS (SELECT * FROM b1 UNION SELECT * FROM b2 UNION SELECT * FROM b3) SELECT DISTINCT c.target, e.importer AS node FROM c JOIN edges e ON e.file = c.barrel WHERE e.importer <> c.target EXCEPT SELECT file, importer FROM edges""")
 def reexports(spark, d):
-    """Dependents that only a re-exporting file brings."""
+    """Dependents that only chains of re-exporting files bring, at most three of them."""
     e, files = _edges(spark, d)
-    barrel = files.where(F.regexp_extract("file", r"/m(\d+)\z", 1).cast("int") % 9 == 0).select(F.col("file").alias("importer"))
-    first = e.join(barrel, "importer").select(F.col("file").alias("target"), F.col("importer").alias("file"))
-    via = first.join(e, "file").select("target", F.col("importer").alias("node")).where("target <> node").distinct()
-    return via.join(e.select(F.col("file").alias("target"), F.col("importer").alias("node")), ["target", "node"], "left_anti")
+    scratch = Scratch(spark, "reexports")
+    e = scratch.table(e, "edges")
+    passing = e.where(F.regexp_extract("importer", r"/m(\d+)\z", 1).cast("int") % 9 == 0).select(F.col("importer").alias("barrel"), "file")
+    return graph.reexport_dependents(e, passing, 3, scratch)
 
 
 _CALLS = _EDGES + """, calls AS (SELECT DISTINCT f.file, 'fn' || (l_suppkey % 300) AS symbol FROM lineitem JOIN part_files f ON f.key = l_partkey), defs AS (SELECT DISTINCT file AS callee, 'fn' || (key % 300) AS symbol FROM part_files),
@@ -156,8 +216,11 @@ def normalized_paths(spark, d):
     return table(spark, d, "part").select("p_partkey", paths.normalize(raw).alias("path"))
 
 
-@query("d8_relative_imports", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a/b/m' || p_partkey WHEN 1 THEN 'a/m' || p_partkey ELSE 'm' || p_partkey END AS path FROM part")
+@query("d8_relative_imports", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'a/b/m' || p_partkey WHEN 1 THEN 'a/m' || p_partkey WHEN 2 THEN 'm' || p_partkey WHEN 3 THEN 'packages/core/src/index.ts' WHEN 4 THEN '@scope/core/m' || p_partkey ELSE 'a/b' END AS path FROM part")
 def relative_imports(spark, d):
+    """Relative specifiers of three depths, a workspace package, a path below one, and the importer's own folder."""
     k = F.col("p_partkey")
-    spec = F.concat(F.when(k % 3 == 0, "./").when(k % 3 == 1, "../").otherwise("../../"), F.lit("m"), k)
-    return table(spark, d, "part").select("p_partkey", paths.resolve_relative(F.lit("a/b/c.ts"), spec).alias("path"))
+    shapes = [F.concat(F.lit("./m"), k), F.concat(F.lit("../m"), k), F.concat(F.lit("../../m"), k), F.lit("@scope/core"), F.concat(F.lit("@scope/core/m"), k), F.lit(".")]
+    spec = F.element_at(F.array(*shapes), (k % 6 + 1).cast("int"))
+    resolved = paths.resolve_workspace(paths.resolve_relative(F.lit("a/b/c.ts"), spec), {"@scope/core": "packages/core/src/index.ts"})
+    return table(spark, d, "part").select("p_partkey", resolved.alias("path"))

@@ -58,10 +58,20 @@ def headroom(spark, d):
     return metrics.headroom(functions(spark, d)).select("file", "symbol", "rank", "overflow")
 
 
-@query("g20_simplicity", _F + "SELECT file, count(*)::BIGINT AS methods, count(DISTINCT orderkey)::BIGINT AS classes, floor(avg(cyclomatic) * 10 + 0.5) / 10 AS avg, max(cyclomatic) AS max, count(DISTINCT orderkey) >= 3 AND avg(cyclomatic) <= 25 AND max(cyclomatic) <= 50 AS flagged FROM functions GROUP BY file")
+_SHAPES = "shapes AS (SELECT 'f' || (l_orderkey % 600) AS file, ['class', 'function', 'method', 'method'][l_linenumber % 4 + 1] AS symbol_type, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE (l_suppkey % (2 + l_orderkey % 3))::INT + 1 END AS complexity, l_linenumber AS start_line, (l_linenumber + l_partkey % (3 + 2 * (l_orderkey % 5)))::INT AS end_line FROM lineitem WHERE l_orderkey % 600 < 400)"
+
+
+@query("g20_simplicity", f"""WITH {_SHAPES}, g AS (SELECT file, count(*) FILTER (WHERE symbol_type = 'class')::BIGINT AS classes, count(*) FILTER (WHERE symbol_type = 'function')::BIGINT AS functions, count(*) FILTER (WHERE symbol_type = 'method')::BIGINT AS methods,
+  coalesce(avg(coalesce(complexity, 1)) FILTER (WHERE symbol_type = 'method'), 0)::DOUBLE AS mean, coalesce(max(coalesce(complexity, 1)) FILTER (WHERE symbol_type = 'method'), 0)::INT AS max_complexity, coalesce(avg(end_line - start_line + 1) FILTER (WHERE symbol_type = 'method'), 0)::DOUBLE AS lines FROM shapes GROUP BY file),
+f AS (SELECT *, methods > 0 AND classes >= 3 AND mean <= 2 AND lines <= 5 AS flagged FROM g) SELECT file, classes, functions, methods, round(mean, 9) AS avg_complexity, max_complexity, round(lines, 9) AS avg_lines, flagged FROM f WHERE classes >= 2 OR flagged""")
 def simplicity(spark, d):
-    g = functions(spark, d).groupBy("file").agg(F.count("*").alias("methods"), F.countDistinct("orderkey").alias("classes"), F.avg("cyclomatic").alias("m"), F.max("cyclomatic").alias("max"))
-    return g.select("file", "methods", "classes", C.half_up(F.col("m"), 1).alias("avg"), "max", ((F.col("classes") >= 3) & (F.col("m") <= 25) & (F.col("max") <= 50)).alias("flagged"))
+    """Chunks of many small classes made from order lines."""
+    li, o, n = table(spark, d, "lineitem"), F.col("l_orderkey"), F.col("l_linenumber")
+    kind = F.element_at(F.array(F.lit("class"), F.lit("function"), F.lit("method"), F.lit("method")), (n % 4 + 1).cast("int"))
+    cost = F.when(F.col("l_suppkey") % 9 != 0, (F.col("l_suppkey") % (2 + o % 3)).cast("int") + 1)
+    chunks = li.where(o % 600 < 400).select(F.concat(F.lit("f"), o % 600).alias("file"), kind.alias("symbol_type"), cost.alias("complexity"), n.alias("start_line"), (n + F.col("l_partkey") % (3 + 2 * (o % 5))).cast("int").alias("end_line"))
+    out = metrics.simplicity(chunks)
+    return out.select("file", "classes", "functions", "methods", F.round("avg_complexity", 9).alias("avg_complexity"), "max_complexity", F.round("avg_lines", 9).alias("avg_lines"), "flagged")
 
 
 _PAIR = """WITH li AS (SELECT l_orderkey % 500 AS file, l_suppkey % 20 AS symbol, l_orderkey, l_linenumber, l_partkey, l_linestatus, floor(l_quantity) AS q, floor(l_extendedprice) AS p FROM lineitem),
@@ -71,10 +81,11 @@ j AS (SELECT coalesce(b.file, a.file) AS file, coalesce(b.symbol, a.symbol) AS s
 
 
 def _verdict_sql(b, a, t):
-    return f"CASE WHEN {a} IS NULL THEN 'removed' WHEN {b} IS NULL AND {a} >= {t} THEN 'new_over' WHEN {b} IS NULL THEN 'new_under' WHEN {b} < {t} AND {a} >= {t} THEN 'crossed' WHEN {b} >= {t} AND {a} = {b} THEN 'pre_existing' WHEN {a} < {b} THEN 'improved' WHEN {a} > {b} THEN 'worsened' ELSE 'unchanged' END"
+    standing = f"CASE WHEN {a} < {b} THEN CASE WHEN {a} < {t} THEN 'improved' ELSE 'pre_existing' END WHEN {a} > {b} THEN 'pre_existing' ELSE 'unchanged' END"
+    return f"CASE WHEN {a} IS NULL THEN 'removed' WHEN {b} IS NULL THEN CASE WHEN {a} >= {t} THEN 'new_over' ELSE 'new_under' END WHEN {b} < {t} AND {a} >= {t} THEN 'crossed' WHEN {b} >= {t} THEN {standing} WHEN {a} > {b} THEN 'worsened' WHEN {a} < {b} THEN 'improved' ELSE 'unchanged' END"
 
 
-_ORDER = "['crossed', 'new_over', 'worsened', 'pre_existing', 'improved', 'new_under', 'removed', 'unchanged']"
+_ORDER = "['crossed', 'new_over', 'pre_existing', 'worsened', 'new_under', 'improved', 'unchanged', 'removed']"
 _PAIRED = _PAIR + f"k AS (SELECT file, symbol, ordinal, {_verdict_sql('bq', 'aq', 30)} AS vq, {_verdict_sql('bp', 'ap', 60000)} AS vp FROM j), w AS (SELECT file, symbol, ordinal, vq, vp, CASE WHEN list_position({_ORDER}, vq) <= list_position({_ORDER}, vp) THEN vq ELSE vp END AS verdict FROM k) "
 
 
@@ -93,7 +104,7 @@ def paired_functions(spark, d):
 
 @query("m16_regressions", _PAIRED + "SELECT file, count(*)::BIGINT AS regressions FROM w WHERE verdict IN ('crossed', 'new_over') GROUP BY file")
 def regressions(spark, d):
-    return _paired(spark, d).where(F.col("verdict").isin("crossed", "new_over")).groupBy("file").agg(F.count("*").alias("regressions"))
+    return _paired(spark, d).where(F.col("verdict").isin(*metrics.FAILING)).groupBy("file").agg(F.count("*").alias("regressions"))
 
 
 @query("g13_delta_summary", _PAIRED + "SELECT verdict, count(*)::BIGINT AS functions FROM w WHERE verdict <> 'unchanged' GROUP BY verdict")

@@ -17,7 +17,7 @@ def _patches(spark, d):
     return table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file"), F.concat(F.lit(_HEAD), F.array_join(signed, "\n")).alias("patch"))
 
 
-_DIFF = """l0 AS (SELECT source || '/' || doc_id || '.md' AS file, string_split(coalesce(text, ''), chr(10))[1:40] AS lines FROM documents),
+_DIFF = """l0 AS (SELECT source || '/' || doc_id || '.md' AS file, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l1 AS (SELECT file, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS i FROM l0),
 diff AS (SELECT file, text, CASE i % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END AS sign, CASE WHEN i % 4 <> 1 THEN (9 + sum(CASE WHEN i % 4 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY i))::BIGINT END AS line FROM l1)"""
 

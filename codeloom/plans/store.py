@@ -76,11 +76,15 @@ def path_hint(spark, d):
     return store.path_hint(chunks(spark, d), "SRC1/").select(*_SMALL)
 
 
-@query("b9_test_files", "SELECT file, regexp_matches(file, '(?i)\\.(test|spec)\\.[a-z]+$') OR regexp_matches(file, '(^|/)test_[^/]*\\.py$') OR regexp_matches(file, '_(test|spec)\\.[a-z]+$') OR regexp_matches(file, '(?i)(^|/)(__tests__|tests?|spec)/') OR regexp_matches(file, '(^|/)[^/]*Tests?\\.(swift|cs|java|kt)$') AS is_test FROM (SELECT CASE p_partkey % 5 WHEN 0 THEN 'src/' || p_partkey || '.test.ts' WHEN 1 THEN 'pkg/test_' || p_partkey || '.py' WHEN 2 THEN 'tests/' || p_partkey || '.go' WHEN 3 THEN 'a/B' || p_partkey || 'Test.java' ELSE 'src/latest/' || p_partkey || '.ts' END AS file FROM part)")
+_NAMES = ("src/{k}.test.ts", "pkg/test_{k}.py", "tests/{k}.go", "a/B{k}Test.java", "src/latest/{k}.ts", "lib/specs/{k}.rb", "a\\__tests__\\{k}.js", "Src/UnitTests/{k}.cs", "App/F{k}Tests.swift", "F{k}Tests.ts", "m{k}.test.d.ts", "m{k}_spec.rb")
+_IS_TEST = r"regexp_matches(file, '\.(test|spec)\.[^/]+$') OR regexp_matches(file, '_(test|spec)\.[^/]+$') OR regexp_matches(file, '(?i)(^|[/\\])(test|tests|spec|specs|__tests__)[/\\]') OR (ends_with(file, '.swift') AND (regexp_matches(file, 'Tests?\.swift$') OR regexp_matches(file, '(^|[/\\])Tests?[/\\]'))) OR (ends_with(file, '.cs') AND (regexp_matches(file, 'Tests?\.cs$') OR regexp_matches(file, '(^|[/\\])[^/\\]*Tests[/\\]')))"
+
+
+@query("b9_test_files", "SELECT file, " + _IS_TEST + " AS is_test FROM (SELECT replace([" + ", ".join(f"'{n}'" for n in _NAMES) + "][p_partkey % 12 + 1], '{k}', p_partkey::VARCHAR) AS file FROM part)")
 def test_files(spark, d):
     k = F.col("p_partkey")
-    file = F.when(k % 5 == 0, F.concat(F.lit("src/"), k, F.lit(".test.ts"))).when(k % 5 == 1, F.concat(F.lit("pkg/test_"), k, F.lit(".py"))).when(k % 5 == 2, F.concat(F.lit("tests/"), k, F.lit(".go"))).when(k % 5 == 3, F.concat(F.lit("a/B"), k, F.lit("Test.java"))).otherwise(F.concat(F.lit("src/latest/"), k, F.lit(".ts")))
-    return table(spark, d, "part").select(file.alias("file")).withColumn("is_test", C.is_test_file(F.col("file")))
+    name = F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (k % len(_NAMES) + 1).cast("int"))
+    return table(spark, d, "part").select(F.replace(name, F.lit("{k}"), k.cast("string")).alias("file")).withColumn("is_test", C.is_test_file(F.col("file")))
 
 
 @query("b10_any_file", _BASE + _TAIL + "chunks WHERE file = '12.md' OR ends_with(file, '/12.md') OR file = 'src3/3.md' OR ends_with(file, '/src3/3.md')")
@@ -187,7 +191,7 @@ def line_windows(spark, d):
     return chunks(spark, d).select("file", "start_line", "end_line", F.sha2("content", 256).alias("sha"))
 
 
-@query("h_symbol_tokens", _BASE + """SELECT id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(symbol_name || 'HTTPServer2Go_x', '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS tokens FROM chunks""")
+@query("h_symbol_tokens", _BASE + """SELECT id, lower(array_to_string(list_transform(regexp_extract_all(symbol_name || 'HTTPServer2Go_x', '[A-Z]+[a-z]*|[a-z]+|[0-9]+'), lambda x: regexp_replace(x, '^([A-Z]+)([A-Z][a-z]+)$', '\\1 \\2')), ' ')) AS tokens FROM chunks""")
 def symbol_tokens(spark, d):
     return chunks(spark, d).select("id", C.symbol_tokens(F.concat("symbol_name", F.lit("HTTPServer2Go_x"))).alias("tokens"))
 

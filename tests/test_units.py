@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.chunkers import files as ch
 from codeloom.engine import Engine
 from codeloom.functions import columns as C
-from codeloom.functions import paths
-from codeloom.operators import events, imports, metrics, signals, store
+from codeloom.operators import events, metrics, signals, store
 from codeloom.streaming.changes import Snapshots, change_stream, index_stream
 
 
@@ -37,41 +36,40 @@ def test_bands_and_rounding(spark):
     assert values(spark, [(-2.5,), (2.5,), (0.25,)], "r double", C.half_up(F.col("r"))) == [-2.0, 3.0, 0.0]
 
 
-@pytest.mark.parametrize(("before", "after", "want"), [(None, 15, "new_over"), (None, 14, "new_under"), (15, None, "removed"), (14, 15, "crossed"), (15, 15, "pre_existing"), (16, 15, "improved"), (15, 16, "worsened"), (14, 14, "unchanged"), (13, 14, "worsened")])
+@pytest.mark.parametrize(("before", "after", "want"), [(None, 14, "new_under"), (None, 15, "new_over"), (None, 16, "new_over"), (14, None, "removed"), (15, None, "removed"), (14, 14, "unchanged"), (14, 15, "crossed"), (14, 16, "crossed"), (15, 14, "improved"), (15, 15, "unchanged"), (15, 16, "pre_existing"), (16, 14, "improved"), (16, 15, "pre_existing"), (16, 16, "unchanged"), (20, 18, "pre_existing"), (18, 20, "pre_existing"), (13, 14, "worsened"), (14, 13, "improved")])
 def test_verdicts(spark, before, after, want):
     assert values(spark, [(before, after)], "b int, a int", metrics.verdict(F.col("b"), F.col("a"), 15)) == [want]
 
 
-@pytest.mark.parametrize(
-    ("specifier", "target", "language", "want"),
-    [
-        ("src/a/b", "src/a/b", "typescript", True), ("b", "src/a/b", "typescript", True), ("a", "src/a/b", "typescript", False), ("a/b", "src/a/b", "typescript", True),
-        ("../b", "src/b", "typescript", True), ("lib/src/b", "src/b", "typescript", True), ("x/y/src/b", "src/b", "typescript", False), ("ab", "src/xab", "typescript", False),
-        ("pkg.mod", "src/pkg/mod", "python", True), ("pkg.mod", "pkg/mod/__init__", "python", True), ("mod", "a/b/mod", "python", True), ("App\\Models\\User", "src/app/models/user", "php", True),
-        ("User", "models/user", "php", True), ("User", "src/app/models/user", "php", False), ("Logging", "Sources/Logging", "swift", False), ("mod:util", "src/util", "rust", True), ("mod:util", "src/util/mod", "rust", True), ("mod:util", "src/futil", "rust", False), ("", "a", "typescript", False),
-    ],
-)
-def test_import_predicate(spark, specifier, target, language, want):
-    column = paths.import_matches(F.col("s"), F.col("t"), F.col("l"))
-    assert values(spark, [(specifier, target, language)], "s string, t string, l string", F.coalesce(column, F.lit(False))) == [want]
+def test_most_severe_verdict(spark):
+    rows = [("improved", "worsened", "worsened"), ("removed", "removed", "removed"), ("pre_existing", "worsened", "pre_existing"), ("new_under", "new_over", "new_over"), ("crossed", "new_over", "crossed"), (None, "unchanged", "unchanged"), (None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, want string").select("want", metrics.function_verdict([F.col("a"), F.col("b")]).alias("got"))
+    assert all(r["want"] == r["got"] for r in df.collect())
 
 
-def test_first_occurrence_only(spark):
-    assert values(spark, [("xa/b/c/a/b", "a/b")], "t string, p string", paths.at_boundary(F.col("t"), F.col("p"))) == [False]
+def test_blast_floor_and_reasons(spark):
+    rows = [(0, 0, False, 0, None, "low", ""), (1, 1, False, 0, "low", "medium", "1 caller, 1 untested"), (14, 3, True, 18, None, "high", "14 callers, 3 untested, max complexity 18, untested high-complexity dependent"), (2, 0, False, 31, "critical", "high", "2 callers, max complexity 31, critical-complexity dependent regardless of test coverage"), (2, 0, False, 12, "high", "medium", "2 callers, max complexity 12, high-complexity dependent regardless of test coverage"), (21, 0, False, 0, "critical", "high", "21 callers"), (51, 0, True, 0, "critical", "critical", "51 callers, untested high-complexity dependent")]
+    n, u, c, t, b = (F.col(x) for x in "nuctb")
+    df = spark.createDataFrame(rows, "n int, u int, c boolean, t int, b string, want string, why string")
+    for r in df.select("want", "why", C.blast_risk(n, u, c, b).alias("got"), F.array_join(C.blast_reasons(n, u, c, t, b), ", ").alias("said")).collect():
+        assert (r["got"], r["said"]) == (r["want"], r["why"])
 
 
-def test_relative_paths(spark):
-    rows = [("a/b/c.ts", "./x"), ("a/b/c.ts", "../x"), ("a/b/c.ts", "../../../x")]
-    assert values(spark, rows, "i string, s string", paths.resolve_relative(F.col("i"), F.col("s"))) == ["a/b/x", "a/x", "x"]
+def test_simplicity_borders(spark):
+    def rows(file, classes, methods):
+        return [(file, "class", None, 1, 9)] * classes + [(file, "method", c, 1, n) for c, n in methods]
 
+    df = spark.createDataFrame(rows("a", 3, [(2, 5)]) + rows("b", 3, [(3, 5)]) + rows("c", 3, [(2, 6)]) + rows("d", 2, [(1, 1)]) + rows("e", 1, [(1, 1)]) + rows("f", 4, []) + rows("g", 3, [(None, 4), (3, 6)]), "file string, symbol_type string, complexity int, start_line int, end_line int")
+    assert {r["file"]: r["flagged"] for r in metrics.simplicity(df).collect()} == {"a": True, "b": False, "c": False, "d": False, "f": False, "g": True}
 
-def test_blocking_equals_brute_force(spark):
-    names = [f"src/p{i % 3}/q{i % 4}/m{i}" for i in range(24)]
-    spec = [(n, s) for i, n in enumerate(names) for s in (names[(i * 5) % 24], "/".join(names[(i * 7) % 24].split("/")[-2:]), "../" + names[i - 1].split("/")[-1], f"root/{names[i - 3]}", f"m{i}", "")]
-    files, specs = spark.createDataFrame([(n,) for n in names], "file string"), spark.createDataFrame(spec, "importer string, specifier string")
-    a, b = imports.import_edges(specs, files), imports.import_edges_brute(specs, files)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert a.count() > 20
+
+def test_hash_of_large_files_goes_by_bytes(spark):
+    import hashlib
+
+    for text in ("ü" * 600_000 + "end", "x" * (1 << 20), "x" * ((1 << 20) + 1), "small ü"):
+        raw = text.encode()
+        want = "L" + hashlib.sha256(raw[:8192] + raw[-8192:] + str(len(raw)).encode()).hexdigest()[:15] if len(raw) > 1 << 20 else hashlib.sha256(raw).hexdigest()[:16]
+        assert values(spark, [(text,)], "t string", C.content_hash(F.col("t"))) == [want]
 
 
 def test_unsafe_patterns():

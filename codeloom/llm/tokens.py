@@ -43,8 +43,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.added = re.compile(added, re.IGNORECASE).search if added else lambda text: None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        assert not any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()), "added tokens are looked for in the raw text"
         self.find = (_BYTE_LEVEL if spaces else _WORD_LEVEL).findall
         self.spaces, self.limit, self.model = spaces, limit, self.tokenizer.model
         self.memo: dict[str, bytes] = {}
@@ -69,7 +69,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit bytes; null and empty texts have none."""
         out = []
         for t in texts:
-            if not t or not _KNOWN.fullmatch(t) or self.added(t):
+            if not t or any(map(t.__contains__, self.added)) or not _KNOWN.fullmatch(t):
                 out.append(self._encode(t) if t else b"")
                 continue
             pieces = self.find(t)

@@ -3,6 +3,7 @@
 Layout below one folder of the shared file system, all of it Parquet written by Spark:
 
 * ``objects/kind=chunks``: ``key`` (sha256 of the bytes), ``data`` (little-endian unsigned 16- or 32-bit ids), each key once;
+  beside them ``kind=recipes``, the recipes as tasks sent them, each under a key of its own;
 * ``recipes/part=K``: ``doc_id, start, n_tokens, root, hashes`` in ascending doc_id order, within a part and from part to
   part; ``start`` counts the ids of all documents before, ``hashes`` has 32 bytes for each chunk, ``root`` is their Merkle root;
 * ``parts``: ``part, start, documents, n_tokens, root``, one row a part, its root over the rows of the part in their order;
@@ -39,11 +40,9 @@ def rolling_cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    h = _GEAR[(ids.astype(np.uint64) & 0xFFFF).astype(np.int64)]
+    h = _GEAR.take(ids, mode="wrap")
     for k in (1, 2, 4, 8, 16):  # h[i] becomes the sum of gear[i-j] << j for j < 2k
-        shifted = np.zeros_like(h)
-        shifted[k:] = h[:-k] << np.uint32(k)
-        h = h + shifted
+        h[k:] += h[:-k] << np.uint32(k)
     ends, at = [], 0
     for c in (np.flatnonzero((h & np.uint32(MASK << 16)) == 0) + 1).tolist():
         while c - at > MOST:
@@ -133,6 +132,19 @@ def crc_concat(parts: Iterable[tuple[int, int]]) -> int:
     return crc
 
 
+def followed_by_zeros(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What so many zero bytes behind it make of each CRC-32 (without its part for them): a concatenation's CRC is the
+    exclusive or of its parts' CRCs, each followed by as many zeros as bytes come after it."""
+    out, k = crcs.astype(np.uint32), 0
+    while (lengths >> k).any():
+        some = np.flatnonzero(lengths >> k & 1)
+        t0, t1, t2, t3 = (np.array(t, np.uint32) for t in _zero_tables(k))
+        x = out[some]
+        out[some] = t0[x & 255] ^ t1[x >> 8 & 255] ^ t2[x >> 16 & 255] ^ t3[x >> 24]
+        k += 1
+    return out
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, spaces: bool = False, width: int = 2) -> None:
     """Writes the chunks, recipes and manifests of every whole text of docs (doc_id, text) below folder.
 
@@ -144,17 +156,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, s
     store = f"<u{width}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sent = encoder(tokenizer, spaces), set()
+        enc, sent, task, n_recipes = encoder(tokenizer, spaces), set(), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
-                rows = {k: [] for k in ("kind", "key", "doc_id", "n", "data")}
-
-                def add(kind, key, doc, n, data, rows=rows):
-                    for k, v in zip(rows, (kind, key, doc, n, data), strict=True):
-                        rows[k].append(v)
-
+                rows: list[tuple] = []
                 for doc, raw in zip(ids, enc.batch(texts), strict=True):
                     tokens = np.frombuffer(raw + end, "<u4")
                     small, hashes, a = tokens.astype(store), [], 0
@@ -166,26 +173,18 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, s
                             if len(sent) > 400_000:
                                 sent.clear()
                             sent.add(h[:16])
-                            add("chunks", h, None, b - a, data)
+                            rows.append(("chunks", h, None, b - a, data))
                         a = b
-                    add("recipes", merkle_root(hashes), doc, len(tokens), b"".join(hashes))
-                yield pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.string()), pa.array(rows["key"], pa.binary()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["data"], pa.binary())], names=list(rows))
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            kinds, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for kind, key in zip(kinds, keys, strict=True):
-                keep.append(kind == "recipes" or key != last)
-                last = key if kind == "chunks" else last
-            yield batch.filter(pa.array(keep))
+                    rows.append(("recipes", merkle_root(hashes) + struct.pack(">IQ", task, n_recipes), doc, len(tokens), b"".join(hashes)))
+                    n_recipes += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "doc_id", "n", "data"])
 
     schema = "kind string, key binary, doc_id long, n long, data binary"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
-    deal = F.when(F.col("kind") == "chunks", F.hash("key")).otherwise(F.hash("key", "doc_id"))  # copies have one root but many recipes
-    dealt = rows.repartition(partitions(docs), deal).sortWithinPartitions("kind", "key")
-    dealt.mapInArrow(once, schema).write.option("compression", "snappy").partitionBy("kind").parquet(f"{folder}/objects")
+    # Copies of a chunk from several tasks are neighbours after the sort that the write by kind needs; a recipe's key is its own.
+    same = Window.partitionBy("kind", "key").orderBy("kind", "key")
+    dealt = rows.repartition(partitions(docs), "kind", "key").withColumn("again", F.lag(F.lit(1)).over(same)).where("again IS NULL").drop("again")
+    dealt.write.option("compression", "snappy").partitionBy("kind").parquet(f"{folder}/objects")
     _write_recipes(docs.sparkSession, folder, partitions(docs))
 
 
@@ -197,7 +196,7 @@ def _write_recipes(spark, folder: str, ranges: int) -> None:
     """Recipes range-partitioned and sorted by doc_id, with their starts, and the manifests over them.
 
     Each range sums up its ids and hashes its rows as they stream by; one row for each range sets where it starts."""
-    raw = spark.read.schema(_OBJECTS).parquet(f"{folder}/objects").where("kind = 'recipes'").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("hashes"))
+    raw = spark.read.schema(_OBJECTS).parquet(f"{folder}/objects").where("kind = 'recipes'").select("doc_id", F.col("n").alias("n_tokens"), F.substring("key", 1, 32).alias("root"), F.col("data").alias("hashes"))
     order = F.col("doc_id").asc_nulls_first(), F.col("root")
     ranged = raw.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
@@ -299,21 +298,55 @@ def read_store(spark, folder: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(at, pa.int32()), pa.array(hashes, pa.binary())], names=["root", "at", "hash"])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Steps sorted by (root, at); a step that two tasks sent comes twice and counts once."""
+        last, tree, crc, size, sound = None, Merkle(), 0, 0, True  # of the recipe that is open
+        out: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["root", "ids_crc32", "built", "good"])
+            out.clear()
+            return done
+
         for batch in batches:
-            out = {"root": [], "ids_crc32": [], "built": [], "good": []}
-            for root, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ordered = list({p["at"]: p for p in sorted(parts, key=lambda p: p["at"])}.values())
-                out["root"].append(root)
-                out["ids_crc32"].append(crc_concat((p["crc"] or 0, 4 * (p["n"] or 0)) for p in ordered))
-                out["built"].append(sum(p["n"] or 0 for p in ordered))
-                out["good"].append(all(p["good"] for p in ordered) and merkle_root([p["hash"] for p in ordered]) == root)
-            yield pa.RecordBatch.from_arrays([pa.array(out["root"], pa.binary()), pa.array(out["ids_crc32"], pa.int64()), pa.array(out["built"], pa.int64()), pa.array(out["good"], pa.bool_())], names=list(out))
+            roots, ats, hashes, crcs, sizes, goods = (c.to_pylist() for c in batch.columns)
+            steps = [i for i in range(len(roots)) if (roots[i], ats[i]) != ((roots[i - 1], ats[i - 1]) if i else last)]
+            if not steps:
+                continue
+            last_root = last and last[0]
+            last = roots[-1], ats[-1]
+            first = [j for j, i in enumerate(steps) if (roots[i] != roots[steps[j - 1]] if j else roots[i] != last_root)]
+            bounds = sorted({0, *first}) + [len(steps)]
+            n_bytes = np.array([4 * (sizes[i] or 0) for i in steps], np.int64)
+            upto = np.cumsum(n_bytes)
+            ends = np.repeat([upto[b - 1] for b in bounds[1:]], np.diff(bounds))
+            shifted = followed_by_zeros(np.array([crcs[i] or 0 for i in steps], np.uint32), ends - upto)
+            starts_new = set(first)
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a in starts_new:
+                    if last_root is not None:
+                        out.append((last_root, crc, size, sound and tree.root() == last_root))
+                    tree, crc, size, sound = Merkle(), 0, 0, True
+                part = int(np.bitwise_xor.reduce(shifted[a:b]))
+                length = int(n_bytes[a:b].sum())
+                crc = crc_concat(((crc, 0), (part, length))) if crc else part
+                size += length // 4
+                for i in steps[a:b]:
+                    tree.add(hashes[i])
+                    sound = sound and bool(goods[i])
+                last_root = roots[steps[a]]
+            if out:
+                yield emit()
+        if last is not None:
+            out.append((last[0], crc, size, sound and tree.root() == last[0]))
+            yield emit()
 
     chunks = objects.where("kind = 'chunks'").select("key", "data").mapInArrow(digest, "hash binary, crc long, n long, good boolean")
     recipes = spark.read.schema(_RECIPES).parquet(f"{folder}/recipes")
     steps = recipes.select("root", "hashes").mapInArrow(unpack, "root binary, at int, hash binary")
     joined = steps.join(chunks, "hash", "left")
-    built = joined.groupBy("root").agg(F.collect_set(F.struct("at", "hash", "crc", "n", "good")).alias("parts")).mapInArrow(rebuild, "root binary, ids_crc32 long, built long, good boolean")
+    ordered = joined.select("root", "at", "hash", "crc", "n", "good").repartition(partitions(joined), "root").sortWithinPartitions("root", "at")
+    built = ordered.mapInArrow(rebuild, "root binary, ids_crc32 long, built long, good boolean")
     of_part = F.broadcast(sound_parts(spark, folder))  # one row a part
     out = recipes.select("doc_id", "start", "n_tokens", "root", "part").join(built, "root").join(of_part, "part")
     return out.select("doc_id", "start", F.col("built").alias("n_tokens"), "ids_crc32", "root", (F.col("good") & F.col("sound") & (F.col("built") == F.col("n_tokens"))).alias("verified"))

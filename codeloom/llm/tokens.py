@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
@@ -21,21 +22,41 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ž"
 _DIGIT = "0-9"
 _SIGN = r"!-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‹›€"
 _BLANK = r" \t\n\x0b\x0c\r"
-#: The pre-token pattern of byte-level vocabularies, over known characters.
-_BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[{_SIGN}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+#: The pre-token pattern of byte-level vocabularies, over known characters, commonest alternative first.
+_BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]+| ?[{_DIGIT}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_SIGN}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: The pattern of the vocabulary with word ends, which lowers case and drops white space.
-_WORD_LEVEL = re.compile(rf"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_LETTER}]+|[{_DIGIT}]|[{_SIGN}]+")
+_WORD_LEVEL = re.compile(rf"[{_LETTER}]+|[{_DIGIT}]|(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_SIGN}]+")
 #: The characters that byte-level vocabularies write bytes as; printable ones stand for themselves.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_CHAR = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_BLANKS = " \t\n\x0b\x0c\r"
 _KNOWN = re.compile(rf"[{_LETTER}{_DIGIT}{_SIGN}{_BLANK}]*")
 
 
+class _Memo(dict):
+    """Pre-token -> its ids as bytes. What is asked for and not there comes from the generation before, or is learnt: the
+    library's model splits it, in the vocabulary's own characters."""
+
+    def __init__(self, split, spaces: bool, old: dict[str, bytes]):
+        super().__init__()
+        self.split, self.spaces, self.old = split, spaces, old
+
+    def __missing__(self, p: str) -> bytes:
+        got = self.old.get(p)
+        if got is None:
+            s = p if self.spaces else p.lower()
+            if not s.isascii() or s[0] in _BLANKS:  # other characters stand for themselves
+                s = s.encode().decode("latin-1").translate(_AS_CHAR)
+            got = array("I", [t.id for t in self.split(s)]).tobytes()
+        self[p] = got
+        return got
+
+
 class Encoder:
     """Ids of texts. `spaces` says whether white space belongs to tokens (byte-level) or is dropped.
 
     The memo has two generations: a full one becomes the old one, from which entries in use move on, so that it holds at
-    most about 2 * limit entries.
+    most about 2 * limit entries, and the pre-tokens of one text.
     """
 
     def __init__(self, path: str, spaces: bool, limit: int = 400_000):
@@ -47,37 +68,25 @@ class Encoder:
         assert not any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()), "added tokens are looked for in the raw text"
         self.find = (_BYTE_LEVEL if spaces else _WORD_LEVEL).findall
         self.spaces, self.limit, self.model = spaces, limit, self.tokenizer.model
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = _Memo(self.model.tokenize, spaces, {})
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts the ids of pre-tokens into the memo: the library's model splits each, in the vocabulary's own characters."""
-        if len(self.memo) > self.limit:
-            self.memo, self.old = {}, self.memo
-        memo, old, split = self.memo, self.old, self.model.tokenize
-        for p in pieces:
-            if p not in memo:
-                if (got := old.get(p)) is None:
-                    s = p if self.spaces else p.lower()
-                    got = array("I", [t.id for t in split(s.encode().decode("latin-1").translate(_AS_CHAR))]).tobytes()
-                memo[p] = got
-
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes; null and empty texts have none."""
         out = []
         for t in texts:
-            if not t or any(map(t.__contains__, self.added)) or not _KNOWN.fullmatch(t):
-                out.append(self._encode(t) if t else b"")
-                continue
-            pieces = self.find(t)
-            got = [*map(self.memo.get, pieces)]
-            if None in got:
-                self._learn([p for p, x in zip(pieces, got, strict=True) if x is None])
-                got = [y if y is not None else self.memo[p] for p, y in zip(pieces, got, strict=True)]
-            out.append(b"".join(got))
+            if not t:
+                out.append(b"")
+            elif any(map(t.__contains__, self.added)) or not _KNOWN.fullmatch(t):
+                out.append(self._encode(t))
+            else:
+                if len(self.memo) > self.limit:
+                    self.memo.old = {}
+                    self.memo = _Memo(self.model.tokenize, self.spaces, self.memo)
+                pieces = self.find(t)
+                out.append(b"".join(itemgetter(*pieces)(self.memo)) if len(pieces) > 1 else self.memo[pieces[0]] if pieces else b"")
         return out
 
     def ids(self, text: str | None) -> np.ndarray:

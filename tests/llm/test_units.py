@@ -93,6 +93,23 @@ def test_crc_of_a_concatenation(parts):
     assert token_store.crc_concat((zlib.crc32(p), len(p)) for p in parts) == zlib.crc32(b"".join(parts))
 
 
+@given(st.lists(st.binary(max_size=3000), min_size=1, max_size=8))
+def test_crcs_followed_by_zeros(parts):
+    n = np.array([len(p) for p in parts])
+    got = token_store.followed_by_zeros(np.array([zlib.crc32(p) for p in parts], np.uint32), n.sum() - np.cumsum(n))
+    assert np.bitwise_xor.reduce(got) == zlib.crc32(b"".join(parts))
+
+
+@given(st.lists(st.binary(max_size=5), max_size=40))
+def test_streamed_tree_is_the_tree_by_levels(leaves):
+    import hashlib
+
+    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"\0").digest()]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert token_store.merkle_root(leaves) == level[0]
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 50_000), max_size=6000))
 def test_cuts_cover_the_stream(ids):

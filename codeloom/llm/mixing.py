@@ -35,41 +35,58 @@ def inverse(demand: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return F.least(F.lit(float(knots[-1][0])), F.greatest(F.lit(float(knots[0][0])), out))
 
 
-def targets(sizes: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
+def ranked_sources(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, source_size) with `place`, from 0 by code point, null last: a range partition, places within each, and the
+    sources in the ranges before, one row for each range."""
+    order = F.col("source").asc_nulls_last()
+    ranged = scratch.table(sizes.repartitionByRange(partitions(sizes), order).withColumn("range", F.spark_partition_id()), "sources")
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("inside")).drop("range", "before", "inside")
+
+
+def targets(sizes: DataFrame, scratch: Scratch, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """source, source_size, target, turn from (source, source_size): one row per source, shared by weight up to the limit.
 
-    Sharing the excess again until no source is above its limit ends where every source has the least of its limit and
-    level * weight; the level follows from the sources in the order in which they reach their limits.
+    Sources share what the ones at their limit leave, by weight, until none is above: each round is one sum over the
+    sources, of which the driver sees three numbers, and at least one more source reaches its limit. However many sources
+    there are, none of them is sent anywhere but by range or hash.
     """
-    whole = Window.orderBy(F.col("source").asc_nulls_last())
     weights = F.array(*(F.lit(integral(k)) for k in schedules))
-    s = sizes.withColumn("turn", ((F.row_number().over(whole) - 1) % len(schedules)).cast("int"))
+    s = ranked_sources(sizes, scratch).withColumn("turn", (F.col("place") % len(schedules)).cast("int"))
     s = s.withColumn("weight", F.element_at(weights, F.col("turn") + 1)).withColumn("limit", F.col("source_size") * most)
-    full = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    upto = full.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    on = full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(Window.partitionBy()) - (F.sum("limit").over(upto) - F.col("limit"))) / F.sum("weight").over(on))
-    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(Window.partitionBy()))
-    goal = F.coalesce(F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")), F.col("limit").cast("double"))
+    s = scratch.table(s.drop("place"), "weighted")
+    total, level, full = s.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > F.col("limit")
+        row = s.agg(F.count_if(over).alias("full"), F.sum(F.when(over, F.col("limit")).otherwise(0)).alias("taken"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("free")).first()
+        if row["full"] == full or not row["free"]:
+            break
+        full, level = row["full"], float(total - row["taken"]) / row["free"]
+    goal = F.least(F.col("limit").cast("double"), F.lit(level) * F.col("weight"))
     return s.select("source", "source_size", goal.alias("target"), "turn")
 
 
 def curriculum(docs: DataFrame, scratch: Scratch, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
-    """docs (doc_id, source, size and any others) with source_size, target, `copies` and first_position, in no order.
+    """docs (doc_id, source, size and any others) with source_size, target, `copies` and first_position, in no order: the
+    caller ends with range_sorted() over copies, or by first_position.
 
     copies: array of (copy, words, position), one for each time that the mix takes the document; words is its size but for
     one document of each source, whose last copy ends where the source's target does. Within a source documents stand in
     the order of md5(doc_id); the n-th word taken from a source comes at the time by which the source's schedule has
     demanded n words. A null doc_id orders as the empty string, a null source is a source of its own and the last, a
-    document without words has no copies, repeated rows are taken each, an empty table gives no rows.
+    document without words has no copies, repeated rows are taken each, an empty table gives no rows. Columns of docs with the
+    names of the new ones give way to them.
     """
+    docs = docs.select(*(c for c in docs.columns if c not in ("source_size", "target", "copies", "first_position")))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     keyed = docs.withColumn("mix_key", key).withColumn("mix_bucket", F.substring("mix_key", 1, _DIGITS))
     by_bucket = scratch.table(keyed.groupBy("source", "mix_bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
-    goals = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), schedules, most)
+    goals = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), scratch, schedules, most)
     earlier = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("mix_bucket"))
     offsets = by_bucket.withColumn("bucket_start", earlier - F.col("bucket_size"))
-    offsets = offsets.join(F.broadcast(goals), offsets["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+    offsets = offsets.join(goals, offsets["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     offsets = offsets.select(F.col("source").alias("mix_source"), F.col("mix_bucket").alias("mix_of"), "bucket_start", "source_size", "target", "turn")
     inside = F.sum("size").over(Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     placed = keyed.withColumn("mix_inside", inside - F.col("size"))

@@ -263,6 +263,18 @@ def link_group(sets: list[np.ndarray], components: list[int], sides: list[int],
     return pairs
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows whose token more than one signature has. Tokens are counted with partial sums and only then met by their rows, so
+    that a token of very many rows is split like any skewed side of a join."""
+    spread = rows.groupBy("token").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.min("s2").alias("c"), F.max("s2").alias("d"))
+    return rows.join(spread.where("a <> b OR c <> d").select("token"), "token", "left_semi")
+
+
+def _with_counts(rows: DataFrame, keys: list[str], *counts) -> DataFrame:
+    """rows with aggregates of their group: summed up in parts, then joined, with no group in one task."""
+    return rows.join(rows.groupBy(*keys).agg(*counts), keys)
+
+
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, label) for the nodes of edges (a, b); label is the least node of the component. None without edges.
 
@@ -301,20 +313,21 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
     frequent = scanned.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, n_nodes // FREQUENT)).toPandas()
     order = Order(frequent["id"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64))
 
-    of_token = Window.partitionBy("token")
-    several = (F.min("s1").over(of_token) != F.max("s1").over(of_token)) | (F.min("s2").over(of_token) != F.max("s2").over(of_token))
-    prefixes = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(width, percent, order), "token long, s1 long, s2 long, n long, core boolean")
+    raw = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(width, percent, order), "token long, s1 long, s2 long, n long, core boolean")
+    raw = scratch.table(raw, "prefixes")
     least = F.expr(f"(({percent} * n + 99) DIV 100) - ({percent} * (({percent} * n + 99) DIV 100) + 99) DIV 100 + 1")
 
     def in_company(rows: DataFrame, name: str) -> DataFrame:
         """Rows of shingles that several documents have, of documents with enough of them."""
-        rows = scratch.table(rows.withColumn("several", several).where("several").drop("several").distinct(), name)
+        rows = scratch.table(_several(rows).distinct(), name)
         enough = rows.groupBy("s1", "s2", "n").count().where(F.col("count") >= least).select("s1", "s2")
         return rows.join(enough, ["s1", "s2"])
 
-    company = scratch.table(in_company(in_company(prefixes, "shared-1"), "shared-2").join(nodes.drop("n"), ["s1", "s2"]), "company")
-    shared = company.where("core").drop("core", "n").withColumn("several", several).where("several").drop("several")
-    shared = scratch.table(shared.withColumn("df", F.count("*").over(of_token)), "shared")
+    first_pass = in_company(raw, "shared-1")
+    company = scratch.table(in_company(first_pass, "shared-2").join(nodes.drop("n"), ["s1", "s2"]), "company")
+    scratch.drop(raw)
+    core = scratch.table(company.where("core").drop("core", "n"), "core")
+    shared = scratch.table(_with_counts(core, ["token"], F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("low", "high"), "shared")
 
     # Sets of the documents that meet another one at all; everything else is done.
     chosen = shared.groupBy("node", "s1", "s2").agg(F.max(F.struct("df", "token")).alias("top")).select("node", "s1", "s2", F.col("top.df").alias("df"), F.col("top.token").alias("token"))
@@ -362,10 +375,9 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         rows = company.join(current, "node").withColumn("own", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int")).withColumn("least", least)
         rows = rows.select("token", "node", "component", "core", "own", "least")  # the exchanges below carry nothing else
         rows = rows.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))  # a key of class c holds sizes of classes c - 1 and c
-        of_key = Window.partitionBy("token", "class")
-        unlike = F.min("component").over(of_key) != F.max("component").over(of_key)
-        rows = rows.withColumn("open", unlike).withColumn("df", F.count("*").over(of_key)).where("open").drop("open")
-        rows = scratch.table(rows, "open")
+        span = F.min("component").alias("low"), F.max("component").alias("high")
+        rows = scratch.table(rows, "keys")
+        rows = scratch.table(_with_counts(rows, ["token", "class"], F.count("*").alias("df"), *span).where("low <> high").drop("low", "high"), "open")
         per_node = rows.groupBy("node").agg(F.countDistinct("token").alias("all"), F.countDistinct(F.when(F.col("df") > FEW, F.col("token"))).alias("many"), F.min("least").alias("least"))
         per_node = scratch.table(per_node.where(F.col("all") >= F.col("least")).drop("all", "least"), "nodes-open")
         rows = rows.join(per_node, "node")
@@ -377,27 +389,27 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         pairs = scratch.table(pairs, "pairs-open")
         best = pairs.select(F.col("a").alias("node"), "c").unionByName(pairs.select(F.col("b").alias("node"), "c")).groupBy("node").agg(F.max("c").alias("best"))
         large = rows.where(F.col("core") & (F.col("df") > FEW)).join(best, "node", "left").where(F.col("many") + F.coalesce("best", F.lit(0)) >= F.col("least"))
-        large = large.withColumn("open", unlike).withColumn("hub", F.min("node").over(of_key)).where("open")
+        large = _with_counts(scratch.table(large, "large"), ["token", "class"], F.min("node").alias("hub"), *span).where("low <> high")
         stars = large.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         edges = scratch.table(pairs.where(F.col("c") + F.col("many") >= F.col("least")).select("a", "b").unionByName(stars), "edges-open")
         labels = connected(edges, scratch)
         touched = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
         labels = touched.withColumn("label", F.col("node")) if labels is None else labels
-        members = rows.select("node", "component").distinct().join(labels.withColumnRenamed("label", "super"), "node")
-        return scratch.table(members.withColumn("size", F.count("*").over(Window.partitionBy("super"))), "gatherings")
+        members = scratch.table(rows.select("node", "component").distinct().join(labels.withColumnRenamed("label", "super"), "node"), "members")
+        return scratch.table(_with_counts(members, ["super"], F.count("*").alias("size")), "gatherings")
 
     with_sets = sets.select("node", "shingles")
     gathered = gatherings()
     if gathered.where(F.col("size") > BLOCK).take(1):  # a few members of each component meet first, which settles most of a large one
         some = Window.partitionBy("super", "component").orderBy(F.xxhash64("node"), "node")
         few = gathered.where(F.col("size") > BLOCK).withColumn("k", F.row_number().over(some)).where("k <= 3")
-        few = few.withColumn("df", F.count("*").over(Window.partitionBy("super"))).withColumn("block", deal).withColumn("side", F.lit(0))
+        few = _with_counts(scratch.table(few.drop("k", "size"), "few"), ["super"], F.count("*").alias("df")).withColumn("block", deal).withColumn("side", F.lit(0))
         met = few.join(with_sets, "node")
         current = relabel(current, linked(met.select("super", "block", "component", "side", "shingles"), "super", "block"), "round-2")
         # Gatherings stay closed; only the components in them are fewer now.
-        again = gathered.drop("component", "size").join(current, "node").withColumn("size", F.count("*").over(Window.partitionBy("super")))
-        several_left = F.min("component").over(Window.partitionBy("super")) != F.max("component").over(Window.partitionBy("super"))
-        gathered = scratch.table(again.withColumn("open", several_left).where("open").drop("open"), "gatherings")
+        again = scratch.table(gathered.drop("component", "size").join(current, "node"), "members")
+        again = _with_counts(again, ["super"], F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        gathered = scratch.table(again.where("low <> high").drop("low", "high"), "gatherings")
 
     # All pairs of different components of a gathering meet: blocks of the largest component with blocks of the others.
     sizes = gathered.groupBy("super", "component").count()

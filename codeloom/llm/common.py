@@ -1,23 +1,22 @@
-"""Shared folder, scratch tables and small helpers of the corpus operators."""
+"""Small helpers of the corpus operators, and their scratch tables."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.tables import Scratch, shared_dir
+
+__all__ = ["SPACE", "WORD", "Scratch", "enter", "partitions", "shared_dir", "text_or_empty", "worker_cache"]
+
 #: `[\x20\x09-\x0D]`, the white space of every contract here.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
 _caches: dict[str, Callable[[], None]] = {}
 
 
@@ -38,61 +37,6 @@ def enter(owner: str) -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset a local session gets a folder of its own (tests, notebooks); a cluster session is refused, since a
-    machine-local folder would lose data there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="codeloom-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return f"file://{_own[app]}"
-
-
-class Scratch:
-    """Tables written below the shared folder: they cut lineage and outlive lost executors.
-
-    What drop() hasn't deleted before, the driver's file system deletes when the application ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """df as a table that is written once; the DataFrame returned reads it."""
-        path = self.path(name)
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
-        schema = df.schema
-        for field in schema.fields:
-            field.nullable = True
-        out = self.spark.read.schema(schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables of table(), or all of them."""
-        paths = [t._scratch_path for t in tables] or [self.root]
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

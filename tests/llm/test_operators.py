@@ -238,10 +238,23 @@ def test_mixing_ends_in_training_order(spark, sf_dir):
     assert got == sorted(got, key=lambda p: (p is None, p or 0))
 
 
-@pytest.mark.parametrize("sizes", [{"a": 1000, "b": 10, "c": 10}, {"a": 5, "b": 1000, "c": 3, "d": 1, None: 400}, {"a": 0, "b": 7}])
+@pytest.mark.parametrize("sizes", [{"a": 1000, "b": 10, "c": 10}, {"a": 5, "b": 1000, "c": 3, "d": 1, None: 400}, {"a": 0, "b": 7}, {"a": 0, None: 0}, {f"site{i}": i * i * i % 997 for i in range(300)}, {f"s{i}": 2**i for i in range(20)}, {}])
 def test_targets(spark, sizes):
-    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
-    assert got == pytest.approx(plain_targets(sizes))
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), Scratch(spark, "t")).collect()}
+    assert got == pytest.approx(plain_targets(sizes) if sizes else {})
+
+
+def test_mixing_broadcasts_no_table_of_sources(spark, sf_dir):
+    """Every broadcast holds one row for each range of a partitioning."""
+    plan = queries.QUERIES["op5_curriculum_mix"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
+
+
+def test_mixing_columns_give_way(spark):
+    df = spark.createDataFrame([(1, "a", 5, 7.0, 9, "k")], "doc_id long, source string, size long, target double, copies int, note string")
+    out = mixing.curriculum(df, Scratch(spark, "t"))
+    assert sorted(out.columns) == ["copies", "doc_id", "first_position", "note", "size", "source", "source_size", "target"]
+    assert out.select("target", "note").first().asDict() == {"target": 5.0, "note": "k"}
 
 
 def test_sharding(spark, sf_dir, rows):
@@ -399,17 +412,17 @@ def test_language(spark):
     assert language_id.predict(df, {}).where("lang_pred <> 'und'").count() == 0
 
 
-def plain_languages(rows):
-    """Brute force: profiles as sums over every trigram of the training texts, then the largest cosine."""
+def plain_languages(rows, some=None):
+    """Brute force: profiles as sums over every trigram of the training texts, then the largest cosine for some of the rows."""
     from tests.llm.test_units import plain_bundle
 
     profiles = {}
     for doc, text, lang, *_ in rows:
         if lang is not None and not (doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1) and (t := language_id.trigrams(text)) is not None:
             weights = t[1] * language_id._SCALE // t[1].sum()
-            own = sum(int(w) * language_id.bind(np.array([c]))[0].astype(np.int64) for c, w in zip(*(t[0], weights), strict=True))
+            own = (weights.astype(object) @ language_id.bind(t[0]).astype(object)).astype(np.int64)
             profiles[lang] = profiles.get(lang, 0) + own
-    for _, text, *_ in rows:
+    for _, text, *_ in rows if some is None else some:
         found = plain_bundle(text) if text and any(ch.isalpha() for ch in text) else None
         if found is None:
             yield "und", 0.0
@@ -462,6 +475,68 @@ def test_co_training(spark):
     assert all(r["score"] == 0.5 and r["keep"] for r in none)
 
 
+def test_exchange_counts_every_unlabelled_row(spark):
+    """What views tell each other, against a plain loop; twice the rows tell twice as much."""
+    import random
+
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(1200):
+        good = i % 2
+        rows.append((i, " ".join(rng.choice(["calm", "plain"] if good else ["WIN!!", "CASH!!"]) + str(rng.randint(0, 9)) for _ in range(12)), f"site{rng.randint(0, 3) + 4 * good}", "en", 60))
+        if i < 200:
+            labels.append((i, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    table = Scratch(spark, "t").table(cotraining.feature_table(docs).join(spark.createDataFrame(labels, "doc_id long, quality int"), "doc_id", "left"), "features")
+    setting = cotraining.Setting(labelled=100)
+    label = {"quality": F.col("quality")}
+    sample = cotraining.labelled_sample(table, F.col("quality"), setting)
+    assert len(sample.y) + len(sample.y_held) == 100
+    model, sure = sample.model(setting, [None, None]), sample.sure(setting.confident)
+    told = cotraining.exchange(table, label, {"quality": model}, {"quality": sure})["quality"]
+    free = [r for r in table.collect() if r["quality"] is None]
+    packed = [bytes(r["text_ids"]) for r in free], [bytes(r["meta_ids"]) for r in free]
+    p_text, p_meta, _ = model.scores(packed)
+    for view, p in ((0, p_meta), (1, p_text)):
+        for c, chosen in ((0, 1 - p >= sure[0]), (1, p >= sure[1])):
+            want = Counter(f for k in np.flatnonzero(chosen) for f in np.frombuffer(packed[view][k], np.uint16).tolist())
+            assert told[view].documents[c] == chosen.sum() > 100
+            assert {int(f): int(told[view].counts[c][f]) for f in np.flatnonzero(told[view].counts[c])} == want
+    twice = cotraining.exchange(table.unionByName(table), label, {"quality": model}, {"quality": sure})["quality"]
+    assert [x.documents for x in twice] == [(2 * a, 2 * b) for a, b in (x.documents for x in told)]
+
+
+def test_ratios_reach_the_model():
+    """Features that the labelled rows never show get weights from what the other view told."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.5).astype(float)
+    packed = [np.unique(np.array([1 + int(v), 10 + rng.integers(0, 5), *( [20] if v and rng.random() < 0.5 else [])], np.uint16)).tobytes() for v in y]
+    counts = np.zeros(64), np.zeros(64)
+    counts[1][[2, 30]], counts[0][[1, 31]] = 500, 500
+    ratios = cotraining.Exchange(counts, (500, 500)).ratios(3, 3.0)
+    assert ratios[30] > 3 and ratios[31] < -3 and ratios[10] == 0
+    w, b = cotraining.fit(packed, y, 64, 3, 3.0, ratios)
+    assert w[30] > 0 > w[31]
+    plain = cotraining.fit(packed, y, 64, 3, 3.0)
+    assert plain[0][30] == plain[0][31] == 0
+    right = (cotraining.margins(packed, w, b) > 0) == (y > 0)
+    assert right.all()
+    few = cotraining.Exchange(counts, (500, 5)).ratios(3, 3.0)
+    assert not few.any()
+
+
+def test_quality_of_empty_tables(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert run(spark, str(tmp_path), "op6_cotraining_quality") == [] and run(spark, str(tmp_path), "op8_prefix_forest") == []
+
+
+def test_score_columns_give_way(spark):
+    df = cotraining.feature_table(spark.createDataFrame([(1, "a b", "s", "en", 3)], "doc_id long, text string, source string, lang string, n_chars long")).withColumn("quality", F.lit("mine"))
+    out = cotraining.score(df, {"quality": None})
+    assert out.columns.count("quality") == 1 and out.first()["quality"] == 0.5
+
+
 def test_padding_of_a_few_windows(spark):
     df = spark.createDataFrame([(i, "word " * (i % 90 + 1)) for i in range(400)], "doc_id long, text string").repartition(23)
     got = packing.pack(df, Scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"), fan_in=4, open_windows=4).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()

@@ -83,12 +83,74 @@ def plain_mix(rows, targets):
 
 def test_mix_takes_whole_documents(spark, sf_dir, docs, rows):
     from codeloom.llm import mixing
+    from codeloom.llm.common import Scratch
 
     sizes = Counter()
     for r in rows:
         sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
-    goals = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    goals = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), Scratch(spark, "t")).collect()}
     want = plain_mix([(r[0], r[1], r[3]) for r in rows], goals)
     got = corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == want
     assert any("\n" in r["text"] for r in got)
+
+
+def plain_lines(rows):
+    """Drops lines of 20 code points or more that three documents have, but in the largest doc_id that has them."""
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    own = lambda r: -1 if r[0] is None else r[0]
+    held = defaultdict(set)
+    for r in rows:
+        for line in (r[1] or "").split("\n"):
+            if len(key(line)) >= 20:
+                held[key(line)].add(own(r))
+    for r in rows:
+        kept = [x for x in (r[1] or "").split("\n") if len(held[key(x)]) < 3 or max(held[key(x)]) == own(r)]
+        yield (r[0], r[1] if len(kept) == len((r[1] or "").split("\n")) else "\n".join(kept), *r[2:])
+
+
+def test_rows_of_the_whole_pipeline(spark, sf_dir, rows):
+    """Language, lines, near copies, mix and packing in plain Python: the documents that are packed, and every id of them."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from codeloom.llm import language_id, mixing
+    from codeloom.llm.common import Scratch
+    from tests.llm.test_operators import plain_languages
+
+    short = [r for r in rows if r[0] != 63]  # the long text alone is left to the library, brute force takes minutes on it
+    said = dict(zip((id(r) for r in short), plain_languages(rows, short), strict=True))
+    letters = lambda t: sum(ch.isalpha() for ch in t or "")
+    known = [r for r in rows if r[0] == 63 or (said[id(r)][0] != "und" and not (said[id(r)][1] < corpus_pipeline.LEAST_SCORE and letters(r[1]) >= corpus_pipeline.LETTERS))]
+    assert language_id.trigrams(next(r[1] for r in rows if r[0] == 63)) is not None
+    lines = list(plain_lines(known))
+    kept = plain_near_duplicates([(r[0], r[1]) for r in lines if r[0] is not None])
+    apart = [r for r in lines if r[0] is None or r[0] in kept]
+    sizes = Counter()
+    for r in apart:
+        sizes[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    goals = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), Scratch(spark, "t")).collect()}
+    mixed = plain_mix([(r[0], r[1], r[3]) for r in apart], goals)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    ids_of = {}
+    for (doc, text, _), n in mixed.items():
+        ids_of[doc] = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want[doc] += n * len(ids_of[doc])
+    got, sequences = Counter(), defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        got[r["doc_id"]] += r["length"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        piece = ids_of[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (len(piece), zlib.crc32(piece.tobytes()), len(ids_of[r["doc_id"]])) == (r["length"], r["ids_crc32"], r["doc_tokens"])
+    assert got == want
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+

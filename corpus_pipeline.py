@@ -74,7 +74,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes, in training order; the copy within which a source's target ends is taken whole,
-    so a source may be above its target by less than one document."""
+    so a source may be above its target by less than one document. Documents without words have no copies; a null source is
+    a source of its own, a null doc_id orders as the empty string, repeated rows are taken each."""
     scratch = _own(spark, "mix")
     rows = docs.select(F.col("doc_id"), F.col("source"), mixing.word_count(text_or_empty()).alias("size"), F.struct(*docs.columns).alias("row"))
     copies = mixing.curriculum(rows, scratch).select("row", "doc_id", F.explode("copies").alias("taken"))
@@ -83,6 +84,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of every copy that the mix took. Null and empty texts are their end id alone, null doc_ids stay null,
+    copies and repeated rows are packed each, an empty table gives no rows, other columns stay behind."""
     return packing.pack(docs, _own(spark, "packing"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -94,13 +97,17 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Tokens, trained profiles and near-duplicate components are beyond SQL; tests run the pipeline against a plain version.
+#: Tokens, trained profiles and near-duplicate components are beyond SQL; tests compare all rows with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage. A stage's documents go once the next one's are written; the last ones go with the application."""
+    docs, earlier = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     between = Scratch(spark, "pipeline-docs")
     for name, stage in STAGES[:-1]:
         docs = between.table(stage(spark, docs, sf_dir), name)
+        if earlier is not None:
+            between.drop(earlier)
+        earlier = docs
     return STAGES[-1][1](spark, docs, sf_dir)

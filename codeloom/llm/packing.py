@@ -94,11 +94,11 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, spa
     only exchange carries those leftovers. A null text is an empty one (its end id alone), a null doc_id stays null,
     repeated rows are packed each, an empty table gives no row.
     """
-    small = "<u2" if encoder(tokenizer, spaces).tokenizer.get_vocab_size() <= 65536 else "<u4"
+    small = encoder(tokenizer, spaces).kind
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(tokenizer, spaces), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], small).tobytes()
 
         def windows():
             held = Windows(size, open_windows, least_fragment)
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, spa
                 for at in range(0, batch.num_rows, 500):
                     ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
                     for doc, raw in zip(ids, enc.batch(texts), strict=True):
-                        tokens = np.frombuffer(raw + end, "<u4")
+                        tokens = np.frombuffer(raw + end, small).astype("<u4")
                         for w in held.place(doc, 0, tokens, len(tokens)):
                             yield w, False
             for w in held.close():

@@ -5,7 +5,8 @@ Layout below one folder of the shared file system, all of it Parquet written by
 * ``objects/kind=chunks``: ``key`` (sha256 of the bytes), ``data`` (little-endian unsigned 16- or 32-bit ids), each key once;
   beside them ``kind=recipes``, the recipes as tasks sent them, each under a key of its own;
 * ``recipes/part=K``: ``doc_id, start, n_tokens, root, hashes`` in ascending doc_id order, within a part and from part to
-  part; ``start`` counts the ids of all documents before, ``hashes`` has 32 bytes for each chunk, ``root`` is their Merkle root;
+  part; ``start`` counts the ids of all documents before, ``hashes`` has 32 bytes for each chunk, ``root`` is sha256 over them,
+  a node of the Merkle tree with as many children as the document has chunks;
 * ``parts``: ``part, start, documents, n_tokens, root``, one row a part, its root over the rows of the part in their order;
 * ``top``: ``documents, n_tokens, root``, one row, its root over the roots of the parts.
 
@@ -20,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,11 @@ def merkle_root(leaves: Iterable[bytes]) -> bytes:
     return tree.root()
 
 
+def recipe_root(hashes: bytes) -> bytes:
+    """The node of a document: its chunks' hashes, in order, behind a byte of its own."""
+    return hashlib.sha256(b"\2" + hashes).digest()
+
+
 def _leaf(doc: int | None, n: int, root: bytes) -> bytes:
     """What a part's tree holds of a document."""
     return struct.pack("<?qq", doc is not None, doc or 0, n) + root
@@ -145,28 +152,26 @@ def followed_by_zeros(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, spaces: bool = False, width: int = 2) -> None:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, spaces: bool = False, memo: int = 700_000) -> None:
     """Writes the chunks, recipes and manifests of every whole text of docs (doc_id, text) below folder.
 
     One pass and one shuffle of the ids: a task sends a chunk once however often its documents repeat it, so that a chunk that
     a third of all documents hold meets its reducer once for each task. Only recipes are then put in order. A null text counts
     as empty; a null doc_id is kept as such and comes first; repeated rows give a recipe each, side by side; an empty table
-    gives no recipe. `width` is the bytes of an id in the store (2 for vocabularies below 65,536).
+    gives no recipe. Ids take 2 bytes in the store where the vocabulary allows it, else 4; `memo` bounds the pre-tokens whose
+    ids a worker keeps.
     """
-    store = f"<u{width}"
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sent, task, n_recipes = encoder(tokenizer, spaces), set(), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        enc, sent, task, n_recipes = encoder(tokenizer, spaces, memo), set(), TaskContext.get().partitionId(), 0
+        end, width = np.array([end_id], enc.kind).tobytes(), int(enc.kind[-1])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
                 rows: list[tuple] = []
                 for doc, raw in zip(ids, enc.batch(texts), strict=True):
-                    tokens = np.frombuffer(raw + end, "<u4")
-                    small, hashes, a = tokens.astype(store), [], 0
-                    for b in rolling_cuts(tokens):
-                        data = small[a:b].tobytes()
+                    raw, hashes, a = raw + end, [], 0
+                    for b in rolling_cuts(np.frombuffer(raw, enc.kind)):
+                        data = raw[a * width : b * width]
                         h = hashlib.sha256(data).digest()
                         hashes.append(h)
                         if h[:16] not in sent:
@@ -175,7 +180,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, s
                             sent.add(h[:16])
                             rows.append(("chunks", h, None, b - a, data))
                         a = b
-                    rows.append(("recipes", merkle_root(hashes) + struct.pack(">IQ", task, n_recipes), doc, len(tokens), b"".join(hashes)))
+                    held = b"".join(hashes)
+                    rows.append(("recipes", recipe_root(held) + struct.pack(">IQ", task, n_recipes), doc, a, held))
                     n_recipes += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "doc_id", "n", "data"])
 
@@ -272,13 +278,14 @@ def read_store(spark, folder: str, width: int = 2) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, crcs, sizes, good = batch.column(0), [], [], []
-            for key, data in zip(keys.to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wide = np.frombuffer(data, store).astype("<u4").tobytes()
-                crcs.append(zlib.crc32(wide))
-                sizes.append(len(wide) // 4)
-                good.append(hashlib.sha256(data).digest() == key)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(crcs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(good)], names=["hash", "crc", "n", "good"])
+            for first in range(0, batch.num_rows, 4000):
+                some = batch.slice(first, 4000)
+                keys, data = some.column(0), some.column(1).to_pylist()
+                wide = memoryview(np.frombuffer(b"".join(data), store).astype("<u4").tobytes())
+                ends = [*accumulate(4 * (len(d) // width) for d in data)]
+                crcs = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                good = [hashlib.sha256(d).digest() == key for d, key in zip(data, keys.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(crcs, pa.int64()), pa.array([len(d) // width for d in data], pa.int64()), pa.array(good, pa.bool_())], names=["hash", "crc", "n", "good"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct recipe of a task once."""
@@ -299,7 +306,7 @@ def read_store(spark, folder: str, width: int = 2) -> DataFrame:
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Steps sorted by (root, at); a step that two tasks sent comes twice and counts once."""
-        last, tree, crc, size, sound = None, Merkle(), 0, 0, True  # of the recipe that is open
+        last, held, crc, size, sound = None, bytearray(), 0, 0, True  # of the recipe that is open
         out: list[tuple] = []
 
         def emit() -> pa.RecordBatch:
@@ -325,20 +332,19 @@ def read_store(spark, folder: str, width: int = 2) -> DataFrame:
             for a, b in zip(bounds, bounds[1:], strict=False):
                 if a in starts_new:
                     if last_root is not None:
-                        out.append((last_root, crc, size, sound and tree.root() == last_root))
-                    tree, crc, size, sound = Merkle(), 0, 0, True
+                        out.append((last_root, crc, size, sound and recipe_root(held) == last_root))
+                    held, crc, size, sound = bytearray(), 0, 0, True
                 part = int(np.bitwise_xor.reduce(shifted[a:b]))
                 length = int(n_bytes[a:b].sum())
                 crc = crc_concat(((crc, 0), (part, length))) if crc else part
                 size += length // 4
-                for i in steps[a:b]:
-                    tree.add(hashes[i])
-                    sound = sound and bool(goods[i])
+                held += b"".join(hashes[i] for i in steps[a:b])
+                sound = sound and all(goods[i] for i in steps[a:b])
                 last_root = roots[steps[a]]
             if out:
                 yield emit()
         if last is not None:
-            out.append((last[0], crc, size, sound and tree.root() == last[0]))
+            out.append((last[0], crc, size, sound and recipe_root(held) == last[0]))
             yield emit()
 
     chunks = objects.where("kind = 'chunks'").select("key", "data").mapInArrow(digest, "hash binary, crc long, n long, good boolean")

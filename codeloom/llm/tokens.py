@@ -37,9 +37,9 @@ class _Memo(dict):
     """Pre-token -> its ids as bytes. What is asked for and not there comes from the generation before, or is learnt: the
     library's model splits it, in the vocabulary's own characters."""
 
-    def __init__(self, split, spaces: bool, old: dict[str, bytes]):
+    def __init__(self, split, spaces: bool, form: str, old: dict[str, bytes]):
         super().__init__()
-        self.split, self.spaces, self.old = split, spaces, old
+        self.split, self.spaces, self.form, self.old = split, spaces, form, old
 
     def __missing__(self, p: str) -> bytes:
         got = self.old.get(p)
@@ -47,19 +47,20 @@ class _Memo(dict):
             s = p if self.spaces else p.lower()
             if not s.isascii() or s[0] in _BLANKS:  # other characters stand for themselves
                 s = s.encode().decode("latin-1").translate(_AS_CHAR)
-            got = array("I", [t.id for t in self.split(s)]).tobytes()
+            got = array(self.form, [t.id for t in self.split(s)]).tobytes()
         self[p] = got
         return got
 
 
 class Encoder:
-    """Ids of texts. `spaces` says whether white space belongs to tokens (byte-level) or is dropped.
+    """Ids of texts. `spaces` says whether white space belongs to tokens (byte-level) or is dropped. `kind` is how ids are
+    written: little-endian, unsigned, of 16 bits where the vocabulary allows it, else of 32.
 
     The memo has two generations: a full one becomes the old one, from which entries in use move on, so that it holds at
     most about 2 * limit entries, and the pre-tokens of one text.
     """
 
-    def __init__(self, path: str, spaces: bool, limit: int = 400_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
@@ -68,13 +69,15 @@ class Encoder:
         assert not any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()), "added tokens are looked for in the raw text"
         self.find = (_BYTE_LEVEL if spaces else _WORD_LEVEL).findall
         self.spaces, self.limit, self.model = spaces, limit, self.tokenizer.model
-        self.memo = _Memo(self.model.tokenize, spaces, {})
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.form, self.kind = ("H", "<u2") if small else ("I", "<u4")
+        self.memo = _Memo(self.model.tokenize, spaces, self.form, {})
 
     def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.form, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit bytes; null and empty texts have none."""
+        """The ids of each text as bytes of `kind`; null and empty texts have none."""
         out = []
         for t in texts:
             if not t:
@@ -84,22 +87,24 @@ class Encoder:
             else:
                 if len(self.memo) > self.limit:
                     self.memo.old = {}
-                    self.memo = _Memo(self.model.tokenize, self.spaces, self.memo)
+                    self.memo = _Memo(self.model.tokenize, self.spaces, self.form, self.memo)
                 pieces = self.find(t)
                 out.append(b"".join(itemgetter(*pieces)(self.memo)) if len(pieces) > 1 else self.memo[pieces[0]] if pieces else b"")
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.batch([text])[0], "<u4")
+        return np.frombuffer(self.batch([text])[0], self.kind).astype("<u4")
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 worker_cache("tokens", _encoders.clear)
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
-    """One per worker process; called at the start of a task."""
+def encoder(path: str, spaces: bool, limit: int = 300_000) -> Encoder:
+    """One per worker process; called at the start of a task. `limit` is the memo's, of about 160 bytes an entry."""
     enter("tokens")
     if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = Encoder(path, spaces)
-    return _encoders[path, spaces]
+        _encoders[path, spaces] = Encoder(path, spaces, limit)
+    found = _encoders[path, spaces]
+    found.limit = limit
+    return found

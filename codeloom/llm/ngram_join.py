@@ -137,7 +137,7 @@ def _prefixes(width: int, percent: int, order: Order):
         seen = set()
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
-                tokens, signs, sizes, cores = [], [], [], []
+                tokens, signs, sizes, cores, hots = [], [], [], [], []
                 for text in batch.column(0).slice(part, 500).to_pylist():
                     s = shingles(text, width)
                     if not len(s):
@@ -150,12 +150,13 @@ def _prefixes(width: int, percent: int, order: Order):
                     seen.add(sign)
                     p = prefix_length(len(s), percent)
                     tokens.append(s[order.sort(s)[: 2 * p - 1]])
+                    hots.append(order.counts(tokens[-1]) > 0)
                     signs.append((*sign, len(s)))
                     sizes.append(len(tokens[-1]))
                     cores.append(np.arange(len(tokens[-1])) < p)
                 if tokens:
                     wide = np.repeat(np.array(signs, np.int64), sizes, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(3)), pa.array(np.concatenate(cores))], names=["token", "s1", "s2", "n", "core"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(3)), pa.array(np.concatenate(cores)), pa.array(np.concatenate(hots))], names=["token", "s1", "s2", "n", "core", "hot"])
 
     return run
 
@@ -264,10 +265,13 @@ def link_group(sets: list[np.ndarray], components: list[int], sides: list[int],
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Rows whose token more than one signature has. Tokens are counted with partial sums and only then met by their rows, so
-    that a token of very many rows is split like any skewed side of a join."""
-    spread = rows.groupBy("token").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.min("s2").alias("c"), F.max("s2").alias("d"))
-    return rows.join(spread.where("a <> b OR c <> d").select("token"), "token", "left_semi")
+    """Rows whose token more than one signature has.
+
+    A token of the global order is one that many sets have, which is known from counting it there: its rows stay, and are dealt
+    by signature besides. Any other token has less than a FREQUENT-th part of all sets or so, and is seen by one task."""
+    w = Window.partitionBy("token", F.when(F.col("hot"), F.pmod("s1", F.lit(256))).otherwise(0))
+    differ = (F.min("s1").over(w) != F.max("s1").over(w)) | (F.min("s2").over(w) != F.max("s2").over(w))
+    return rows.withColumn("several", F.col("hot") | differ).where("several").drop("several")
 
 
 def _with_counts(rows: DataFrame, keys: list[str], *counts) -> DataFrame:
@@ -313,8 +317,7 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
     frequent = scanned.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, n_nodes // FREQUENT)).toPandas()
     order = Order(frequent["id"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64))
 
-    raw = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(width, percent, order), "token long, s1 long, s2 long, n long, core boolean")
-    raw = scratch.table(raw, "prefixes")
+    raw = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(width, percent, order), "token long, s1 long, s2 long, n long, core boolean, hot boolean")
     least = F.expr(f"(({percent} * n + 99) DIV 100) - ({percent} * (({percent} * n + 99) DIV 100) + 99) DIV 100 + 1")
 
     def in_company(rows: DataFrame, name: str) -> DataFrame:
@@ -324,8 +327,7 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         return rows.join(enough, ["s1", "s2"])
 
     first_pass = in_company(raw, "shared-1")
-    company = scratch.table(in_company(first_pass, "shared-2").join(nodes.drop("n"), ["s1", "s2"]), "company")
-    scratch.drop(raw)
+    company = scratch.table(in_company(first_pass, "shared-2").drop("hot").join(nodes.drop("n"), ["s1", "s2"]), "company")
     core = scratch.table(company.where("core").drop("core", "n"), "core")
     shared = scratch.table(_with_counts(core, ["token"], F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("low", "high"), "shared")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.plans import registry
 
-PLANS = ("store", "search", "metrics", "imports", "events", "signals", "review", "chunking")
+PLANS = ("store", "search", "metrics", "imports", "events", "signals", "review", "chunking", "recovery", "tree", "tools")
 
 
 def _load() -> None:

@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WINDOW, OVERLAP, MOST = 75, 10, 225
-SCHEMA = "file string, start_line int, end_line int, type string, symbol_name string, parent string, content string, complexity int, cognitive int, volume double, imports array<string>, calls array<string>"
+SCHEMA = "file string, start_line int, end_line int, type string, symbol_name string, parent string, content string, complexity int, cognitive int, volume double, imports array<string>, calls array<string>, call_sites array<struct<symbol:string,line:int,captured:boolean>>, exports array<string>, imported_symbols map<string,array<string>>, halstead struct<n1:int,total1:int,n2:int,total2:int>"
 
 
 def _chunk(start: int, end: int, kind: str, lines: list[str], name: str | None = None, parent: str | None = None, **more) -> dict:
@@ -155,6 +157,47 @@ def halstead_counts(node: ast.AST) -> tuple[int, int, int, int]:
     return len(operators), sum(operators.values()), len(operands), sum(operands.values())
 
 
+def call_sites(node: ast.AST) -> list[dict]:
+    """Calls of names and attributes with their lines, and whether anything is done with what they return."""
+    bare = {id(n.value) for n in ast.walk(node) if isinstance(n, ast.Expr)}
+    found = [n for n in ast.walk(node) if isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute))]
+    rows = [{"symbol": n.func.id if isinstance(n.func, ast.Name) else n.func.attr, "line": n.lineno, "captured": id(n) not in bare} for n in found]
+    return sorted(rows, key=lambda r: (r["line"], r["symbol"], r["captured"]))
+
+
+def exported(tree: ast.Module) -> list[str]:
+    """__all__ if it is a plain list, else public functions, classes and names at the top."""
+    names = []
+    for n in tree.body:
+        targets = [t.id for t in getattr(n, "targets", []) if isinstance(t, ast.Name)] if isinstance(n, ast.Assign) else []
+        if "__all__" in targets and isinstance(n.value, (ast.List, ast.Tuple)):
+            return [e.value for e in n.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)]
+        names += [n.name] if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else targets
+    return list(dict.fromkeys(x for x in names if not x.startswith("_")))
+
+
+def imported(tree: ast.Module) -> dict[str, list[str]]:
+    """Module -> the names that are taken from it, the module's own where it is imported whole."""
+    out: dict[str, list[str]] = {}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Import):
+            for a in n.names:
+                out.setdefault(a.name, []).append(a.asname or a.name)
+        elif isinstance(n, ast.ImportFrom):
+            out.setdefault("." * n.level + (n.module or ""), []).extend(a.name for a in n.names)
+    return out
+
+
+def uncovered(covered: list[tuple[int, int]], last: int) -> list[tuple[int, int]]:
+    """Ranges of lines, from 1 to last, that no covered range touches."""
+    out, at = [], 1
+    for a, b in sorted(covered):
+        if a > at:
+            out.append((at, a - 1))
+        at = max(at, b + 1)
+    return [*out, (at, last)] if at <= last else out
+
+
 def python(content: str) -> list[dict]:
     """Functions and methods with metrics, classes, and what lies between; a source that doesn't parse goes by lines."""
     lines = content.split("\n")
@@ -164,7 +207,7 @@ def python(content: str) -> list[dict]:
         return windows(lines)
     imports = [a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names]
     imports += ["." * n.level + (n.module or "") for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)]
-    out, taken = [], []
+    out, taken, exports, symbols = [], [], exported(tree), imported(tree)
 
     def visit(body: list[ast.stmt], parent: str | None) -> None:
         for n in body:
@@ -173,21 +216,18 @@ def python(content: str) -> list[dict]:
                 n1, big1, n2, big2 = halstead_counts(n)
                 volume = math.floor((big1 + big2) * math.log2(n1 + n2) * 100 + 0.5) / 100 if n1 + n2 else 0.0
                 calls = sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))})
-                out.append(_chunk(start, n.end_lineno, "function", lines, n.name, parent, complexity=cyclomatic(n), cognitive=cognitive(n), volume=volume, imports=imports, calls=calls))
+                out.append(_chunk(start, n.end_lineno, "function", lines, n.name, parent, complexity=cyclomatic(n), cognitive=cognitive(n), volume=volume, imports=imports, calls=calls, call_sites=call_sites(n), exports=exports, imported_symbols=symbols, halstead={"n1": n1, "total1": big1, "n2": n2, "total2": big2}))
                 taken.append((start, n.end_lineno))
             elif isinstance(n, ast.ClassDef):
                 start = min([n.lineno, *(d.lineno for d in n.decorator_list)])
                 first = n.body[0].lineno - 1 if n.body else n.end_lineno
-                out.append(_chunk(start, max(start, first), "class", lines, n.name, parent, imports=imports))
+                out.append(_chunk(start, max(start, first), "class", lines, n.name, parent, imports=imports, exports=exports, imported_symbols=symbols))
                 taken.append((start, max(start, first)))
                 visit(n.body, n.name if parent is None else f"{parent}.{n.name}")
 
     visit(tree.body, None)
-    at = 1
-    for a, b in [*sorted(taken), (len(lines) + 1, len(lines) + 1)]:
-        if a > at:
-            out += [c | {"imports": imports} for c in windows(lines, at, a - 1)]
-        at = max(at, b + 1)
+    for a, b in uncovered(taken, len(lines)):
+        out += [c | {"imports": imports, "exports": exports, "imported_symbols": symbols} for c in windows(lines, a, b)]
     return sorted(out, key=lambda c: (c["start_line"], c["end_line"]))
 
 
@@ -207,9 +247,8 @@ def chunk_file(file: str, content: str) -> list[dict]:
 
 def chunk_files(files: DataFrame) -> DataFrame:
     """SCHEMA rows from (file, content); one pass, nothing shuffled."""
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
-    types = [kinds[x.split(" ")[1]] for x in SCHEMA.split(", ")]
+    arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    names, types = arrow.names, arrow.types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

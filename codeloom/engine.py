@@ -27,11 +27,15 @@ def _path(p: str) -> str:
 @dataclass
 class Engine:
     """chunks (id, file, start_line, end_line, content, language, symbol_name, symbol_type, and metrics where known) and
-    specifiers (importer, specifier). `counts` is null where dependents were never computed."""
+    specifiers (importer, specifier). `counts` is null where dependents were never computed; `index` holds stored postings, else
+    a search makes them; `boost` and `demote` switch structural ranking off."""
 
     chunks: DataFrame
     specifiers: DataFrame | None = None
     counts: DataFrame | None = None
+    index: search.PostingsIndex | None = None
+    boost: bool = True
+    demote: bool = True
 
     def _edges(self) -> DataFrame:
         if self.specifiers is None:
@@ -39,22 +43,25 @@ class Engine:
         return I.import_edges(self.specifiers, self.chunks.select("file").distinct())
 
     def _hits(self, text: str, limit: int) -> DataFrame:
-        wanted = self.chunks.sparkSession.range(1).select(F.lit(0).alias("query"), F.explode(search.terms(F.lit(text))).alias("term")).distinct()
-        lengths = self.chunks.select(F.size(search.terms(F.col("content"))).alias("length"))
-        found = search.ranked(search.bm25(search.postings(self.chunks), lengths, wanted), limit + search.EXTRA)
-        rows = found.join(self.chunks, "id")
-        n = F.lit(0).alias("n")
-        rows = rows.join(self.counts.select("file", F.col("dependents").alias("n")), "file", "left") if self.counts is not None else rows.select("*", n)
-        exact = F.lower("symbol_name") == text.lower()
-        key = search.ranking_key(F.col("ratio"), F.coalesce("n", F.lit(0)), C.is_test_file(F.col("file")))
-        rows = rows.withColumn("relevance", search.band(F.col("ratio"), exact)).withColumn("key", F.round(key, 6))
-        return rows.orderBy(F.desc("key"), "id").limit(limit).withColumn("score", F.floor((1 - F.col("ratio")) * 2 * 10_000 + 0.5) / 10_000)
+        session = self.chunks.sparkSession
+        asked = session.range(1).select(F.lit(0).alias("query"), F.lit(text).alias("text"))
+        if self.index is not None:
+            scores = self.index.search(asked)
+        else:
+            rows = search.searchable(self.chunks)
+            scores = search.weighted_bm25(search.positions(rows), search.lengths(rows), search.phrases(asked))
+        hits = search.structurally_ranked(scores, self.chunks, self.counts, limit, self.boost, self.demote)
+        rows = hits.select("id", "ratio", "key", "rank").join(self.chunks, "id")
+        words = F.array(*(F.lit(w) for w in dict.fromkeys(text.lower().split()))) if text.split() else F.array().cast("array<string>")
+        name = F.lower(F.coalesce("symbol_name", F.lit("")))
+        rows = rows.withColumn("relevance", search.band(F.col("ratio"), (name != "") & F.array_contains(words, name)))
+        return rows.withColumn("score", F.floor((1 - F.col("ratio")) * 2 * 10_000 + 0.5) / 10_000)
 
     def search(self, query: str, limit: int = 5) -> DataFrame:
-        """Best chunks for words; if every hit is irrelevant there are none."""
-        hits = self._hits(query, _within("limit", limit, 1, 50))
+        """Best chunks for words, one for each range of lines; if every hit is irrelevant there are none."""
+        hits = store.distinct_ranges(self._hits(query, _within("limit", limit, 1, 50)), "rank")
         any_good = F.max(F.col("relevance") != "not_relevant").over(Window.partitionBy())  # over `limit` rows
-        return hits.withColumn("any", any_good).where("any").drop("any").orderBy(F.desc("key"), "id")
+        return hits.withColumn("any", any_good).where("any").drop("any").orderBy("rank")
 
     def find_similar(self, code: str, limit: int = 5, language: str | None = None, hint: str | None = None) -> DataFrame:
         """Chunks like a snippet: fetch, filter, cut."""
@@ -63,7 +70,14 @@ class Engine:
         hits = store.without_self(self._hits(code, _within("limit", limit, 1, 20) + 11), code).where("relevance <> 'not_relevant'")
         hits = store.by_language(hits, language) if language else hits
         hits = store.path_hint(hits, hint) if hint else hits
-        return hits.orderBy(F.desc("key"), "id").limit(limit)
+        return hits.orderBy("rank").limit(limit)
+
+    def related(self, files: list[str]) -> DataFrame:
+        """file, id, rank: chunks of other files that each file's first chunk finds."""
+        _within("files", len(files), 1, 50)
+        rows = search.searchable(self.chunks)
+        asked = self.chunks.where(F.col("file").isin([_path(f) for f in files])).select("file")
+        return search.related(rows, asked, search.positions(rows), search.lengths(rows))
 
     def files_context(self, files: list[str]) -> DataFrame:
         """Chunks of the files with their dependents; null where those were never counted."""
@@ -87,17 +101,20 @@ class Engine:
         return rows.orderBy(F.desc("value"), "file", "start_line", "metric").limit(_within("top", top, 1, 100))
 
     def annotate(self, file: str) -> DataFrame:
-        """file, dependents, uncovered, risk."""
+        """file, dependents, uncovered, risk, reasons."""
         edges = self._edges()
         mine = edges.where(F.col("file") == _path(file))
         tests = edges.where(C.is_test_file(F.col("importer"))).select(F.col("file").alias("importer")).distinct()
         open_ = mine.where(~C.is_test_file(F.col("importer"))).join(tests, "importer", "left_anti")
         n = mine.agg(F.countDistinct("importer").alias("dependents")).withColumn("k", F.lit(1)).join(open_.agg(F.countDistinct("importer").alias("uncovered")).withColumn("k", F.lit(1)), "k")
-        return n.select(F.lit(file).alias("file"), "dependents", "uncovered", C.blast_risk(F.col("dependents"), F.col("uncovered"), F.lit(False)).alias("risk"))
+        boost = F.lit(None).cast("string")
+        level = C.blast_risk(F.col("dependents"), F.col("uncovered"), F.lit(False), boost)
+        reasons = C.blast_reasons(F.col("dependents"), F.col("uncovered"), F.lit(False), F.lit(None).cast("int"), boost)
+        return n.select(F.lit(file).alias("file"), "dependents", "uncovered", level.alias("risk"), reasons.alias("reasons"))
 
     def api_delta(self, before: DataFrame, after: DataFrame) -> DataFrame:
         """Exported signatures (file, symbol, start_line, signature) added, removed or changed."""
-        clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+        clean = C.normal_signature
         j = metrics.paired(before, after, ["file", "symbol"], ["start_line", "signature"], ["signature"])
         b, a = clean(F.col("before_signature")), clean(F.col("after_signature"))
         change = F.when(b.isNull(), "added").when(a.isNull(), "removed").when(a != b, "changed")

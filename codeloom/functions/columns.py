@@ -42,6 +42,49 @@ def identifier_style(name: Column) -> Column:
     )
 
 
+def code_shaped(name: Column) -> Column:
+    """Case changes within the name or an underscore inside: no ordinary word looks so."""
+    return name.rlike(r"[a-z][A-Z]|[A-Z][a-z]|\w_\w")
+
+
+def several_words(name: Column) -> Column:
+    """A name of several words: a small letter or digit before a capital, capitals before a capitalized word, or an underscore
+    inside."""
+    return name.rlike(r"[a-z0-9][A-Z]|[A-Z]{2}[a-z]|[A-Za-z0-9]_+[A-Za-z0-9]")
+
+
+def type_shaped(name: Column) -> Column:
+    """Several words, the first of which is capitalized, perhaps after underscores."""
+    return several_words(name) & name.rlike(r"^_*[A-Z]")
+
+
+def clamped(text: Column, most: int = 200) -> Column:
+    """White space in runs as one blank, none at the ends, and `...` at the end of what is longer than `most` characters."""
+    s = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most - 3), F.lit("..."))).otherwise(s)
+
+
+def normal_signature(text: Column) -> Column:
+    """A signature for comparison: blanks in runs are one, those around brackets and commas none, and so is a last comma."""
+    s = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r" *([(),]) *", "$1")
+    return F.trim(F.replace(s, F.lit(",)"), F.lit(")")))
+
+
+def snippet(content: Column, first_line: Column, line: Column, symbol: Column, radius: int = 5) -> Column:
+    """The line of a call, trimmed: the one that names the symbol at or nearest to where it should be, the line before first;
+    if that is blank the nearest that isn't; else `symbol(...)`."""
+    lines = F.split(content, "\n")
+    guess = line - first_line + 1  # as a place in the array
+    there = lambda i: (i >= 1) & (i <= F.size(lines))
+    text = lambda i: F.coalesce(F.get(lines, i - 1), F.lit(""))
+    near = F.concat(F.array(guess), F.flatten(F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda d: F.array(guess - d, guess + d))))
+    named = F.get(F.filter(near, lambda i: there(i) & text(i).contains(symbol)), F.lit(0))
+    at = F.coalesce(named, F.when(there(guess), guess))
+    around = F.concat(F.array(at), F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda d: at - d), F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda d: at + d))
+    said = F.get(F.filter(F.transform(around, lambda i: F.when(there(i), F.trim(text(i))).otherwise("")), lambda t: t != ""), F.lit(0))
+    return F.coalesce(said, F.concat(symbol, F.lit("(...)")))
+
+
 def whole_word(text: Column, token: Column) -> Column:
     """token stands in text with no letter, digit or underscore beside it; token is a plain identifier column."""
     return F.regexp_like(text, F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), token, F.lit(r"([^A-Za-z0-9_]|\z)")))

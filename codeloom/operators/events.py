@@ -13,10 +13,14 @@ def within(events: DataFrame, days: int, now: str) -> DataFrame:
 
 
 def window_stats(events: DataFrame, levels: list[str]) -> DataFrame:
-    """runs, distinct (file, symbol), one count for each level and one for unknown levels."""
-    cols = [F.count("*").alias("runs"), F.countDistinct(F.struct("file", "symbol")).alias("distinct_symbols")]
-    cols += [F.count_if(F.col("level") == x).alias(x) for x in levels]
-    return events.agg(*cols, F.count_if(~F.coalesce(F.col("level").isin(levels), F.lit(False))).alias("unknown"))
+    """runs, distinct (file, symbol), one count for each level and one for unknown levels, from runs (file, changes: an array of
+    structs with symbol and level): a run is one row, whatever it changed, and counts even if it changed nothing."""
+    rows = events.select("file", F.explode_outer("changes").alias("c"))
+    level = F.col("c.level")
+    cols = [F.countDistinct(F.when(F.col("c").isNotNull(), F.struct("file", "c.symbol"))).alias("distinct_symbols")]
+    cols += [F.count_if(F.col("c").isNotNull() & (level == x)).alias(x) for x in levels]
+    cols.append(F.count_if(F.col("c").isNotNull() & ~F.coalesce(level.isin(levels), F.lit(False))).alias("unknown"))
+    return events.agg(F.count("*").alias("runs")).crossJoin(rows.agg(*cols))  # one row each
 
 
 def funnel(shown: DataFrame, signals: DataFrame, acts: Column) -> DataFrame:
@@ -40,15 +44,28 @@ def unacted(shown: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def delta_window(runs: DataFrame) -> DataFrame:
-    """From (run, ts, file, symbol, crossing): distinct flagged pairs, and those absent from some strictly later run."""
+    """From (run, ts, file, symbol, crossing): distinct flagged pairs, and those absent from some strictly later run.
+
+    A pair is missing from a later run if it is flagged in fewer runs than there are from its first one on. Runs are counted by
+    ranges of their times, with one sum for each range, and met by an equi-join on the time."""
     flagged = runs.where("crossing").groupBy("file", "symbol").agg(F.countDistinct("ts").alias("flags"), F.min("ts").alias("first"))
-    later = runs.select("ts").distinct()
-    order = Window.orderBy(F.desc("ts"))
-    ranked = later.withColumn("later_runs", F.row_number().over(order) - 1)  # one row per run
-    out = flagged.join(F.broadcast(ranked), flagged["first"] == ranked["ts"]).withColumn("resolved", F.col("later_runs") > F.col("flags") - 1)
+    times = runs.select("ts").distinct().repartitionByRange("ts").withColumn("part", F.spark_partition_id())
+    per_part = times.groupBy("part").agg(F.count("*").alias("n"), F.min("ts").alias("low"))
+    after = per_part.withColumn("after", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "after")  # one row a range
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("ts"))) - 1
+    ranked = times.withColumn("inside", inside).join(after, "part").select("ts", (F.col("inside") + F.col("after")).alias("later_runs"))
+    out = flagged.join(ranked, flagged["first"] == ranked["ts"]).withColumn("resolved", F.col("later_runs") > F.col("flags") - 1)
     return out.agg(F.count("*").alias("flagged"), F.count_if("resolved").alias("resolved"))
 
 
+def run_stats(runs: DataFrame) -> DataFrame:
+    """runs, crossing_runs, soft_share from runs (crossings, soft): of the runs that crossed something the share that was soft, null
+    without any."""
+    crossing = F.col("crossings") > 0
+    out = runs.agg(F.count("*").alias("runs"), F.count_if(crossing).alias("crossing_runs"), F.count_if(crossing & F.col("soft")).alias("soft"))
+    return out.select("runs", "crossing_runs", F.round(F.try_divide(F.col("soft"), F.col("crossing_runs")), 6).alias("soft_share"))
+
+
 def last_wins(events: DataFrame, key: list[str], *order: Column | str) -> DataFrame:
     """The last event of each key."""
     return events.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")

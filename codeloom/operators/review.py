@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions import columns as C
-
-
-def ecosystem_excludes(files: DataFrame, presets: dict[str, tuple[str, str]]) -> DataFrame:
-    """ecosystem, exclude for every preset (marker file name -> exclude pattern) whose marker stands at the root."""
-    spark = files.sparkSession
-    table = spark.createDataFrame([(k, m, x) for k, (m, x) in presets.items()], "ecosystem string, marker string, exclude string")
-    return F.broadcast(table).join(files.select(F.col("file").alias("marker")).distinct(), "marker").select("ecosystem", "exclude")  # as many rows as presets
+from codeloom.operators.signals import distinctive_in, names_in_prose
 
 
 def rescued(tracked: DataFrame, listed: DataFrame, include: str, never: str) -> DataFrame:
@@ -67,10 +60,11 @@ def symbol_usages(edges: DataFrame, imported: DataFrame, calls: DataFrame, file:
 
 
 def doc_references(docs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbol, file for documentation that names a symbol of a distinctive shape: an equi-join on words, then the word test."""
-    shaped = symbols.where(F.col("symbol").rlike(r"[a-z][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]") & (F.length("symbol") > 3))
+    """symbol, file for documentation (id, file, start_line, content) that names a symbol with nothing that continues it beside it,
+    where the symbol is distinctive: an equi-join on words, then the exact test."""
+    wanted = distinctive_in(symbols.select(F.col("symbol").alias("token")), docs).select(F.col("token").alias("symbol"))
     words = docs.select("file", "content", F.explode(F.array_distinct(F.split("content", r"[^A-Za-z0-9_]+"))).alias("symbol"))
-    return words.join(shaped.select("symbol").distinct(), "symbol").where(C.whole_word(F.col("content"), F.col("symbol"))).select("symbol", "file").distinct()
+    return words.join(wanted, "symbol").where(names_in_prose(F.col("content"), F.col("symbol"))).select("symbol", "file").distinct()
 
 
 def reexported(barrels: DataFrame) -> DataFrame:

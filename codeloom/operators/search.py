@@ -1,37 +1,106 @@
-"""Lexical search: postings, BM25 over phrases, relevance bands, structural ranking; one query or a whole table of them."""
+"""Lexical search: postings over weighted columns, BM25 over phrases, relevance bands, structural ranking; one query or a table
+of them; an index that takes changes file by file."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Published BM25 parameters, relevance bands and ranking factors.
+from codeloom.functions import columns as C
+from codeloom.functions.stem import stemmed
+
+#: Published BM25 parameters, weights of the columns, relevance bands and ranking factors.
 K1, B = 1.2, 0.75
+WEIGHTS = {"symbol_name": 4.0, "symbol_tokens": 2.0, "content": 1.0}
 BANDS = ((0.75, "highly_relevant"), (0.5, "relevant"), (0.3, "loosely_related"))
 BOOST, MOST_BOOST, TEST_FACTOR, EXTRA = 0.15, 2.0, 0.8, 20
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def terms(text: Column, stem: bool = False) -> Column:
+    """Lower-cased runs of letters and digits, as they are or as stems without diacritics."""
+    out = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return stemmed(out) if stem else out
+
+
+def searchable(chunks: DataFrame) -> DataFrame:
+    """chunks with symbol_tokens, the words of symbol_name, where they lack; null columns search as empty."""
+    out = chunks if "symbol_tokens" in chunks.columns else chunks.withColumn("symbol_tokens", C.symbol_tokens(F.coalesce("symbol_name", F.lit(""))))
+    return out
 
 
 def postings(chunks: DataFrame, text: str = "content", weight: int = 1) -> DataFrame:
-    """id, term, tf, length, weight: one row per term of each document."""
+    """id, term, tf, length, weight: one row per term of each document, over one column."""
     rows = chunks.select("id", terms(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
     return rows.select("id", "length", F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf")).withColumn("weight", F.lit(weight))
 
 
+def positions(chunks: DataFrame, fields=tuple(WEIGHTS), stem: bool = False) -> DataFrame:
+    """id, file, field, term, places (of the term within the field, ascending): one row per term of each field."""
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.coalesce(F.col(f), F.lit("")), stem).alias("terms")) for f in fields))
+    rows = chunks.select("id", "file", F.explode(parts).alias("p")).select("id", "file", "p.field", F.posexplode("p.terms").alias("place", "term"))
+    return rows.groupBy("id", "file", "field", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def lengths(chunks: DataFrame, fields=tuple(WEIGHTS), stem: bool = False) -> DataFrame:
+    """id, file, length: terms of all fields of each chunk."""
+    n = sum((F.size(terms(F.coalesce(F.col(f), F.lit("")), stem)) for f in fields[1:]), F.size(terms(F.coalesce(F.col(fields[0]), F.lit("")), stem)))
+    return chunks.select("id", "file", n.alias("length"))
+
+
+def phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
+    """query, phrase (an array of terms that must follow each other), times from (query, text): each word between white space is
+    a phrase, quotes and signs within it separate its terms, and a word that is said twice counts twice."""
+    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
+    rows = queries.select("query", F.explode(words).alias("word")).select("query", terms(F.col("word"), stem).alias("phrase"))
+    return rows.where(F.size("phrase") > 0).groupBy("query", "phrase").agg(F.count("*").alias("times"))
+
+
+def quoted(text: str) -> str:
+    """The query string of an engine with MATCH: every word quoted, quotes doubled, joined by OR."""
+    return " OR ".join('"' + w.replace('"', '""') + '"' for w in text.split())
+
+
+def phrase_frequencies(places: DataFrame, wanted: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """phrase, id, tf: weighted hits of each phrase in each chunk. The phrases' terms prune the postings before anything else;
+    a phrase of several terms begins where all of them have their place."""
+    distinct = wanted.select("phrase").distinct().withColumn("n", F.size("phrase"))
+    steps = distinct.select("phrase", "n", F.posexplode("phrase").alias("k", "term"))
+    hits = places.join(steps, "term")
+    weight = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("field"))
+    single = hits.where("n = 1").select("phrase", "id", (weight * F.size("places")).alias("hits"))
+    starts = hits.where("n > 1").select("phrase", "n", "k", "id", "field", F.explode("places").alias("place"))
+    found = starts.groupBy("phrase", "n", "id", "field", (F.col("place") - F.col("k")).alias("start")).agg(F.count("*").alias("c")).where("c = n")
+    return single.unionByName(found.select("phrase", "id", weight.alias("hits"))).groupBy("phrase", "id").agg(F.sum("hits").alias("tf"))
+
+
+def inverse_frequency(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def saturated(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def weighted_bm25(places: DataFrame, sizes: DataFrame, wanted: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """query, id, score (higher is better) for phrases() rows over positions() and lengths(). Column weights count hits; rare
+    phrases weigh more; the sum is rounded, so that its order of summation doesn't show."""
+    totals = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    tf = phrase_frequencies(places, wanted, weights)
+    idf = tf.groupBy("phrase").agg(F.count("*").alias("df")).withColumn("idf", inverse_frequency(F.lit(totals["n"]), F.col("df")))
+    part = F.col("times") * F.col("idf") * saturated(F.col("tf"), F.col("length"), F.lit(float(totals["mean"] or 1.0)))
+    rows = tf.join(idf, "phrase").join(sizes.select("id", "length"), "id").join(wanted, "phrase")
+    return rows.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def bm25(post: DataFrame, lengths: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """query, id, score (higher is better) for (query, term) rows: idf = ln(1 + (N - df + .5) / (df + .5)).
+    """query, id, score (higher is better) for (query, term) rows over one column: idf = ln(1 + (N - df + .5) / (df + .5)).
 
     The queries' terms prune the postings by a semi join before anything else; document counts come from the pruned side."""
     totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = totals["n"], float(totals["mean"] or 1.0)
     wanted = query_terms.distinct()
     used = post.join(wanted.select("term").distinct(), "term", "left_semi")
-    idf = used.groupBy("term").agg(F.countDistinct("id").alias("df")).withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    idf = used.groupBy("term").agg(F.countDistinct("id").alias("df")).withColumn("idf", inverse_frequency(F.lit(totals["n"]), F.col("df")))
+    part = F.col("idf") * saturated(F.col("tf"), F.col("length"), F.lit(float(totals["mean"] or 1.0)))
     return used.join(idf, "term").join(wanted, "term").withColumn("part", F.col("weight") * part).groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
@@ -52,9 +121,10 @@ def band(ratio: Column, exact: Column | None = None) -> Column:
     return out if exact is None else F.when(exact, BANDS[0][1]).otherwise(out)
 
 
-def ranking_key(ratio: Column, dependents: Column, is_test: Column) -> Column:
-    """ratio, raised by the number of dependents (at most doubled), lowered for tests."""
-    return ratio * F.least(F.lit(MOST_BOOST), 1 + BOOST * F.log1p(dependents.cast("double"))) * F.when(is_test, TEST_FACTOR).otherwise(1.0)
+def ranking_key(ratio: Column, dependents: Column, is_test: Column, boost: bool = True, demote: bool = True) -> Column:
+    """ratio, raised by the number of dependents (at most doubled), lowered for tests; either can be switched off."""
+    out = ratio * F.least(F.lit(MOST_BOOST), 1 + BOOST * F.log1p(F.greatest(F.lit(0), dependents).cast("double"))) if boost else ratio
+    return out * F.when(is_test, TEST_FACTOR).otherwise(1.0) if demote else out
 
 
 def ranked(scores: DataFrame, limit: int) -> DataFrame:
@@ -62,3 +132,82 @@ def ranked(scores: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     out = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return out.withColumn("ratio", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query")), 6))
+
+
+def structurally_ranked(scores: DataFrame, chunks: DataFrame, counts: DataFrame | None, limit: int, boost: bool = True, demote: bool = True) -> DataFrame:
+    """query, id, file, ratio, dependents, key, rank: the best limit + EXTRA by score, ranked anew by dependents and tests, cut to
+    `limit`. counts (file, dependents) lack files without dependents; without counts there is nothing to raise by."""
+    hits = ranked(scores, limit + EXTRA).drop("rank").join(chunks.select("id", "file"), "id")
+    if counts is None:
+        hits = hits.withColumn("dependents", F.lit(0).cast("long"))
+    else:
+        hits = hits.join(counts.select("file", F.col("dependents").cast("long").alias("dependents")), "file", "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
+    key = F.round(ranking_key(F.col("ratio"), F.col("dependents"), C.is_test_file(F.col("file")), boost, demote), 6)
+    w = Window.partitionBy("query").orderBy(F.desc("key"), "id")
+    return hits.withColumn("key", key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def related(chunks: DataFrame, files: DataFrame, places: DataFrame, sizes: DataFrame, top: int = 5) -> DataFrame:
+    """file, id, rank: what a search for the text of a file's first chunk finds, the best `top`; only then those of the file
+    itself and of documentation go."""
+    first = chunks.join(files.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.min_by("content", F.struct("start_line", "id")).alias("text"))
+    found = ranked(weighted_bm25(places, sizes, phrases(first.withColumnRenamed("file", "query"))), top)
+    rows = found.join(chunks.select("id", "file", "language"), "id")
+    return rows.where((F.col("query") != F.col("file")) & (F.coalesce("language", F.lit("")) != "markdown")).select(F.col("query").alias("file"), "id", "rank")
+
+
+class PostingsIndex:
+    """Stored postings below one folder, in segments: each change of files is a segment of its own, and rows of a file count
+    from the last segment that names it. Terms are dealt into buckets, so that a search reads those of its own terms.
+
+    postings/seg=N/bucket=K: term, id, file, field, places; sizes/seg=N: id, file, length; named/seg=N: the files that a segment
+    replaces or deletes. A segment counts once its row in ``done`` is written, so that a broken write is never seen."""
+
+    POSTING = "term string, id long, file string, field string, places array<int>, seg int, bucket int"
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, stem: bool = False):
+        self.spark, self.root, self.buckets, self.stem = spark, root.rstrip("/"), buckets, stem
+
+    def segments(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/done")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getName().split("=")[1]) for x in (fs.listStatus(path) if fs.exists(path) else []) if "=" in x.getPath().getName())
+
+    def update(self, chunks: DataFrame, deleted: DataFrame | None = None) -> int:
+        """Takes chunks as all there is of their files; files of `deleted` go. The first call builds the index."""
+        n = max(self.segments(), default=-1) + 1
+        rows = searchable(chunks)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        positions(rows, stem=self.stem).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/seg={n}")
+        lengths(rows, stem=self.stem).write.mode("overwrite").parquet(f"{self.root}/sizes/seg={n}")
+        named = rows.select("file") if deleted is None else rows.select("file").unionByName(deleted.select("file"))
+        named.distinct().write.mode("overwrite").parquet(f"{self.root}/named/seg={n}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/done/seg={n}")
+        return n
+
+    def _live(self, table: str, schema: str) -> DataFrame:
+        done = self.segments()
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}").where(F.col("seg").isin(done))
+        if len(done) == 1:
+            return rows
+        named = self.spark.read.schema("file string, seg int").parquet(f"{self.root}/named").where(F.col("seg").isin(done))
+        last = named.groupBy("file").agg(F.max("seg").alias("last")).where(F.col("last") > done[0])
+        return rows.join(last, "file", "left").where(F.coalesce(F.col("seg") >= F.col("last"), F.lit(True))).drop("last")
+
+    def places(self, wanted: DataFrame | None = None) -> DataFrame:
+        """positions() rows of the files as they are now; for a few phrases, known to the driver, only their buckets are read."""
+        rows = self._live("postings", self.POSTING)
+        if wanted is not None:
+            keys = wanted.select(F.explode("phrase").alias("term")).select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("b")).distinct()
+            rows = rows.where(F.col("bucket").isin([r["b"] for r in keys.collect()]))  # at most as many as buckets
+        return rows.drop("seg", "bucket")
+
+    def sizes(self) -> DataFrame:
+        return self._live("sizes", "id long, file string, length int, seg int").drop("seg")
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """query, id, score for (query, text) rows."""
+        wanted = phrases(queries, self.stem)
+        return weighted_bm25(self.places(wanted), self.sizes(), wanted)
+
+

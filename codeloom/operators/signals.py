@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.columns import whole_word
+from codeloom.functions.columns import code_shaped, whole_word
 
 #: Words that are no identifiers worth following.
 KEYWORDS = ("the", "and", "def", "class", "return", "import", "from", "for", "with", "self", "this", "null", "true", "false", "none", "const", "let", "var", "function")
@@ -78,3 +82,162 @@ def cited(findings: DataFrame, files: DataFrame) -> DataFrame:
     j = findings.join(files, "file", "left")
     found = F.exists("spans", lambda s: F.col("content").contains(s))
     return j.where((F.size("spans") == 0) | F.col("content").isNull() | found).select(*findings.columns)
+
+
+#: Signs that continue a name in prose; fences; what a claim looks like and, for some, what must stand near it.
+CONTINUATION = r"A-Za-z0-9_.\-"
+FENCE = r"^(?:```|~~~)"
+CLAIMS = (
+    (r"\b(?:meaning-based|semantic(?:ally)?|lexical|keyword-based|embedding-based|bm25|full-text|substring)\b", r"\b(?:search|match(?:ing)?|similar|discover|rank(?:ing|ed)?|index|quer|token)"),
+    (r"\breports?\s+as\s+(?:disabled|enabled|inactive|active|unavailable)\b", None),
+    (r"\b(?:disabled|enabled|inactive|inert|no-?op|ignored|unavailable|read-only|optional|required|active)\s+(?:when|unless|if|without)\b", None),
+    (r"\bdefaults?\s+(?:to|:)|\bby default\b|default:\s*(?:true|false|\d)", None),
+    (r"\b(?:exists?|has (?:an?|no) index|is present|is absent|is missing|no longer exists?)\b", r"\b(?:fall(?:s)? back|fallback|otherwise|unless|only if|standalone|if (?:either|the|it|not))\b"),
+    (r"\b(?:are|is|remains?|stays?)\s+(?:\w+\s+){0,3}unchanged\b|\botherwise\s+unchanged\b", None),
+    (r"\brequires?\b|\brequired\b", None),
+    (r"\b(?:does|do|is|are|it|they|which|that)\s+not\s+\w+", None),
+)
+#: Histories and their folders, words that say that something is past, links, headings and bullets.
+HISTORY = r"(?i)(?:^|/)CHANGELOG[^/]*(?:\.md)?\z|(?:^|/)\.changeset/"
+PAST = r"(?i)\b(?:was|were)\s+(?:removed|renamed|deleted|retired|dropped)\b|\b(?:retired|formerly|deprecated|previously|prior to|no longer|used to)\b"
+LINKS = r"\[[^\]]*\]\([^)]*\)|https?://\S+"
+POINTS = r"^#{1,6}\s|^\s*[-*]\s"
+#: Files that guide agents and readers.
+GUIDANCE = (r"(?:^|/)CLAUDE\.md\z", r"^(?:plugins|\.cursor)/.*\.(?:sh|mdc)\z", r"^docs/.*\.md\z", r"^packages/site/docs/.*\.md\z", r"^\.changeset/[^/]*\.md\z")
+
+
+def claims(text: Column) -> Column:
+    """Does a line of prose claim how something behaves?"""
+    out = F.lit(False)
+    for pattern, near in CLAIMS:
+        hit = text.rlike(f"(?i){pattern}")
+        out = out | (hit & text.rlike(f"(?i){near}") if near else hit)
+    return out
+
+
+def names_in_prose(text: Column, token: Column) -> Column:
+    """The token (plain words, slashes and dots) stands in text with nothing that continues it at either side."""
+    quoted = F.concat(F.lit("\\Q"), token, F.lit("\\E"))
+    return F.regexp_like(text, F.concat(F.lit(f"(?<![{CONTINUATION}])"), quoted, F.lit(f"(?![{CONTINUATION}])")))
+
+
+def prose_lines(docs: DataFrame) -> DataFrame:
+    """file, id, line, text, fenced, claim of every line of doc chunks (id, file, start_line, content): fenced lies between
+    fences, claim says that the line or one of the two before or three after it claims something."""
+    rows = docs.select("file", "id", "start_line", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    w = Window.partitionBy("id").orderBy("at")
+    fence = F.trim("text").rlike(FENCE)
+    before = F.sum(F.when(fence, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fenced", F.coalesce(before, F.lit(0)) % 2 == 1).withColumn("claim", F.bool_or(claims(F.col("text"))).over(w.rowsBetween(-2, 3)))
+    return rows.select("file", "id", (F.col("start_line") + F.col("at")).alias("line"), "text", "fenced", "claim")
+
+
+def docs_drift(referands: DataFrame, docs: DataFrame, changed: DataFrame, per_referand: int = 5, most: int = 15) -> DataFrame:
+    """referand, kind, file, line, tier, place: lines of untouched documentation that still name what a change removed, renamed or
+    deleted.
+
+    Of each referand (referand, kind) the first `per_referand` lines in chunk order count; of those a history's, fenced ones,
+    ones that speak of the past, and mentions inside links alone don't. A line near a claim is a behavioral claim, a heading or
+    bullet a structural mention, others drop out; claims first, `most` in all. Lines meet referands by their words, an
+    equi-join, before the exact test."""
+    lines = prose_lines(docs.join(changed, "file", "left_anti"))
+    key = lambda c: F.filter(F.split(c, r"[^A-Za-z0-9_]+"), lambda t: t != "")
+    first = referands.select("referand", "kind", F.get(key(F.col("referand")), F.lit(0)).alias("key")).distinct()
+    hit = lines.withColumn("key", F.explode(F.array_distinct(key(F.col("text"))))).join(first, "key").where(names_in_prose(F.col("text"), F.col("referand")))
+    w = Window.partitionBy("referand", "kind").orderBy("id", "line")
+    hit = hit.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_referand)
+    outside = F.regexp_replace("text", LINKS, " ")
+    kept = hit.where(~F.col("file").rlike(HISTORY) & ~F.col("fenced") & ~F.col("text").rlike(PAST) & names_in_prose(outside, F.col("referand")))
+    tier = F.when(F.col("claim"), "behavioral-claim").when(F.col("text").rlike(POINTS), "structural-mention")
+    kept = kept.withColumn("tier", tier).where("tier IS NOT NULL")
+    order = F.col("tier") != "behavioral-claim", F.col("referand"), F.col("file"), F.col("line")
+    top = kept.orderBy(*order).limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("referand", "kind", "file", "line", "tier", "place")  # over `most` rows
+
+
+def guidance_changes(patches: DataFrame, most: int = 12_000, per_file: int = 3_000, frame: int = 64) -> DataFrame:
+    """file, shown, cut, omitted: how many characters of each guidance file's patch fit a budget, shortest patches first. A patch
+    above `per_file` or above what is left is cut; once nothing is left, later files are omitted."""
+    rows = patches.where(F.greatest(*(F.col("file").rlike(p) for p in GUIDANCE))).select("file", F.length("patch").alias("n"))
+    w = Window.orderBy("n", "file").rowsBetween(Window.unboundedPreceding, -1)  # the guidance files of one change
+    used = F.coalesce(F.sum(F.least(F.col("n"), F.lit(per_file)) + F.length("file") + frame).over(w), F.lit(0))
+    room = F.least(F.lit(per_file), F.lit(most) - used - F.length("file") - frame)
+    rows = rows.withColumn("room", room)
+    shown = F.when(F.col("room") > 0, F.least(F.col("n"), F.col("room"))).otherwise(0)
+    return rows.select("file", shown.cast("long").alias("shown"), (F.col("n") - shown).cast("long").alias("cut"), (F.col("room") <= 0).alias("omitted"))
+
+
+def distinctive_in(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """token for those whose naming in documentation means the code: by their shape, or because documentation never names them but
+    in fences, beside a slash or in backticks. docs (id, file, start_line, content)."""
+    shaped = tokens.select("token").distinct().withColumn("shaped", code_shaped(F.col("token")))
+    plain = shaped.where("NOT shaped").select("token")
+    lines = prose_lines(docs).where("NOT fenced").withColumn("token", F.explode(F.array_distinct(F.filter(F.split("text", r"[^A-Za-z0-9_]+"), lambda t: t != ""))))
+    beside = rf"[{CONTINUATION}/`]"
+    bare = F.regexp_like("text", F.concat(F.lit(f"(?<!{beside})"), F.col("token"), F.lit(f"(?!{beside})")))
+    said = lines.join(plain, "token").where(bare).select("token").distinct()
+    return shaped.join(said, "token", "left_anti").select("token")
+
+
+#: Where a clause begins, what tells errors apart, logging calls, words before a bracket that are no calls.
+CATCH = re.compile(r"\bcatch\s*(?:\(\s*([A-Za-z_$][\w$]*)\s*(?::\s*[^)]+)?\s*\))?\s*\{")
+LOGGING = re.compile(r"\b(?:console|logger|log)\s*\.\s*(?:debug|info|warn|warning|error|trace|log)\s*\([^)]*\)\s*;?", re.I)
+TELLING = "status|code|name|statusCode|errno|type"
+NO_CALLS = frozenset("if for while switch catch return throw function typeof instanceof new do try yield await void delete in of".split())
+
+
+def masked(code: str) -> str:
+    """Strings, templates and comments of JavaScript as blanks, line ends kept."""
+    parts = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?|`(?:\\.|[^`\\])*`?", re.S)
+    return parts.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+
+
+def _closing(code: str, at: int) -> int:
+    depth = 0
+    for i in range(at, len(code)):
+        depth += (code[i] == "{") - (code[i] == "}")
+        if not depth:
+            return i
+    return -1
+
+
+def indiscriminate(binding: str | None, body: str) -> bool:
+    """A masked catch body that treats every error alike and goes on: it neither looks at the error's kind nor throws at its
+    end, and does more than log."""
+    if not binding or re.search(r"\binstanceof\b", body) or re.search(rf"\b{re.escape(binding)}\s*\.\s*(?:{TELLING})\b", body):
+        return False
+    depth, top = 0, []
+    for ch in body:
+        depth += (ch == "{") - (ch == "}")
+        top.append(ch if depth == 0 and ch != "}" else "")
+    text = "".join(top)
+    if re.search(r"\bthrow\b[^;]*;?\s*\Z", text.strip()):
+        return False
+    text = LOGGING.sub("", text)
+    return bool(re.search(r"\breturn\s+[^\s;][^;\n]*(?:;|$)", text, re.M)) or any(m[1] not in NO_CALLS for m in re.finditer(r"\b([A-Za-z_$][\w$]*)\s*\(", text))
+
+
+def catch_clauses(chunks: DataFrame) -> DataFrame:
+    """file, line, end_line, binding of the catch clauses of JavaScript and TypeScript chunks (file, start_line, content) that treat
+    errors alike. Braces have to be matched, so batches go through Arrow; nothing is exchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, start, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                code = masked(content or "")
+                for m in CATCH.finditer(code):
+                    end = _closing(code, m.end() - 1)
+                    if end >= 0 and indiscriminate(m[1], code[m.end() : end]):
+                        out.append((file, start + code.count("\n", 0, m.start()), start + code.count("\n", 0, end), m[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["file", "line", "end_line", "binding"])
+
+    code = chunks.where(F.col("file").rlike(r"\.[cm]?[jt]sx?\z")).select("file", F.col("start_line").cast("int"), "content")
+    return code.mapInArrow(run, "file string, line int, end_line int, binding string")
+
+
+def undiscriminated_catches(chunks: DataFrame, touched: DataFrame, width: int = 75) -> DataFrame:
+    """catch_clauses() that a changed line (file, line) falls into, each once: a range join through line buckets."""
+    c = catch_clauses(chunks).distinct().withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line") / width), F.floor(F.col("end_line") / width))))
+    t = touched.select("file", F.col("line").alias("touched")).distinct().withColumn("bucket", F.floor(F.col("touched") / width))
+    return c.join(t, ["file", "bucket"]).where("touched BETWEEN line AND end_line").select("file", "line", "end_line", "binding").distinct()

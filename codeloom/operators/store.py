@@ -137,12 +137,51 @@ def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "file", "full_outer").select("file", change.alias("change"))
 
 
-def signature(manifest_rows: DataFrame, buckets: int = 256) -> DataFrame:
-    """One digest of all (file, content_hash), whatever their order: digests of sorted hash buckets, then of those."""
+def signature(manifest_rows: DataFrame) -> DataFrame:
+    """One digest of all (file, content_hash), whatever their order: sha256 of each, its 256 bits summed up as four numbers and
+    with the count hashed again. Sums are made in parts, so no group of rows is ever gathered."""
     line = F.concat("file", F.lit(":"), "content_hash")
-    hashed = manifest_rows.select(F.sha2(line, 256).alias("h")).withColumn("bucket", F.substring("h", 1, 2))
-    inner = hashed.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), ""), 256).alias("signature"))
+    h = manifest_rows.select(F.sha2(line, 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
+    sums = h.agg(F.count("*").alias("n"), *parts)
+    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *(F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("string") for i in range(4))), 256).alias("signature"))
+
+
+#: Bytes above which a file is recorded but not parsed, days without access after which an index is stale.
+OVERSIZE, STALE_DAYS = 5 << 20, 60
+
+
+def indexable(files: DataFrame, most: int = OVERSIZE) -> DataFrame:
+    """files (file, content) with size in bytes, skipped, and n_chunks: 0 for what is too large to parse, else null until counted."""
+    size = F.octet_length(F.coalesce("content", F.lit("")))
+    return files.withColumn("size", size.cast("long")).withColumn("skipped", F.col("size") > most).withColumn("n_chunks", F.when(F.col("skipped"), 0))
+
+
+def plan_gc(inventory: DataFrame, now: Column, stale_days: int | None = STALE_DAYS) -> DataFrame:
+    """inventory (idx, source_root, root_state: there, gone or offline, in_use, protected, last_access) with action and reason, the
+    first that holds: protected ones, those on a volume that is off and those in use stay; those whose root is gone go as orphans;
+    those not accessed for more than `stale_days` whole days go where that is asked for; without a root nothing is known."""
+    age = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_access").cast("timestamp"))) / F.lit(86_400_000_000))
+    stale = F.coalesce(age > stale_days, F.lit(False)) if stale_days is not None else F.lit(False)
+    reason = (
+        F.when(F.col("protected"), "current-project").when(F.col("root_state") == "offline", "volume-offline").when(F.col("in_use"), "in-use")
+        .when(F.col("root_state") == "gone", "orphan").when(stale, "stale").when(F.col("source_root").isNull(), "unknown-provenance").otherwise("present")
+    )
+    return inventory.withColumn("age_days", age).withColumn("reason", reason).withColumn("action", F.when(F.col("reason").isin("orphan", "stale"), "remove").otherwise("keep"))
+
+
+def delete_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    return chunks.join(files.select("file").distinct(), "file", "left_anti")
+
+
+def has_data(chunks: DataFrame) -> bool:
+    """Is there any chunk with content? Looks no further than the first."""
+    return bool(chunks.where("content <> ''").take(1))
+
+
+def newer(version: int, seen: int, now_ms: int, last_check_ms: int, every_ms: int = 1000) -> tuple[bool, int]:
+    """(does a reader have to open the store anew, time of the check): versions are compared at most once in `every_ms`."""
+    return (version > seen, now_ms) if now_ms - last_check_ms >= every_ms else (False, last_check_ms)
 
 
 def keep_last(rows: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -20,17 +20,24 @@ def _now(spark, d) -> str:
 
 def _stats_sql(days):
     counts = ", ".join(f"count(*) FILTER (WHERE level = '{x}')::BIGINT AS {x}" for x in _LEVELS)
-    return _L + f"SELECT count(*)::BIGINT AS runs, count(DISTINCT (file, symbol))::BIGINT AS distinct_symbols, {counts}, count(*) FILTER (WHERE level = 'other')::BIGINT AS unknown FROM ledger WHERE ts >= {_NOW_SQL} - INTERVAL {days} DAY"
+    return _L + f""", run AS (SELECT session, date_trunc('hour', ts) AS ts, file FROM ledger GROUP BY 1, 2, 3), c AS (SELECT r.*, l.symbol, l.level FROM run r JOIN ledger l ON l.session = r.session AND l.file = r.file AND date_trunc('hour', l.ts) = r.ts AND l.kind = 'signal' WHERE r.ts >= {_NOW_SQL} - INTERVAL {days} DAY)
+SELECT (SELECT count(*) FROM run WHERE ts >= {_NOW_SQL} - INTERVAL {days} DAY)::BIGINT AS runs, count(DISTINCT (file, symbol))::BIGINT AS distinct_symbols, {counts}, count(*) FILTER (WHERE level = 'other')::BIGINT AS unknown FROM c"""
+
+
+def _runs(spark, d):
+    """A run: what one session does in a file within an hour; its signals are the changes, perhaps none."""
+    change = F.when(F.col("kind") == "signal", F.struct("symbol", "level"))
+    return ledger(spark, d).groupBy("session", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts"), "file").agg(F.collect_list(change).alias("changes"))
 
 
 @query("g15_window_7d", _stats_sql(7))
 def window_7d(spark, d):
-    return E.window_stats(E.within(ledger(spark, d), 7, _now(spark, d)), _LEVELS)
+    return E.window_stats(E.within(_runs(spark, d), 7, _now(spark, d)), _LEVELS)
 
 
 @query("g15_window_30d", _stats_sql(30))
 def window_30d(spark, d):
-    return E.window_stats(E.within(ledger(spark, d), 30, _now(spark, d)), _LEVELS)
+    return E.window_stats(E.within(_runs(spark, d), 30, _now(spark, d)), _LEVELS)
 
 
 _ACTS = "(s.nudge = 'annotate' AND g.signal IN ('files_context', 'dependents') AND s.file = g.file OR s.nudge = 'blast' AND g.signal = 'dependents' AND (s.file = g.file OR s.symbol = g.symbol))"
@@ -77,13 +84,14 @@ def unverified_edits(spark, d):
     return E.unverified(t.where("role = 'user'").select("event_id", "session", "ts", "file", "folder"), runs).select("event_id", "session", "file")
 
 
-@query("j24_new_findings", """WITH f AS (SELECT event_id AS id, 'f' || (user_id % 20) AS file, event_type AS category, (event_id * 37) % 2000 AS line FROM events WHERE event_id % 2 = 0),
-c AS (SELECT 'f' || (user_id % 20) AS file, event_type AS category, (event_id * 53) % 2000 AS line FROM events WHERE event_id % 11 = 0)
+@query("j24_new_findings", """WITH f AS (SELECT event_id AS id, 'f' || (user_id % 20) AS file, event_type AS category, (event_id * 37) % 2000 AS line FROM events),
+c AS (SELECT 'f' || (user_id % 20) AS file, event_type AS category, (event_id * 53) % 2000 AS line FROM events WHERE value > 90)
 SELECT id, file, category, line FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.file = f.file AND c.category = f.category AND abs(c.line - f.line) <= 30)""")
 def new_findings(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("f"), F.col("user_id") % 20).alias("file"), F.col("event_type").alias("category"))
-    f = e.where("id % 2 = 0").withColumn("line", (F.col("id") * 37) % 2000)
-    return E.near_comments(f, e.where("id % 11 = 0").withColumn("line", (F.col("id") * 53) % 2000))
+    """Every event is a finding; those of a high value have been commented on, elsewhere."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("f"), F.col("user_id") % 20).alias("file"), F.col("event_type").alias("category"), "value")
+    comments = e.where("value > 90").withColumn("line", (F.col("id") * 53) % 2000)
+    return E.near_comments(e.drop("value").withColumn("line", (F.col("id") * 37) % 2000), comments)
 
 
 @query("a11_ledger_read", "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")

@@ -14,19 +14,6 @@ def _s(prefix, x):
     return F.concat(F.lit(prefix), x)
 
 
-@query("a2_rescued_files", "WITH t AS (SELECT 'src/m' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.bin' ELSE '.lock' END AS file, p_partkey FROM part) SELECT file FROM t WHERE p_partkey % 4 <> 0 AND regexp_matches(file, '\\.(py|lock)$') AND NOT regexp_matches(file, '\\.lock$')")
-def rescued_files(spark, d):
-    k = F.col("p_partkey")
-    t = table(spark, d, "part").select(k, F.concat(F.lit("src/m"), k, F.when(k % 3 == 0, ".py").when(k % 3 == 1, ".bin").otherwise(".lock")).alias("file"))
-    return R.rescued(t.select("file"), t.where(k % 4 == 0).select("file"), r"\.(py|lock)\z", r"\.lock\z")
-
-
-@query("a4_ecosystems", "SELECT DISTINCT ecosystem, exclude FROM (VALUES ('node', 'AFRICA', 'node_modules/**'), ('python', 'ASIA', '.venv/**'), ('rust', 'nowhere', 'target/**')) p(ecosystem, marker, exclude) JOIN region ON r_name = marker")
-def ecosystems(spark, d):
-    files = table(spark, d, "region").select(F.col("r_name").alias("file"))
-    return R.ecosystem_excludes(files, {"node": ("AFRICA", "node_modules/**"), "python": ("ASIA", ".venv/**"), "rust": ("nowhere", "target/**")})
-
-
 @query("f2_merged_hits", "WITH h AS (SELECT o_custkey % 50 AS query, o_orderkey AS id, 'f' || o_custkey % 9 AS file, o_totalprice AS score, o_orderkey % 4 = 0 AS own FROM orders), b AS (SELECT query, id, file, score FROM h WHERE own UNION ALL SELECT query, id, file, score FROM h WHERE NOT own AND file NOT IN ('f1', 'f2')), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM b) SELECT query, id, rank FROM r WHERE rank <= 5")
 def merged_hits(spark, d):
     h = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query"), F.col("o_orderkey").alias("id"), _s("f", F.col("o_custkey") % 9).alias("file"), F.col("o_totalprice").alias("score"))
@@ -98,10 +85,19 @@ def symbol_usages(spark, d):
     return R.symbol_usages(edges, imports, calls, "f5")
 
 
-@query("j28_doc_references", "WITH s AS (SELECT DISTINCT 'load_' || p_size AS symbol FROM part WHERE p_size < 20), t AS (SELECT 'd' || doc_id AS file, text || ' see load_' || doc_id % 30 || '.' AS content FROM documents) SELECT symbol, file FROM s, t WHERE regexp_matches(content, '(^|[^A-Za-z0-9_])' || symbol || '([^A-Za-z0-9_]|$)')")
+_SAID = "'d' || doc_id AS file, text || chr(10) || 'see load_' || doc_id % 30 || ', or get' || doc_id % 30 || ' it' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '`put' || doc_id % 30 || '`' ELSE 'x/put' || doc_id % 30 || ' load_' || (doc_id + 1) % 30 || '-more' END AS content"
+
+
+@query("j28_doc_references", f"""WITH s AS (SELECT DISTINCT unnest(['load_' || p_size, 'get' || p_size, 'put' || p_size]) AS symbol FROM part WHERE p_size < 20), t AS (SELECT doc_id, {_SAID} FROM documents)
+SELECT DISTINCT symbol, file FROM s, t WHERE NOT starts_with(symbol, 'get') AND regexp_matches(content, '(^|[^A-Za-z0-9_.\\-])' || symbol || '([^A-Za-z0-9_.\\-]|$)')""")
 def doc_references(spark, d):
-    docs = table(spark, d, "documents").select(_s("d", F.col("doc_id")).alias("file"), F.concat("text", F.lit(" see load_"), F.col("doc_id") % 30, F.lit(".")).alias("content"))
-    return R.doc_references(docs, table(spark, d, "part").where("p_size < 20").select(_s("load_", F.col("p_size")).alias("symbol")).distinct())
+    """Names that read as code, plain words that prose uses, and plain words that stand in backticks or behind slashes alone."""
+    k = F.col("doc_id") % 30
+    third = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("`put"), k, F.lit("`"))).otherwise(F.concat(F.lit("x/put"), k, F.lit(" load_"), (F.col("doc_id") + 1) % 30, F.lit("-more")))
+    said = F.concat("text", F.lit("\nsee load_"), k, F.lit(", or get"), k, F.lit(" it\n"), third)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), _s("d", F.col("doc_id")).alias("file"), F.lit(1).alias("start_line"), said.alias("content"))
+    names = table(spark, d, "part").where("p_size < 20").select(F.explode(F.array(*(_s(p, F.col("p_size")) for p in ("load_", "get", "put")))).alias("symbol"))
+    return R.doc_references(docs, names.distinct())
 
 
 @query("t7_reexported_symbols", "WITH b AS (SELECT o_custkey, list(DISTINCT 's' || o_orderkey % 6) AS im, list(DISTINCT 's' || o_orderkey % 4) AS ex FROM orders GROUP BY 1) SELECT 'f' || o_custkey AS file, array_to_string(list_sort(CASE WHEN o_custkey % 5 = 0 THEN ex ELSE list_intersect(im, ex) END), ',') AS symbols FROM b")
@@ -127,13 +123,6 @@ def comparison_changes(spark, d):
     return R.comparison_changes(before, after)
 
 
-@query("d12_blind_spots", "SELECT * FROM (VALUES ('csharp', true), ('go', true), ('java', true), ('kotlin', true), ('php', false), ('python', false), ('ruby', false), ('rust', false), ('swift', true), ('typescript', false)) t(language, blind)")
-def blind_spots(spark, d):
-    """Languages in which a file's dependents need no import of it: packages, modules or namespaces bind names."""
-    flags = [("csharp", True), ("go", True), ("java", True), ("kotlin", True), ("php", False), ("python", False), ("ruby", False), ("rust", False), ("swift", True), ("typescript", False)]
-    return spark.createDataFrame(flags, "language string, blind boolean")
-
-
 @query("n13_coverage_gaps", f"WITH {FUNCTIONS}, f AS (SELECT DISTINCT file FROM functions), t AS (SELECT DISTINCT 'pkg' || (l_orderkey % 40) || '/f' || (l_orderkey % 400) || '.py' AS file FROM lineitem WHERE l_orderkey % 400 < 300) SELECT file FROM f WHERE file NOT IN (SELECT file FROM t) ORDER BY file LIMIT 10")
 def coverage_gaps(spark, d):
     f = functions(spark, d)

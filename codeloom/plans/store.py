@@ -41,9 +41,24 @@ def indexed_files(spark, d):
 
 
 @query("a5_oversize", "SELECT source || '/' || doc_id || '.md' AS file, strlen(coalesce(text, '')) > 8192 AS skipped, CASE WHEN strlen(coalesce(text, '')) > 8192 THEN 0 END::INT AS n_chunks FROM documents")
-def oversize(spark, d, limit: int = 8192):
-    big = F.octet_length(F.coalesce("text", F.lit(""))) > limit
-    return table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file"), big.alias("skipped"), F.when(big, 0).alias("n_chunks"))
+def oversize(spark, d):
+    """With 8,192 bytes as the limit, which some documents exceed; a project's limit is store.OVERSIZE."""
+    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file"), F.col("text").alias("content"))
+    return store.indexable(files, 8192).select("file", "skipped", "n_chunks")
+
+
+@query("a16_deleted_files", _BASE + "SELECT id, file FROM chunks WHERE doc_id % 3 <> 0")
+def deleted_files(spark, d):
+    c = chunks(spark, d)
+    return store.delete_files(c, c.where("doc_id % 3 = 0").select("file")).select("id", "file")
+
+
+@query("b8_without_self", _BASE + ", t AS (SELECT trim(content, ' ') AS code FROM chunks WHERE id = (SELECT min(id) FROM chunks)) SELECT id FROM chunks, t WHERE NOT ((id % 7) / 20.0 < 0.1 AND trim(content, ' ') = trim(t.code))")
+def without_self(spark, d):
+    """Hits for the first chunk's own code, with made-up scores."""
+    c = chunks(spark, d)
+    code = c.orderBy("id").select(F.trim("content")).first()[0]
+    return store.without_self(c.withColumn("score", F.col("id") % 7 / 20), code).select("id")
 
 
 @query("b1_language", _BASE + _TAIL + "chunks WHERE lower(language) = 'de'")
@@ -168,7 +183,7 @@ def overlay_mask(spark, d):
 
 
 @query("t5_signature", """WITH h AS (SELECT sha256(source || '/' || doc_id || '.md:' || substr(sha256(coalesce(text, '')), 1, 16)) AS h FROM documents),
-b AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY 1) SELECT sha256(string_agg(digest, '' ORDER BY bucket)) AS signature FROM b""")
+p AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT) AS a, sum(('0x' || substr(h, 16, 15))::HUGEINT) AS b, sum(('0x' || substr(h, 31, 15))::HUGEINT) AS c, sum(('0x' || substr(h, 46, 15))::HUGEINT) AS d FROM h) SELECT sha256(n || ':' || a || ':' || b || ':' || c || ':' || d) AS signature FROM p""")
 def signature(spark, d):
     docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file"), F.coalesce("text", F.lit("")).alias("content"))
     return store.signature(store.manifest(docs))
@@ -179,11 +194,19 @@ def keep_last(spark, d):
     return store.keep_last(table(spark, d, "events"), 200, F.desc("ts"), F.desc("event_id")).select("event_id")
 
 
-@query("a20_stale_indexes", "SELECT c_custkey AS idx, CASE WHEN c_nationkey % 6 = 0 THEN 'orphan' WHEN floor(c_acctbal / 100) > 60 THEN 'stale' ELSE 'keep' END AS verdict FROM customer")
-def stale_indexes(spark, d, days: int = 60):
-    age = F.floor(F.col("c_acctbal") / 100)
-    verdict = F.when(F.col("c_nationkey") % 6 == 0, "orphan").when(age > days, "stale").otherwise("keep")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), verdict.alias("verdict"))
+@query("a20_stale_indexes", """WITH i AS (SELECT c_custkey AS idx, c_nationkey, max(o_orderdate) AS last_access FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), n AS (SELECT max(o_orderdate) AS now FROM orders),
+x AS (SELECT idx, c_nationkey AS k, floor((epoch_us(now) - epoch_us(last_access)) / 86400000000)::BIGINT AS age_days FROM i, n)
+SELECT idx, age_days, CASE WHEN k % 11 = 0 THEN 'current-project' WHEN k % 6 = 1 THEN 'volume-offline' WHEN k % 7 = 2 THEN 'in-use' WHEN k % 6 = 0 THEN 'orphan' WHEN age_days > 60 THEN 'stale' WHEN k % 5 = 3 THEN 'unknown-provenance' ELSE 'present' END AS reason,
+CASE WHEN k % 11 = 0 OR k % 6 = 1 OR k % 7 = 2 THEN 'keep' WHEN k % 6 = 0 OR age_days > 60 THEN 'remove' ELSE 'keep' END AS action FROM x""")
+def stale_indexes(spark, d):
+    """Customers as indexes, last accessed by their last order; what their roots are follows from the nation."""
+    k = F.col("c_nationkey")
+    orders = table(spark, d, "orders")
+    seen = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_access"))
+    root = F.when(k % 6 == 1, "offline").when(k % 6 == 0, "gone").otherwise("there")
+    inventory = table(spark, d, "customer").join(seen, "c_custkey").select(F.col("c_custkey").alias("idx"), F.when(k % 5 != 3, "root").alias("source_root"), root.alias("root_state"), (k % 7 == 2).alias("in_use"), (k % 11 == 0).alias("protected"), "last_access")
+    now = F.lit(orders.agg(F.max("o_orderdate")).first()[0])
+    return store.plan_gc(inventory, now).select("idx", "age_days", "reason", "action")
 
 
 @query("m2_line_windows", _BASE + "SELECT file, start_line, end_line, sha256(content) AS sha FROM chunks")

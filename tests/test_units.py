@@ -143,3 +143,44 @@ def test_change_stream(spark, tmp_path):
         index_stream(change_stream(spark, str(inbox)), snaps, to_chunks, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["file"], r["content"]) for r in snaps.read().collect()) == [("a", "new"), ("c", "3"), ("d", "4")]
     assert snaps.version() == 1
+
+
+def test_change_stream_into_an_empty_store(spark, tmp_path):
+    """The first batch builds the store, a second one replaces files of the buckets that it touches, a large file that didn't change is
+    known by its hash."""
+    to_chunks = lambda df: df.select("file", "content", C.content_hash(F.col("content")).alias("content_hash"))
+    snaps, inbox = Snapshots(spark, f"{tmp_path}/store", buckets=8), tmp_path / "in"
+    inbox.mkdir()
+    big = "ü" * 600_000
+
+    def go(name, changes):
+        (inbox / name).write_text("\n".join(json.dumps(dict(zip(("file", "kind", "ts", "content"), c, strict=True))) for c in changes))
+        index_stream(change_stream(spark, str(inbox)), snaps, to_chunks, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    assert snaps.read() is None and snaps.version() == -1
+    go("a.json", [(f"f{i}", "upsert", "2024-01-01T00:00:01", str(i)) for i in range(20)] + [("big", "upsert", "2024-01-01T00:00:01", big)])
+    assert snaps.version() == 1 and snaps.read().count() == 21
+    before = snaps._current()
+    go("b.json", [("f3", "delete", "2024-01-01T00:00:02", None), ("f4", "upsert", "2024-01-01T00:00:02", "new"), ("big", "upsert", "2024-01-01T00:00:02", big)])
+    got = {r["file"]: r["content"] for r in snaps.read().collect()}
+    assert len(got) == 20 and "f3" not in got and got["f4"] == "new" and got["big"] == big
+    after = snaps._current()
+    assert 0 < sum(after.get(b) != v for b, v in before.items()) <= 2
+    assert snaps.publish(spark.createDataFrame([("z", "1", "h")], "file string, content string, content_hash string")) == 3 and snaps.read().count() == 1
+
+
+def test_reindex_state_and_stale_counts(spark):
+    from codeloom.streaming.changes import counted, reindex_state
+
+    done = [{"batchDuration": 70, "numInputRows": 3}, {"batchDuration": 50, "numInputRows": 2}]
+    assert reindex_state(done, 10) == {"in_progress": False, "batches": 2, "rows": 5, "last_duration_ms": 50, "stuck": False}
+    assert reindex_state([*done, {"started_ms": 0}], 300_001)["stuck"] and not reindex_state([*done, {"started_ms": 0}], 300_000)["stuck"]
+    chunks = spark.createDataFrame([("a",), ("b",)], "file string")
+    counts = spark.createDataFrame([("a", 3)], "file string, dependents long")
+    assert [(r["dependents"], r["stale"]) for r in counted(chunks, counts, 5, 4).orderBy("file").collect()] == [(3, True), (0, True)]
+    assert [(r["dependents"], r["stale"]) for r in counted(chunks, None, 5, None).collect()] == [(None, None)] * 2
+    assert not counted(chunks, counts, 4, 4).first()["stale"]
+
+
+def test_version_checks():
+    assert store.newer(5, 4, 2000, 1000) == (True, 2000) and store.newer(5, 5, 2000, 1000) == (False, 2000) and store.newer(9, 1, 1999, 1000) == (False, 1000)

@@ -31,11 +31,11 @@ def library_ids(name, text):
 
 
 BOTH = pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-_PIECES = st.sampled_from([*" \n\t'sStlLmMvVeErRdD.,!|é9²ſIİßœ–中😀<>\x1c\x85̇", "<|endoftext|>", "<|startoftext|>", "'ſ", "'S", "'re", "  "])
+_PIECES = st.sampled_from([*" \n\t'sStlLmMvVeErRdD.,!|é9²ſIİßœ–中😀<>\x1c\x85̇", "<|endoftext|>", "<|startoftext|>", "'ſ", "'S", "'re", "  ", "\n ", " \n", "\n\n", "word", "Words.", " the", "12"])
 
 
 @BOTH
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.one_of(st.lists(_PIECES, max_size=30).map("".join), st.text(alphabet=st.characters(codec="utf-8"), max_size=60)))
 def test_ids_equal_those_of_whole_texts(name, spaces, text):
     assert encoder(name, spaces).ids(text).tolist() == library_ids(name, text)

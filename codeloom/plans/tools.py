@@ -103,3 +103,25 @@ def changed_snapshot(spark, d):
     touched = c.where("doc_id % 4 = 1")
     snaps.replace(store.distinct_ranges(touched.where("doc_id % 8 = 1").withColumn("end_line", F.lit(0)).withColumn("start_line", F.lit(1)).select("file", "doc_id", "start_line", "end_line").distinct(), "doc_id").select("file", "doc_id", "start_line"), touched.where("doc_id % 8 <> 1").select("file"))
     return snaps.read().groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("a14_batch_insert", f"WITH {CHUNKS} SELECT file, count(*)::BIGINT AS n FROM chunks GROUP BY file")
+def batch_insert(spark, d):
+    """Three batches of files as one insert, read back."""
+    from codeloom.streaming.changes import Snapshots
+    from codeloom.tables import Scratch
+
+    c = chunks(spark, d).select("id", "file", "start_line", "content", "symbol_name", "doc_id")
+    snaps = Snapshots(spark, Scratch(spark, "insert").path("store"), buckets=16)
+    for k in range(3):
+        snaps.replace(c.where(F.col("doc_id") % 3 == k), c.limit(0).select("file"))
+    return snaps.read().groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("h16_imported_symbols", "WITH m AS (SELECT o_custkey, list_sort(list(DISTINCT 'm' || o_orderkey % 5)) AS modules, list_sort(list(DISTINCT 's' || o_orderkey % 5 || '_' || o_orderkey % 7)) AS symbols FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(modules, ',') AS modules, array_to_string(symbols, ',') AS symbols FROM m")
+def imported_symbols(spark, d):
+    """A map from module to names, its keys and all its names."""
+    k = F.col("o_orderkey")
+    per = table(spark, d, "orders").select("o_custkey", F.concat(F.lit("m"), k % 5).alias("module"), F.concat(F.lit("s"), k % 5, F.lit("_"), k % 7).alias("name")).groupBy("o_custkey", "module").agg(F.collect_set("name").alias("names"))
+    m = per.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("module", "names"))).alias("m"))
+    return m.select("o_custkey", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("modules"), F.array_join(F.array_sort(F.flatten(F.map_values("m"))), ",").alias("symbols"))

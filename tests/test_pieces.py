@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import plugins
+from codeloom.chunkstore import ChunkStore
 from codeloom.functions import columns as C
 from codeloom.functions import commands, stem
 from codeloom.operators import graph, metrics, recovery, reports, resolve, search, signals, store
@@ -188,3 +190,56 @@ def test_snippets(spark):
 def test_headroom_and_overall_on_empty(spark):
     empty = spark.createDataFrame([], "file string, avg double, max int, sum long, n long")
     assert metrics.overall(empty).collect()[0]["max"] is None
+
+
+CHUNK = "id long, file string, start_line int, end_line int, content string, symbol_name string, language string"
+
+
+def test_chunk_store_and_overlay(spark, tmp_path):
+    rows = [(i, f"f{i}.py", 1, 1, f"alpha w{i}", f"s{i}", "python") for i in range(8)]
+    df = lambda r: spark.createDataFrame(r, CHUNK)
+    base = ChunkStore(spark, f"{tmp_path}/base", buckets=4)
+    assert not base.has_data()
+    base.insert(iter([df(rows[:5]), df(rows[5:])]))
+    assert base.has_data() and base.read().count() == 8 and base.stale(5000) and not base.stale(5500) and not base.stale(7000)
+    asked = spark.createDataFrame([(0, "w3")], "query int, text string")
+    assert [r["file"] for r in base.search(asked).collect()] == ["f3.py"]
+    base.replace(df([(3, "f3.py", 1, 1, "alpha moved", "s3", "python")]), spark.createDataFrame([("f4.py",)], "file string"))
+    assert base.search(asked).count() == 0 and base.read().count() == 7 and base.stale(9000)
+    assert [r["content"] for r in base.by_files(["f3.py"]).collect()] == ["alpha moved"]
+    over = ChunkStore(spark, f"{tmp_path}/over", buckets=4, base=base, masked=spark.createDataFrame([("f1.py",), ("f2.py",)], "file string"))
+    over.publish(df([(100, "f1.py", 1, 1, "w5 w5 own", "t", "python")]))
+    assert {r["file"] for r in over.read().collect()} == {"f0.py", "f1.py", "f3.py", "f5.py", "f6.py", "f7.py"}
+    assert {r["id"] for r in over.search(spark.createDataFrame([(0, "w5 w2")], "query int, text string")).collect()} == {100, 5}
+    base.delete(spark.createDataFrame([("f0.py",)], "file string"))
+    assert base.read().count() == 6
+    base.clear()
+    assert not base.has_data()
+
+
+def test_plugins(spark):
+    kinds = "export enum Kind {\n  A,\n  B,\n  New,\n}\n"
+    use = "switch (k) {\n  case Kind.A: x()\n  case Kind.B: y()\n}\n"
+    bad = "try { a() } catch (e) {\n  return 1\n}\n"
+    rows = [(1, "src/kinds.ts", 1, 5, kinds, "", "typescript"), (2, "src/use.ts", 1, 4, use, "", "typescript"), (3, "src/bad.ts", 1, 3, bad, "", "typescript"), (4, "src/doc.ts", 1, 1, "loadAll()", "loadAll", "typescript")]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    patches = spark.createDataFrame([("src/kinds.ts", "@@ -1,4 +1,5 @@\n export enum Kind {\n   A,\n   B,\n+  New,\n }"), ("src/bad.ts", "@@ -0,0 +1,3 @@\n+try { a() } catch (e) {\n+  return 1\n+}"), ("docs/a.md", "@@ -0,0 +1 @@\n+It requires `loadAll` first.")], "file string, patch string")
+    change = plugins.Change(patches, chunks.where("file in ('src/kinds.ts', 'src/bad.ts')"), chunks)
+    got = {(r["plugin"], r["file"], r["line"]): r["message"] for r in plugins.review(change).collect()}
+    assert set(got) == {("variants", "src/kinds.ts", 4), ("catches", "src/bad.ts", 1), ("claims", "docs/a.md", 1)}
+    assert "src/use.ts handles A,B of Kind but not New" in got["variants", "src/kinds.ts", 4]
+    assert plugins.review(change, ("catches",)).count() == 1
+    with pytest.raises(ValueError, match="no plugin"):
+        plugins.review(change, ("none",))
+
+
+def test_commits_as_changes(spark, tmp_path):
+    from codeloom.streaming.changes import Snapshots, commit_stream, index_stream
+
+    inbox = tmp_path / "commits"
+    inbox.mkdir()
+    (inbox / "c.json").write_text("\n".join(json.dumps(x) for x in ({"sha": "1", "ts": "2024-01-01T00:00:01", "file": "a", "kind": "upsert", "content": "one"}, {"sha": "2", "ts": "2024-01-01T00:00:02", "file": "a", "kind": "upsert", "content": "two"}, {"sha": "2", "ts": "2024-01-01T00:00:02"})))
+    snaps = Snapshots(spark, f"{tmp_path}/store", buckets=4)
+    to_chunks = lambda df: df.select("file", "content", C.content_hash(F.col("content")).alias("content_hash"))
+    index_stream(commit_stream(spark, str(inbox)), snaps, to_chunks, f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert [(r["file"], r["content"]) for r in snaps.read().collect()] == [("a", "two")]

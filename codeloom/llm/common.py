@@ -31,6 +31,11 @@ def enter(owner: str) -> None:
     for other, clear in _caches.items():
         if other != owner:
             clear()
+    leave()
+
+
+def leave() -> None:
+    """Called when a task is done: what it no longer uses goes back to the system, as idle workers stay alive."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

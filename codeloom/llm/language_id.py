@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import enter, worker_cache
+from codeloom.llm.common import enter, leave, worker_cache
 
 DIMENSIONS = 512
 _GAP = 32  # stands for every run of characters that aren't letters
@@ -164,6 +164,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
                         names[i] = langs[best[k]]
                         scores[i] = float(min(1.0, max(0.0, cosines[k, best[k]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        leave()
 
     return docs.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, enter, partitions
+from codeloom.llm.common import Scratch, enter, leave, partitions
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _NONE = -(1 << 63)
@@ -54,6 +54,7 @@ def _lines(least: int):
                             totals.append(None)
                 pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(totals, pa.int64())], names=names)
+        leave()
 
     return run
 

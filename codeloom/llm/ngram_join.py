@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, enter, worker_cache
+from codeloom.llm.common import Scratch, enter, leave, worker_cache
 
 #: A shingle in more than one of so many documents counts as frequent; at most FREQUENT * (mean set size) shingles are.
 FREQUENT = 512
@@ -109,6 +109,8 @@ def _scan(width: int):
                 yield batch_of(0, *zip(*rows, strict=True))
         if len(block) > 2:
             yield frequent()
+        block, seen = [], set()
+        leave()
 
     return run
 
@@ -157,6 +159,8 @@ def _prefixes(width: int, percent: int, order: Order):
                 if tokens:
                     wide = np.repeat(np.array(signs, np.int64), sizes, axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(3)), pa.array(np.concatenate(cores)), pa.array(np.concatenate(hots))], names=["token", "s1", "s2", "n", "core", "hot"])
+        seen = set()
+        leave()
 
     return run
 
@@ -342,6 +346,7 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
                 sets = [shingles(t, width) for t in some.column(some.num_columns - 1).to_pylist()]
                 keep = pa.array([_sign(s) == (a, b) for s, a, b in zip(sets, some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*batch.schema.names[:-1], "shingles"]).filter(keep)
+        leave()
 
     chosen_texts = chosen.join(docs.withColumnRenamed("doc_id", "node"), "node")
     sets = scratch.table(chosen_texts.mapInArrow(to_sets, "node long, s1 long, s2 long, df long, token long, shingles binary"), "sets")
@@ -350,6 +355,9 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         rows = {c: table.column(c).to_pylist() for c in ("component", "side", "shingles")}
         pairs = link_group([np.frombuffer(b, np.uint64) for b in rows["shingles"]], rows["component"], rows["side"], percent, order) if table.num_rows > 1 else []
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        if table.num_rows > BLOCK // 2:
+            rows = None
+            leave()
         return pa.Table.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def linked(groups: DataFrame, *key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch
+from codeloom.llm.common import Scratch, leave
 from codeloom.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
@@ -85,19 +85,19 @@ def _rows(windows: Iterator[tuple[list, bool]], first: int, small: str) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, spaces: bool = True, size: int = 1024, open_windows: int = 64, least_fragment: int = 8, fan_in: int = 16) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, spaces: bool = True, size: int = 1024, open_windows: int = 64, least_fragment: int = 8, fan_in: int = 16, memo: int = 500_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each task reads its part of docs once, tokenizes whole texts, and packs them on line with `open_windows` open windows.
     What stays open (at most that many windows for each task) is merged by rounds in which one task takes over the open
     windows of `fan_in` others, so no task ever holds more than fan_in * open_windows of them; the last round closes. The
     only exchange carries those leftovers. A null text is an empty one (its end id alone), a null doc_id stays null,
-    repeated rows are packed each, an empty table gives no row.
+    repeated rows are packed each, an empty table gives no row. `memo` bounds the pre-tokens whose ids a worker keeps.
     """
     small = encoder(tokenizer, spaces).kind
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(tokenizer, spaces), TaskContext.get().partitionId()
+        enc, task = encoder(tokenizer, spaces, memo), TaskContext.get().partitionId()
         end = np.array([end_id], small).tobytes()
 
         def windows():
@@ -113,6 +113,7 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 0, spa
                 yield w, True
 
         yield from _rows(windows(), task * _ROOM, small)
+        leave()
 
     def merge(last: bool, level: int):
         def run(key, table):

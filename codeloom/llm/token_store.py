@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, partitions
+from codeloom.llm.common import Scratch, leave, partitions
 from codeloom.llm.tokens import encoder
 
 MASK, LEAST, MOST = (1 << 8) - 1, 64, 1024  # a cut every 256 ids or so past the least length
@@ -184,6 +184,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, s
                     rows.append(("recipes", recipe_root(held) + struct.pack(">IQ", task, n_recipes), doc, a, held))
                     n_recipes += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "doc_id", "n", "data"])
+        sent = set()
+        leave()
 
     schema = "kind string, key binary, doc_id long, n long, data binary"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)

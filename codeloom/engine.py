@@ -27,17 +27,20 @@ def _path(p: str) -> str:
 @dataclass
 class Engine:
     """chunks (id, file, start_line, end_line, content, language, symbol_name, symbol_type, and metrics where known) and
-    specifiers (importer, specifier). `counts` is null where dependents were never computed; `index` holds stored postings, else
-    a search makes them; `boost` and `demote` switch structural ranking off."""
+    specifiers (importer, specifier). `counts` is null where dependents were never computed; `index` holds stored postings and
+    `edges` stored edges, else each call makes them; `boost` and `demote` switch structural ranking off."""
 
     chunks: DataFrame
     specifiers: DataFrame | None = None
     counts: DataFrame | None = None
     index: search.PostingsIndex | None = None
+    edges: I.EdgeIndex | None = None
     boost: bool = True
     demote: bool = True
 
     def _edges(self) -> DataFrame:
+        if self.edges is not None:
+            return self.edges.edges()
         if self.specifiers is None:
             raise ValueError("no import specifiers indexed")
         return I.import_edges(self.specifiers, self.chunks.select("file").distinct())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
@@ -93,3 +93,32 @@ def unique_owner_references(declarations: DataFrame, mentions: DataFrame) -> Dat
     """(importer, file): a name that one file alone declares, mentioned in a file that does not declare it."""
     owners = declarations.groupBy("name").agg(F.min("file").alias("file"), F.countDistinct("file").alias("n")).where("n = 1").drop("n")
     return mentions.select(F.col("file").alias("importer"), "name").join(owners, "name").where("importer <> file").select("importer", "file").distinct()
+
+
+class EdgeIndex:
+    """Import edges and dependent counts, made once for each full index and then looked up: edges below one folder by bucket of the
+    file, counts (of files that have any) as one small table. What is there is whole: the marker is written last."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _bucket(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def build(self, specifiers: DataFrame, files: DataFrame, root: str = "") -> None:
+        edges = import_edges(specifiers, files, root).withColumn("bucket", self._bucket(F.col("file")))
+        edges.repartition("bucket").sortWithinPartitions("bucket", "file").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/edges")
+        n = self.edges().groupBy("file").agg(F.countDistinct("importer").alias("dependents"))
+        n.write.mode("overwrite").parquet(f"{self.root}/counts")
+
+    def edges(self) -> DataFrame:
+        return self.spark.read.schema("importer string, file string, bucket int").parquet(f"{self.root}/edges").drop("bucket")
+
+    def counts(self) -> DataFrame:
+        return self.spark.read.schema("file string, dependents long").parquet(f"{self.root}/counts")
+
+    def dependents(self, file: str) -> DataFrame:
+        """file: the importers of one file; its bucket is worked out before the plan is made, so that one folder is listed."""
+        b = self.spark.range(1).select(self._bucket(F.lit(file)).alias("b")).first()["b"]
+        rows = self.spark.read.schema("importer string, file string, bucket int").parquet(f"{self.root}/edges")
+        return rows.where((F.col("bucket") == b) & (F.col("file") == file)).select(F.col("importer").alias("file"))

@@ -61,10 +61,11 @@ def symbol_usages(edges: DataFrame, imported: DataFrame, calls: DataFrame, file:
 
 def doc_references(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """symbol, file for documentation (id, file, start_line, content) that names a symbol with nothing that continues it beside it,
-    where the symbol is distinctive: an equi-join on words, then the exact test."""
+    where the symbol is distinctive: an equi-join on the words of lines, then the exact test."""
     wanted = distinctive_in(symbols.select(F.col("symbol").alias("token")), docs).select(F.col("token").alias("symbol"))
-    words = docs.select("file", "content", F.explode(F.array_distinct(F.split("content", r"[^A-Za-z0-9_]+"))).alias("symbol"))
-    return words.join(wanted, "symbol").where(names_in_prose(F.col("content"), F.col("symbol"))).select("symbol", "file").distinct()
+    lines = docs.select("file", F.explode(F.split("content", "\n")).alias("text"))
+    words = lines.select("file", "text", F.explode(F.array_distinct(F.split("text", r"[^A-Za-z0-9_]+"))).alias("symbol"))
+    return words.join(wanted, "symbol").where(names_in_prose(F.col("text"), F.col("symbol"))).select("symbol", "file").distinct()
 
 
 def reexported(barrels: DataFrame) -> DataFrame:

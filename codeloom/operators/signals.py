@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.columns import code_shaped, whole_word
+from codeloom.functions.columns import code_shaped
 
 #: Words that are no identifiers worth following.
 KEYWORDS = ("the", "and", "def", "class", "return", "import", "from", "for", "with", "self", "this", "null", "true", "false", "none", "const", "let", "var", "function")
@@ -55,9 +55,9 @@ def rename_swaps(removed: DataFrame, added: DataFrame, least_count: int = 5, lea
 def survivors(tokens: DataFrame, chunks: DataFrame, changed: DataFrame, per_token: int = 5) -> DataFrame:
     """token, file, start_line: chunks outside the changed files that still name a token, the first few of each.
 
-    An equi-join on words finds them; the word test confirms."""
-    words = chunks.join(changed, "file", "left_anti").select("file", "start_line", "content", F.explode(F.array_distinct(F.split("content", r"[^A-Za-z0-9_]+"))).alias("token"))
-    hit = words.join(tokens.select("token").distinct(), "token").where(whole_word(F.col("content"), F.col("token")))
+    Words are cut where a letter, digit or underscore ends, so that the equi-join on them is the test; contents stay in the scan."""
+    words = chunks.join(changed, "file", "left_anti").select("file", "start_line", F.explode(F.array_distinct(F.split("content", r"[^A-Za-z0-9_]+"))).alias("token"))
+    hit = words.join(tokens.select("token").distinct(), "token")
     w = Window.partitionBy("token").orderBy("file", "start_line")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_token).select("token", "file", "start_line")
 
@@ -172,7 +172,7 @@ def distinctive_in(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     in fences, beside a slash or in backticks. docs (id, file, start_line, content)."""
     shaped = tokens.select("token").distinct().withColumn("shaped", code_shaped(F.col("token")))
     plain = shaped.where("NOT shaped").select("token")
-    lines = prose_lines(docs).where("NOT fenced").withColumn("token", F.explode(F.array_distinct(F.filter(F.split("text", r"[^A-Za-z0-9_]+"), lambda t: t != ""))))
+    lines = prose_lines(docs).where("NOT fenced").select("text", F.explode(F.array_distinct(F.filter(F.split("text", r"[^A-Za-z0-9_]+"), lambda t: t != ""))).alias("token"))
     beside = rf"[{CONTINUATION}/`]"
     bare = F.regexp_like("text", F.concat(F.lit(f"(?<!{beside})"), F.col("token"), F.lit(f"(?!{beside})")))
     said = lines.join(plain, "token").where(bare).select("token").distinct()

@@ -233,3 +233,10 @@ def identifier_shapes(spark, d):
 @query("h9_times", "WITH m AS (SELECT o_orderkey, (o_orderkey * 7 % 400)::BIGINT AS m FROM orders) SELECT o_orderkey, CASE WHEN m < 60 THEN m || 'm' WHEN m % 60 = 0 THEN m // 60 || 'h' ELSE m // 60 || 'h ' || m % 60 || 'm' END AS time FROM m")
 def times(spark, d):
     return table(spark, d, "orders").select("o_orderkey", C.minutes((F.col("o_orderkey") * 7 % 400).cast("double")).alias("time"))
+
+
+@query("h6_whole_words", "SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') AS the, regexp_matches(text, '(^|[^A-Za-z0-9_])' || lang || '([^A-Za-z0-9_]|$)') AS own FROM documents")
+def whole_words(spark, d):
+    """A fixed word, and each document's own language code, with no letter, digit or underscore beside them."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", C.whole_word(t, F.lit("the")).alias("the"), C.whole_word(t, F.col("lang")).alias("own"))

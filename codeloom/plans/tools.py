@@ -54,9 +54,9 @@ def list_symbols_tool(spark, d):
     return _engine(spark, d).list_symbols("^[a-m]", kind="function", limit=20, offset=10).select("id", "file", "has_more", "next_offset")
 
 
-@query("o5_dependents", _EDGES + _BFS + ", one AS (SELECT min(file) AS file FROM edges) SELECT node AS file, hops, (SELECT count(*) FROM r WHERE seed = (SELECT file FROM one)) > 500 AS truncated, false AS is_test FROM r WHERE seed = (SELECT file FROM one)")
+@query("o5_dependents", _EDGES + _BFS + ", one AS (SELECT min(file) AS file FROM edges) SELECT node AS file, hops, n > 500 AS truncated, false AS is_test FROM (SELECT *, row_number() OVER (ORDER BY hops, node) AS rank, count(*) OVER () AS n FROM r WHERE seed = (SELECT file FROM one)) WHERE rank <= 500 OR hops = 1")
 def dependents_tool(spark, d):
-    """Two hops from the first file that has any dependents."""
+    """Two hops from the first file that has any dependents, nearest first, five hundred beyond the first hop at most."""
     files, spec = imports(spark, d)
     e = Engine(files, spec)
     return e.dependents(e._edges().agg(F.min("file")).first()[0], 2)
@@ -125,3 +125,26 @@ def imported_symbols(spark, d):
     per = table(spark, d, "orders").select("o_custkey", F.concat(F.lit("m"), k % 5).alias("module"), F.concat(F.lit("s"), k % 5, F.lit("_"), k % 7).alias("name")).groupBy("o_custkey", "module").agg(F.collect_set("name").alias("names"))
     m = per.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("module", "names"))).alias("m"))
     return m.select("o_custkey", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("modules"), F.array_join(F.array_sort(F.flatten(F.map_values("m"))), ",").alias("symbols"))
+
+
+@query("g1_stored_counts", _EDGES + "SELECT file, count(DISTINCT importer)::BIGINT AS dependents FROM edges GROUP BY file")
+def stored_counts(spark, d):
+    """Counts as a full index leaves them: files without dependents aren't there."""
+    return stored_edges(spark, d).counts()
+
+
+@query("x1_stored_dependents", _EDGES + ", one AS (SELECT file, count(*) AS n FROM edges GROUP BY file ORDER BY n DESC, file LIMIT 1) SELECT importer AS file FROM edges WHERE file = (SELECT file FROM one)")
+def stored_dependents(spark, d):
+    """The dependents of the file that has most, from its bucket alone."""
+    index = stored_edges(spark, d)
+    return index.dependents(index.counts().orderBy(F.desc("dependents"), "file").first()["file"])
+
+
+def stored_edges(spark, d):
+    from codeloom.operators.imports import EdgeIndex
+    from codeloom.tables import Scratch
+
+    files, spec = imports(spark, d)
+    index = EdgeIndex(spark, Scratch(spark, "edges").path("index"), buckets=16)
+    index.build(spec, files)
+    return index

@@ -86,7 +86,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of every copy that the mix took. Null and empty texts are their end id alone, null doc_ids stay null,
     copies and repeated rows are packed each, an empty table gives no rows, other columns stay behind."""
-    return packing.pack(docs, _own(spark, "packing"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, _own(spark, "packing"), public_tokenizers.path("byte_bpe_50k.json"), memo=250_000)  # beside what other stages leave
 
 
 STAGES = [

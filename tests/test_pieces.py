@@ -47,7 +47,7 @@ def test_read_tree(spark, tmp_path):
 STEMS = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust replacement replac adoption adopt homologou homolog communism commun activate activ effective effect probate probat rate rate cease ceas controll control roll roll naïve naiv x2 x2".split(" ")
 
 
-@pytest.mark.parametrize(("word", "want"), zip(STEMS[::2], STEMS[1::2], strict=True))
+@pytest.mark.parametrize(("word", "want"), [*zip(STEMS[::2], STEMS[1::2], strict=True)])
 def test_stems(word, want):
     assert stem.stem(word) == want
 

@@ -32,14 +32,17 @@ def content_hash(content: Column) -> Column:
     return F.when(size > LARGE, F.concat(F.lit("L"), F.substring(F.sha2(edges, 256), 1, 15))).otherwise(F.substring(F.sha2(raw, 256), 1, 16))
 
 
+#: Naming styles in the order in which they are tried; constants and single letters have none.
+CONSTANT = r"^[A-Z][A-Z0-9_]+\z"
+STYLES = (("PascalCase", r"^[A-Z][a-zA-Z0-9]*\z"), ("snake_case", r"^[a-z][a-z0-9]*(_[a-z0-9]+)+\z"), ("camelCase", r"^[a-z][a-zA-Z0-9]*\z"))
+
+
 def identifier_style(name: Column) -> Column:
-    return (
-        F.when(name.rlike(r"^[a-z][a-z0-9]*(_[a-z0-9]+)+\z"), "snake_case")
-        .when(name.rlike(r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*\z"), "UPPER_CASE")
-        .when(name.rlike(r"^[A-Z][A-Za-z0-9]*\z"), "PascalCase")
-        .when(name.rlike(r"^[a-z][A-Za-z0-9]*\z"), "camelCase")
-        .otherwise("other")
-    )
+    """The style of a name, null for constants, single letters and anything else."""
+    out = F.when((F.length(name) < 2) | name.rlike(CONSTANT), F.lit(None).cast("string"))
+    for style, pattern in STYLES:
+        out = out.when(name.rlike(pattern), style)
+    return out
 
 
 def code_shaped(name: Column) -> Column:

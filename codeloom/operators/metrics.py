@@ -95,3 +95,54 @@ def simplicity(chunks: DataFrame, files: DataFrame | None = None, least_classes:
     flagged = (F.col("methods") > 0) & (F.col("classes") >= many_classes) & (F.col("avg_complexity") <= trivial) & (F.col("avg_lines") <= short)
     said = F.concat("classes", F.lit(" classes, average method complexity "), F.format_number("avg_complexity", 1), F.lit(" and "), C.half_up(F.col("avg_lines")).cast("long"), F.lit(" lines: too much abstraction?"))
     return g.withColumn("flagged", flagged).withColumn("reason", F.when(F.col("flagged"), said).otherwise("")).where((F.col("classes") >= least_classes) | F.col("flagged"))
+
+
+def _dominant(counts: dict[str, Column]) -> Column:
+    total = sum(counts.values(), F.lit(0))
+    out = F.when(total == 0, "mixed")
+    for style in ("camelCase", "snake_case", "PascalCase"):
+        out = out.when(counts[style] / total > 0.5, style)
+    return out.otherwise("mixed")
+
+
+def fingerprint(chunks: DataFrame) -> DataFrame:
+    """One row about a code base, from chunks (file, symbol_type, symbol_name, language, imports, exports, imported_symbols, signature,
+    content): functions, methods, classes, ratio and style; naming of functions and of classes; barrel files (that export
+    something, by name or because they pass on what they import); mean depth of relative imports and structure; how functions
+    are asynchronous; chunks. Without chunks the counts are 0, the ratio one half, naming mixed, the rest flat and sync."""
+    kind, style = F.col("symbol_type"), C.identifier_style(F.coalesce("symbol_name", F.lit("")))
+    is_class, is_code = kind.isin("class", "interface"), kind.isin("function", "method")
+    n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    aggs = [n(kind == "function").alias("functions"), n(kind == "method").alias("methods"), n(is_class).alias("classes"), F.count("*").alias("chunks")]
+    for name, _ in C.STYLES:
+        aggs += [n(is_code & (style == name)).alias(f"code_{name}"), n(is_class & (style == name)).alias(f"class_{name}")]
+    sig = F.coalesce("signature", F.lit(""))
+    promise = sig.rlike("Promise<") | F.coalesce("content", F.lit("")).rlike(r"\.then\(")
+    callback = sig.rlike(r"callback|cb\b|done\b|next\b") & sig.contains("function")
+    how = F.when(~is_code, None).when(sig.contains("async "), "async").when(promise, "promise").when(callback, "callback")
+    aggs += [n(how == x).alias(x) for x in ("async", "promise", "callback")]
+    relative = F.filter(F.coalesce("imports", F.array().cast("array<string>")), lambda i: i.startswith("."))
+    aggs += [F.sum(F.size(relative)).alias("n_relative"), F.sum(F.aggregate(relative, F.lit(0), lambda a, i: a + F.size(F.split(i, "/")) - 1)).alias("depth")]
+    own = F.flatten(F.map_values(F.coalesce("imported_symbols", F.create_map().cast("map<string,array<string>>"))))
+    symbols = chunks.select("file", F.explode(F.array_distinct(F.concat(F.transform(F.coalesce("exports", F.array().cast("array<string>")), lambda e: F.struct(e.alias("s"), F.lit(True).alias("out"))), F.transform(own, lambda i: F.struct(i.alias("s"), F.lit(False).alias("out")))))).alias("x"))
+    per = symbols.groupBy("file", "x.s").agg(F.bool_or("x.out").alias("out"), F.bool_or(~F.col("x.out")).alias("in"))
+    files = per.groupBy("file").agg(F.bool_or("out").alias("exports"), F.bool_or(F.col("out") & F.col("in")).alias("passes"))
+    barrels = files.where(F.col("exports") & (F.col("passes") | F.regexp_extract("file", r"([^/]*)\z", 1).rlike(r"^(index|__init__|mod)\."))).agg(F.count("*").alias("barrels"))
+    one = chunks.agg(*aggs).crossJoin(barrels)  # one row each
+    total = F.col("functions") + F.col("methods") + F.col("classes")
+    ratio = F.when(total == 0, 0.5).otherwise(F.col("functions") / total)
+    depth = F.coalesce(F.try_divide(F.col("depth"), F.col("n_relative")), F.lit(0.0))
+    waits = F.col("async") + F.col("promise") + F.col("callback")
+    pattern = F.when(waits == 0, "sync").when(F.col("async") > 0.6 * waits, "async/await").when(F.col("promise") > 0.6 * waits, "promises").when(F.col("callback") > 0.6 * waits, "callbacks").otherwise("mixed")
+    return one.select(
+        "functions", "methods", "classes", ratio.alias("ratio"), F.when(ratio >= 0.7, "functional").when(ratio <= 0.3, "oop").otherwise("mixed").alias("style"),
+        _dominant({x: F.col(f"code_{x}") for x, _ in C.STYLES}).alias("function_names"), _dominant({x: F.col(f"class_{x}") for x, _ in C.STYLES}).alias("class_names"),
+        "barrels", depth.alias("import_depth"), F.when(depth < 2, "flat").when(depth > 3, "nested").otherwise("moderate").alias("structure"), pattern.alias("async_pattern"), "chunks",
+    )
+
+
+def language_shares(chunks: DataFrame) -> DataFrame:
+    """language, percent: whole percents of the chunks, at least 1."""
+    g = chunks.groupBy("language").agg(F.count("*").alias("n"))
+    total = chunks.agg(F.count("*").alias("total"))
+    return g.crossJoin(total).select("language", F.greatest(F.lit(1), C.half_up(F.col("n") / F.col("total") * 100).cast("int")).alias("percent"))  # one row on the right

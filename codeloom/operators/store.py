@@ -27,19 +27,65 @@ def page(chunks: DataFrame, number: int, size: int = 1000) -> DataFrame:
     return valid(chunks).orderBy("id").offset(number * size).limit(size)
 
 
+#: Longest pattern, most repetitions in one.
+MOST_PATTERN, MOST_REPEATS = 256, 25
+
+
+def _alternatives(pattern: str) -> list[list]:
+    """Branches of a pattern; each is a list of (text, branches of a group or None, repeated)."""
+    at = 0
+
+    def branches(inside: bool) -> list[list]:
+        nonlocal at
+        out: list[list] = [[]]
+        while at < len(pattern) and not (inside and pattern[at] == ")"):
+            start, inner = at, None
+            c = pattern[at]
+            if c == "|":
+                out.append([])
+                at += 1
+                continue
+            if c == "(":
+                at = re.compile(r"\((\?(:|=|!|<=|<!|P?<\w+>))?").match(pattern, at).end()
+                inner = branches(True)
+                at += 1
+            elif c == "[":
+                at = pattern.find("]", at + 2 + pattern.startswith("[^", at)) + 1 or len(pattern)
+            else:
+                at += 2 if c == "\\" else 1
+            repeat = re.compile(r"(?:[*+?]|\{\d*,?\d*\})\??").match(pattern, at)
+            text = pattern[start:at].lower()
+            at = repeat.end() if repeat else at
+            out[-1].append((text + (repeat[0] if repeat else ""), inner, bool(repeat)))
+        return out
+
+    return branches(False)
+
+
 def safe_pattern(pattern: str) -> str | None:
-    """A case-insensitive pattern, or None where it is too long, does not compile, or could take super-linear time."""
-    if len(pattern) > 256:
+    """A case-insensitive pattern, or None where it is too long, does not compile, or could take super-linear time: a repetition
+    within another, too many of them, or equal alternatives within one."""
+    if len(pattern) > MOST_PATTERN:
         return None
     try:
         re.compile(pattern)
     except re.error:
         return None
-    nested = re.search(r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)\s*[+*{]", pattern)
-    alternatives = [m.split("|") for m in re.findall(r"\(([^()]*\|[^()]*)\)[+*{]", pattern)]
-    if nested or any(len(set(a)) < len(a) for a in alternatives) or re.search(r"\\[1-9]", pattern):
-        return None
-    return f"(?i){pattern}"
+    repeats = 0
+
+    def bad(branches: list[list], height: int) -> bool:
+        nonlocal repeats
+        texts = ["".join(item[0] for item in b) for b in branches]
+        if height and len(set(texts)) < len(texts):
+            return True
+        for branch in branches:
+            for _, inner, repeated in branch:
+                repeats += repeated
+                if height + repeated > 1 or (inner is not None and bad(inner, height + repeated)):
+                    return True
+        return False
+
+    return None if bad(_alternatives(pattern), 0) or repeats > MOST_REPEATS else f"(?i){pattern}"
 
 
 def by_pattern(chunks: DataFrame, pattern: str) -> DataFrame:
@@ -137,6 +183,19 @@ def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "file", "full_outer").select("file", change.alias("change"))
 
 
+def categorize(changed: DataFrame, current: DataFrame, known: DataFrame) -> DataFrame:
+    """file, change from what version control says has changed: files that are there and known are modified; those that are there and
+    not known are added, said to have changed or not; known ones that are no longer there are deleted."""
+    marks = [(changed, "said"), (current, "there"), (known, "known")]
+    rows = None
+    for df, mark in marks:
+        one = df.select("file", *(F.lit(m == mark).alias(m) for _, m in marks))
+        rows = one if rows is None else rows.unionByName(one)
+    f = rows.groupBy("file").agg(*(F.bool_or(m).alias(m) for _, m in marks))
+    change = F.when(F.col("there") & F.col("known") & F.col("said"), "modified").when(F.col("there") & ~F.col("known"), "added").when(F.col("known") & ~F.col("there"), "deleted")
+    return f.select("file", change.alias("change")).where("change IS NOT NULL")
+
+
 def signature(manifest_rows: DataFrame) -> DataFrame:
     """One digest of all (file, content_hash), whatever their order: sha256 of each, its 256 bits summed up as four numbers and
     with the count hashed again. Sums are made in parts, so no group of rows is ever gathered."""

@@ -98,3 +98,14 @@ def new_findings(spark, d):
 def ledger_read(spark, d):
     """JSON lines with rows that do not parse left out."""
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).where("k IS NOT NULL")
+
+
+@query("k1_last_changes", "SELECT 'f' || user_id AS file, arg_max(event_type, ts) AS kind, epoch_us(max(ts))::BIGINT AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS r FROM events) WHERE r = 1 GROUP BY user_id")
+def last_changes(spark, d):
+    """The last event of each path, as one batch of a change stream keeps it."""
+    from codeloom.streaming.changes import latest
+
+    e = table(spark, d, "events")
+    one = E.last_wins(e, ["user_id", "ts"], "event_id")
+    batch = one.select(F.concat(F.lit("f"), "user_id").alias("file"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.lit("").alias("content"))
+    return latest(batch).select("file", "kind", F.unix_micros("ts").alias("at"))

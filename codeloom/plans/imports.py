@@ -224,3 +224,11 @@ def relative_imports(spark, d):
     spec = F.element_at(F.array(*shapes), (k % 6 + 1).cast("int"))
     resolved = paths.resolve_workspace(paths.resolve_relative(F.lit("a/b/c.ts"), spec), {"@scope/core": "packages/core/src/index.ts"})
     return table(spark, d, "part").select("p_partkey", resolved.alias("path"))
+
+
+@query("d9_canonical_paths", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'src/m' || p_partkey || '.ts' WHEN 1 THEN '/other/m' || p_partkey || '.ts' ELSE 'a/m' || p_partkey || '.py' END AS path FROM part")
+def canonical_paths(spark, d):
+    """The root off, slashes forward, the extension kept."""
+    k = F.col("p_partkey")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("/work/src\\m"), k, F.lit(".ts"))).when(k % 3 == 1, F.concat(F.lit("/other/m"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("a\\m"), k, F.lit(".py")))
+    return table(spark, d, "part").select("p_partkey", paths.canonical(raw, "/work").alias("path"))

@@ -155,7 +155,7 @@ def find_similar(spark, d):
 
 
 @query("g24_ranking_quality", _POST + """5), truth AS (SELECT b.item_id AS query, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-f AS (SELECT t.query, min(rank) AS rank FROM top t JOIN truth u ON t.query = u.query AND t.id // 1000 = u.doc_id GROUP BY 1), a AS (SELECT DISTINCT query FROM truth)
+f AS (SELECT t.query, min(rank) AS rank FROM top t JOIN truth u ON t.query = u.query AND t.id // 1000000 = u.doc_id GROUP BY 1), a AS (SELECT DISTINCT query FROM truth)
 SELECT round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM a LEFT JOIN f USING (query)""")
 def ranking_quality(spark, d):
     top = search.ranked(_scores(spark, d, _items(spark, d)), 5)
@@ -166,7 +166,7 @@ def ranking_quality(spark, d):
     keyed = docs.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
     first = items.withColumn("key", F.array_join(F.slice(F.split("passage", " "), 2, 3), " "))
     truth = keyed.join(first, "key").where(F.col("text").contains(F.col("passage"))).select("query", "doc_id").distinct()
-    hit = top.withColumn("doc_id", F.floor(F.col("id") / 1000)).join(truth, ["query", "doc_id"]).groupBy("query").agg(F.min("rank").alias("rank"))
+    hit = top.withColumn("doc_id", F.floor(F.col("id") / 1_000_000)).join(truth, ["query", "doc_id"]).groupBy("query").agg(F.min("rank").alias("rank"))
     out = truth.select("query").distinct().join(hit, "query", "left")
     mean = lambda c: F.round(F.avg(c), 6)
     return out.agg(mean(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("recall_at_1"), mean(F.when(F.col("rank").isNotNull(), 1.0).otherwise(0.0)).alias("recall_at_5"), mean(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
-from codeloom.operators import store
+from codeloom.operators import metrics, store
 from codeloom.plans.registry import query
 from codeloom.sources.adapters import CHUNKS, chunks, table
 
@@ -76,6 +75,24 @@ def unsafe_pattern(spark, d):
     return store.by_pattern(chunks(spark, d), r"(a+)+$").select(*_SMALL)
 
 
+_PATTERNS = ("^get", "(a+)+$", "(a|a)*", "(ab?)*c", "a*b*c", "[", "x" * 257, "(foo|bar)+", "(Foo|foo)+", "(?:a{1,3}){2}", "a?" * 26, "[(a+)+]", r"\(a+\)+")
+_SAFE = (True, False, False, False, True, False, False, True, False, False, False, True, True)
+
+
+@query("b3_pattern_safety", f"SELECT p_partkey AS k, {list(_SAFE)}[p_partkey % {len(_SAFE)} + 1] AS safe FROM part")
+def pattern_safety(spark, d):
+    """Patterns of thirteen shapes, judged on the driver before any is sent."""
+    judged = F.array(*(F.lit(store.safe_pattern(p) is not None) for p in _PATTERNS))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.element_at(judged, (F.col("p_partkey") % len(_PATTERNS) + 1).cast("int")).alias("safe"))
+
+
+@query("t2_categorized_changes", "WITH c AS (SELECT DISTINCT 'f' || o_custkey % 700 AS file FROM orders WHERE o_orderkey % 5 = 0), n AS (SELECT DISTINCT 'f' || o_custkey % 800 AS file FROM orders WHERE o_custkey % 3 > 0), k AS (SELECT DISTINCT 'f' || o_custkey % 900 AS file FROM orders WHERE o_custkey % 4 > 0) SELECT file, 'modified' AS change FROM c WHERE file IN (SELECT file FROM n) AND file IN (SELECT file FROM k) UNION ALL SELECT file, 'added' FROM n WHERE file NOT IN (SELECT file FROM k) UNION ALL SELECT file, 'deleted' FROM k WHERE file NOT IN (SELECT file FROM n)")
+def categorized_changes(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_custkey")
+    f = lambda df, n: df.select(F.concat(F.lit("f"), k % n).alias("file")).distinct()
+    return store.categorize(f(o.where("o_orderkey % 5 = 0"), 700), f(o.where("o_custkey % 3 > 0"), 800), f(o.where("o_custkey % 4 > 0"), 900))
+
+
 @query("b4_symbol_type", _BASE + "SELECT id, symbol_type FROM chunks WHERE symbol_type IN ('function', 'method')")
 def symbol_type(spark, d):
     return store.by_symbol_type(chunks(spark, d), "function").select("id", "symbol_type")
@@ -224,11 +241,43 @@ def status(spark, d):
     return chunks(spark, d).agg(F.countDistinct("file").alias("files"), F.count("*").alias("chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"))
 
 
-@query("g19_fingerprint", _BASE + """, s AS (SELECT CASE WHEN regexp_matches(symbol_name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(symbol_name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') THEN 'UPPER_CASE'
-WHEN regexp_matches(symbol_name, '^[A-Z][A-Za-z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(symbol_name, '^[a-z][A-Za-z0-9]*$') THEN 'camelCase' ELSE 'other' END AS style, symbol_type FROM chunks)
-SELECT style, count(*)::BIGINT AS symbols, count(*) FILTER (WHERE symbol_type = 'class')::BIGINT AS classes, count(*) > 0.5 * sum(count(*)) OVER () AS dominant FROM s GROUP BY style""")
+_CODE_NAMES = ("loadAll", "load_all", "LoadAll", "LOAD_ALL", "x", "runTask", "go2")
+_BASE_CODE = f"""cb AS (SELECT p_partkey AS k, 'd' || p_size || '/' || CASE p_size % 7 WHEN 0 THEN 'index.ts' ELSE 'f' || p_partkey % 300 || '.ts' END AS file, ['function', 'method', 'class', 'interface', 'block'][p_partkey % 5 + 1] AS symbol_type, {list(_CODE_NAMES)}[p_partkey % 7 + 1] AS symbol_name,
+  ['typescript', 'python', 'go'][p_size % 3 + 1] AS language, CASE WHEN p_partkey % 4 = 0 THEN ['e' || p_size % 9] ELSE [] END AS exports, CASE WHEN p_partkey % 3 = 0 THEN ['e' || p_partkey % 9] ELSE [] END AS taken, CASE p_partkey % 4 WHEN 0 THEN ['./a', '../../b/c'] WHEN 1 THEN ['lodash'] ELSE [] END AS imports,
+  ['async f()', 'f(): Promise<x>', 'function f(cb)', 'f()'][p_size % 4 + 1] AS signature FROM part)"""
+
+
+@query("g19_fingerprint", f"""WITH {_BASE_CODE}, s AS (SELECT *, CASE WHEN length(symbol_name) < 2 OR regexp_matches(symbol_name, '^[A-Z][A-Z0-9_]+$') THEN NULL WHEN regexp_matches(symbol_name, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(symbol_name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(symbol_name, '^[a-z][a-zA-Z0-9]*$') THEN 'camelCase' END AS style FROM cb),
+a AS (SELECT count(*) FILTER (WHERE symbol_type = 'function')::BIGINT AS functions, count(*) FILTER (WHERE symbol_type = 'method')::BIGINT AS methods, count(*) FILTER (WHERE symbol_type IN ('class', 'interface'))::BIGINT AS classes, count(*)::BIGINT AS chunks FROM s),
+nm AS (SELECT symbol_type IN ('class', 'interface') AS cl, style, count(*) / sum(count(*)) OVER (PARTITION BY symbol_type IN ('class', 'interface')) AS share FROM s WHERE style IS NOT NULL AND symbol_type <> 'block' GROUP BY 1, 2),
+ex AS (SELECT DISTINCT file, unnest(exports) AS x FROM cb), im AS (SELECT DISTINCT file, unnest(taken) AS x FROM cb), br AS (SELECT count(*)::BIGINT AS barrels FROM (SELECT DISTINCT file FROM ex WHERE ends_with(file, '/index.ts') OR (file, x) IN (SELECT (file, x) FROM im))),
+dp AS (SELECT avg(len(string_split(i, '/')) - 1) AS depth FROM (SELECT unnest(imports) AS i FROM cb) WHERE starts_with(i, '.')), w AS (SELECT count(*) FILTER (WHERE starts_with(signature, 'async')) AS a, count(*) FILTER (WHERE contains(signature, 'Promise')) AS p, count(*) FILTER (WHERE contains(signature, 'cb')) AS c FROM cb WHERE symbol_type IN ('function', 'method')),
+r AS (SELECT *, functions / (functions + methods + classes)::DOUBLE AS ratio FROM a)
+SELECT functions, methods, classes, round(ratio, 9) AS ratio, CASE WHEN ratio >= 0.7 THEN 'functional' WHEN ratio <= 0.3 THEN 'oop' ELSE 'mixed' END AS style, coalesce((SELECT style FROM nm WHERE NOT cl AND share > 0.5), 'mixed') AS function_names, coalesce((SELECT style FROM nm WHERE cl AND share > 0.5), 'mixed') AS class_names, barrels, round(depth, 9) AS import_depth,
+CASE WHEN depth < 2 THEN 'flat' WHEN depth > 3 THEN 'nested' ELSE 'moderate' END AS structure, CASE WHEN a > 0.6 * (a + p + c) THEN 'async/await' WHEN p > 0.6 * (a + p + c) THEN 'promises' WHEN c > 0.6 * (a + p + c) THEN 'callbacks' ELSE 'mixed' END AS async_pattern, chunks FROM r, br, dp, w""")
 def fingerprint(spark, d):
-    s = chunks(spark, d).select(C.identifier_style(F.col("symbol_name")).alias("style"), "symbol_type").groupBy("style")
-    g = s.agg(F.count("*").alias("symbols"), F.count_if(F.col("symbol_type") == "class").alias("classes"))
-    total = F.sum("symbols").over(Window.partitionBy())  # over the few styles
-    return g.select("style", "symbols", "classes", (F.col("symbols") > 0.5 * total).alias("dominant"))
+    out = metrics.fingerprint(_code_base(spark, d))
+    return out.withColumn("ratio", F.round("ratio", 9)).withColumn("import_depth", F.round("import_depth", 9))
+
+
+def _code_base(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values, i: F.element_at(F.array(*(F.lit(v) for v in values)), (i % len(values) + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    file = F.concat(F.lit("d"), size, F.lit("/"), F.when(size % 7 == 0, "index.ts").otherwise(F.concat(F.lit("f"), k % 300, F.lit(".ts"))))
+    return table(spark, d, "part").select(
+        file.alias("file"), pick(("function", "method", "class", "interface", "block"), k).alias("symbol_type"), pick(_CODE_NAMES, k).alias("symbol_name"), pick(("typescript", "python", "go"), size).alias("language"),
+        F.when(k % 4 == 0, F.array(F.concat(F.lit("e"), size % 9))).otherwise(none).alias("exports"), F.when(k % 3 == 0, F.create_map(F.lit("m"), F.array(F.concat(F.lit("e"), k % 9)))).alias("imported_symbols"),
+        F.when(k % 4 == 0, F.array(F.lit("./a"), F.lit("../../b/c"))).when(k % 4 == 1, F.array(F.lit("lodash"))).alias("imports"), pick(("async f()", "f(): Promise<x>", "function f(cb)", "f()"), size).alias("signature"), F.lit("body").alias("content"),
+    )
+
+
+@query("g19_language_shares", f"WITH {_BASE_CODE} SELECT language, greatest(1, floor(count(*) / sum(count(*)) OVER () * 100 + 0.5))::INT AS percent FROM cb GROUP BY language")
+def language_shares(spark, d):
+    return metrics.language_shares(_code_base(spark, d))
+
+
+@query("h4_naming_styles", f"WITH {_BASE_CODE} SELECT k, ['camelCase', 'snake_case', 'PascalCase', NULL, NULL, 'camelCase', 'camelCase'][k % 7 + 1] AS style FROM cb")
+def naming_styles(spark, d):
+    name = F.element_at(F.array(*(F.lit(v) for v in _CODE_NAMES)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), C.identifier_style(name).alias("style"))

@@ -33,13 +33,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file"), F.col("lang").alias("language"), F.coalesce("text", F.lit("")).alias("content"))
     cut = line_windows(files)
     kind = F.element_at(F.array(F.lit("function"), F.lit("method"), F.lit("class")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return cut.select((F.col("doc_id") * 1000 + F.col("k")).alias("id"), "file", "start_line", "end_line", "language", F.regexp_extract("content", "([A-Za-z]+)", 1).alias("symbol_name"), kind.alias("symbol_type"), "content", "doc_id")
+    return cut.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("id"), "file", "start_line", "end_line", "language", F.regexp_extract("content", "([A-Za-z]+)", 1).alias("symbol_name"), kind.alias("symbol_type"), "content", "doc_id")
 
 
 CHUNKS = r"""
 files AS (SELECT doc_id, source || '/' || doc_id || '.md' AS file, lang AS language, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 windows AS (SELECT doc_id, file, language, lines, unnest(range(greatest(1, ceil((len(lines) - 75) / 65.0)::INT + 1))) AS k FROM files),
-chunks AS (SELECT doc_id * 1000 + k AS id, file, (k * 65 + 1)::INT AS start_line, least(k * 65 + 75, len(lines))::INT AS end_line, language,
+chunks AS (SELECT doc_id * 1000000 + k AS id, file, (k * 65 + 1)::INT AS start_line, least(k * 65 + 75, len(lines))::INT AS end_line, language,
   regexp_extract(content, '([A-Za-z]+)', 1) AS symbol_name, ['function', 'method', 'class'][(doc_id % 3 + 1)::INT] AS symbol_type, content, doc_id
   FROM (SELECT *, array_to_string(lines[(k * 65 + 1)::BIGINT:(k * 65 + 75)::BIGINT], chr(10)) AS content FROM windows) WHERE regexp_matches(content, '\S'))"""
 

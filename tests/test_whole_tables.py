@@ -46,9 +46,9 @@ def test_touched_chunks_of_whole_texts(spark, long_texts):
         for k in range(max(1, -(-(len(lines) - 75) // 65) + 1)):
             window = range(k * 65 + 1, min(k * 65 + 75, len(lines)) + 1)
             if any(lines[n - 1].strip() for n in window) and any((f"{source}/{doc}.md", n) in touched for n in window):
-                want.add(doc * 1000 + k)
+                want.add(doc * 1_000_000 + k)
     assert {r[0] for r in rows_of(spark, "j25_touched_chunks", folder)} == want
-    assert 7003 in want
+    assert 7_000_003 in want
 
 
 def test_untrusted_input_of_whole_texts(spark, tmp_path):

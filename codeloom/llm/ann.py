@@ -83,7 +83,7 @@ def nearest_in(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
     return out
 
 
-def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, share: float = 0.02, block: int = 20_000, query_block: int = 4_000) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, share: float = 0.02, block: int = 50_000, query_block: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row among all other rows (vec_id, embedding).
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without vec_id, nor vectors
@@ -91,7 +91,8 @@ def nearest(rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, sha
     candidates all come; an empty table gives no rows.
 
     share: the trees ascend until their ranges hold this part of a block's rows on average; as trees overlap little
-    until then, about share * trees of a block is looked at.
+    until then, about share * trees of a block is looked at. A block of rows is sent once for each block of queries and held once
+    by a task (about 70 MB with 64 dimensions), so large query blocks mean few copies.
     """
     number = F.transform("embedding", lambda x: x.cast("double"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)

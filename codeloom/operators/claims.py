@@ -171,3 +171,58 @@ def variant_consumers(variants: DataFrame, chunks: DataFrame, least: int = 2, pe
     place = F.row_number().over(Window.orderBy(F.desc("count"), "type", "variant", "file"))  # over `most` rows
     kept = heads.select(*family, "variant", place.alias("place"))
     return missing.join(kept, [*family, "variant"]).select("type", "variant", "kind", "file", "consumer", "line", F.array_join("handled", ",").alias("handled"), "place")
+
+
+#: How types with fields begin and how a field is written; files whose types nobody here reads; whole-value uses.
+FIELD_HEADERS = (
+    ("interface", re.compile(r"\b(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)(?:\s*<[^{]*>)?(?:\s+extends\s+[^{]+)?\s*\{")),
+    ("type-literal", re.compile(r"\b(?:export\s+)?type\s+([A-Za-z_$][\w$]*)(?:\s*<[^=\n]*>)?\s*=\s*\{")),
+    ("class", re.compile(r"\b(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:\s*<[^{]*>)?(?:\s+extends\s+[^{]+)?(?:\s+implements\s+[^{]+)?\s*\{")),
+)
+FIELD = re.compile(r"\s*(?:(?:public|private|protected|readonly|static|abstract|override|declare)\s+)*([A-Za-z_$][\w$]*)\??\s*:\s*[^\s]")
+UNREAD_PATHS = r"(^|/)(tests?|specs?|__tests__)(/|\z)|\.(test|spec)\.|_test\.\w+\z|_spec\.\w+\z|[A-Z]\w*Test\.\w+\z|(^|/)index\.[cm]?[jt]sx?\z|\.d\.ts\z"
+WHOLESALE = r"\bJSON\.stringify\s*\(|\.\.\.\s*[A-Za-z_$]"
+
+
+def fields(content: str, first_line: int) -> list[tuple]:
+    """(kind, type, field, line) of interfaces, type literals and classes; of a class only properties, not parameters or locals."""
+    masked, out = S.masked(content), []
+    for kind, header in FIELD_HEADERS:
+        for m in header.finditer(masked):
+            end = S._closing(masked, m.end() - 1)
+            depth = 0
+            for at, text in _parts(content, masked.replace("\n", ";"), m.end(), max(end, m.end()), ";"):
+                found = FIELD.match(masked[at : at + len(text)]) if not depth else None
+                if found and end >= 0:
+                    out.append((kind, m[1], found[1], first_line + content.count("\n", 0, at + len(text) - len(text.lstrip()))))
+    return out
+
+
+def declared_fields(chunks: DataFrame) -> DataFrame:
+    """file, kind, type, field, line over TypeScript and JavaScript chunks (file, start_line, content), one Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(file, *f) for file, start, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for f in fields(content or "", start)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.string()] * 4 + [pa.int32()])], names=["file", "kind", "type", "field", "line"])
+
+    code = chunks.where(F.col("file").rlike(r"\.[cm]?[jt]sx?\z")).select("file", F.col("start_line").cast("int"), "content")
+    return code.mapInArrow(run, "file string, kind string, type string, field string, line int").distinct()
+
+
+def unread_fields(chunks: DataFrame, lines: DataFrame, repository: DataFrame, most: int = 10) -> DataFrame:
+    """type, field, kind, file, line, place: fields on added lines that no code reads: nowhere after a dot but to be assigned, as a quoted
+    key in brackets, or taken apart. Types of tests, barrels and declaration files don't count, nor do types that some line passes on
+    whole (spread or written as JSON) where it names them. The first `most` by file and line.
+
+    Code meets fields by their words, an equi-join on lines, before the patterns run."""
+    added = lines.where("sign = '+'").select("file", "line").distinct()
+    rows = declared_fields(chunks).where(~F.col("file").rlike(UNREAD_PATHS)).join(added, ["file", "line"])
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))
+    code = repository.select("file", F.explode(F.split(F.regexp_replace("content", r"//[^\n]*", ""), "\n")).alias("text")).select("text", F.explode(words(F.col("text"))).alias("word"))
+    q = F.concat(F.lit("\\Q"), F.col("field"), F.lit("\\E"))
+    read = F.concat(F.lit(r"\.\s*"), q, F.lit(r"\b(?!\s*=[^=])|\[\s*['\"]"), q, F.lit(r"['\"]\s*\]|\{[^}:=]*\b"), q, F.lit(r"\b[^}]*\}\s*="))
+    seen = code.join(rows.select("field").distinct(), F.col("word") == F.col("field")).where(F.regexp_like("text", read)).select("field").distinct()
+    whole = code.where(F.col("text").rlike(WHOLESALE)).join(rows.select("type").distinct(), F.col("word") == F.col("type")).select("type").distinct()
+    left = rows.join(seen, "field", "left_anti").join(whole, "type", "left_anti").orderBy("file", "line", "field").limit(most)
+    return left.withColumn("place", F.row_number().over(Window.orderBy("file", "line", "field"))).select("type", "field", "kind", "file", "line", "place")  # over `most` rows

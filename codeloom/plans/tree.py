@@ -313,3 +313,20 @@ def variant_sweep(spark, d):
         chunks = one if chunks is None else chunks.unionByName(one)
     found = claims.added_variants(claims.family_members(chunks.where("file like 'src/kinds%'")), lines)
     return claims.variant_consumers(found, chunks)
+
+
+_TYPE = "export interface Opts{k} {\n  old{k}: number;\n  used{k}?: string;\n  lost{k}: Map<string, number>;\n}\nexport class Box{k} {\n  kept{k}: boolean;\n}\n"
+_READER = "const a = o.used{k} + 1\no.lost{k} = new Map()\nconst { kept{k} } = box\n"
+
+
+@query("n5_unread_fields", "SELECT 'Opts' || p_partkey AS type, 'lost' || p_partkey AS field, 'interface' AS kind, 'src/o' || p_partkey || '.ts' AS file, 4 AS line, row_number() OVER (ORDER BY 'src/o' || p_partkey || '.ts')::INT AS place FROM part WHERE p_size % 4 > 0 ORDER BY 'src/o' || p_partkey || '.ts' LIMIT 10")
+def unread_fields(spark, d):
+    """Three fields are added to each file's types: one is read, one only assigned, one taken apart; a quarter of the types is spread."""
+    k = F.col("p_partkey").cast("string")
+    text = lambda x: F.replace(F.lit(x), F.lit("{k}"), k)
+    part = table(spark, d, "part")
+    file = F.concat(F.lit("src/o"), k, F.lit(".ts"))
+    patch = text("@@ -1,5 +1,8 @@\n export interface Opts{k} {\n   old{k}: number;\n+  used{k}?: string;\n+  lost{k}: Map<string, number>;\n }\n export class Box{k} {\n+  kept{k}: boolean;\n }")
+    own = part.select(file.alias("file"), F.lit(1).alias("start_line"), text(_TYPE).alias("content"))
+    use = part.select(F.concat(F.lit("src/r"), k, F.lit(".ts")).alias("file"), F.lit(1).alias("start_line"), F.concat(text(_READER), F.when(F.col("p_size") % 4 == 0, text("const b: Opts{k} = { ...o }\n")).otherwise("")).alias("content"))
+    return claims.unread_fields(own, signals.diff_lines(part.select(file.alias("file"), patch.alias("patch"))), own.unionByName(use))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, enter, leave, worker_cache
@@ -278,9 +278,15 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.withColumn("several", F.col("hot") | differ).where("several").drop("several")
 
 
-def _with_counts(rows: DataFrame, keys: list[str], *counts) -> DataFrame:
-    """rows with aggregates of their group: summed up in parts, then joined, with no group in one task."""
-    return rows.join(rows.groupBy(*keys).agg(*counts), keys)
+def _with_counts(rows: DataFrame, keys: list[str], **counts: Column) -> DataFrame:
+    """rows, a table, with aggregates of their group. Groups of hot tokens are summed up in parts and joined, as are all groups where
+    rows don't say what is hot; any other token's rows are few enough for one task, which spares a second exchange."""
+    warm = rows.where("hot") if "hot" in rows.columns else rows
+    summed = warm.join(warm.groupBy(*keys).agg(*(c.alias(n) for n, c in counts.items())), keys).select(*rows.columns, *counts)
+    if "hot" not in rows.columns:
+        return summed
+    w = Window.partitionBy(*keys)
+    return rows.where("NOT hot").select("*", *(c.over(w).alias(n) for n, c in counts.items())).unionByName(summed)
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -331,9 +337,9 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         return rows.join(enough, ["s1", "s2"])
 
     first_pass = in_company(raw, "shared-1")
-    company = scratch.table(in_company(first_pass, "shared-2").drop("hot").join(nodes.drop("n"), ["s1", "s2"]), "company")
+    company = scratch.table(in_company(first_pass, "shared-2").join(nodes.drop("n"), ["s1", "s2"]), "company")
     core = scratch.table(company.where("core").drop("core", "n"), "core")
-    shared = scratch.table(_with_counts(core, ["token"], F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("low", "high"), "shared")
+    shared = scratch.table(_with_counts(core, ["token"], df=F.count("*"), low=F.min("node"), high=F.max("node")).where("low <> high").drop("low", "high", "hot"), "shared")
 
     # Sets of the documents that meet another one at all; everything else is done.
     chosen = shared.groupBy("node", "s1", "s2").agg(F.max(F.struct("df", "token")).alias("top")).select("node", "s1", "s2", F.col("top.df").alias("df"), F.col("top.token").alias("token"))
@@ -383,11 +389,11 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         (at most FEW - 1 for each row); shingles of many can add no more than either document has. Pairs that reach
         `least`, and whoever could reach it through shingles of many alone, are joined up; each set then travels once."""
         rows = company.join(current, "node").withColumn("own", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int")).withColumn("least", least)
-        rows = rows.select("token", "node", "component", "core", "own", "least")  # the exchanges below carry nothing else
+        rows = rows.select("token", "node", "component", "core", "own", "least", "hot")  # the exchanges below carry nothing else
         rows = rows.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))  # a key of class c holds sizes of classes c - 1 and c
-        span = F.min("component").alias("low"), F.max("component").alias("high")
+        span = {"low": F.min("component"), "high": F.max("component")}
         rows = scratch.table(rows, "keys")
-        rows = scratch.table(_with_counts(rows, ["token", "class"], F.count("*").alias("df"), *span).where("low <> high").drop("low", "high"), "open")
+        rows = scratch.table(_with_counts(rows, ["token", "class"], df=F.count("*"), **span).where("low <> high").drop("low", "high"), "open")
         per_node = rows.groupBy("node").agg(F.countDistinct("token").alias("all"), F.countDistinct(F.when(F.col("df") > FEW, F.col("token"))).alias("many"), F.min("least").alias("least"))
         per_node = scratch.table(per_node.where(F.col("all") >= F.col("least")).drop("all", "least"), "nodes-open")
         rows = rows.join(per_node, "node")
@@ -399,26 +405,26 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         pairs = scratch.table(pairs, "pairs-open")
         best = pairs.select(F.col("a").alias("node"), "c").unionByName(pairs.select(F.col("b").alias("node"), "c")).groupBy("node").agg(F.max("c").alias("best"))
         large = rows.where(F.col("core") & (F.col("df") > FEW)).join(best, "node", "left").where(F.col("many") + F.coalesce("best", F.lit(0)) >= F.col("least"))
-        large = _with_counts(scratch.table(large, "large"), ["token", "class"], F.min("node").alias("hub"), *span).where("low <> high")
+        large = _with_counts(scratch.table(large, "large"), ["token", "class"], hub=F.min("node"), **span).where("low <> high")
         stars = large.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         edges = scratch.table(pairs.where(F.col("c") + F.col("many") >= F.col("least")).select("a", "b").unionByName(stars), "edges-open")
         labels = connected(edges, scratch)
         touched = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
         labels = touched.withColumn("label", F.col("node")) if labels is None else labels
         members = scratch.table(rows.select("node", "component").distinct().join(labels.withColumnRenamed("label", "super"), "node"), "members")
-        return scratch.table(_with_counts(members, ["super"], F.count("*").alias("size")), "gatherings")
+        return scratch.table(_with_counts(members, ["super"], size=F.count("*")), "gatherings")
 
     with_sets = sets.select("node", "shingles")
     gathered = gatherings()
     if gathered.where(F.col("size") > BLOCK).take(1):  # a few members of each component meet first, which settles most of a large one
         some = Window.partitionBy("super", "component").orderBy(F.xxhash64("node"), "node")
         few = gathered.where(F.col("size") > BLOCK).withColumn("k", F.row_number().over(some)).where("k <= 3")
-        few = _with_counts(scratch.table(few.drop("k", "size"), "few"), ["super"], F.count("*").alias("df")).withColumn("block", deal).withColumn("side", F.lit(0))
+        few = _with_counts(scratch.table(few.drop("k", "size"), "few"), ["super"], df=F.count("*")).withColumn("block", deal).withColumn("side", F.lit(0))
         met = few.join(with_sets, "node")
         current = relabel(current, linked(met.select("super", "block", "component", "side", "shingles"), "super", "block"), "round-2")
         # Gatherings stay closed; only the components in them are fewer now.
         again = scratch.table(gathered.drop("component", "size").join(current, "node"), "members")
-        again = _with_counts(again, ["super"], F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        again = _with_counts(again, ["super"], size=F.count("*"), low=F.min("component"), high=F.max("component"))
         gathered = scratch.table(again.where("low <> high").drop("low", "high"), "gatherings")
 
     # All pairs of different components of a gathering meet: blocks of the largest component with blocks of the others.

@@ -18,9 +18,9 @@ def anywhere(*patterns: str) -> tuple[str, ...]:
 
 
 #: Never part of a scan; only of one that starts in a home directory; not even where version control has them.
-ALWAYS_IGNORE = (*anywhere("node_modules/**", "vendor/**", ".git/**"), ".lien/**", *anywhere(".claude/worktrees/**", "dist/**", "build/**", "*.min.js", "*.min.css", "pnpm-lock.yaml"))
+ALWAYS_IGNORE = (*anywhere("node_modules/**", "vendor/**", ".git/**"), ".codeloom/**", *anywhere(".claude/worktrees/**", "dist/**", "build/**", "*.min.js", "*.min.css", "pnpm-lock.yaml"))
 HOME_IGNORE = ("Library/**", "AppData/**", ".npm/**", ".cache/**", ".claude/**", ".ssh/**", ".aws/**", ".gnupg/**", "/*.keychain-db", "/*.keychain")
-NEVER_INDEX = anywhere(".git/**", ".lien/**", "node_modules/**", ".claude/worktrees/**")
+NEVER_INDEX = anywhere(".git/**", ".codeloom/**", "node_modules/**", ".claude/worktrees/**")
 
 #: Ecosystem -> marker files at the root, patterns that its presence excludes.
 PRESETS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {

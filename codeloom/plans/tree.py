@@ -273,7 +273,7 @@ _CLAIMS = "cl AS (SELECT p_partkey AS k, 'docs/d' || p_partkey || '.md' AS file,
 @query("n9_doc_claims", f"WITH {_CLAIMS} SELECT file, line, md5(claim) AS claim_md5 FROM cl")
 def doc_claims(spark, d):
     out = claims.added_claims(_claim_lines(spark, d))
-    return out.select("file", "line", F.md5("claim").alias("claim_md5"))
+    return out.select("file", F.col("line").cast("int").alias("line"), F.md5("claim").alias("claim_md5"))
 
 
 @query("n9_claim_evidence", f"""WITH {_CLAIMS}, v AS (SELECT k, file, line, ['findAll', 'load', '', '', '', 'cfg_key'][k % 6 + 1] || k AS name FROM cl), c AS (SELECT p_partkey AS k, p_partkey * 2 + b AS id, CASE WHEN b = 0 THEN CASE p_size % 4 WHEN 0 THEN 'src/a' || p_partkey || '.test.ts' WHEN 1 THEN 'src/a' || p_partkey || '.ts' WHEN 2 THEN 'notes/a' || p_partkey || '.md' ELSE 'src/c' || p_partkey || '.ts' END ELSE 'lib/b' || p_partkey || '.ts' END AS file, b, p_size % 3 = 0 AS sym FROM part, range(2) r(b)),
@@ -288,7 +288,7 @@ def claim_evidence(spark, d):
     a = part.select((k * 2).alias("id"), first.alias("file"), F.concat(F.lit("uses "), name, F.lit("()")).alias("content"), F.lit("").alias("symbol_name"))
     b = part.select((k * 2 + 1).alias("id"), F.concat(F.lit("lib/b"), k, F.lit(".ts")).alias("file"), F.concat(F.lit("def "), name).alias("content"), F.when(size % 3 == 0, name).otherwise("x").alias("symbol_name"))
     out = claims.evidence(claims.added_claims(_claim_lines(spark, d)), a.unionByName(b), a.where("file like 'src/c%'").select("file"))
-    return out.select("file", "line", "id", "evidence_file", "tier")
+    return out.select("file", F.col("line").cast("int").alias("line"), "id", "evidence_file", "tier")
 
 
 _FAMILY = "export enum Kind{k} {\n  A = 1,\n  B, // old\n  'C c',\n  New,\n}\ntype U{k} = 'x{k}' | 'y{k}' |\n  'z{k}';\n"

@@ -151,8 +151,10 @@ def _prefixes(width: int, percent: int, order: Order):
                         seen.clear()
                     seen.add(sign)
                     p = prefix_length(len(s), percent)
-                    tokens.append(s[order.sort(s)[: 2 * p - 1]])
-                    hots.append(order.counts(tokens[-1]) > 0)
+                    counts = order.counts(s)
+                    first = np.argsort(counts, kind="stable")[: 2 * p - 1]  # as order.sort()
+                    tokens.append(s[first])
+                    hots.append(counts[first] > 0)
                     signs.append((*sign, len(s)))
                     sizes.append(len(tokens[-1]))
                     cores.append(np.arange(len(tokens[-1])) < p)

@@ -152,7 +152,7 @@ def followed_by_zeros(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, spaces: bool = False, memo: int = 700_000) -> None:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, spaces: bool = False, memo: int = 400_000) -> None:
     """Writes the chunks, recipes and manifests of every whole text of docs (doc_id, text) below folder.
 
     One pass and one shuffle of the ids: a task sends a chunk once however often its documents repeat it, so that a chunk that

@@ -10,8 +10,9 @@ longer make a link, or when the whole subtree is already in the probe's componen
 
 Components are all that is asked for, so work is spent only between components: (1) each set meets others in its most
 shared prefix shingle alone, in blocks; what may still link across components is then gathered, closed under shared prefix shingles
-and near sizes; (2) in a large gathering a few delegates of each component meet; (3) all members of a gathering meet those
-of its other components, block by block where it is large. Nothing is skipped that could be a link between two components.
+and near sizes; (2) in a large gathering a few delegates of each component meet, and what is still apart is told apart by bit
+sketches, so that it falls into small ones; (3) all members of a gathering meet those of its other components, block by block
+where it is large. Nothing is skipped that could be a link between two components.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from codeloom.llm.common import Scratch, enter, leave, worker_cache
 FREQUENT = 512
 #: Sets that one group holds; more of them meet block against block.
 BLOCK = 256
+#: Sketches that one group holds on a side: about 1 bit for each shingle of a set, so these are a 64th of the sets.
+SKETCHES = 1024
 #: A shingle of at most so many documents names its pairs.
 FEW = 8
 _EMPTY = np.zeros(0, np.uint64)
@@ -167,6 +170,56 @@ def _prefixes(width: int, percent: int, order: Order):
     return run
 
 
+def sketch(s: np.ndarray, bits: int) -> bytes:
+    """Parities of the shingles that fall on each of so many bits (a power of 2). Two sketches differ in at most as many bits as
+    their sets differ in shingles, as each such shingle turns one bit over."""
+    at = (s >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketch_bits(size_class: int, percent: int) -> int:
+    """Bits for the sets of a class and the one below: a power of 2, at least the largest set, so that unrelated sets differ in
+    about half of the bits."""
+    return 1 << max(8, math.ceil((size_class + 1) * math.log2(100 / percent) * 1.000001))
+
+
+def may_link(sketches: np.ndarray, nodes: np.ndarray, components: np.ndarray, sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray, top: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of nodes, a spanning forest of those whose sketches (a row of 64-bit words each) leave a link possible.
+
+    Only nodes of different components are compared, of which one at least is of the class `top`, and where there are two
+    sides only those of different ones."""
+    parent = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    pairs, two = [], len(np.unique(sides)) > 1
+    at = np.lexsort((sizes, sides))
+    sketches, nodes, components, sizes, classes, sides = (x[at] for x in (sketches, nodes, components, sizes, classes, sides))
+    half = int(np.searchsorted(sides, sides[0], "right"))
+    for i in range(half if two else len(nodes)):
+        # sets that link have sizes within percent of each other, so a stretch of the other rows, which ascend by size
+        first, last = (half, len(nodes)) if two else (i + 1, len(nodes))
+        low = first + int(np.searchsorted(sizes[first:last], -(-sizes[i] * percent // 100)))
+        high = first + int(np.searchsorted(sizes[first:last], sizes[i] * 100 // percent, "right"))
+        if low >= high:
+            continue
+        differ = np.bitwise_count(sketches[low:high] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        most = (100 - percent) * (sizes[low:high] + sizes[i]) // (100 + percent)
+        hit = (differ <= most) & (components[low:high] != components[i])
+        if classes[i] != top:
+            hit &= classes[low:high] == top
+        for j in (np.flatnonzero(hit) + low).tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                parent[b] = a
+                pairs.append((int(nodes[i]), int(nodes[j])))
+    return pairs
+
+
 class _Node:
     __slots__ = ("edge", "children", "low", "high", "member", "mixed", "records")
 
@@ -390,7 +443,7 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         their first shingles. Shingles of few documents name the pairs that share them, so those are counted exactly
         (at most FEW - 1 for each row); shingles of many can add no more than either document has. Pairs that reach
         `least`, and whoever could reach it through shingles of many alone, are joined up; each set then travels once."""
-        rows = company.join(current, "node").withColumn("own", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int")).withColumn("least", least)
+        rows = company.join(current, "node").withColumn("own", own_class).withColumn("least", least)
         rows = rows.select("token", "node", "component", "core", "own", "least", "hot")  # the exchanges below carry nothing else
         rows = rows.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))  # a key of class c holds sizes of classes c - 1 and c
         span = {"low": F.min("component"), "high": F.max("component")}
@@ -416,6 +469,41 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         members = scratch.table(rows.select("node", "component").distinct().join(labels.withColumnRenamed("label", "super"), "node"), "members")
         return scratch.table(_with_counts(members, ["super"], size=F.count("*")), "gatherings")
 
+    def to_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                node, n, own, data = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                rows = [(i, k, o, c, sketch(np.frombuffer(d, np.uint64), sketch_bits(c, percent))) for i, k, o, d in zip(node, n, own, data, strict=True) for c in (o, o + 1)]
+                kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "own", "class", "sketch"])
+        leave()
+
+    def compare(table: pa.Table) -> pa.Table:
+        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        pairs = may_link(words, *(table.column(c).to_numpy() for c in ("node", "component", "n", "own", "side")), table.column("class")[0].as_py(), percent) if table.num_rows > 1 else []
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.Table.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def told_apart(members: DataFrame) -> DataFrame:
+        """super, node, component: members of large gatherings in smaller ones, closed as well: two documents of different
+        components whose sketches leave a link possible stay together. A pair meets in the class of its larger set."""
+        members = members.select("super", "node", "component")
+        wide = members.select("node").join(with_sets, "node").withColumn("n", F.expr("octet_length(shingles) DIV 8"))
+        drawn = wide.withColumn("own", own_class).select("node", "n", "own", "shingles").mapInArrow(to_sketches, "node long, n long, own int, class int, sketch binary")
+        drawn = scratch.table(drawn, "sketches")
+        keys = scratch.table(drawn.select("node", "n", "own", "class").join(members, "node"), "sketch-keys")
+        keys = _with_counts(keys, ["super", "class"], df=F.count("*"), top=F.max("own"), low=F.min("component"), high=F.max("component"))
+        keys = keys.where("low <> high AND top = class").withColumn("blocks", F.ceil(F.col("df") / SKETCHES).cast("int"))
+        keys = keys.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = keys.select("super", "class", "node", "component", "n", "own", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
+        met = keys.join(drawn.select("node", "n", "class", "sketch"), ["node", "n", "class"])
+        edges = scratch.table(met.groupBy("super", "class", "left", "right").applyInArrow(compare, "a long, b long"), "edges-sketched")
+        labels = connected(edges, scratch)
+        if labels is None:
+            return members.where("false")
+        return members.drop("super").join(labels.withColumnRenamed("label", "super"), "node").select("super", "node", "component")
+
+    own_class = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int")
     with_sets = sets.select("node", "shingles")
     gathered = gatherings()
     if gathered.where(F.col("size") > BLOCK).take(1):  # a few members of each component meet first, which settles most of a large one
@@ -425,9 +513,13 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         met = few.join(with_sets, "node")
         current = relabel(current, linked(met.select("super", "block", "component", "side", "shingles"), "super", "block"), "round-2")
         # Gatherings stay closed; only the components in them are fewer now.
-        again = scratch.table(gathered.drop("component", "size").join(current, "node"), "members")
-        again = _with_counts(again, ["super"], size=F.count("*"), low=F.min("component"), high=F.max("component"))
-        gathered = scratch.table(again.where("low <> high").drop("low", "high"), "gatherings")
+        def apart(members: DataFrame) -> DataFrame:
+            found = _with_counts(scratch.table(members, "members"), ["super"], size=F.count("*"), low=F.min("component"), high=F.max("component"))
+            return scratch.table(found.where("low <> high").drop("low", "high"), "gatherings")
+
+        gathered = apart(gathered.drop("component", "size").join(current, "node"))
+        if gathered.where(F.col("size") > BLOCK).take(1):
+            gathered = apart(gathered.where(F.col("size") <= BLOCK).select("super", "node", "component").unionByName(told_apart(gathered.where(F.col("size") > BLOCK))))
 
     # All pairs of different components of a gathering meet: blocks of the largest component with blocks of the others.
     sizes = gathered.groupBy("super", "component").count()

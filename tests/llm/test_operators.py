@@ -369,6 +369,29 @@ def test_components(spark, sf_dir, rows):
     assert all((r["n_shingles"], r["component_id"]) == (sizes[r["doc_id"]], want[r["doc_id"]]) for r in got)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_unlike_documents_of_common_passages_dont_meet(spark, monkeypatch, width, percent):
+    """Documents of passages that many have may all link as far as their shared shingles are counted; their sets don't travel."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SKETCHES", 16)  # several blocks of these as well
+    rng, made = random.Random(11), {}
+
+    class Kept(Scratch):
+        def table(self, df, name, *args, **more):
+            made.setdefault(name, []).append(out := super().table(df, name, *args, **more))
+            return out
+
+    passages = [" ".join(f"p{i}w{j}" for j in range(60)) for i in range(40)]
+    texts = [" ".join(rng.sample(passages, 20)) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(100 + d, text + f" more{d}") for d, text in enumerate(texts[:5])]
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), Kept(spark, "t"), width, percent).collect()}
+    assert found == {d: d % 100 for d, _ in rows}
+    assert made["gatherings"][0].count() == len(rows)
+    assert made["gatherings"][-1].count() <= 10
+
+
 @pytest.mark.parametrize(("block", "few"), [(4, 2), (256, 8), (4, 50)])
 def test_components_of_many_near_copies(spark, monkeypatch, block, few):
     """A large gathering with outliers, met block by block."""

@@ -194,6 +194,35 @@ def test_trie_finds_the_components_of_all_pairs():
         assert groups(root) == groups(lambda i: mine[i])
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_keep_every_link(percent):
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) for n in (1, 2, 9, 60, 700)]
+    sets = []
+    for s in base:
+        for change in (0, 0.02, 0.04, 0.06, 0.1, 0.4, 1.0):
+            k = round(change * len(s))
+            sets.append(np.unique(np.concatenate([s[k:], rng.integers(0, 1 << 63, k, np.uint64)])))
+            sets.append(np.unique(s[k:]) if k < len(s) else s)
+    n = np.array([len(s) for s in sets])
+    own = np.floor(np.log(n) / (np.log(100 / percent) * 1.000001)).astype(int)
+    linked, kept, unrelated = set(), set(), 0
+    for i in range(len(sets)):
+        for j in range(i):
+            o, top = len(np.intersect1d(sets[i], sets[j])), max(own[i], own[j])
+            if 100 * o >= percent * (n[i] + n[j] - o):
+                linked.add((j, i))
+                assert abs(own[i] - own[j]) <= 1
+            if abs(own[i] - own[j]) <= 1:
+                pair = [j, i]
+                words = np.array([np.frombuffer(ngram_join.sketch(sets[x], ngram_join.sketch_bits(top, percent)), np.uint64) for x in pair])
+                for sides in ([0, 0], [0, 1]):
+                    got = ngram_join.may_link(words, np.array(pair), np.array(pair), n[pair], own[pair], np.array(sides), top, percent)
+                    kept |= {tuple(sorted(p)) for p in got}
+                unrelated += not o and n[i] > 50 and n[j] > 50 and (j, i) in kept
+    assert linked and linked <= kept and not unrelated
+
+
 def test_trigrams_need_letters():
     assert language_id.trigrams(None) is None and language_id.trigrams("12 !?") is None
     assert language_id.trigrams("a")[1].sum() == 1

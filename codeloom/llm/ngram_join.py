@@ -32,6 +32,8 @@ from codeloom.llm.common import Scratch, enter, leave, worker_cache
 FREQUENT = 512
 #: Sets that one group holds; more of them meet block against block.
 BLOCK = 256
+#: Shingles that one group holds (4 MB): sets of long documents meet in smaller blocks, so a group's memory doesn't follow their length.
+SHINGLES = 1 << 19
 #: Sketches that one group holds on a side: about 1 bit for each shingle of a set, so these are a 64th of the sets.
 SKETCHES = 1024
 #: A shingle of at most so many documents names its pairs.
@@ -293,11 +295,13 @@ def link_group(sets: list[np.ndarray], components: list[int], sides: list[int],
     """Pairs of components to unite: a spanning forest of the links among the sets of one group.
 
     sides: with two values present only sets of different sides are compared, else all."""
-    token, where = np.unique(np.concatenate(sets), return_inverse=True)
-    rank = np.empty(len(token), np.int64)
-    rank[order.sort(token)] = np.arange(len(token) - 1, -1, -1)  # frequent first
-    own = np.split(rank[where], np.cumsum([len(s) for s in sets])[:-1])
-    own = [np.sort(x) for x in own]
+    token = np.concatenate(sets)
+    token.sort()
+    token = token[np.append(True, token[1:] != token[:-1])]
+    rank = np.empty(len(token), np.int32)
+    rank[order.sort(token)] = np.arange(len(token) - 1, -1, -1, dtype=np.int32)  # frequent first
+    own = [np.sort(rank[np.searchsorted(token, s)]) for s in sets]  # set by set: a group is never held in several forms at once
+    del token, rank
     parent: dict[int, int] = {c: c for c in components}
 
     def find_component(c: int) -> int:
@@ -393,11 +397,11 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
 
     first_pass = in_company(raw, "shared-1")
     company = scratch.table(in_company(first_pass, "shared-2").join(nodes.drop("n"), ["s1", "s2"]), "company")
-    core = scratch.table(company.where("core").drop("core", "n"), "core")
-    shared = scratch.table(_with_counts(core, ["token"], df=F.count("*"), low=F.min("node"), high=F.max("node")).where("low <> high").drop("low", "high", "hot"), "shared")
+    core = scratch.table(company.where("core").drop("core"), "core")
+    shared = scratch.table(_with_counts(core, ["token"], df=F.count("*"), mass=F.sum("n"), low=F.min("node"), high=F.max("node")).where("low <> high").drop("low", "high", "hot"), "shared")
 
     # Sets of the documents that meet another one at all; everything else is done.
-    chosen = shared.groupBy("node", "s1", "s2").agg(F.max(F.struct("df", "token")).alias("top")).select("node", "s1", "s2", F.col("top.df").alias("df"), F.col("top.token").alias("token"))
+    chosen = shared.groupBy("node", "s1", "s2").agg(F.max(F.struct("df", "token", "mass")).alias("top"), F.max("n").alias("n")).select("node", "s1", "s2", "n", "top.df", "top.mass", "top.token")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("ngrams")
@@ -410,13 +414,13 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         leave()
 
     chosen_texts = chosen.join(docs.withColumnRenamed("doc_id", "node"), "node")
-    sets = scratch.table(chosen_texts.mapInArrow(to_sets, "node long, s1 long, s2 long, df long, token long, shingles binary"), "sets")
+    sets = scratch.table(chosen_texts.mapInArrow(to_sets, "node long, s1 long, s2 long, n long, df long, mass long, token long, shingles binary"), "sets")
 
     def link(table: pa.Table) -> pa.Table:
-        rows = {c: table.column(c).to_pylist() for c in ("component", "side", "shingles")}
-        pairs = link_group([np.frombuffer(b, np.uint64) for b in rows["shingles"]], rows["component"], rows["side"], percent, order) if table.num_rows > 1 else []
+        rows = {c: table.column(c).to_pylist() for c in ("component", "side")}
+        pairs = link_group([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("shingles")], rows["component"], rows["side"], percent, order) if table.num_rows > 1 else []
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        if table.num_rows > BLOCK // 2:
+        if table.num_rows > BLOCK // 2 or table.nbytes > 4 * SHINGLES:
             rows = None
             leave()
         return pa.Table.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -431,7 +435,11 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
         new = new.withColumnRenamed("node", "component")
         return scratch.table(current.join(new, "component", "left").select("node", F.coalesce("label", "component").alias("component")), name)
 
-    deal = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / BLOCK)).cast("int")
+    def blocks_of(df: Column, mass: Column) -> Column:
+        """Blocks for so many sets that hold so many shingles."""
+        return F.greatest(F.ceil(df / BLOCK), F.ceil(mass / SHINGLES)).cast("int")
+
+    deal = F.pmod(F.xxhash64("node"), blocks_of(F.col("df"), F.col("mass"))).cast("int")
     first = sets.withColumn("component", F.col("node")).withColumn("side", F.lit(0)).withColumn("block", deal)
     own = scratch.table(chosen.select("node").distinct().withColumn("component", F.col("node")), "own")
     current = relabel(own, linked(first.select("token", "block", "component", "side", "shingles"), "token", "block"), "round-1")
@@ -505,11 +513,13 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
 
     own_class = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int")
     with_sets = sets.select("node", "shingles")
+    lengths = sets.select("node", "n")
     gathered = gatherings()
     if gathered.where(F.col("size") > BLOCK).take(1):  # a few members of each component meet first, which settles most of a large one
         some = Window.partitionBy("super", "component").orderBy(F.xxhash64("node"), "node")
         few = gathered.where(F.col("size") > BLOCK).withColumn("k", F.row_number().over(some)).where("k <= 3")
-        few = _with_counts(scratch.table(few.drop("k", "size"), "few"), ["super"], df=F.count("*")).withColumn("block", deal).withColumn("side", F.lit(0))
+        few = scratch.table(few.drop("k", "size").join(lengths, "node"), "few")
+        few = _with_counts(few, ["super"], df=F.count("*"), mass=F.sum("n")).withColumn("block", deal).withColumn("side", F.lit(0))
         met = few.join(with_sets, "node")
         current = relabel(current, linked(met.select("super", "block", "component", "side", "shingles"), "super", "block"), "round-2")
         # Gatherings stay closed; only the components in them are fewer now.
@@ -522,13 +532,14 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
             gathered = apart(gathered.where(F.col("size") <= BLOCK).select("super", "node", "component").unionByName(told_apart(gathered.where(F.col("size") > BLOCK))))
 
     # All pairs of different components of a gathering meet: blocks of the largest component with blocks of the others.
-    sizes = gathered.groupBy("super", "component").count()
-    most = sizes.groupBy("super").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("size"))
-    most = most.select("super", F.when(F.col("size") > BLOCK, F.col("m.component")).alias("main"), F.when(F.col("size") > BLOCK, F.col("m.count")).otherwise(0).alias("n_main"), F.col("size").alias("n_all"))
+    gathered = scratch.table(gathered.join(lengths, "node"), "gathered")
+    sizes = gathered.groupBy("super", "component").agg(F.count("*").alias("count"), F.sum("n").alias("mass"))
+    most = sizes.groupBy("super").agg(F.max(F.struct("count", "component", "mass")).alias("m"), F.sum("count").alias("n_all"), F.sum("mass").alias("all_mass"))
+    large = (F.col("n_all") > BLOCK) | (F.col("all_mass") > SHINGLES)
+    most = most.select("super", "n_all", "all_mass", F.when(large, F.col("m.component")).alias("main"), *(F.when(large, F.col(f"m.{c}")).otherwise(0).alias(to) for c, to in (("count", "n_main"), ("mass", "main_mass"))))
     rest = gathered.drop("size").join(most, "super").withColumn("of_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
-    blocks = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
-    main_blocks = F.ceil(F.col("n_main") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("main_blocks", main_blocks)
+    blocks = blocks_of(F.col("n_all") - F.col("n_main"), F.col("all_mass") - F.col("main_mass"))
+    rest = rest.withColumn("blocks", blocks).withColumn("main_blocks", blocks_of(F.col("n_main"), F.col("main_mass")))
     side = F.when(F.col("of_main"), F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("main_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
     partners = F.when(F.col("of_main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("blocks") + F.col("main_blocks") - 1))
     rest = rest.withColumn("side", side).withColumn("other", F.explode(partners))

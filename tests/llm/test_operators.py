@@ -392,6 +392,33 @@ def test_unlike_documents_of_common_passages_dont_meet(spark, monkeypatch, width
     assert made["gatherings"][-1].count() <= 10
 
 
+def test_groups_of_long_documents_are_bound_by_their_shingles(spark, monkeypatch):
+    """20 documents fit a block by number, not by length; what meets in several blocks links all the same."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "SHINGLES", 500, raising=False)
+    kind, groups = type(spark.range(1)), []
+    real = kind.groupBy
+
+    def seen(self, *keys):
+        if all(isinstance(k, str) for k in keys) and {"block", "left"} & set(keys):
+            groups.append(max((r["count"] for r in real(self, *keys).count().collect()), default=0))
+        return real(self, *keys)
+
+    monkeypatch.setattr(kind, "groupBy", seen)
+    rng = random.Random(2)
+    rows = []
+    for d in range(20):
+        w = [f"w{i}" for i in range(200)]
+        for i in rng.sample(range(200), rng.choice([1, 2, 9])):
+            w[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(w)))
+    _, want = plain_components(rows)
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: c for d, c in want.items() if d is not None}
+    assert groups and max(groups) <= 10, groups
+
+
 @pytest.mark.parametrize(("block", "few"), [(4, 2), (256, 8), (4, 50)])
 def test_components_of_many_near_copies(spark, monkeypatch, block, few):
     """A large gathering with outliers, met block by block."""

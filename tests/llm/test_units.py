@@ -1,6 +1,7 @@
 """Pure functions: codecs, hashes, tokens, tries."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -194,6 +195,18 @@ def test_trie_finds_the_components_of_all_pairs():
         assert groups(root) == groups(lambda i: mine[i])
 
 
+def test_a_group_of_long_sets_is_not_held_many_times():
+    rng, order = np.random.default_rng(3), ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sets = [np.unique(rng.integers(0, 1 << 62, 20_000, dtype=np.uint64)) for _ in range(24)]
+    sets.append(sets[7][:-100])
+    tracemalloc.start()
+    found = ngram_join.link_group(sets, list(range(25)), [0] * 25, 80, order)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(7, 24)]
+    assert peak < 5 * sum(s.nbytes for s in sets)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_sketches_keep_every_link(percent):
     rng = np.random.default_rng(6)

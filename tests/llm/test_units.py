@@ -1,15 +1,17 @@
 """Pure functions: codecs, hashes, tokens, tries."""
 
 import random
+import time
 import tracemalloc
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeloom.llm import language_id, line_dedup, mixing, ngram_join, packing, tiff, token_store
+from codeloom.llm import language_id, line_dedup, mixing, ngram_join, packing, tiff, token_store, tokens
 from codeloom.llm.tokens import Encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -59,6 +61,54 @@ def test_memo_generations_change_nothing():
     assert small.batch(texts) == e.batch(texts)
 
 
+def test_word_generations_and_long_pieces_change_nothing(monkeypatch):
+    """Blocks, tables and groups of texts that are full again and again; pieces of up to 40 bytes, of one and two a character."""
+    monkeypatch.setattr(tokens, "_BLOCK", 7)
+    monkeypatch.setattr(tokens, "_SPREAD", 60)
+    small, rng = Encoder(public_tokenizers.path("word_bpe_49k.json"), False, limit=5), random.Random(2)
+    texts = ["".join(rng.choice(["a", "É", "ß", "T"]) for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 23, 24, 25, 40]))) for _ in range(300)]
+    texts = [" ".join(texts[i : i + k]) + rng.choice(["", "'s", " 12", "\n", "=" * 26]) for i in range(290) for k in (0, 1, 6)] + [None, "", " \n"]
+    got = [np.frombuffer(ids, small.kind).tolist() for ids in small.batch(texts)]
+    assert got == [library_ids("word_bpe_49k.json", t or "") for t in texts]
+    assert small.words.old is not None and small.words.old.old is None
+
+
+_KNOWN_PIECES = st.sampled_from([*" \n'stmdlrveSTMDLRVEabªµº×÷¿éÉžŁ0!.«–…€", "'s", "'re", "'LL", "''", "  "])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_KNOWN_PIECES, max_size=40).map("".join))
+def test_word_borders_follow_the_pattern(text):
+    data = text.encode()
+    inside, begins = tokens.word_borders(np.frombuffer(data + b"\n\n\n", np.uint8))
+    borders = np.append(np.flatnonzero(begins), len(data) + 3).tolist()
+    got = [data[a:b].decode() for a, b in zip(borders, borders[1:], strict=False) if inside[a]]
+    assert got == tokens._WORD_LEVEL.findall(text)
+
+
+def test_words_take_less_time_than_a_lookup_for_each():
+    """The encoder without white space against one regular expression and one dictionary lookup for each pre-token."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("etaoinsh", k=rng.randint(2, 9))) for _ in range(60_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=400)) + "." for _ in range(2000)]
+    e, memo = Encoder(public_tokenizers.path("word_bpe_49k.json"), False), {}
+
+    def plainly():
+        for t in texts:
+            pieces = tokens._WORD_LEVEL.findall(t)
+            itemgetter(*pieces)(memo)
+
+    def took(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    for t in texts:
+        memo.update((p, p.encode()) for p in tokens._WORD_LEVEL.findall(t))
+    e.batch(texts)  # both know all words now
+    assert min(took(lambda: e.batch(texts)) for _ in range(3)) < min(took(plainly) for _ in range(3))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=3000), st.integers(1, 60))
 def test_codecs_round_trip(data, repeat):

@@ -549,7 +549,7 @@ def components(docs: DataFrame, scratch: Scratch, width: int = 3, percent: int =
 
     found = scratch.table(nodes.join(current, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component")), "found")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return light.join(found, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return light.join(found.hint("merge"), ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op9_ngram_components(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
 """What a plan sends through the driver or exchanges must not follow the input."""
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
+from codeloom import catalog
+from codeloom.engine import Engine
 from codeloom.llm import ngram_join
+from codeloom.operators import graph
+from codeloom.operators.imports import call_edge_counts, call_edges, dependent_counts, import_edges, unnamed_imports
+from codeloom.sources.adapters import imports
 from codeloom.tables import BROADCAST, Scratch
 
 
@@ -53,3 +59,52 @@ def test_components_and_what_drops_copies_join_without_the_driver(spark):
     assert sorted(r["component_id"] for r in found.collect()) == [1, 1, 3]
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert "BroadcastHashJoin" not in plan(kept) and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("parts")
+    spark.createDataFrame([(k, f"Brand#{k % 5}", f"TYPE {k % 7}") for k in range(1, 41)], "p_partkey long, p_brand string, p_type string").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(k, s) for k in range(1, 41) for s in range(1, 300) if (7 * k + 13 * s) % 997 < 40], "l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_paths_are_not_broadcast(spark, parts):
+    files, spec = imports(spark, parts)
+    assert "BroadcastHashJoin" not in plan(spec)
+    edges = import_edges(spec, files)
+    assert plan(edges).count("BroadcastHashJoin") <= 1  # the matches of specifiers, a table that was measured
+    assert "BroadcastHashJoin" not in plan(dependent_counts(Scratch(spark, "t").table(edges, "e"), files))
+    for name in ("g12_uncovered_dependents", "g7_blast_risk"):
+        assert plan(catalog.queries()[name](spark, parts)).count("BroadcastHashJoin") <= 1  # what tests cover, likewise
+
+
+def test_calls_meet_all_definitions_only_in_the_last_tier(spark):
+    calls = spark.createDataFrame([("a/x", "f"), ("a/x", "g"), ("b/y", "f"), ("b/y", "h"), ("c/z", "f")], "file string, symbol string")
+    defs = spark.createDataFrame([("a/x", "g"), ("b/w", "f"), ("d/v", "f"), ("d/v", "h"), ("d/u", "h")], "file string, symbol string")
+    edges = spark.createDataFrame([("a/x", "d/v"), ("c/z", "q"), ("b/y", "b/w")], "importer string, file string")
+    got = sorted(tuple(r) for r in call_edges(calls, defs, edges).collect())
+    assert got == [("a/x", "f", "d/v", 2), ("a/x", "g", "a/x", 1), ("b/y", "f", "b/w", 2), ("b/y", "h", "d/u", 4), ("b/y", "h", "d/v", 4), ("c/z", "f", "b/w", 4), ("c/z", "f", "d/v", 4)]
+    assert sorted(tuple(r) for r in call_edge_counts(calls, defs, edges).collect()) == [(1, 1), (2, 2), (4, 4)]
+    assert sorted(tuple(r) for r in unnamed_imports(edges, calls, defs).collect()) == [("c/z", "q")]
+
+
+def test_reach_keeps_sets_by_block(spark):
+    n = 3 * graph.BLOCK
+    nodes = spark.range(n).select(F.format_string("f%06d", "id").alias("file"))
+    edges = nodes.select(F.lit("f000000").alias("file"), F.col("file").alias("importer")).where("importer <> file")
+    edges = edges.unionByName(spark.createDataFrame([("f000007", "f000000")], "file string, importer string"))
+    reach = graph.Reach(nodes, Scratch(spark, "t"))
+    reached = reach.expand(spark.createDataFrame([("f000000",), ("f000007",), ("f000009",)], "file string"), reach.adjacency(edges), 2)
+    rows = reach.named(reached).collect()
+    assert reached.count() < 20 and len(rows) == 2 * (n - 1)
+    assert {(r["seed"], r["hops"]) for r in rows} == {("f000000", 1), ("f000007", 1), ("f000007", 2)}
+    assert {r["node"] for r in rows if r["seed"] == "f000007"} == {f"f{i:06d}" for i in range(n)} - {"f000007"}
+    near = reach.nearest(reached, 3).where("seed = 'f000007'").orderBy("hops", "node").collect()
+    assert [(r["node"], r["hops"], r["truncated"]) for r in near] == [("f000000", 1, True), ("f000001", 2, True), ("f000002", 2, True)]
+
+
+def test_an_engine_makes_its_edges_once(spark, parts):
+    files, spec = imports(spark, parts)
+    e = Engine(files, spec)
+    assert e._edges() is e._edges() and "Join" not in plan(e._edges())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import columns as C
 from codeloom.operators import graph, metrics, search, store
 from codeloom.operators import imports as I
+from codeloom.tables import Scratch
 
 
 def _within(name: str, value: int, low: int, high: int) -> int:
@@ -28,7 +29,7 @@ def _path(p: str) -> str:
 class Engine:
     """chunks (id, file, start_line, end_line, content, language, symbol_name, symbol_type, and metrics where known) and
     specifiers (importer, specifier). `counts` is null where dependents were never computed; `index` holds stored postings and
-    `edges` stored edges, else each call makes them; `boost` and `demote` switch structural ranking off."""
+    `edges` stored edges, else the first call makes them; `boost` and `demote` switch structural ranking off."""
 
     chunks: DataFrame
     specifiers: DataFrame | None = None
@@ -37,13 +38,16 @@ class Engine:
     edges: I.EdgeIndex | None = None
     boost: bool = True
     demote: bool = True
+    _stored: DataFrame | None = field(default=None, init=False, repr=False)
 
     def _edges(self) -> DataFrame:
         if self.edges is not None:
             return self.edges.edges()
         if self.specifiers is None:
             raise ValueError("no import specifiers indexed")
-        return I.import_edges(self.specifiers, self.chunks.select("file").distinct())
+        if self._stored is None:
+            self._stored = Scratch(self.specifiers.sparkSession, "engine").table(I.import_edges(self.specifiers, self.chunks.select("file").distinct()), "edges")
+        return self._stored
 
     def _hits(self, text: str, limit: int) -> DataFrame:
         session = self.chunks.sparkSession

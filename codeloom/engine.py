@@ -58,7 +58,7 @@ class Engine:
             rows = search.searchable(self.chunks)
             scores = search.weighted_bm25(search.positions(rows), search.lengths(rows), search.phrases(asked))
         hits = search.structurally_ranked(scores, self.chunks, self.counts, limit, self.boost, self.demote)
-        rows = hits.select("id", "ratio", "key", "rank").join(self.chunks, "id")
+        rows = self.chunks.join(Scratch(session, "engine").sized(hits.select("id", "ratio", "key", "rank"), "hits"), "id")
         words = F.array(*(F.lit(w) for w in dict.fromkeys(text.lower().split()))) if text.split() else F.array().cast("array<string>")
         name = F.lower(F.coalesce("symbol_name", F.lit("")))
         rows = rows.withColumn("relevance", search.band(F.col("ratio"), (name != "") & F.array_contains(words, name)))

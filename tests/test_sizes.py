@@ -1,5 +1,7 @@
 """What a plan sends through the driver or exchanges must not follow the input."""
 
+import re
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from codeloom import catalog
 from codeloom.engine import Engine
 from codeloom.llm import ngram_join
-from codeloom.operators import graph
+from codeloom.operators import graph, search
 from codeloom.operators.imports import call_edge_counts, call_edges, dependent_counts, import_edges, unnamed_imports
 from codeloom.sources.adapters import imports
 from codeloom.tables import BROADCAST, Scratch
@@ -108,3 +110,15 @@ def test_an_engine_makes_its_edges_once(spark, parts):
     files, spec = imports(spark, parts)
     e = Engine(files, spec)
     assert e._edges() is e._edges() and "Join" not in plan(e._edges())
+
+
+def test_postings_stay_where_their_chunk_is(spark):
+    c = spark.createDataFrame([(i, f"f{i % 3}", "aName", f"words of the text {i} a b a") for i in range(9)], "id long, file string, symbol_name string, content string")
+    c = search.searchable(c)
+    asked = spark.createDataFrame([(1, "the text a.b"), (2, "words 5")], "query long, text string")
+    terms = asked.select("query", F.explode(search.terms(F.col("text"))).alias("term"))
+    plain = search.bm25(search.postings(c), c.select(F.lit(7).alias("length")), terms)
+    weighted = search.weighted_bm25(search.positions(c), search.lengths(c), search.phrases(asked))
+    for df in (plain, weighted):
+        exchanges = re.findall(r"Exchange hashpartitioning\(([a-z]+)", plan(df))
+        assert set(exchanges) == {"id"} and df.count() == 10

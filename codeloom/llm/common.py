@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.tables import Scratch, shared_dir
+from codeloom.tables import Scratch, partitions, shared_dir
 
 __all__ = ["SPACE", "WORD", "Scratch", "enter", "partitions", "shared_dir", "text_or_empty", "worker_cache"]
 
@@ -44,8 +44,3 @@ def leave() -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def partitions(df: DataFrame) -> int:
-    """As many partitions as the session shuffles into."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

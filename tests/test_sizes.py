@@ -121,4 +121,4 @@ def test_postings_stay_where_their_chunk_is(spark):
     weighted = search.weighted_bm25(search.positions(c), search.lengths(c), search.phrases(asked))
     for df in (plain, weighted):
         exchanges = re.findall(r"Exchange hashpartitioning\(([a-z]+)", plan(df))
-        assert set(exchanges) == {"id"} and df.count() == 10
+        assert set(exchanges) == {"id"} and df.count() == 18

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators import signals as S
+from codeloom.tables import Scratch, partitions
 
 #: What names a thing in prose, and the plain words in backticks that don't; shortest name that counts.
 NAMED = (r"\b[A-Za-z_$][\w$-]*(?:\.[\w$*-]+)+", r"\b[A-Za-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+\b", r"\b[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+\b")
@@ -123,7 +124,7 @@ def family_members(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "kind", "type", "member", "line", "decl_start", "decl_end"])
 
     code = chunks.where(F.col("file").rlike(r"\.[cm]?[jt]sx?\z")).select("file", F.col("start_line").cast("int"), "content")
-    return code.mapInArrow(run, "file string, kind string, type string, member string, line int, decl_start int, decl_end int").distinct()
+    return code.repartition(partitions(code)).mapInArrow(run, "file string, kind string, type string, member string, line int, decl_start int, decl_end int").distinct()
 
 
 def added_variants(members: DataFrame, lines: DataFrame) -> DataFrame:
@@ -133,11 +134,11 @@ def added_variants(members: DataFrame, lines: DataFrame) -> DataFrame:
     gone = lines.where("sign = '-'").select("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))).alias("member")).distinct().withColumn("gone", F.lit(True))
     heads = plus.select("file", F.col("line").alias("decl_start"), F.lit(True).alias("new_head"))
     kept_head = gone.select("file", F.col("member").alias("type"), F.lit(True).alias("old_head"))
-    rows = members.join(plus, ["file", "line"], "left").join(gone, ["file", "member"], "left").join(heads, ["file", "decl_start"], "left").join(kept_head, ["file", "type"], "left")
+    rows = members.join(plus.hint("merge"), ["file", "line"], "left").join(gone.hint("merge"), ["file", "member"], "left").join(heads.hint("merge"), ["file", "decl_start"], "left").join(kept_head.hint("merge"), ["file", "type"], "left")
     rows = rows.where("new_head IS NULL OR old_head IS NOT NULL").withColumn("added", F.col("plus").isNotNull() & F.col("gone").isNull())
     span = F.bool_or("added").alias("some"), F.bool_or(~F.col("added")).alias("older")
     groups = rows.groupBy("file", "kind", "type").agg(*span).where("some AND older").select("file", "kind", "type")
-    return rows.join(groups, ["file", "kind", "type"]).select("file", "kind", "type", "member", "decl_start", "decl_end", "added")
+    return rows.join(groups.hint("merge"), ["file", "kind", "type"]).select("file", "kind", "type", "member", "decl_start", "decl_end", "added")
 
 
 def variant_consumers(variants: DataFrame, chunks: DataFrame, least: int = 2, per_variant: int = 5, most: int = 12) -> DataFrame:
@@ -146,6 +147,8 @@ def variant_consumers(variants: DataFrame, chunks: DataFrame, least: int = 2, pe
 
     A consumer compares with a member, has a case or a key for it: `Type.member` of enums and constant objects, the literal of
     unions. Chunks meet families by a word, the type's name or the member's, before the patterns run line by line."""
+    scratch = Scratch(chunks.sparkSession, "variants")
+    variants = scratch.table(variants, "variants")
     q = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
     qualified = F.concat(F.lit(r"\b"), q(F.col("type")), F.lit(r"(?:\."), q(F.col("member")), F.lit(r"\b|\s*\[\s*['\"]"), q(F.col("member")), F.lit(r"['\"]\s*\])"))
     literal = F.when(F.col("member").rlike(r"^-?\d+(\.\d+)?\z"), F.concat(F.lit(r"\b"), q(F.col("member")), F.lit(r"\b"))).otherwise(F.concat(F.lit("['\"]"), q(F.col("member")), F.lit("['\"]")))
@@ -157,16 +160,18 @@ def variant_consumers(variants: DataFrame, chunks: DataFrame, least: int = 2, pe
     clean = F.regexp_replace("content", r"//[^\n]*", "")
     lines = chunks.select("id", F.col("file").alias("consumer"), "start_line", "end_line", F.posexplode(F.split(clean, "\n")).alias("at", "text"))
     lines = lines.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))))
-    hit = lines.join(wanted, "key").where(F.regexp_like("text", F.col("used")))
+    hit = lines.join(wanted.hint("merge"), "key").where(F.regexp_like("text", F.col("used")))
     hit = hit.where(~((F.col("consumer") == F.col("file")) & (F.col("start_line") <= F.col("decl_end")) & (F.col("end_line") >= F.col("decl_start"))))
     first = hit.groupBy("id", "consumer", "start_line", "file", "kind", "type", "member", "added").agg(F.min("at").alias("at"))
+    first = scratch.table(first, "first")
     family = ["file", "kind", "type"]
     old = first.where("NOT added").groupBy("id", "consumer", "start_line", *family).agg(F.min("at").alias("at"), F.array_sort(F.collect_set("member")).alias("handled")).where(F.size("handled") >= least)
     fresh = variants.where("added").select(*family, F.col("member").alias("variant")).distinct()
-    missing = old.join(fresh, family).join(first.where("added").select("id", *family, F.col("member").alias("variant")), ["id", *family, "variant"], "left_anti")
+    missing = old.join(fresh.hint("merge"), family).join(first.where("added").select("id", *family, F.col("member").alias("variant")).hint("merge"), ["id", *family, "variant"], "left_anti")
     missing = missing.withColumn("line", F.col("start_line") + F.col("at")).groupBy(*family, "variant", "consumer", "line").agg(F.min_by("handled", "id").alias("handled"))
     of = Window.partitionBy(*family, "variant")
     missing = missing.withColumn("n", F.row_number().over(of.orderBy("consumer", "line"))).where(F.col("n") <= per_variant).withColumn("count", F.count("*").over(of))
+    missing = scratch.table(missing, "missing")
     heads = missing.where("n = 1").orderBy(F.desc("count"), "type", "variant", "file").limit(most)
     place = F.row_number().over(Window.orderBy(F.desc("count"), "type", "variant", "file"))  # over `most` rows
     kept = heads.select(*family, "variant", place.alias("place"))
@@ -207,7 +212,7 @@ def declared_fields(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.string()] * 4 + [pa.int32()])], names=["file", "kind", "type", "field", "line"])
 
     code = chunks.where(F.col("file").rlike(r"\.[cm]?[jt]sx?\z")).select("file", F.col("start_line").cast("int"), "content")
-    return code.mapInArrow(run, "file string, kind string, type string, field string, line int").distinct()
+    return code.repartition(partitions(code)).mapInArrow(run, "file string, kind string, type string, field string, line int").distinct()
 
 
 def unread_fields(chunks: DataFrame, lines: DataFrame, repository: DataFrame, most: int = 10) -> DataFrame:
@@ -217,12 +222,14 @@ def unread_fields(chunks: DataFrame, lines: DataFrame, repository: DataFrame, mo
 
     Code meets fields by their words, an equi-join on lines, before the patterns run."""
     added = lines.where("sign = '+'").select("file", "line").distinct()
-    rows = declared_fields(chunks).where(~F.col("file").rlike(UNREAD_PATHS)).join(added, ["file", "line"])
+    rows = declared_fields(chunks).where(~F.col("file").rlike(UNREAD_PATHS)).join(added.hint("merge"), ["file", "line"])
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))
     code = repository.select("file", F.explode(F.split(F.regexp_replace("content", r"//[^\n]*", ""), "\n")).alias("text")).select("text", F.explode(words(F.col("text"))).alias("word"))
     q = F.concat(F.lit("\\Q"), F.col("field"), F.lit("\\E"))
     read = F.concat(F.lit(r"\.\s*"), q, F.lit(r"\b(?!\s*=[^=])|\[\s*['\"]"), q, F.lit(r"['\"]\s*\]|\{[^}:=]*\b"), q, F.lit(r"\b[^}]*\}\s*="))
-    seen = code.join(rows.select("field").distinct(), F.col("word") == F.col("field")).where(F.regexp_like("text", read)).select("field").distinct()
-    whole = code.where(F.col("text").rlike(WHOLESALE)).join(rows.select("type").distinct(), F.col("word") == F.col("type")).select("type").distinct()
-    left = rows.join(seen, "field", "left_anti").join(whole, "type", "left_anti").orderBy("file", "line", "field").limit(most)
+    # The pattern is stored: made from the field, it would be tried on every word before words meet fields.
+    rows = Scratch(chunks.sparkSession, "fields").table(rows.withColumn("read", read), "fields")
+    seen = code.join(rows.select("field", "read").distinct().hint("merge"), F.col("word") == F.col("field")).where(F.regexp_like("text", F.col("read"))).select("field").distinct()
+    whole = code.where(F.col("text").rlike(WHOLESALE)).join(rows.select("type").distinct().hint("merge"), F.col("word") == F.col("type")).select("type").distinct()
+    left = rows.join(seen.hint("merge"), "field", "left_anti").join(whole.hint("merge"), "type", "left_anti").orderBy("file", "line", "field").limit(most)
     return left.withColumn("place", F.row_number().over(Window.orderBy("file", "line", "field"))).select("type", "field", "kind", "file", "line", "place")  # over `most` rows

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.signals import distinctive_in, names_in_prose
+from codeloom.operators.signals import distinctive_in, prose_pattern
+from codeloom.tables import Scratch
 
 
 def rescued(tracked: DataFrame, listed: DataFrame, include: str, never: str) -> DataFrame:
@@ -63,9 +64,10 @@ def doc_references(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """symbol, file for documentation (id, file, start_line, content) that names a symbol with nothing that continues it beside it,
     where the symbol is distinctive: an equi-join on the words of lines, then the exact test."""
     wanted = distinctive_in(symbols.select(F.col("symbol").alias("token")), docs).select(F.col("token").alias("symbol"))
+    wanted = Scratch(docs.sparkSession, "wanted").sized(wanted.withColumn("pattern", prose_pattern(F.col("symbol"))), "wanted")  # where it is small, lines stay where they are
     lines = docs.select("file", F.explode(F.split("content", "\n")).alias("text"))
     words = lines.select("file", "text", F.explode(F.array_distinct(F.split("text", r"[^A-Za-z0-9_]+"))).alias("symbol"))
-    return words.join(wanted, "symbol").where(names_in_prose(F.col("text"), F.col("symbol"))).select("symbol", "file").distinct()
+    return words.join(wanted, "symbol").where(F.regexp_like("text", F.col("pattern"))).select("symbol", "file").distinct()
 
 
 def reexported(barrels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import code_shaped
+from codeloom.tables import Scratch, partitions
 
 #: Words that are no identifiers worth following.
 KEYWORDS = ("the", "and", "def", "class", "return", "import", "from", "for", "with", "self", "this", "null", "true", "false", "none", "const", "let", "var", "function")
@@ -115,20 +116,32 @@ def claims(text: Column) -> Column:
     return out
 
 
-def names_in_prose(text: Column, token: Column) -> Column:
-    """The token (plain words, slashes and dots) stands in text with nothing that continues it at either side."""
+def prose_pattern(token: Column) -> Column:
+    """A pattern for the token (plain words, slashes and dots) with nothing that continues it at either side.
+
+    Where words meet tokens it must be a stored column: made from the token, it would be tried on every word before they meet."""
     quoted = F.concat(F.lit("\\Q"), token, F.lit("\\E"))
-    return F.regexp_like(text, F.concat(F.lit(f"(?<![{CONTINUATION}])"), quoted, F.lit(f"(?![{CONTINUATION}])")))
+    return F.concat(F.lit(f"(?<![{CONTINUATION}])"), quoted, F.lit(f"(?![{CONTINUATION}])"))
 
 
-def prose_lines(docs: DataFrame) -> DataFrame:
-    """file, id, line, text, fenced, claim of every line of doc chunks (id, file, start_line, content): fenced lies between
-    fences, claim says that the line or one of the two before or three after it claims something."""
+def names_in_prose(text: Column, token: Column) -> Column:
+    """The token stands in text, see prose_pattern()."""
+    return F.regexp_like(text, prose_pattern(token))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """file, id, start_line, at, text, fenced of every line of doc chunks (id, file, start_line, content): fenced lies between fences."""
     rows = docs.select("file", "id", "start_line", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    w = Window.partitionBy("id").orderBy("at")
     fence = F.trim("text").rlike(FENCE)
-    before = F.sum(F.when(fence, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("fenced", F.coalesce(before, F.lit(0)) % 2 == 1).withColumn("claim", F.bool_or(claims(F.col("text"))).over(w.rowsBetween(-2, 3)))
+    before = F.sum(F.when(fence, 1).otherwise(0)).over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("fenced", F.coalesce(before, F.lit(0)) % 2 == 1)
+
+
+def prose_lines(docs: DataFrame) -> DataFrame:
+    """file, id, line, text, fenced, claim of _lines(): claim says that the line or one of the two before or three after it claims
+    something."""
+    near = Window.partitionBy("id").orderBy("at").rowsBetween(-2, 3)
+    rows = _lines(docs).withColumn("claim", F.bool_or(claims(F.col("text"))).over(near))
     return rows.select("file", "id", (F.col("start_line") + F.col("at")).alias("line"), "text", "fenced", "claim")
 
 
@@ -170,13 +183,14 @@ def guidance_changes(patches: DataFrame, most: int = 12_000, per_file: int = 3_0
 def distinctive_in(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     """token for those whose naming in documentation means the code: by their shape, or because documentation never names them but
     in fences, beside a slash or in backticks. docs (id, file, start_line, content)."""
-    shaped = tokens.select("token").distinct().withColumn("shaped", code_shaped(F.col("token")))
-    plain = shaped.where("NOT shaped").select("token")
-    lines = prose_lines(docs).where("NOT fenced").select("text", F.explode(F.array_distinct(F.filter(F.split("text", r"[^A-Za-z0-9_]+"), lambda t: t != ""))).alias("token"))
     beside = rf"[{CONTINUATION}/`]"
-    bare = F.regexp_like("text", F.concat(F.lit(f"(?<!{beside})"), F.col("token"), F.lit(f"(?!{beside})")))
-    said = lines.join(plain, "token").where(bare).select("token").distinct()
-    return shaped.join(said, "token", "left_anti").select("token")
+    bare = F.concat(F.lit(f"(?<!{beside})"), F.col("token"), F.lit(f"(?!{beside})"))
+    shaped = tokens.select("token").distinct().withColumn("shaped", code_shaped(F.col("token"))).withColumn("bare", bare)
+    shaped = Scratch(docs.sparkSession, "tokens").sized(shaped, "tokens")
+    plain = shaped.where("NOT shaped").select("token", "bare")
+    lines = _lines(docs).where("NOT fenced").select("text", F.explode(F.array_distinct(F.filter(F.split("text", r"[^A-Za-z0-9_]+"), lambda t: t != ""))).alias("token"))
+    said = lines.join(plain, "token").where(F.regexp_like("text", F.col("bare"))).select("token").distinct()
+    return shaped.join(said.hint("merge"), "token", "left_anti").select("token")
 
 
 #: Where a clause begins, what tells errors apart, logging calls, words before a bracket that are no calls.
@@ -219,7 +233,7 @@ def indiscriminate(binding: str | None, body: str) -> bool:
 
 def catch_clauses(chunks: DataFrame) -> DataFrame:
     """file, line, end_line, binding of the catch clauses of JavaScript and TypeScript chunks (file, start_line, content) that treat
-    errors alike. Braces have to be matched, so batches go through Arrow; nothing is exchanged."""
+    errors alike. Braces have to be matched, so batches go through Arrow, dealt to all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +247,7 @@ def catch_clauses(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["file", "line", "end_line", "binding"])
 
     code = chunks.where(F.col("file").rlike(r"\.[cm]?[jt]sx?\z")).select("file", F.col("start_line").cast("int"), "content")
-    return code.mapInArrow(run, "file string, line int, end_line int, binding string")
+    return code.repartition(partitions(code)).mapInArrow(run, "file string, line int, end_line int, binding string")
 
 
 def undiscriminated_catches(chunks: DataFrame, touched: DataFrame, width: int = 75) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.tables import Scratch, partitions
+
 #: What a scan takes when nothing is asked for.
 INCLUDE = ("**/*.{ts,tsx,js,jsx,py,php,go,rs,java,cpp,c,cs,h,md,mdx,yml,yaml}", ".github/**/*.{yml,yaml}")
 
@@ -137,12 +139,14 @@ def scan(files: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] =
     the patterns that always hold nor `exclude` rule out, and of the tracked files those that ignore rules hid but that are
     of an included kind and may be indexed at all."""
     include, exclude, always = tuple(include) or INCLUDE, tuple(exclude), always_ignored(home)
-    file = F.col("file")
-    kept = files.where(matches_glob(file, include) & ~matches_glob(file, always + exclude, hidden=True) & ~ignored(file, [*gitignore, *always, *exclude])).select("file").distinct()
+    file, scratch = F.col("file"), Scratch(files.sparkSession, "scan")
+    # Names are dealt to all tasks as a table: a filter would go below an exchange, into the one split that a small table is.
+    dealt = lambda df, name: scratch.table(df.select("file").repartition(partitions(df), "file").distinct(), name)
+    kept = dealt(files, "files").where(matches_glob(file, include) & ~matches_glob(file, always + exclude, hidden=True) & ~ignored(file, [*gitignore, *always, *exclude]))
     if tracked is None:
         return kept
     may = matches_glob(file, include) & ~ignored(file, NEVER_INDEX + (HOME_IGNORE if home else ()))
-    return kept.unionByName(tracked.select("file").distinct().where(may).join(kept, "file", "left_anti"))
+    return kept.unionByName(dealt(tracked, "tracked").where(may).join(kept.hint("merge"), "file", "left_anti"))
 
 
 def read_tree(spark: SparkSession, root: str, names: str = "*", most_bytes: int = 5 << 20) -> DataFrame:

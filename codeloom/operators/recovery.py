@@ -9,6 +9,7 @@ from codeloom.functions import columns as C
 from codeloom.functions import paths
 from codeloom.functions.languages import has, language_of
 from codeloom.operators import imports as I
+from codeloom.tables import Scratch
 
 #: How strong the link of a test is, best first.
 TEST_RANKS = {"exact": 1, "fuzzy": 2, "go": 3, "java": 4, "csharp": 5, "kotlin": 6}
@@ -107,8 +108,9 @@ def module_usage_tests(declarations: DataFrame, calls: DataFrame) -> DataFrame:
     declared = swift.where("NOT extension").select("symbol").distinct()
     own = swift.where("NOT extension").unionByName(swift.where("extension").join(declared, "symbol", "left_semi"))
     owners = own.groupBy("symbol").agg(F.min("file").alias("file"), F.countDistinct("file").alias("n")).where((F.col("n") == 1) & C.several_words(F.col("symbol"))).drop("n")
-    used = calls.where((language_of(F.col("file")) == "swift") & C.is_test_file(F.col("file"))).select(F.col("file").alias("test"), "symbol").distinct()
-    pairs = used.join(owners, "symbol").where("test <> file").groupBy("file", "test").agg(F.bool_or(C.type_shaped(F.col("symbol"))).alias("sure"))
+    said = Scratch(calls.sparkSession, "calls").table(calls.select("file", "symbol").distinct(), "calls")  # else each call would be tested, not each name
+    used = said.where((language_of(F.col("file")) == "swift") & C.is_test_file(F.col("file"))).select(F.col("file").alias("test"), "symbol")
+    pairs = used.join(owners.hint("merge"), "symbol").where("test <> file").groupBy("file", "test").agg(F.bool_or(C.type_shaped(F.col("symbol"))).alias("sure"))
     return pairs.where("sure").select("file", "test")
 
 

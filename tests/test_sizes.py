@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import catalog
+from codeloom.chunkers.files import chunk_files
 from codeloom.engine import Engine
 from codeloom.llm import ngram_join
-from codeloom.operators import graph, search
+from codeloom.operators import claims, graph, recovery, review, search
 from codeloom.operators.imports import call_edge_counts, call_edges, dependent_counts, import_edges, unnamed_imports
+from codeloom.sources import tree
 from codeloom.sources.adapters import imports
 from codeloom.tables import BROADCAST, Scratch
 
@@ -122,3 +124,45 @@ def test_postings_stay_where_their_chunk_is(spark):
     for df in (plain, weighted):
         exchanges = re.findall(r"Exchange hashpartitioning\(([a-z]+)", plan(df))
         assert set(exchanges) == {"id"} and df.count() == 18
+
+
+def test_parsing_is_dealt_to_all_tasks(spark):
+    files = spark.range(40).select(F.format_string("a/m%d.py", "id").alias("file"), F.lit("def f(x):\n    return g(x) if x else 1\n").alias("content")).coalesce(1)
+    out = chunk_files(files).where("type = 'function'")
+    assert out.rdd.getNumPartitions() == 4 and [(r["complexity"], r["calls"]) for r in out.collect()] == [(2, ["g"])] * 40
+    code = spark.range(9).select(F.format_string("a/m%d.ts", "id").alias("file"), F.lit(1).alias("start_line"), F.lit("enum A {\n  B,\n}\ninterface C {\n  d: number;\n}\n").alias("content")).coalesce(1)
+    for df in (claims.family_members(code), claims.declared_fields(code)):
+        assert "RoundRobinPartitioning" in plan(df) and df.count() == 9
+
+
+def test_a_scan_tests_each_name_once_in_all_tasks(spark):
+    files = spark.range(60).select(F.format_string("src/m%d.ts", F.col("id") % 30).alias("file")).coalesce(1)
+    out = tree.scan(files, gitignore=["m3.ts"], tracked=files)
+    assert plan(out).count("/scan-") == 3 and out.count() == 30
+
+
+def test_patterns_are_tried_on_words_that_met_a_name(spark):
+    docs = spark.createDataFrame([(1, "a.md", 1, "see load_x now\nor `put` it")], "id long, file string, start_line int, content string")
+    names = spark.createDataFrame([("load_x",), ("put",), ("absent",)], "symbol string")
+    found = review.doc_references(docs, names)
+    assert "Filter RLIKE" not in plan(found) and sorted(r["symbol"] for r in found.collect()) == ["load_x", "put"]
+
+
+def test_sweeps_join_without_the_driver(spark, parts_with_sizes):
+    for name in ("n4_variant_sweep", "n5_unread_fields"):
+        out = catalog.queries()[name](spark, parts_with_sizes)
+        assert plan(out).count("BroadcastHashJoin") <= (name == "n4_variant_sweep") and out.count() > 0  # at most that of the first twelve
+
+
+@pytest.fixture(scope="module")
+def parts_with_sizes(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("sizes")
+    spark.createDataFrame([(k, k % 50 + 1) for k in range(1, 41)], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_names_of_calls_are_tested_once(spark):
+    decl = spark.createDataFrame([("S/A.swift", "RetryPolicy", False)], "file string, symbol string, extension boolean")
+    calls = spark.createDataFrame([("Tests/ATests.swift", "RetryPolicy")] * 5, "file string, symbol string")
+    out = recovery.module_usage_tests(decl, calls)
+    assert "/calls-" in plan(out) and "BroadcastHashJoin" not in plan(out) and out.count() == 1
